@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quillon.llm import tokens
+from quillon.llm import langid, licenses, tokens, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_bpe_codec": tokens.op2_bpe_codec,
+        "op3_language_id": langid.op3_language_id,
         "op4_token_counts": tokens.op4_token_counts,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op9_license_scan": licenses.op9_license_scan,
     }
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -76,29 +77,55 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.tokens = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.chunks: OrderedDict[bytes, tuple] = OrderedDict()
-        self.units: dict[bytes, tuple[str, int, str]] = {b"": ("", 0, "")}
+        self.units: dict[bytes, tuple[str, int, str]] = {}
+        self.words: dict[str, tuple[str, int, str]] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        # Texts of printable ASCII (without the first byte of a special string) and precomposed Latin letters are split
+        # into words here, by the vocabulary's own pattern, so that capitals and marks beside a word cost nothing.
+        self.simple = re.compile(r"[ -;=-~\t\n\rÀ-ÖØ-öø-įı-ſ]*")
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.words_of = re.compile(pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}").replace(r"[^\s\p{L}\p{N}]", r"[^\sa-zß-öø-ſ0-9]").replace(r"\p{L}", "[a-zß-öø-ſ]").replace(r"\p{N}", "[0-9]"))
+        self.split: dict[bytes, list[str] | None] = {}
+        self.edge = re.compile(rb"(\S*)(\s(?:.*\s)?)(\S*)", re.DOTALL)
         self.most_chunks, self.most_units = chunks, units
         self.hits = self.misses = 0
 
-    def learn(self, units: set[bytes]) -> None:
-        new = [u for u in units if u not in self.units]
-        if len(self.units) + len(new) > self.most_units:
-            self.units = {b"": ("", 0, "")}
-            new = [*units]
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast([u.decode() for u in part], add_special_tokens=False), strict=True):
+    def _whole(self, texts: list[str]) -> list[tuple[str, int, str]]:
+        got = []
+        for start in range(0, len(texts), 20_000):
+            for e in self.tokenizer.encode_batch_fast(texts[start : start + 20_000], add_special_tokens=False):
                 ids = e.ids
-                self.units[u] = (" ".join(map(str, ids)), len(ids), " ".join([self.tokens[i] for i in ids]))
+                got.append((" ".join(map(str, ids)), len(ids), " ".join([self.tokens[i] for i in ids])))
+        return got
+
+    def learn(self, parts: set[bytes]) -> None:
+        """Learns the words of these runs of units (in plain Latin script), or else their units."""
+        if len(self.units) + len(self.words) > self.most_units:
+            self.units, self.words, self.split = {}, {}, {}
+        words, units = set(), set()
+        for p in parts:
+            text = p.decode()
+            if self.simple.fullmatch(text):
+                self.split[p] = got = self.words_of.findall(text.lower())
+                words.update(got)
+            else:
+                self.split[p] = None
+                units.update(p.split())
+        new = [w for w in words if w not in self.words]
+        self.words.update(zip(new, self._whole(new), strict=True))
+        new = [u for u in units if u not in self.units]
+        self.units.update(zip(new, self._whole([u.decode() for u in new]), strict=True))
 
-    def _render(self, units: list[bytes]) -> tuple[str, int, str]:
-        got = [self.units[u] for u in units]
+    def _render(self, part: bytes) -> tuple[str, int, str]:
+        words = self.split[part]
+        got = [self.units[u] for u in part.split()] if words is None else [self.words[w] for w in words]
         got = [x for x in got if x[1]]
         return " ".join([x[0] for x in got]), sum([x[1] for x in got]), " ".join([x[2] for x in got])
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[str, int, str]]:
         """(decimal ids joined by blanks, their number, decoded text) of each text."""
-        cut, fresh = [], {}
+        cut, fresh, made = [], set(), {}
         for data in texts:
             ends = cut_points(np.frombuffer(data, np.uint8)).tolist()
             parts = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
@@ -107,27 +134,25 @@ class ChunkEncoder:
                 if p in self.chunks:
                     self.hits += 1
                     self.chunks.move_to_end(p)
+                    made[p] = self.chunks[p]
                 elif p in fresh:
                     self.hits += 1
                 else:
                     self.misses += 1
-                    fresh[p] = p.split()
+                    fresh.add(p)
         # A chunk's inner units stand between white space, so they hold in any context; its two edges don't.
-        inner, edges = {}, set()
-        for p, units in fresh.items():
-            if not units or len(p) == len(units[0]):
-                inner[p] = None if units else (b"", [], b"")
-                continue
-            head = units[0] if p[: len(units[0])] == units[0] else b""
-            tail = units[-1] if p[-len(units[-1]) :] == units[-1] and len(units) > (1 if head else 0) else b""
-            inner[p] = (head, units[1 if head else 0 : len(units) - 1 if tail else len(units)], tail)
-        self.learn({u for x in inner.values() if x for u in x[1]})
-        made = {p: None if x is None else (x[0], self._render(x[1]), x[2]) for p, x in inner.items()}
-        plans = []
+        inner, edges, plans = {}, set(), []
+        for p in fresh:
+            m = self.edge.fullmatch(p)
+            inner[p] = m.groups() if m else None
+        self.learn({x[1] for x in inner.values() if x})
+        for p, x in inner.items():
+            made[p] = x and (x[0], self._render(x[1]), x[2])
+        self.split.clear()
         for parts in cut:
             plan, carry = [], b""
             for p in parts:
-                entry = made[p] if p in made else self.chunks[p]
+                entry = made[p]
                 # The join is re-encoded from the last white space before the cut to the first one after it; while a
                 # chunk has none, the window grows over it.  From there on both chunks' own tokens agree with it.
                 if entry is None:
@@ -145,14 +170,15 @@ class ChunkEncoder:
                 edges.add(carry)
             plans.append(plan)
         self.learn(edges)
-        for p, x in made.items():
-            self.chunks[p] = x
-        while len(self.chunks) > self.most_chunks:
-            self.chunks.popitem(last=False)
         for plan in plans:
-            got = [self.units[x] if isinstance(x, bytes) else x for x in plan]
+            got = [self._render(x) if isinstance(x, bytes) else x for x in plan]
             got = [x for x in got if x[1]]
             yield " ".join([x[0] for x in got]), sum([x[1] for x in got]), " ".join([x[2] for x in got])
+        self.split.clear()
+        for p in fresh:
+            self.chunks[p] = made[p]
+        while len(self.chunks) > self.most_chunks:
+            self.chunks.popitem(last=False)
 
 
 @lru_cache(2)
