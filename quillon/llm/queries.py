@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import langid, licenses, tokens, toxicity
+from quillon.llm import langid, licenses, neardup, sharding, tokens, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,7 +10,10 @@ def queries() -> dict:
         "op2_bpe_codec": tokens.op2_bpe_codec,
         "op3_language_id": langid.op3_language_id,
         "op4_token_counts": tokens.op4_token_counts,
+        "op5_warc_dictionary": warc.op5_warc_dictionary,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_sharding": sharding.op7_sharding,
+        "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
         "op9_license_scan": licenses.op9_license_scan,
     }
 
