@@ -48,11 +48,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word of rows laid end to end, A-Z in lower case, and the rows' offsets among the words."""
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of rows laid end to end, A-Z in lower case, and the rows' offsets among the words.
+
+    blank marks the bytes that separate words.
+    """
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    ink = ~_BLANK[raw]
+    ink = ~blank[raw]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     starts_of_rows = offsets[:-1][offsets[:-1] < len(raw)]

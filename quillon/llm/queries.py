@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillon.llm import langid, licenses, neardup, sharding, tokens, toxicity, warc
+from quillon.llm import decontaminate, embeddings, langid, licenses, neardup, sharding, tokens, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
         "op2_bpe_codec": tokens.op2_bpe_codec,
         "op3_language_id": langid.op3_language_id,
         "op4_token_counts": tokens.op4_token_counts,
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op7_sharding": sharding.op7_sharding,
         "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
         "op9_license_scan": licenses.op9_license_scan,
+        "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
     }
 
 
