@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, schema, settle, table
+from quillon.llm.common import components, schema, settle, table, whole_groups
 
 COSINE = 0.93
 #: Tables, rotations side by side in a table's code, and codes that each vector takes in a table.
@@ -197,10 +197,8 @@ def _forest(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _verified(rows: DataFrame, cosine: float, tables: int) -> DataFrame:
     """Per class its number of links found here (id, links), and links that connect all links found (a, b)."""
 
-    def work(held: pa.Table) -> pa.RecordBatch:
-        bucket, i, j, own, t, code, cls, w, low = (held.column(c).to_numpy() for c in ("bucket", "i", "j", "own", "t", "code", "id", "w", "low"))
-        change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        group = np.concatenate([[0], change, [len(bucket)]])
+    def work(held: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        i, j, own, t, code, cls, w, low = (held.column(c).to_numpy() for c in ("i", "j", "own", "t", "code", "id", "w", "low"))
         raw = held.column("unit").to_pylist()
         dims = np.array([len(x) for x in raw]) // 8
         a_all, b_all = [], []
@@ -223,19 +221,8 @@ def _verified(rows: DataFrame, cosine: float, tables: int) -> DataFrame:
         return pa.record_batch([pa.array([*ids.tolist(), *[None] * m], pa.int64()), pa.array([*links.tolist(), *[None] * m], pa.int64()), pa.array([*[None] * n, *low[p[tree]].tolist()], pa.int64()), pa.array([*[None] * n, *low[q[tree]].tolist()], pa.int64())], names=["id", "links", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held = pa.concat_tables([held, pa.Table.from_batches([b])]) if held is not None else pa.Table.from_batches([b])
-            last = tuple(held.column(c)[-1].as_py() for c in ("bucket", "i", "j"))
-            same = np.logical_and.reduce([held.column(c).to_numpy() == v for c, v in zip(("bucket", "i", "j"), last, strict=True)])
-            whole = held.num_rows - int(same.sum())  # rows are sorted, so the open group is the tail
-            if whole:
-                yield work(held.slice(0, whole).combine_chunks())
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield work(held.combine_chunks())
+        for held, group in whole_groups(batches, ("bucket", "i", "j")):
+            yield work(held, group)
 
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
     return dealt.mapInArrow(run, schema("id bigint, links bigint, a bigint, b bigint"))

@@ -4,10 +4,11 @@ Each text's set of word shingles gives 200 minima.  Bands of five minima make ca
 the low four bits are kept, packed, and the share of equal groups, corrected for chance collisions, estimates the
 similarity of a candidate pair.  Pairs near or over the threshold are confirmed on the full shingle sets.
 
-Equal sets are one class before any pair is made.  Pairs come in three rounds, so that no group is ever expanded into
-all its pairs unless they are close, unlinked and still in different components: first every bucket member with the
-bucket's smallest id; then, in buckets whose members lie in several components, the best pair between any two of
-them; then all pairs that are left there.  The last round makes the search exhaustive over the buckets.
+Equal sets are one class before any pair is made.  Then every bucket member is paired with the bucket's smallest id
+alone.  Only buckets whose members still lie in several components go on: signatures find the members that have a
+close partner in another component, and those are compared on their full sets inside the task, block by block and
+only while their components are apart.  So the search is exhaustive over the buckets, and no group is ever written as
+all its pairs.
 """
 
 from __future__ import annotations
@@ -15,12 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import byte_view, components, schema, settle, slices, table
+from quillon.llm.common import byte_view, components, id_filter, schema, settle, slices, table, whole_groups
 
 WORDS, SIMILARITY = 5, 0.75
 #: 1 - (1 - 0.75**5)**40 > 0.9999: the chance that a pair at the threshold meets in a band.
@@ -30,6 +30,8 @@ MINIMA = ROWS * BANDS
 SLACK = 4.5 * (0.75 * 0.25 / MINIMA) ** 0.5 / (1 - 2**-BITS)
 #: Members of a bucket that one task compares with each other or with another such block.
 BLOCK = 1024
+#: Groups up to this size are compared many at a time.
+SMALL = 32
 _random = np.random.default_rng(811)
 _MULTIPLY = _random.integers(1, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _random.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)
@@ -176,15 +178,15 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def _member_rows(reps: DataFrame) -> DataFrame:
-    """(bucket, id): one row for each band of each class."""
+    """(bucket, band, id): one row for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-                yield pa.record_batch([pa.array(keys), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bucket", "id"])
+                yield pa.record_batch([pa.array(keys), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bucket", "band", "id"])
 
-    return reps.select("id", "bands").mapInArrow(run, schema("bucket bigint, id bigint"))
+    return reps.select("id", "bands").mapInArrow(run, schema("bucket bigint, band int, id bigint"))
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, cut: float) -> DataFrame:
@@ -201,47 +203,110 @@ def _likely(pairs: DataFrame, reps: DataFrame, cut: float) -> DataFrame:
     return both.mapInArrow(run, schema("a bigint, b bigint"))
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, set) of the ids (column id); a bitmap of the ids keeps other texts out of the exact join's shuffle."""
+    chosen = id_filter(ids, docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null"), "id", "id")
+    return shingle_sets(chosen, "id", "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     """The pairs whose full shingle sets have the similarity, compared in whole percent without rounding."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    chosen = docs.select(F.col(key).cast("bigint").alias(key), text).join(ids, F.col(key) == F.col("_id"), "left_semi").dropDuplicates([key])
-    sets = shingle_sets(chosen, key, text)
+    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = _sets_of(ids, docs, key, text)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= round(100 * similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _across(members: DataFrame, reps: DataFrame, cut: float, best_only: bool) -> DataFrame:
-    """Close pairs between components within buckets; members: bucket, id, root, n (bucket size).
+def _close_pairs(held: pa.Table, group: np.ndarray, cut: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs, within groups, of different components that are estimated close and meet here first."""
+    sig = np.frombuffer(b"".join(held.column("sig").to_pylist()), np.uint64).reshape(held.num_rows, -1)
+    root, own, i, j, band = (held.column(c).to_numpy() for c in ("root", "own", "i", "j", "band"))
+    size, mixed = np.diff(group), (i != j)[group[:-1]]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def keep(p: np.ndarray, q: np.ndarray) -> None:
+        ok = root[p] != root[q]
+        if ok.any():
+            p, q = p[ok], q[ok]
+            near = estimate(sig[p], sig[q]) >= cut
+            found.append((p[near], q[near]))
+
+    for n in np.unique(size[(size <= SMALL) & ~mixed & (size > 1)]):
+        starts = group[:-1][(size == n) & ~mixed]
+        a, b = np.triu_indices(n, 1)
+        step = max(1, 100_000 // len(a))
+        for k in range(0, len(starts), step):
+            at = starts[k : k + step, None]
+            keep((at + a).ravel(), (at + b).ravel())
+    for g in np.flatnonzero((size > SMALL) | (mixed & (size > 1))):
+        rows = np.arange(group[g], group[g + 1])
+        first = own[rows] == own[rows].min() if mixed[g] else np.ones(len(rows), bool)
+        for k in rows[first]:
+            rest = rows[~first] if mixed[g] else rows[rows > k]
+            keep(np.full(len(rest), k), rest)
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int)
+    p, q = (np.concatenate(x) for x in zip(*found, strict=True))
+    keys = np.frombuffer(b"".join(held.column("bands").to_pylist()), np.int64).reshape(held.num_rows, -1)
+    ok = np.ones(len(p), bool)
+    for k in range(0, len(p), 50_000):
+        met = keys[p[k : k + 50_000]] == keys[q[k : k + 50_000]]
+        ok[k : k + 50_000] = met.argmax(1) == band[p[k : k + 50_000]]
+    return p[ok], q[ok]
+
+
+_GROUP = ("bucket", "i", "j")
+_BLOCK_ROW = "bucket bigint, i int, j int, own int, band int, id bigint, root bigint"
+
+
+def _close_members(rows: DataFrame, cut: float) -> DataFrame:
+    """The rows that have a close, unlinked partner in their block, by signatures alone; a row at most once a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, group in whole_groups(batches, _GROUP):
+            p, q = _close_pairs(held, group, cut)
+            if len(p):
+                yield from held.select([f.split()[0] for f in _BLOCK_ROW.split(", ")]).take(pa.array(np.unique(np.concatenate([p, q])))).to_batches()
+
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "id").mapInArrow(run, schema(_BLOCK_ROW))
 
-    A bucket over BLOCK members is dealt into blocks by a hash of the id, each pair of blocks being a task of its own.
+
+def _links_within(rows: DataFrame, cut: float, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all links between the components of each block, confirmed on the full sets.
+
+    Within a block a pair is compared only while its two components are still apart.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.withColumns({"m": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    rows = rows.join(reps.select("id", "sig"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "sig")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        i, j = part["i"].iat[0], part["j"].iat[0]
-        first, second = part[part["own"] == i], part[part["own"] == j]
-        if not len(first) or not len(second):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sig = [np.frombuffer(b"".join(p["sig"]), np.uint64).reshape(len(p), -1) for p in (first, second)]
-        ids, roots = [p["id"].to_numpy() for p in (first, second)], [p["root"].to_numpy() for p in (first, second)]
-        found = []
-        for k in range(len(first)):
-            near = estimate(sig[0][k], sig[1])
-            ok = (near >= cut) & (roots[1] != roots[0][k])
-            if i == j:
-                ok[: k + 1] = False
-            at = np.flatnonzero(ok)
-            if len(at):
-                found.append(pd.DataFrame({"a": np.minimum(ids[0][k], ids[1][at]), "b": np.maximum(ids[0][k], ids[1][at]), "r": np.minimum(roots[0][k], roots[1][at]), "s": np.maximum(roots[0][k], roots[1][at]), "near": near[at]}))
-                if best_only:
-                    found = [pd.concat(found).sort_values(["near", "a", "b"], ascending=[False, True, True]).drop_duplicates(["r", "s"])]
-        return pd.concat(found)[["a", "b"]] if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    return rows.groupBy("bucket", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+    percent = round(100 * similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, group in whole_groups(batches, _GROUP):
+            p, q = _close_pairs(held, group, cut)
+            ids, root = held.column("id").to_numpy(), held.column("root").to_numpy()
+            sets = held.column("set")
+            own: dict[int, np.ndarray] = {}
+            parent: dict[int, int] = {}
+
+            def find(v: int, parent=parent) -> int:
+                while parent.setdefault(v, v) != v:
+                    parent[v] = parent[parent[v]]
+                    v = parent[v]
+                return v
+
+            links = []
+            for a, b in zip(p.tolist(), q.tolist(), strict=True):
+                if (u := find(int(root[a]))) != (v := find(int(root[b]))):
+                    x, y = (own.setdefault(k, sets[k].values.to_numpy()) if k not in own else own[k] for k in (a, b))
+                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                        continue
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * shared >= percent * (len(x) + len(y) - shared):
+                        parent[max(u, v)] = min(u, v)
+                        links.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+            if links:
+                yield pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "id").mapInArrow(run, schema("a bigint, b bigint"))
 
 
 def _roots(links: DataFrame, ids: DataFrame) -> DataFrame:
@@ -264,15 +329,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     cut = similarity - SLACK
     pairs = settle(_likely(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), reps, cut))
     links = settle(_confirm(pairs, docs, key, text, similarity))
-    tested = pairs
-    for best_only in (True, False):
-        placed = members.join(_roots(links, members.select("id").distinct()), "id")
-        split = placed.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket")
-        more = settle(_across(placed.join(split, "bucket", "left_semi"), reps, cut, best_only).join(tested, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        links = settle(links.union(_confirm(more, docs, key, text, similarity)))
-        tested = tested.union(more)
+    placed = members.join(settle(_roots(links, members.select("id").distinct())), "id")
+    split = placed.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket")
+    placed = placed.join(split, "bucket", "left_semi").withColumn("m", F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    blocks = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id", "root")
+    marks = reps.select("id", "sig", "bands")
+    close = settle(_close_members(blocks.join(marks, "id"), cut))
+    sets = _sets_of(settle(close.select("id").distinct()), docs, key, text)
+    links = settle(links.union(_links_within(close.join(marks, "id").join(sets, "id"), cut, similarity)))
     # Links join the classes; members of a class join through its smallest id; rows of one id join through the id.
     equal = full.join(reps.select("s1", "s2", "n", F.col("id").alias("rep")), ["s1", "s2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     roots = components(links.union(equal))
