@@ -1,4 +1,4 @@
-"""All queries over the star-schema knowledge graph with their SQL, by name."""
+"""All queries over the tables with their SQL, by name."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.plans import kg_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (kg_queries,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
