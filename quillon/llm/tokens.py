@@ -26,7 +26,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Chunks are cut where the low MASK_BITS bits of the rolling hash are zero: 2**MASK_BITS bytes on average.
 MASK_BITS, WINDOW, MAX_CHUNK = 9, 32, 8192
 #: Entries of the two caches of a Python worker; beyond that the oldest chunks, or all units, go.
-CHUNKS, UNITS = 30_000, 400_000
+CHUNKS, UNITS = 20_000, 300_000
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
