@@ -9,7 +9,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +47,32 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that the column's text stays near SLICE_BYTES in each; a longer row comes alone."""
+_HELD: dict[tuple, object] = {}
+
+
+def held(make: Callable, *args):
+    """``make(*args)``, kept by this Python worker for its next tasks until another operator runs here.
+
+    Workers outlive stages; caches of one operator would else stand beside the next one's memory.
+    """
+    key = (make, *args)
+    if key not in _HELD:
+        _HELD.clear()
+        give_back()
+        _HELD[key] = make(*args)
+    return _HELD[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, holding: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that the column's text stays near SLICE_BYTES in each; a longer row comes alone.
+
+    holding: whether the caller works with an object of ``held``; others let it go.
+    """
     import pyarrow.compute as pc
 
+    if not holding and _HELD:
+        _HELD.clear()
+        give_back()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -14,13 +14,12 @@ import re
 import unicodedata
 from collections import OrderedDict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import schema, slices, table
+from quillon.llm.common import held, schema, slices, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks are cut where the low MASK_BITS bits of the rolling hash are zero: 2**MASK_BITS bytes on average.
@@ -181,11 +180,6 @@ class ChunkEncoder:
             self.chunks.popitem(last=False)
 
 
-@lru_cache(2)
-def _encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
-
-
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, ids (decimal, joined by one blank), n_tokens and decoded text of every row.
 
@@ -194,8 +188,8 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(vocabulary_path(vocabulary))
-        for b in slices(batches, "_text"):
+        coder = held(ChunkEncoder, vocabulary_path(vocabulary))
+        for b in slices(batches, "_text", holding=True):
             got = list(coder.encode([x.encode() if x else b"" for x in b.column(1).to_pylist()]))
             yield pa.record_batch([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.string())], names=["_key", "ids", "n_tokens", "decoded"])
 
@@ -208,8 +202,8 @@ def encode_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; the digests are taken beside the encoder so that no ids travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(vocabulary_path(vocabulary))
-        for b in slices(batches, "text"):
+        coder = held(ChunkEncoder, vocabulary_path(vocabulary))
+        for b in slices(batches, "text", holding=True):
             n, ids, decoded = [], [], []
             for a, k, d in coder.encode([x.encode() if x else b"" for x in b.column(1).to_pylist()]):
                 n.append(k)
@@ -333,17 +327,12 @@ class HeapCounter:
             return total
 
 
-@lru_cache(2)
-def _counter(path: str) -> HeapCounter:
-    return HeapCounter(path)
-
-
 def count_tokens(docs: DataFrame, limit: int = 2048, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(vocabulary_path(vocabulary))
-        for b in slices(batches, "_text"):
+        counter = held(HeapCounter, vocabulary_path(vocabulary))
+        for b in slices(batches, "_text", holding=True):
             data = [x.encode() if x else b"" for x in b.column(1).to_pylist()]
             n = [counter.count(x) for x in data]
             yield pa.record_batch([b.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["_key", "n_bytes", "n_tokens", "over_limit"])
