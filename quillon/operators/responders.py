@@ -1,0 +1,89 @@
+"""Running questions through responders, with resume (SRC-15, SNK-8, JN-13, CON-1, SCR-17, SCR-18)."""
+
+from __future__ import annotations
+
+import hashlib
+import time
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillon.functions import answers as A
+
+
+class Responder(Protocol):
+    """Answers a prompt; raises PermanentError if no later try can succeed."""
+
+    def __call__(self, model: str, prompt: str) -> str: ...
+
+
+class PermanentError(RuntimeError):
+    pass
+
+
+def offline(model: str, prompt: str) -> str:
+    """A deterministic stand-in for a model: its answer depends on the model and the prompt alone."""
+    h = hashlib.md5(f"{model}\x00{prompt}".encode()).digest()
+    return f"ANSWER: {'TRUE' if h[0] % 2 else 'FALSE'}\nCONFIDENCE: {h[1] / 255:.2f}\nREASONING_STEPS: {1 + h[2] % 10}"
+
+
+def patient(ask: Responder, tries: int = 3, wait: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Responder:
+    """Up to ``tries`` attempts with linear waits; a permanent error ends at once; failures become an error text."""
+
+    def run(model: str, prompt: str) -> str:
+        for k in range(1, tries + 1):
+            try:
+                return ask(model, prompt)
+            except PermanentError as e:
+                return f"[ERROR] {e}"
+            except Exception as e:  # noqa: BLE001  a responder may fail in any way
+                if k == tries:
+                    return f"[ERROR] {e}"
+                sleep(wait * k)
+        return "[ERROR]"
+
+    return run
+
+
+def model_spec(text: str) -> tuple[str, str, str]:
+    """``provider:model`` as provider, model and a name for columns; no provider means openai."""
+    provider, _, model = text.rpartition(":")
+    return provider or "openai", model, text.replace(":", "_").replace("/", "_")
+
+
+def run_questions(questions: DataFrame, models: list[str], ask: Responder = offline, done: DataFrame | None = None, workers: int = 8) -> DataFrame:
+    """Rows (task_id, model, response, seconds) for questions (task_id, prompt) not yet in ``done``.
+
+    The model list is a parameter, so its product with the questions is bounded by it; ``workers`` partitions bound how many calls run
+    at once.
+    """
+    spark = questions.sparkSession
+    tasks = questions.select("task_id", "prompt").crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in models], "model string")))
+    if done is not None:
+        tasks = tasks.join(done.select("task_id", "model"), ["task_id", "model"], "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for task, prompt, model in zip(b["task_id"], b["prompt"], b["model"], strict=True):
+                began = time.time()
+                rows.append((task, model, ask(model, prompt), time.time() - began))
+            yield pd.DataFrame(rows, columns=["task_id", "model", "response", "seconds"])
+
+    kind = questions.schema["task_id"].dataType.simpleString()
+    return tasks.select("task_id", "prompt", "model").repartition(workers, "task_id", "model").mapInPandas(run, f"task_id {kind}, model string, response string, seconds double")
+
+
+def parsed(responses: DataFrame, questions: DataFrame) -> DataFrame:
+    """Responses with their parsed fields and correctness, beside the expected answers (task_id, answer_type, answer)."""
+    r = responses.join(questions.select("task_id", "answer_type", "answer"), "task_id")
+    r = r.withColumn("final_answer", A.final_answer(F.col("response"), F.col("answer_type")))
+    return r.select("task_id", "model", "answer_type", "answer", "final_answer", A.confidence(F.col("response")).alias("confidence"), A.reasoning_steps(F.col("response")).alias("steps"), A.correctness(F.col("answer"), F.col("final_answer"), F.col("answer_type")).alias("correctness"), F.col("response").startswith("[ERROR]").alias("error"), "seconds")
+
+
+def append_checkpoint(rows: DataFrame, path: str) -> None:
+    """SNK-8: finished rows join the earlier ones; a rerun skips them by ``done``."""
+    rows.write.mode("append").parquet(path)
