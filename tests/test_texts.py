@@ -1,0 +1,161 @@
+"""Names, answers, statistics, abstraction, JSON, ontology files and responders."""
+
+from __future__ import annotations
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quillon.functions import answers as A
+from quillon.functions import names as N
+from quillon.operators import abstraction as B
+from quillon.operators import responders as P
+from quillon.operators import stats as S
+from quillon.operators import verbalize as V
+from quillon.operators.model import Schema
+from quillon.sources import rdf
+from quillon.sources import text as X
+
+
+def one(spark, column, **values):
+    df = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+    return df.select(column.alias("r")).first()["r"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("John_Heath 1840; x", ["johnheath", "x"]), ("john_heath_1840", ["johnheath1840"]), ("", []), ("1840", []), ("A, B , a", ["a", "b"]), ("  TRUE ", ["true"]), ("é; b", ["b"])],
+)
+def test_clean_answer(spark, text, want):
+    assert one(spark, A.clean_answer(F.col("t")), t=text) == want
+
+
+@pytest.mark.parametrize(("e", "a", "kind", "want"), [("TRUE", "true", "BIN", 1.0), ("TRUE", "FALSE", "BIN", 0.0), ("a; b", "b; c", "MC", 1 / 3), ("", "", "MC", 1.0), ("", "x", "MC", 0.0)])
+def test_jaccard(spark, e, a, kind, want):
+    assert one(spark, A.jaccard(A.clean_answer(F.col("e")), A.clean_answer(F.col("a")), F.col("k")), e=e, a=a, k=kind) == pytest.approx(want)
+
+
+def test_parsing_bounds(spark):
+    assert one(spark, A.confidence(F.col("r")), r="CONFIDENCE: 7.5") == 1.0 and one(spark, A.confidence(F.col("r")), r="none") == 0.5
+    assert one(spark, A.reasoning_steps(F.col("r")), r="reasoning_steps: 42") == 10
+    assert one(spark, A.final_answer(F.col("r"), F.lit("BIN")), r="[ERROR] x") == "ERROR" and one(spark, A.final_answer(F.col("r"), F.lit("MC")), r="ANSWER: <http://x#Foo>, ns1:b") == "Foo, b"
+    assert one(spark, A.hallucination_rate(F.col("a"), F.col("e"), F.col("c"), F.lit("MC")), a="Foo; zzz", e="foo", c="") == 0.5
+
+
+def test_names(spark):
+    assert one(spark, N.entity_label(F.col("n")), n="john_heath_1840") == "John Heath" and one(spark, N.local_name(F.col("n")), n="http://x/y#") == "http://x/y#"
+    assert one(spark, N.file_name(F.array(F.lit("B"), F.lit("A"), F.lit("C")), F.col("n")), n="x y/z") == "A_B_x_y_z"
+    assert one(spark, N.oxford_list(F.array(F.lit("a"), F.lit("b"), F.lit("c")))) == "a, b, and c"
+
+
+@given(st.lists(st.integers(0, 50), min_size=2, max_size=40))
+@settings(max_examples=8, deadline=None)
+def test_bins_cover_all(spark, values):
+    got = [r["b"] for r in S.cut(spark.createDataFrame([(v,) for v in values], "v int"), "v", "b").collect()]
+    assert min(got) == 0 and len(got) == len(values)
+
+
+def test_split_size():
+    assert S.split_size(100, 3, 0.95) == 95 and S.split_size(10, 4, 0.95) == 6
+    with pytest.raises(ValueError):
+        S.split_size(3, 2, 0.5)
+    with pytest.raises(ValueError):
+        S.split_size(0, 0, 0.5)
+
+
+def test_sampling_ignores_partitions(spark):
+    df = spark.range(400).select(F.col("id"), (F.col("id") % 3).cast("string").alias("strata"))
+    a = {r["id"] for r in S.stratified_keep(df.repartition(7), "id").collect()}
+    assert a == {r["id"] for r in S.stratified_keep(df.coalesce(1), "id").collect()} and len(a) == 20
+
+
+def test_rewrite(spark):
+    m = B.mapping(spark.createDataFrame([("Foo", "class"), ("Foo", "individual"), ("bar", "object_property"), ("Thing", "class")], "term string, category string"))
+    assert {r["original"]: r["abstract_name"] for r in m.collect()} == {"Foo": "Class1", "bar": "Property1"}
+    got = B.rewrite(spark.createDataFrame([("Foo bar, Food bar?",), (None,)], "t string"), "t", m).collect()
+    assert sorted(r["t"] for r in got) == ["", "Class1 Property1, Food Property1?"]
+
+
+BAD = ['{"a": 1}', '{"a": 1,\n,\n"b": 2}', '{"a": 1,}', '{"a": 1', '{"a": {"x": 1},,"b": 2}']
+
+
+@pytest.mark.parametrize("text", BAD)
+def test_repair(spark, text):
+    import json
+
+    assert json.loads(one(spark, X.repair_json(F.col("t")), t=text))["a"]
+
+
+def test_partial_json(spark):
+    got = X.partial_json(spark.createDataFrame([(1, '{"a": 1, "b": [2], "c": {"d"'), (2, ""), (3, None)], "k int, t string"), "k", "t").collect()
+    assert [(r["k"], r["name"], r["value"]) for r in got] == [(1, "a", "1"), (1, "b", "[2]")]
+
+
+TURTLE = """@prefix : <http://e.org/o#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
+# a comment
+:p a owl:ObjectProperty , owl:SymmetricProperty ; rdfs:domain :C ; owl:propertyChainAxiom ( :q :r ) .
+:C rdfs:subClassOf [ a owl:Restriction ; owl:onProperty :p ; owl:someValuesFrom :D ] , :D .
+:x a :C ; :p :y ; :age 7 ; :h 1.5e3 ; rdfs:label "X \\"q\\""@en , 'plain' ; :t "2"^^<http://www.w3.org/2001/XMLSchema#int> ; :ok true .
+_:b1 :p :x ."""
+XML = """<?xml version="1.0"?><rdf:RDF xmlns="http://e.org/o#" xml:base="http://e.org/o" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#">
+<owl:Class rdf:about="#C"><owl:equivalentClass><owl:Class><owl:unionOf rdf:parseType="Collection"><owl:Class rdf:about="#D"/><rdf:Description rdf:about="#E"/></owl:unionOf></owl:Class></owl:equivalentClass></owl:Class>
+<owl:NamedIndividual rdf:about="#x"><rdf:type rdf:resource="#C"/><p rdf:resource="#y"/><rdfs:label xml:lang="EN">X</rdfs:label></owl:NamedIndividual></rdf:RDF>"""
+
+
+def test_rdf(spark, tmp_path):
+    (tmp_path / "one.ttl").write_text(TURTLE)
+    (tmp_path / "two.OWL").write_text(XML)
+    (tmp_path / "bad.ttl").write_text(":x :y")
+    (tmp_path / "skip.txt").write_text("x")
+    t = rdf.read_rdf(spark, str(tmp_path)).cache()
+    assert {r["graph_id"] for r in t.where("_error is not null").collect()} == {"bad"}
+    g = rdf.graph_of(t.where("graph_id = 'one'"))
+    assert {tuple(r) for r in g.relations.collect()} == {("x", "p", "y")} and {tuple(r) for r in g.types.collect()} == {("x", "C")}
+    assert g.schema.symmetric == ["p"] and g.schema.chains == [(("q", "r"), "p")] and g.schema.domain == [("p", "C")] and [e.kind for e in g.schema.expressions.values()] == ["some"]
+    g = rdf.graph_of(t.where("graph_id = 'two'"))
+    assert [e.operands for e in g.schema.expressions.values()] == [("D", "E")] and {tuple(r) for r in g.relations.collect()} == {("x", "p", "y")}
+    back = rdf.to_turtle(t.where("graph_id = 'one'")).first()["turtle"]
+    first = [x for x in rdf.parse_turtle(TURTLE, "one")]
+    assert len(set(rdf.parse_turtle(back, "one"))) == len(set(first))
+
+
+def test_stream(spark, tmp_path):
+    from quillon.streaming.ontologies import stream_triples
+
+    (tmp_path / "in").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "in" / f"{name}.ttl").write_text(TURTLE)
+        stream_triples(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert {r["graph_id"]: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("graph_id").count().collect()}.keys() == {"a", "b"}
+
+
+def test_mapping_and_questions(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("Original -> Abstract\n=== CLASSES ===\n\nFoo -> <http://e#Class1>\nbar -> <plain>\n")
+    assert {r["original"]: r["abstract_name"] for r in X.read_mapping(spark, str(tmp_path / "m.txt")).collect()} == {"Foo": "Class1", "bar": "plain"}
+    row = ("t", "r", 1, 2, "Membership", "BIN", 'ASK { "q",\n}', "p", "a", 1, 2)
+    X.write_questions(spark.createDataFrame([row], X.QUESTION_SCHEMA), str(tmp_path / "q"))
+    assert X.read_questions(spark, str(tmp_path / "q")).first()["SPARQL Query"] == 'ASK { "q", }'
+    wide = spark.createDataFrame([("t", "TRUE", "0.5")], "id string, m_final_answer string, m_confidence_score string")
+    assert [(r["model"], r["final_answer"], r["response"]) for r in X.to_long(wide, ["id"]).collect()] == [("m", "TRUE", None)]
+
+
+def test_run_and_resume(spark, tmp_path):
+    q = spark.createDataFrame([(1, "p1"), (2, "p2")], "task_id int, prompt string")
+    first = P.run_questions(q.where("task_id = 1"), ["a", "b"], workers=2)
+    P.append_checkpoint(first, str(tmp_path / "c"))
+    rest = P.run_questions(q, ["a", "b"], done=spark.read.parquet(str(tmp_path / "c")), workers=2)
+    assert sorted((r["task_id"], r["model"]) for r in rest.collect()) == [(2, "a"), (2, "b")]
+
+    def broken(model, prompt):
+        raise P.PermanentError("no")
+
+    assert P.patient(broken)("m", "p") == "[ERROR] no" and P.model_spec("x:y/z") == ("x", "y/z", "x_y_z")
+
+
+def test_individuals(spark):
+    t = spark.createDataFrame([("ada_1868", "Woman")], "s string, c string")
+    r = spark.createDataFrame([("ada_1868", "isSisterOf", "gwen_1870"), ("john_1840", "isFatherOf", "ada_1868"), *((f"m{k}", "knows", "ada_1868") for k in range(9))], "s string, p string, o string")
+    got = {x["s"]: x["description"] for x in V.individuals(t, r, Schema()).collect()}
+    assert got["ada_1868"] == "Ada is an instance of Woman. Ada is sister of Gwen. John is father of Ada."
+    assert "knows" not in got["ada_1868"]
