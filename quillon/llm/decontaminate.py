@@ -29,15 +29,22 @@ SAMPLES, STEPS, WALKS = 6, 4, 4
 TARGET, DESIGN_EDITS, TRIALS = 0.95, 0.1, 128
 #: Words of the items of one pass over the documents; more items take more passes.
 ITEM_WORDS = 400_000
-_FILTER = 1 << 20
+#: Least and most bits of the filter before a key lookup: it has about 128 for each key, and stays near the processor.
+FILTER_BITS = (16, 22)
 
 _BREAK = np.ones(256, bool)
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (letters, digits and all non-ASCII; A-Z in lower case) of texts, and their offsets."""
-    return word_hashes(*byte_view(texts), blank=_BREAK)
+    """Hashes of the words (letters, digits and all non-ASCII) of texts, and their offsets; A-Z and Latin-1 in lower case."""
+    raw, offsets = byte_view(texts)
+    at = np.flatnonzero(raw[:-1] == 0xC3)
+    at = at[(raw[at + 1] <= 0x9E) & (raw[at + 1] != 0x97)] + 1
+    if len(at):
+        raw = raw.copy()
+        raw[at] += 0x20
+    return word_hashes(raw, offsets, blank=_BREAK)
 
 
 def stride_of(n: int) -> int:
@@ -123,9 +130,9 @@ def build(ids: list[int], words: list[np.ndarray], walks: int) -> Index:
                 group.keys.append(key[order])
                 group.item.append(item[order])
                 group.offset.append(offset[order])
-                bits = np.zeros(_FILTER, bool)
-                bits[key & np.uint64(_FILTER - 1)] = True
-                group.filters.append(np.packbits(bits))
+                bits = np.zeros(1 << min(FILTER_BITS[1], max(FILTER_BITS[0], (128 * len(key)).bit_length())), bool)
+                bits[key & np.uint64(len(bits) - 1)] = True
+                group.filters.append(bits)
         strides.setdefault(stride, []).append(group)
     return Index(ids, words, walks, strides)
 
@@ -139,13 +146,14 @@ def candidates(index: Index, words: np.ndarray, offsets: np.ndarray) -> np.ndarr
         row = np.repeat(np.arange(len(n)), many)
         start = offsets[:-1][row] + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * stride
         end = offsets[1:][row]
-        filters = [[np.unpackbits(f).view(bool) for f in g.filters] for g in groups]
         for walk in range(index.walks):
             keys = window_keys(words, start, end, [g.size for g in groups], walk)
-            for g, bits in zip(groups, filters, strict=True):
+            for g in groups:
                 for k in range(SAMPLES):
                     r, key = walk * SAMPLES + k, keys[g.size][k]
-                    maybe = np.flatnonzero(bits[r][key & np.uint64(_FILTER - 1)] & (start + g.size <= end))  # else blanks would meet blanks
+                    bits = g.filters[r]
+                    maybe = np.flatnonzero(bits[key & np.uint64(len(bits) - 1)])
+                    maybe = maybe[start[maybe] + g.size <= end[maybe]]  # else blanks would meet blanks
                     if not len(maybe):
                         continue
                     low, high = np.searchsorted(g.keys[r], key[maybe], "left"), np.searchsorted(g.keys[r], key[maybe], "right")

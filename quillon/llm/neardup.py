@@ -348,8 +348,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their group, columns as they were; ids that repeat keep their rows."""
-    gone = near_duplicates(docs, key, text).where("not kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, key, text).where("not kept").select(key).distinct()
+    return docs.join(gone, [key], "left_anti").select(docs.columns)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import bounded_sample, id_crc, schema, slices, table
 
-#: Labelled rows that the lexicon, the trees and the calibration are fitted on, in three disjoint parts.
+#: Labelled rows that the lexicon, the trees and the calibration are fitted on, and the folds of the cross-fitting.
 SAMPLE_ROWS = 8000
-PARTS = (0.45, 0.8)
+FOLDS = 4
 TREES, DEPTH, RATE, BINS, LEAST_ROWS = 90, 4, 0.12, 48, 8.0
 NEAR_WORDS = 4
 PREFIX = 4
@@ -193,15 +193,25 @@ class Model:
 
 
 def fit(texts: list[str | None], labels: list[int]) -> Model:
-    """Lexicon, trees and calibration from three disjoint parts of the rows; a constant if one class is missing."""
+    """Lexicon, trees and calibration, cross-fitted; a constant if one class is nearly missing.
+
+    A row's features come from a lexicon learned on the other folds, and its score for the calibration from trees grown on
+    the other folds, so neither is fitted to what it is used on.  The final lexicon and trees use all rows.
+    """
     y = np.array(labels, float)
     base = float((y.sum() + 0.5) / (len(y) + 1))
-    a, b = (int(len(y) * p) for p in PARTS)
-    if len(y) < 60 or min(y[:a].sum(), y[a:b].sum(), (1 - y[a:b]).sum()) < 3:
+    if len(y) < 60 or min(y.sum(), len(y) - y.sum()) < 2 * FOLDS:
         return Model(Lexicon(frozenset(), frozenset()), None, (np.zeros(0), np.zeros(0)), base)
-    lexicon = learn_lexicon(texts[:a], y[:a], least=max(2, min(6, int(y[:a].sum() / 40))))
-    forest = boost(matrix(texts[a:b], lexicon), y[a:b])
-    return Model(lexicon, forest, isotonic(forest.raw(matrix(texts[b:], lexicon)), y[b:]), base)
+    fold = np.arange(len(y)) % FOLDS
+    least = max(2, min(6, int(y.sum() / 40)))
+    x = np.zeros((len(y), len(FEATURES)))
+    for k in range(FOLDS):
+        rest = np.flatnonzero(fold != k)
+        x[fold == k] = matrix([texts[i] for i in np.flatnonzero(fold == k)], learn_lexicon([texts[i] for i in rest], y[rest], least))
+    raw = np.zeros(len(y))
+    for k in range(FOLDS):
+        raw[fold == k] = boost(x[fold != k], y[fold != k]).raw(x[fold == k])
+    return Model(learn_lexicon(texts, y, least), boost(x, y), isotonic(raw, y), base)
 
 
 def fit_from(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
