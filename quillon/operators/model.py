@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 THING = "Thing"
 
@@ -96,6 +99,15 @@ def chain_paths(edges: set[tuple[str, str]], most: int) -> list[tuple[str, str,
     return found
 
 
+def _plain(value, kind: pa.DataType):
+    """Tuples of structs by their field names, as Arrow wants them."""
+    if pa.types.is_struct(kind) and isinstance(value, tuple):
+        return {f.name: _plain(v, f.type) for f, v in zip(kind, value, strict=True)}
+    if pa.types.is_list(kind) and value is not None:
+        return [_plain(v, kind.value_type) for v in value]
+    return value
+
+
 @dataclass
 class Graph:
     types: DataFrame
@@ -107,8 +119,12 @@ class Graph:
         return self.types.sparkSession
 
     def small(self, rows, ddl: str) -> DataFrame:
-        """A schema-sized table, to be broadcast."""
-        return F.broadcast(self.spark.createDataFrame([tuple(r) for r in rows], ddl))
+        """A schema-sized table, to be broadcast; as a local relation, so that no job runs for it."""
+        kinds = to_arrow_schema(T._parse_datatype_string(ddl))
+        rows = [tuple(r) for r in rows]
+        names = [f.name for f in kinds]
+        arrays = [pa.array([_plain(r[k], kinds.field(k).type) for r in rows], kinds.field(k).type) for k in range(len(names))]
+        return F.broadcast(self.spark.createDataFrame(pa.Table.from_arrays(arrays, schema=kinds)))
 
     def singles(self, names) -> DataFrame:
         return self.small([(n,) for n in names], "p string")

@@ -262,18 +262,22 @@ def materialize(g: Graph, existentials: bool = False, equality: bool = False) ->
         typ = typ.unionByName(subclass(g, typ)).distinct()
     typ = settle(typ)
     kinds = {e.kind for e in s.expressions.values()}
-    for _ in range(ROUNDS):
+    used = sorted({e.prop for e in s.expressions.values() if e.prop})
+    near = settle(rel.where(F.col("p").isin(used))) if used else rel  # relations are complete here, only these matter to expressions
+    fresh = typ
+    for turn in range(ROUNDS):
         made = []
         if "or" in kinds:
-            made.append(union_of(g, typ))
+            made.append(union_of(g, fresh))
         if "and" in kinds:
-            made.append(intersection_of(g, typ))
+            # A new member needs a new type, so only the subjects of new rows are counted again.
+            made.append(intersection_of(g, typ if turn == 0 else typ.join(fresh.select("s").distinct(), "s", "left_semi")))
         if "some" in kinds:
-            made.append(some_values(g, typ, rel))
+            made.append(some_values(g, fresh, near))
         if "all" in kinds:
-            made.append(all_values(g, typ, rel))
-        if "self" in kinds:
-            made.append(has_self(g, rel))
+            made.append(all_values(g, fresh, near))
+        if "self" in kinds and turn == 0:
+            made.append(has_self(g, near))
         if not made:
             break
         made = union(made, TYP)
