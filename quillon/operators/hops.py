@@ -21,11 +21,12 @@ def mentions(g: Graph, extra: DataFrame | None = None) -> DataFrame:
     return rows.select(F.explode("individuals").alias("x"), "axiom").distinct()
 
 
-def hop(g: Graph, k: int, start: Column | None = None, wide: int = 64) -> DataFrame:
+def hop(g: Graph, k: int, start: Column | None = None) -> DataFrame:
     """(x, axiom) of the one- or two-hop modules of the individuals chosen by ``start`` (JN-1, JN-2).
 
-    Two hops join the mentions with themselves on the shared individual.  Axioms with more than ``wide`` individuals
-    would make each of their members a neighbour of all others; they are joined by themselves, once per axiom.
+    Two hops go from x to the distinct individuals of its axioms and from there to their axioms, so several axioms
+    between two individuals cost one row.  An axiom of n individuals makes each a neighbour of all others, as it does
+    in the result; ``start`` bounds for whom that is written.
     """
     one = mentions(g)
     from_ = one if start is None else one.where(start)

@@ -7,7 +7,6 @@ transitivity, chains, equalities and class expressions iterate over facts, on th
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 from functools import reduce
 
@@ -320,13 +319,11 @@ def clashes(g: Graph, typ: DataFrame, rel: DataFrame, different: DataFrame | Non
     s, out = g.schema, []
     spark = g.spark
     empty = spark.createDataFrame([], "rule string, a string, b string")
-    sup = closed(g.schema.class_edges())
     pairs = set(s.disjoint) | {(k, e.operands[0]) for k, e in s.expressions.items() if e.kind == "not"}
     if pairs:
         t = g.small(sorted(pairs), "c string, d string")
         one = typ.join(t, "c")
         out.append(one.join(typ.select("s", F.col("c").alias("d")), ["s", "d"]).select(F.lit("disjoint_classes").alias("rule"), F.col("s").alias("a"), F.concat_ws("|", "c", "d").alias("b")))
-    del sup
     if s.disjoint_property:
         t = g.small(s.disjoint_property, "p string, q string")
         out.append(rel.join(t, "p").join(rel.select("s", F.col("p").alias("q"), "o"), ["s", "q", "o"]).select(F.lit("disjoint_properties").alias("rule"), F.col("s").alias("a"), F.col("o").alias("b")))
@@ -344,6 +341,3 @@ def tbox_closure(schema: Schema) -> list[tuple[str, str]]:
     """RSN-22: the named class hierarchy, closed."""
     return sorted((a, b) for a, b in closed(schema.class_edges()) if a != b and schema.named(a) and schema.named(b))
 
-
-def run_id() -> str:
-    return uuid.uuid4().hex

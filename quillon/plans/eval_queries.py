@@ -257,7 +257,7 @@ def model_pairs(spark, d):
 # -- statistics and samples --------------------------------------------------------------------------------------------
 
 _BINS = lambda c, t: f"SELECT count({c}) AS n, min({c})::DOUBLE AS least, max({c})::DOUBLE AS most, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS iqr FROM {t}"
-_NB = "CASE WHEN most > least THEN CAST(greatest(1, ceil((most - least) / CASE WHEN iqr > 0 THEN least((most - least) / (log2(n) + 1), 2 * iqr * pow(n, -1.0 / 3)) ELSE (most - least) / (log2(n) + 1) END)) AS INTEGER) ELSE 1 END".replace("least((most", "LEAST((most")
+_NB = "CASE WHEN most > least THEN CAST(greatest(1, ceil((most - least) / CASE WHEN iqr > 0 THEN least((most - least) / (log2(n) + 1), 2 * iqr * pow(n, -1.0 / 3)) ELSE (most - least) / (log2(n) + 1) END)) AS INTEGER) ELSE 1 END"
 _EDGES = lambda c, t: f"SELECT n, least, most, {_NB} AS bins FROM ({_BINS(c, t)})"
 _CUT = lambda c, e: f"CAST(CASE WHEN {e}.most > {e}.least THEN LEAST(greatest(ceil(({c} - {e}.least) / (({e}.most - {e}.least) / {e}.bins)) - 1, 0), {e}.bins - 1) ELSE 0 END AS INTEGER)"
 
@@ -267,7 +267,6 @@ def sample_bins(spark, d):
     return T.cut(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "bin").select("o_orderkey", "bin")
 
 
-_CUST = "(SELECT c_custkey, c_acctbal, c_nationkey FROM customer)"
 _STRATA = f"a AS ({_EDGES('c_acctbal', 'customer')}), b AS ({_EDGES('c_nationkey', 'customer')}), s AS (SELECT c_custkey, {_CUT('c_acctbal', 'a')} || '_' || {_CUT('c_nationkey', 'b')} AS strata FROM customer, a, b)"
 
 

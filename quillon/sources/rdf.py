@@ -6,7 +6,6 @@ Files are read by Spark's binary reader, so any store Spark knows will do, and p
 from __future__ import annotations
 
 import re
-import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -206,8 +205,6 @@ def parse_rdf_xml(data: bytes, graph: str = "g") -> Iterator[Triple]:
                 out.append((s, p, head))
             elif kind == "Resource":
                 t = fresh()
-                inner = ET.Element(q("Description"), {q("nodeID"): "_"})
-                inner.extend(list(c))
                 for x in c:
                     holder = ET.Element(q("Description"))
                     holder.append(x)
@@ -358,6 +355,3 @@ def to_turtle(triples: DataFrame, by: str = "graph_id") -> DataFrame:
     line = F.concat(term(F.col("s"), F.col("s_kind"), none, none), F.lit(" <"), F.col("p"), F.lit("> "), term(F.col("o"), F.col("o_kind"), F.col("o_datatype"), F.col("o_lang")), F.lit(" ."))
     return triples.where("_error is null").groupBy(by).agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("turtle"))
 
-
-def new_graph_name() -> str:
-    return uuid.uuid4().hex
