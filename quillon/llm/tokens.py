@@ -24,8 +24,11 @@ from quillon.llm.common import held, schema, slices, table
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks are cut where the low MASK_BITS bits of the rolling hash are zero: 2**MASK_BITS bytes on average.
 MASK_BITS, WINDOW, MAX_CHUNK = 9, 32, 8192
-#: Entries of the two caches of a Python worker; beyond that the oldest chunks, or all units, go.
-CHUNKS, UNITS = 20_000, 300_000
+#: Entries of the caches of a Python worker: chunks, of which the longest unused go, and words and units, held in two
+#: generations of WORDS each, of which the older goes.  They take about 100 MB.
+CHUNKS, WORDS = 8_000, 80_000
+#: Entries of the counter's caches (a number for each word and unit).
+UNITS = 300_000
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -68,7 +71,7 @@ def cut_points(raw: np.ndarray) -> np.ndarray:
 class ChunkEncoder:
     """Encodes texts as the tokenizers library does, each distinct chunk once while it stays in the cache."""
 
-    def __init__(self, path: str, chunks: int = CHUNKS, units: int = UNITS):
+    def __init__(self, path: str, chunks: int = CHUNKS, units: int = WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,6 +81,8 @@ class ChunkEncoder:
         self.chunks: OrderedDict[bytes, tuple] = OrderedDict()
         self.units: dict[bytes, tuple[str, int, str]] = {}
         self.words: dict[str, tuple[str, int, str]] = {}
+        self.old_units: dict[bytes, tuple[str, int, str]] = {}
+        self.old_words: dict[str, tuple[str, int, str]] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         # Texts of printable ASCII (without the first byte of a special string) and precomposed Latin letters are split
@@ -98,10 +103,22 @@ class ChunkEncoder:
                 got.append((" ".join(map(str, ids)), len(ids), " ".join([self.tokens[i] for i in ids])))
         return got
 
+    def _fill(self, wanted: set, known: dict, older: dict) -> None:
+        """Puts what is wanted into ``known``: from the older generation, or else by the tokenizer."""
+        new = []
+        for w in wanted:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        known.update(zip(new, self._whole([w.decode() if isinstance(w, bytes) else w for w in new]), strict=True))
+
     def learn(self, parts: set[bytes]) -> None:
         """Learns the words of these runs of units (in plain Latin script), or else their units."""
         if len(self.units) + len(self.words) > self.most_units:
-            self.units, self.words, self.split = {}, {}, {}
+            self.old_units, self.old_words = self.units, self.words
+            self.units, self.words = {}, {}
         words, units = set(), set()
         for p in parts:
             text = p.decode()
@@ -111,10 +128,8 @@ class ChunkEncoder:
             else:
                 self.split[p] = None
                 units.update(p.split())
-        new = [w for w in words if w not in self.words]
-        self.words.update(zip(new, self._whole(new), strict=True))
-        new = [u for u in units if u not in self.units]
-        self.units.update(zip(new, self._whole([u.decode() for u in new]), strict=True))
+        self._fill(words, self.words, self.old_words)
+        self._fill(units, self.units, self.old_units)
 
     def _render(self, part: bytes) -> tuple[str, int, str]:
         words = self.split[part]
