@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_sample, byte_view, id_crc, schema, slices, table
+from quillon.llm.common import bounded_sample, byte_view, give_back, id_crc, schema, slices, table
 
 #: Labelled rows that the filters are fitted on (a bounded, hash-chosen sample; prediction covers every text).
 SAMPLE_ROWS = 6000
@@ -77,6 +77,13 @@ def _cells_of(codes: np.ndarray) -> list[np.ndarray]:
     return [((wide * m) >> shift).astype(np.int64) for m in _MULTIPLIERS[:HASHES]]
 
 
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of the texts and how often each occurs, counted some texts at a time to spare the driver's memory."""
+    parts = [np.unique(grams(*byte_view(pa.array(texts[k : k + 200], pa.string())))[0], return_counts=True) for k in range(0, len(texts), 200)]
+    code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return code, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
 def fit(texts: list[str | None], languages: list[str]) -> Model:
     order, counts = np.unique(languages, return_counts=True) if languages else (np.zeros(0, str), np.zeros(0, int))
     order = [str(order[i]) for i in np.lexsort((order, -counts))]
@@ -86,8 +93,7 @@ def fit(texts: list[str | None], languages: list[str]) -> Model:
     cells = np.zeros(SLOTS, kind)
     seen, labels = [], np.array(languages)
     for name in order:
-        own = pa.array([t for t, x in zip(texts, labels, strict=True) if x == name], pa.string())
-        code, n = np.unique(grams(*byte_view(own))[0], return_counts=True)
+        code, n = _counted([t or "" for t, x in zip(texts, labels, strict=True) if x == name])
         seen.append((code, n, n / max(1, n.sum())))
     if seen:
         every = np.unique(np.concatenate([c for c, _, _ in seen]))
@@ -133,7 +139,10 @@ def fit_from(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fits on at most 1.25 * ``rows`` rows with a language, of those whose crc32(doc_id) mod 3 is not 1."""
     taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(id_crc(), F.lit(3)) != 1))
     got = bounded_sample(taught.select("doc_id", "text", "lang"), "doc_id", rows).toArrow()
-    return fit(got.column("text").to_pylist(), [str(x) for x in got.column("lang").to_pylist()])
+    model = fit(got.column("text").to_pylist(), [str(x) for x in got.column("lang").to_pylist()])
+    del got
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
