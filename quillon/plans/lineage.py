@@ -1,4 +1,4 @@
-"""Cutting lineage in iterative plans."""
+"""Cutting lineage in iterative plans, in a folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -7,25 +7,63 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of settled tables by application, swept when the driver's Python ends.
+_ROOTS: dict[str, tuple] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set and the session is local."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     if spark.sparkContext.getCheckpointDir():
         return spark.sparkContext.getCheckpointDir().rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="quillon-")
     atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return f"file://{own}"
 
 
+def _delete(jvm, conf, at: str) -> None:
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(conf).delete(path, True)
+
+
+def _sweep() -> None:
+    for at, (jvm, conf) in _ROOTS.items():
+        try:
+            _delete(jvm, conf, at)
+        except (Py4JError, OSError):  # the JVM is gone already; the folder stays for whoever owns it
+            return
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Writes the rows as Parquet to the shared folder and reads them again: iterative plans stay short."""
+    """Writes the rows as Parquet to the shared folder and reads them again.
+
+    Iterative plans stay short, and a lost executor costs no recomputation.  ``release`` deletes the rows once nothing
+    reads them; what is left goes when the driver ends.
+    """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/settled/{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    root = f"{shared_dir(spark)}/settled/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        if not _ROOTS:
+            atexit.register(_sweep)
+        _ROOTS[root] = (spark._jvm, spark._jsc.hadoopConfiguration())
+    at = f"{root}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._settled_at = at
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes settled tables; only for tables that no plan still to run reads."""
+    for t in tables:
+        at = t.__dict__.get("_settled_at")
+        if at:
+            _delete(t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration(), at)
