@@ -5,10 +5,6 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.plans.lineage import release, settle, shared_dir
+from quillon.plans.skew import hot_keys, salted_join
+
+__all__ = ["release", "settle", "shared_dir"]
+
 #: Bytes of text that one step of a Python operator holds at a time.
 SLICE_BYTES = 1 << 20
 
@@ -25,28 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    set_already = spark.sparkContext.getCheckpointDir()
-    if set_already:
-        return set_already.rsplit("/", 1)[0]
-    own = tempfile.mkdtemp(prefix="quillon-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes to the shared folder and reads again, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/settled/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 _HELD: dict[tuple, object] = {}
 
 
@@ -165,20 +144,34 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> It
     give_back()
 
 
-def id_filter(ids: DataFrame, docs: DataFrame, id_column: str, key: str, bits: int = 1 << 22) -> DataFrame:
-    """The rows of ``docs`` whose key may be among the ids: a fixed-size bitmap of hashed ids, broadcast.
+def maybe_among(rows: DataFrame, key: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """The rows and ``_maybe``: false only where the key is surely not among the ids.
 
-    No id among them is lost; some others pass.  It spares a shuffle of the texts before an exact join.
+    A broadcast bitmap of hashed ids, 16 bits for each id (``ids`` is settled, so counting costs little), from 512 KB
+    to 64 MB whatever their number.  It spares texts a shuffle before an exact join; beyond 33 million ids more rows
+    than needed pass, and the exact join still decides.
     """
+    bits = 1 << min(29, max(22, (16 * ids.count()).bit_length()))
+
     def hashed(c):
         return F.pmod(F.xxhash64(c), F.lit(bits))
 
-    maps = ids.select(hashed(F.col(id_column)).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("_b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("_m"))
-    place = F.expr("bitmap_bit_position(_h)")
+    maps = ids.where(F.col(id_column).isNotNull()).select(hashed(F.col(id_column).cast("bigint")).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("_b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("_m"))
+    names = rows.columns
     byte = F.conv(F.hex(F.expr("substring(_m, cast(bitmap_bit_position(_h) div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    rows = docs.withColumn("_h", hashed(F.col(key).cast("bigint"))).withColumn("_b", F.expr("bitmap_bucket_number(_h)"))
-    rows = rows.join(F.broadcast(maps), "_b").where(F.expr("1") == F.call_function("getbit", byte, (place % 8).cast("int")).cast("int"))
-    return rows.drop("_b", "_h", "_m")
+    rows = rows.withColumn("_h", hashed(F.col(key).cast("bigint"))).withColumn("_b", F.expr("bitmap_bucket_number(_h)"))
+    hit = F.call_function("getbit", byte, (F.expr("bitmap_bit_position(_h)") % 8).cast("int")).cast("int") == 1
+    return rows.join(F.broadcast(maps), "_b", "left").select(*[F.col(f"`{c}`") for c in names], F.coalesce(hit & F.col(key).isNotNull(), F.lit(False)).alias("_maybe"))
+
+
+def without_ids(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is not in ``gone`` (a settled table of one column ``key``); null keys stay.
+
+    Rows that the bitmap clears never move; only the others meet the exact anti-join.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    flagged = maybe_among(docs, key, gone, key)
+    return flagged.where("not _maybe").select(*names).union(flagged.where("_maybe").join(gone, [key], "left_anti").select(*names))
 
 
 def schema(ddl: str) -> T.StructType:
@@ -188,25 +181,37 @@ def schema(ddl: str) -> T.StructType:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) for every id of the undirected edges (a, b): the smallest id that it reaches.
 
-    Alternates large-star and small-star steps; each round is two aggregations over edge rows, settled in the shared
-    folder, until the edge set stops changing.  Hub vertices hold no list: minima are map-side combined.
+    Alternates large-star and small-star steps on settled tables until the edge set stops changing.  Hub vertices hold
+    no list: their minima are combined map-side, and their edges meet the minimum in several parts.
     """
+
+    def minima(rows: DataFrame, least) -> DataFrame:
+        return settle(rows.groupBy("a").agg(least.alias("m"), F.count("*").alias("n")))
+
+    def to_least(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+        return salted_join(rows, low.select("a", "m"), ["a"], "b", hot_keys(low, ["a"], "n", total))
+
+    def mark(rows: DataFrame):
+        return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
     edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
+    now = mark(edges)
     for _ in range(rounds):
+        if not now["n"]:
+            break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        edges = settle(small.where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        low = minima(both, F.least(F.min("b"), F.col("a")))
+        large = to_least(both.where("b > a"), low, 2 * now["n"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = settle(large.where("a <> b").distinct())
+        least = minima(large, F.min("b"))
+        small = to_least(large, least, 2 * now["n"])
+        new = settle(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        release(edges, low, large, least)
+        edges, before = new, now
+        now = mark(edges)
         if now == before:
             break
-        before = now
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
-    return roots.union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct().join(roots, "id", "left_anti"))
+    # Settled edges are (id, root), one for each id that is no root.
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

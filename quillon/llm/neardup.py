@@ -4,11 +4,13 @@ Each text's set of word shingles gives 200 minima.  Bands of five minima make ca
 the low four bits are kept, packed, and the share of equal groups, corrected for chance collisions, estimates the
 similarity of a candidate pair.  Pairs near or over the threshold are confirmed on the full shingle sets.
 
-Equal sets are one class before any pair is made.  Then every bucket member is paired with the bucket's smallest id
-alone.  Only buckets whose members still lie in several components go on: signatures find the members that have a
-close partner in another component, and those are compared on their full sets inside the task, block by block and
-only while their components are apart.  So the search is exhaustive over the buckets, and no group is ever written as
-all its pairs.
+Equal sets are one class before any pair is made, whatever ids their rows have.  Then every bucket member is paired
+with the bucket's first class alone.  Only buckets whose other members still lie in several components go on, split by
+set size (sets of too different sizes cannot be similar) and dealt into blocks bounded in rows and bytes: signatures
+find the members that have a close partner in another component, and those are compared on their full sets inside the
+task, only while their components are apart.  So the search is exhaustive over the buckets, and no group is ever
+written as all its pairs.  The work in one bucket still grows with the square of the members of about one size that
+share it without being linked to its first class.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import byte_view, components, id_filter, schema, settle, slices, table, whole_groups
+from quillon.llm.common import byte_view, components, maybe_among, release, schema, settle, slices, table, whole_groups, without_ids
+from quillon.plans.skew import hot_keys, salted_join
 
 WORDS, SIMILARITY = 5, 0.75
 #: 1 - (1 - 0.75**5)**40 > 0.9999: the chance that a pair at the threshold meets in a band.
@@ -28,8 +31,8 @@ ROWS, BANDS, BITS = 5, 40, 4
 MINIMA = ROWS * BANDS
 #: Pairs estimated this far below the threshold are not confirmed: 4.5 standard errors of the estimate.
 SLACK = 4.5 * (0.75 * 0.25 / MINIMA) ** 0.5 / (1 - 2**-BITS)
-#: Members of a bucket that one task compares with each other or with another such block.
-BLOCK = 1024
+#: Members of a bucket, and bytes of their sets, that one task compares with each other or with another such block.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Groups up to this size are compared many at a time.
 SMALL = 32
 _random = np.random.default_rng(811)
@@ -144,7 +147,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                     own = np.sort(values[x:z])
                     own = own[np.concatenate([[True], own[1:] != own[:-1]])]
                     n[i] = len(own)
-                    s1[i], s2[i] = _signed(np.array([own.sum(), _mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum()]))
+                    s1[i], s2[i] = _digest(own)
             minima = sketch(values, at)
             packed = pack_bits(minima)
             keys = np.empty((len(minima), BANDS), np.uint64)
@@ -164,35 +167,46 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.mapInArrow(run, schema("id bigint, n bigint, s1 bigint, s2 bigint, sig binary, bands binary"))
 
 
+def _digest(own: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of a set of distinct shingle hashes, in any order."""
+    return _signed(np.array([own.sum(), _mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum()]))
+
+
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id and the distinct shingle hashes of every row with words."""
+    """id, s1, s2 and the distinct shingle hashes of every row with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             values, at = shingles(*byte_view(b.column(1)))
-            own = [np.unique(values[x:z]).view(np.int64) for x, z in zip(at[:-1], at[1:], strict=True)]
-            yield pa.record_batch([b.column(0), pa.array(own, pa.list_(pa.int64()))], names=["id", "set"])
+            own = [np.unique(values[x:z]) for x, z in zip(at[:-1], at[1:], strict=True)]
+            marks = np.array([_digest(x) for x in own], np.int64).reshape(-1, 2)
+            yield pa.record_batch([b.column(0), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["id", "s1", "s2", "set"])
 
     rows = docs.select(docs[key].cast("bigint").alias("id"), docs[text].cast("string").alias("text"))
-    return rows.mapInArrow(run, schema("id bigint, set array<bigint>"))
+    return rows.mapInArrow(run, schema("id bigint, s1 bigint, s2 bigint, set array<bigint>"))
 
 
 def _member_rows(reps: DataFrame) -> DataFrame:
-    """(bucket, band, id): one row for each band of each class."""
+    """(bucket, band, c): one row for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-                yield pa.record_batch([pa.array(keys), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bucket", "band", "id"])
+                yield pa.record_batch([pa.array(keys), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bucket", "band", "c"])
+
+    return reps.select("c", "bands").mapInArrow(run, schema("bucket bigint, band int, c bigint"))
+
 
-    return reps.select("id", "bands").mapInArrow(run, schema("bucket bigint, band int, id bigint"))
+def _hot_firsts(pairs: DataFrame) -> DataFrame:
+    """The classes that stand first in so many pairs that their joins must be dealt over tasks."""
+    return hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"], "n", pairs.count())
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, cut: float) -> DataFrame:
     """The pairs (a, b) whose signatures estimate a similarity of at least ``cut``."""
-    sig = reps.select(F.col("id").alias("a"), F.col("sig").alias("x"))
-    both = pairs.join(sig, "a").join(sig.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").select("a", "b", "x", "y")
+    sig = reps.select(F.col("c").alias("a"), F.col("sig").alias("x"))
+    both = salted_join(pairs, sig, ["a"], "b", _hot_firsts(pairs)).join(sig.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,30 +217,39 @@ def _likely(pairs: DataFrame, reps: DataFrame, cut: float) -> DataFrame:
     return both.mapInArrow(run, schema("a bigint, b bigint"))
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, set) of the ids (column id); a bitmap of the ids keeps other texts out of the exact join's shuffle."""
-    chosen = id_filter(ids, docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null"), "id", "id")
-    return shingle_sets(chosen, "id", "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
+def _sets_of(classes: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(c, set) of the classes (a settled column c), read from a row of each class's smallest id.
+
+    A bitmap of those ids keeps other texts out; rows that repeat a text under one id are combined map-side.
+    """
+    wanted = settle(reps.join(classes, "c", "left_semi").select("c", F.col("low").alias("id"), "s1", "s2"))
+    rows = maybe_among(docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null"), "id", wanted, "id")
+    sets = shingle_sets(rows.where("_maybe"), "id", "text").dropDuplicates(["id", "s1", "s2"])
+    return sets.join(wanted, ["id", "s1", "s2"]).select("c", "set")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     """The pairs whose full shingle sets have the similarity, compared in whole percent without rounding."""
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = _sets_of(ids, docs, key, text)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    classes = settle(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+    sets = settle(_sets_of(classes, reps, docs, key, text))
+    both = salted_join(pairs, sets.select(F.col("c").alias("a"), F.col("set").alias("x")), ["a"], "b", _hot_firsts(pairs))
+    both = both.join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= round(100 * similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def _close_pairs(held: pa.Table, group: np.ndarray, cut: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs, within groups, of different components that are estimated close and meet here first."""
+    """Row numbers of the pairs, within groups, of different components that are estimated close and meet here first.
+
+    Two sets that are both below their group's size class (no ``top``) meet in the class below.
+    """
     sig = np.frombuffer(b"".join(held.column("sig").to_pylist()), np.uint64).reshape(held.num_rows, -1)
-    root, own, i, j, band = (held.column(c).to_numpy() for c in ("root", "own", "i", "j", "band"))
+    root, own, i, j, band, top = (held.column(c).to_numpy(zero_copy_only=False) for c in ("root", "own", "i", "j", "band", "top"))
     size, mixed = np.diff(group), (i != j)[group[:-1]]
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def keep(p: np.ndarray, q: np.ndarray) -> None:
-        ok = root[p] != root[q]
+        ok = (root[p] != root[q]) & (top[p] | top[q])
         if ok.any():
             p, q = p[ok], q[ok]
             near = estimate(sig[p], sig[q]) >= cut
@@ -257,7 +280,24 @@ def _close_pairs(held: pa.Table, group: np.ndarray, cut: float) -> tuple[np.ndar
 
 
 _GROUP = ("bucket", "i", "j")
-_BLOCK_ROW = "bucket bigint, i int, j int, own int, band int, id bigint, root bigint"
+_BLOCK_ROW = "bucket bigint, i int, j int, own int, band int, top boolean, c bigint, root bigint"
+
+
+def _blocks(placed: DataFrame, similarity: float) -> DataFrame:
+    """Rows of _BLOCK_ROW from (bucket, band, c, root, n): members under their size class and the next, dealt into blocks.
+
+    Sets of n and m shingles with n / m below the similarity cannot be similar; others lie in one size class or in two
+    neighbouring ones.
+    """
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.005 / similarity))).cast("int")
+    rows = placed.withColumn("_at", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.xxhash64("bucket", level + F.col("_at")).alias("bucket"), "band", (F.col("_at") == 0).alias("top"), "c", "root", "n")
+    rows = settle(rows)
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("s"), F.min("root").alias("r"), F.max("root").alias("z"), F.max("top").alias("t")).where("r <> z and t")
+    sizes = settle(sizes.select("bucket", "k", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("s") * 8 / BLOCK_BYTES)).cast("int").alias("m")))
+    total = sizes.agg(F.sum("k")).first()[0] or 0
+    rows = salted_join(rows, sizes.select("bucket", "m"), ["bucket"], "c", hot_keys(sizes, ["bucket"], "k", total))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("c"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "top", "c", "root")
 
 
 def _close_members(rows: DataFrame, cut: float) -> DataFrame:
@@ -269,7 +309,7 @@ def _close_members(rows: DataFrame, cut: float) -> DataFrame:
             if len(p):
                 yield from held.select([f.split()[0] for f in _BLOCK_ROW.split(", ")]).take(pa.array(np.unique(np.concatenate([p, q])))).to_batches()
 
-    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "id").mapInArrow(run, schema(_BLOCK_ROW))
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "c").mapInArrow(run, schema(_BLOCK_ROW))
 
 
 def _links_within(rows: DataFrame, cut: float, similarity: float) -> DataFrame:
@@ -282,7 +322,7 @@ def _links_within(rows: DataFrame, cut: float, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, group in whole_groups(batches, _GROUP):
             p, q = _close_pairs(held, group, cut)
-            ids, root = held.column("id").to_numpy(), held.column("root").to_numpy()
+            ids, root = held.column("c").to_numpy(), held.column("root").to_numpy()
             sets = held.column("set")
             own: dict[int, np.ndarray] = {}
             parent: dict[int, int] = {}
@@ -306,50 +346,61 @@ def _links_within(rows: DataFrame, cut: float, similarity: float) -> DataFrame:
             if links:
                 yield pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "id").mapInArrow(run, schema("a bigint, b bigint"))
-
-
-def _roots(links: DataFrame, ids: DataFrame) -> DataFrame:
-    return ids.join(components(links), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "c").mapInArrow(run, schema("a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """key, n_shingles, component_id and kept of every row.
 
     A null text or one without words has an empty set and stands alone.  Equal sets are linked always.  component_id
-    is the smallest id reachable by links; rows that repeat an id share what any of them reaches.  Further columns
-    are ignored; an empty table gives no rows.  Ids must be integers and not null.
+    is the smallest id reachable by links; rows that repeat an id, with equal or different texts, share what any of
+    them reaches.  A row with a null id links with nothing, has a null component_id and is kept.  Further columns are
+    ignored, whatever their names; an empty table gives no rows.  Ids must be integers.
     """
     all_rows = settle(signatures(docs, key, text))
-    full = all_rows.where("n > 0")
-    reps = settle(full.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "sig", "bands")).alias("r")).select("s1", "s2", "n", "r.*"))
-    members = settle(_member_rows(reps))
-    shared = settle(members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"))
-    members = settle(members.join(shared, "bucket"))
+    full = all_rows.where("n > 0 and id is not null")
+    reps = full.groupBy("s1", "s2", "n").agg(F.min("id").alias("low"), F.count("*").alias("w"), F.min(F.struct("sig", "bands")).alias("r"))
+    reps = settle(reps.select(F.monotonically_increasing_id().alias("c"), "s1", "s2", "n", "low", "w", "r.*"))
+    found = settle(_member_rows(reps))
+    shared = settle(found.groupBy("bucket").agg(F.min("c").alias("leader"), F.count("*").alias("k")).where("k > 1"))
+    total = shared.agg(F.sum("k")).first()[0] or 0
+    members = settle(salted_join(found, shared, ["bucket"], "c", hot_keys(shared, ["bucket"], "k", total)).where("c <> leader"))
+    release(found, shared)
     cut = similarity - SLACK
-    pairs = settle(_likely(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), reps, cut))
-    links = settle(_confirm(pairs, docs, key, text, similarity))
-    placed = members.join(settle(_roots(links, members.select("id").distinct())), "id")
-    split = placed.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket")
-    placed = placed.join(split, "bucket", "left_semi").withColumn("m", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    blocks = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id", "root")
-    marks = reps.select("id", "sig", "bands")
-    close = settle(_close_members(blocks.join(marks, "id"), cut))
-    sets = _sets_of(settle(close.select("id").distinct()), docs, key, text)
-    links = settle(links.union(_links_within(close.join(marks, "id").join(sets, "id"), cut, similarity)))
-    # Links join the classes; members of a class join through its smallest id; rows of one id join through the id.
-    equal = full.join(reps.select("s1", "s2", "n", F.col("id").alias("rep")), ["s1", "s2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    pairs = settle(members.select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct())
+    pairs = settle(_likely(pairs, reps, cut))
+    links = settle(_confirm(pairs, reps, docs, key, text, similarity))
+    # All pairs with a bucket's leader are settled; what is left lies between its other members.
+    rest = members.where("k > 2").select("bucket", "band", "c")
+    placed = rest.join(components(links).withColumnRenamed("id", "c"), "c", "left").select("bucket", "band", "c", F.coalesce("root", "c").alias("root"))
+    placed = settle(placed)
+    split = settle(placed.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("z"), F.count("*").alias("k")).where("r <> z"))
+    total = split.agg(F.sum("k")).first()[0] or 0
+    if total:
+        placed = salted_join(placed, split.select("bucket"), ["bucket"], "c", hot_keys(split, ["bucket"], "k", total))
+        marks = reps.select("c", "sig", "bands")
+        blocks = settle(_blocks(placed.join(reps.select("c", "n"), "c"), similarity))
+        close = settle(_close_members(blocks.join(marks, "c"), cut))
+        sets = _sets_of(settle(close.select("c").distinct()), reps, docs, key, text)
+        links = links.union(_links_within(close.join(marks, "c").join(sets, "c"), cut, similarity))
+    # Links join the classes by their smallest ids; members of a class join through its smallest id, rows of one id
+    # through the id.
+    low = reps.select("c", "low")
+    links = links.join(low.withColumnsRenamed({"c": "a", "low": "x"}), "a").join(low.withColumnsRenamed({"c": "b", "low": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    hot = hot_keys(reps, ["s1", "s2", "n"], "w", full.count())
+    equal = salted_join(full.select("id", "s1", "s2", "n"), reps.select("s1", "s2", "n", "low"), ["s1", "s2", "n"], "id", hot).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
     roots = components(links.union(equal))
-    out = all_rows.select("id", F.col("n").alias("n_shingles")).join(roots, "id", "left")
-    root = F.coalesce("root", "id")
-    return out.select(F.col("id").alias(key), "n_shingles", root.alias("component_id"), (F.col("id") == root).alias("kept"))
+    known = all_rows.where("id is not null").select("id", F.col("n").alias("n_shingles")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    out = known.union(all_rows.where("id is null").select("id", "n", F.lit(None).cast("bigint")))
+    return out.select(F.col("id").alias(key), "n_shingles", F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their group, columns as they were; ids that repeat keep their rows."""
-    gone = near_duplicates(docs, key, text).where("not kept").select(key).distinct()
-    return docs.join(gone, [key], "left_anti").select(docs.columns)
+    """The rows of ``docs`` that stand for their group, columns as they were.
+
+    Ids that repeat keep all their rows or none; rows with a null id stay.
+    """
+    return without_ids(docs, key, settle(near_duplicates(docs, key, text).where("not kept").select(key).distinct()))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

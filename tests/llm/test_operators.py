@@ -35,7 +35,7 @@ CLASH = {"id": 1, "size": 2, "_key": 3, "n": 4, "label2": 5, "bucket": 6, "score
 def documents(spark, texts=None, ids=None):
     texts = ODD if texts is None else texts
     ids = list(range(len(texts))) if ids is None else ids
-    df = spark.createDataFrame([(i, t, "en" if i % 2 else None, "src0", len(t or "")) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string, source string, n_chars long")
+    df = spark.createDataFrame([(i, t, "en" if (i or 0) % 2 else None, "src0", len(t or "")) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string, source string, n_chars long")
     return df.withColumns({k: F.lit(v) for k, v in CLASH.items()})
 
 
@@ -279,6 +279,49 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     assert by_id(N.near_duplicates(documents(spark, texts)), "n_shingles", "component_id", "kept") == brute_groups(texts)
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_near_duplicates_of_repeated_ids(spark, seed):
+    rng = random.Random(seed)
+    texts = near_texts()[:150]
+    ids = [rng.randrange(60) for _ in texts]
+    a, b = [" ".join(rng.choice("pqrs") * 3 + str(rng.randrange(999)) for _ in range(60)) for _ in range(2)]
+    texts += [a, b, b + " more", a + " more"]
+    ids += [1005, 1005, 1003, 1004]
+    order = [*range(len(texts))]
+    rng.shuffle(order)
+    rows = N.near_duplicates(documents(spark, [texts[k] for k in order], [ids[k] for k in order])).collect()
+    alone = brute_groups(texts)  # by row; then rows of one id join
+    root = {i: i for i in ids}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for k, (_, r, _) in alone.items():
+        u, v = sorted((find(ids[k]), find(ids[r])))
+        root[v] = u
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows) == sorted((i, alone[k][0], find(i), find(i) == i) for k, i in enumerate(ids))
+    assert {r["component_id"] for r in rows if r["doc_id"] > 1000} == {1003}
+
+
+def test_near_duplicates_with_a_hub(spark, monkeypatch):
+    """A hot first class, hot text and null ids, with every key of more than four rows dealt over parts."""
+    monkeypatch.setattr("quillon.plans.skew.LEAST_HOT", 4)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(80)]
+    texts = [" ".join(base)] * 40
+    for _ in range(60):
+        t = [*base]
+        t[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    texts += [" ".join(f"z{rng.randrange(10**6)}" for _ in range(40)) for _ in range(30)] + ["long " * 60_000]
+    assert by_id(N.near_duplicates(documents(spark, texts)), "n_shingles", "component_id", "kept") == brute_groups(texts)
+    nulls = documents(spark, [texts[0], texts[0], None, texts[0]], [None, None, None, 4])
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in N.near_duplicates(nulls).collect())
+    assert got == [(0, 0, True)] * 3 + [(4, 4, True)] and N.keep_first(nulls).count() == 4
+
+
 def test_near_duplicate_edges(spark):
     assert N.near_duplicates(documents(spark, [])).count() == 0
     rows = N.near_duplicates(documents(spark, ["a b c d e f", "a b c d e f", None], [5, 5, 7])).collect()
