@@ -32,7 +32,7 @@ MINIMA = ROWS * BANDS
 #: Pairs estimated this far below the threshold are not confirmed: 4.5 standard errors of the estimate.
 SLACK = 4.5 * (0.75 * 0.25 / MINIMA) ** 0.5 / (1 - 2**-BITS)
 #: Members of a bucket, and bytes of their sets, that one task compares with each other or with another such block.
-BLOCK, BLOCK_BYTES = 512, 8 << 20
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 #: Groups up to this size are compared many at a time.
 SMALL = 32
 _random = np.random.default_rng(811)
@@ -280,24 +280,29 @@ def _close_pairs(held: pa.Table, group: np.ndarray, cut: float) -> tuple[np.ndar
 
 
 _GROUP = ("bucket", "i", "j")
-_BLOCK_ROW = "bucket bigint, i int, j int, own int, band int, top boolean, c bigint, root bigint"
+_BLOCK_ROW = "bucket bigint, i int, j int, own int, band int, top boolean, c bigint, root bigint, n bigint"
 
 
-def _blocks(placed: DataFrame, similarity: float) -> DataFrame:
-    """Rows of _BLOCK_ROW from (bucket, band, c, root, n): members under their size class and the next, dealt into blocks.
+def _levels(placed: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, band, c, root, n) under their size class and the next one: bucket is then the class's, top marks the former.
 
     Sets of n and m shingles with n / m below the similarity cannot be similar; others lie in one size class or in two
     neighbouring ones.
     """
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.005 / similarity))).cast("int")
-    rows = placed.withColumn("_at", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.xxhash64("bucket", level + F.col("_at")).alias("bucket"), "band", (F.col("_at") == 0).alias("top"), "c", "root", "n")
-    rows = settle(rows)
+    rows = placed.withColumn("_at", F.explode(F.array(F.lit(0), F.lit(1))))
+    return rows.select(F.xxhash64("bucket", level + F.col("_at")).alias("bucket"), "band", (F.col("_at") == 0).alias("top"), "c", "root", "n")
+
+
+def _dealt(rows: DataFrame, sets: bool) -> DataFrame:
+    """Rows of _BLOCK_ROW: the members of buckets that hold several components, in blocks bounded in rows (and in bytes of sets)."""
+    blocks = F.greatest(F.col("k") / BLOCK, F.col("s") * 8 / BLOCK_BYTES) if sets else F.col("k") / BLOCK
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("s"), F.min("root").alias("r"), F.max("root").alias("z"), F.max("top").alias("t")).where("r <> z and t")
-    sizes = settle(sizes.select("bucket", "k", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("s") * 8 / BLOCK_BYTES)).cast("int").alias("m")))
+    sizes = settle(sizes.select("bucket", "k", F.ceil(blocks).cast("int").alias("m")))
     total = sizes.agg(F.sum("k")).first()[0] or 0
     rows = salted_join(rows, sizes.select("bucket", "m"), ["bucket"], "c", hot_keys(sizes, ["bucket"], "k", total))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("c"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "top", "c", "root")
+    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "top", "c", "root", "n")
 
 
 def _close_members(rows: DataFrame, cut: float) -> DataFrame:
@@ -379,10 +384,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     if total:
         placed = salted_join(placed, split.select("bucket"), ["bucket"], "c", hot_keys(split, ["bucket"], "k", total))
         marks = reps.select("c", "sig", "bands")
-        blocks = settle(_blocks(placed.join(reps.select("c", "n"), "c"), similarity))
-        close = settle(_close_members(blocks.join(marks, "c"), cut))
+        rows = settle(_levels(placed.join(reps.select("c", "n"), "c"), similarity))
+        close = _close_members(_dealt(rows, sets=False).join(marks, "c"), cut).drop("i", "j", "own").dropDuplicates(["bucket", "c"])
+        close = settle(close)
         sets = _sets_of(settle(close.select("c").distinct()), reps, docs, key, text)
-        links = links.union(_links_within(close.join(marks, "c").join(sets, "c"), cut, similarity))
+        links = links.union(_links_within(_dealt(close, sets=True).join(marks, "c").join(sets, "c"), cut, similarity))
     # Links join the classes by their smallest ids; members of a class join through its smallest id, rows of one id
     # through the id.
     low = reps.select("c", "low")
