@@ -1,98 +1,24 @@
 """License scans by ordered signature rules, with DataFrame functions only (operator 9).
 
-A rule has a label, a priority, a keyword and a regular expression over the text's words (lower case, one blank
-between them).  A text that holds none of the GATE words runs no rule, and a rule runs only where one of its own
-keywords stands as whole words (short names such as "isc" or "mit" alone do not open the gate).  Of the spans
-found, those inside another span go, equal spans go to the higher priority, and a span that overlaps an earlier one of
-higher priority goes.
+The rules (``license_rules``) run over a text's words (lower case, one blank between them).  A text without any GATE
+word runs no rule, and a rule runs only where one of its own keywords stands; every match of a rule holds one of its keywords
+and every keyword a gate word, so neither filter loses a match.  Of the spans found, those inside another span go
+(of equal spans the higher priority stays, then the first label); of those that overlap, the higher priority stays, whichever comes first.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import table
+from quillon.llm.license_rules import BASE, GATE, RULES
 
 #: Bytes that separate words, as a Java character class; letters are lower-cased for A-Z only.
 _BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-# Phrases of the base contract with their labels.
-BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-
-# Per license its label, its name as a regular expression over words, and a keyword every match holds.
-NAMES = (
-    ("mit", r"(?:mit|expat|x11)", "mit|expat|x11"),
-    ("mit-0", r"mit (?:0|no attribution)", "mit"),
-    ("apache-1.1", r"apache (?:software )?(?:license )?(?:version |v)?1 1", "apache"),
-    ("apache-2", r"apache (?:software )?(?:license )?(?:version |v)?2(?: 0)?", "apache"),
-    ("bsd-2-clause", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "bsd"),
-    ("bsd-3-clause", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "bsd"),
-    ("bsd-4-clause", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)", "bsd"),
-    ("bsd-0-clause", r"(?:zero clause bsd|0bsd|bsd zero clause)", "bsd"),
-    ("gpl-1", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?v?1(?: 0)?", "gpl|general public"),
-    ("gpl-2", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?v?2(?: 0)?", "gpl|general public"),
-    ("gpl-3", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?v?3(?: 0)?", "gpl|general public"),
-    ("lgpl-2.0", r"(?:gnu )?(?:library general public license|lgpl)(?: version| v)? ?v?2(?: 0)?", "lgpl|library general"),
-    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?v?2 1", "lgpl|lesser general"),
-    ("lgpl-3", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?v?3(?: 0)?", "lgpl|lesser general"),
-    ("agpl-3", r"(?:gnu )?(?:affero general public license|agpl)(?: version| v)? ?v?3(?: 0)?", "agpl|affero"),
-    ("fdl-1.3", r"(?:gnu )?(?:free documentation license|fdl)(?: version| v)? ?v?1 [23]", "fdl|free documentation"),
-    ("mpl-1.1", r"(?:mozilla public license|mpl)(?: version| v)? ?v?1 1", "mozilla|mpl"),
-    ("mpl-2.0", r"(?:mozilla public license|mpl)(?: version| v)? ?v?2(?: 0)?", "mozilla|mpl"),
-    ("epl-1.0", r"(?:eclipse public license|epl)(?: version| v)? ?v?1(?: 0)?", "eclipse|epl"),
-    ("epl-2.0", r"(?:eclipse public license|epl)(?: version| v)? ?v?2(?: 0)?", "eclipse|epl"),
-    ("cddl-1.0", r"(?:common development and distribution license|cddl)(?: version| v)? ?v?1(?: [01])?", "cddl|common development"),
-    ("eupl-1.2", r"(?:european union public licence|eupl)(?: version| v)? ?v?1 [12]", "eupl|european union public"),
-    ("isc", r"(?:isc|internet systems consortium)", "isc|internet systems"),
-    ("zlib", r"(?:zlib|zlib libpng)", "zlib"),
-    ("unlicense", r"(?:the )?unlicense", "unlicense"),
-    ("wtfpl", r"wtfpl", "wtfpl"),
-    ("artistic-2.0", r"artistic (?:license )?(?:version )?2(?: 0)?", "artistic"),
-    ("boost-1.0", r"(?:boost software license|bsl)(?: version| v)? ?v?1(?: 0)?", "boost|bsl"),
-    ("python-2.0", r"(?:python software foundation license|psf)(?: version)? ?2?", "python software|psf"),
-    ("cc0", r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?", "cc0|cc zero|creative commons"),
-    ("cc-by", r"(?:cc by|creative commons attribution)(?: [1-4] 0)?", "cc by|creative commons"),
-    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] 0)?", "cc by|creative commons"),
-    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] 0)?", "cc by|creative commons"),
-    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] 0)?", "cc by|creative commons"),
-    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] 0)?", "cc by|creative commons"),
-    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] 0)?", "cc by|creative commons"),
-    ("odbl", r"(?:odbl|open database license)(?: v?1 0)?", "odbl|open database"),
-    ("openrail", r"(?:openrail(?: m)?|bigscience rail)", "openrail|bigscience"),
-    ("ofl-1.1", r"(?:sil )?(?:open font license|ofl)(?: version| v)? ?v?1 1", "open font|ofl"),
-)
-
-# How a license is named, from the surest wording to the vaguest; {} takes the name.
-WORDINGS = (
-    (90, 0.98, r"spdx license identifier {}(?: only| or later)?"),
-    (80, 0.95, r"(?:is |are |be )?(?:licensed|distributed|released|published|provided|available)(?: to you)? under (?:the )?(?:terms of )?(?:the )?{}(?: licen[sc]e)?"),
-    (75, 0.95, r"(?:subject to|governed by|in accordance with|pursuant to) (?:the )?(?:terms of )?(?:the )?{}(?: licen[sc]e)?"),
-    (70, 0.9, r"(?:see|read|refer to) (?:the )?{} (?:licen[sc]e )?for (?:more )?details"),
-    (65, 0.9, r"(?:licen[sc]e|licensing) (?:is |type |name )?{}"),
-    (60, 0.85, r"(?:permitted|redistributed?|use[d]?|cop(?:y|ied)) under (?:the )?{}(?: licen[sc]e)?"),
-    (50, 0.8, r"{} licen[sc]e[sd]?"),
-)
-
-# Notices without a license's name: label, priority, weight, keyword, regular expression.
-NOTICES = (
-    ("all-rights-reserved", 40, 0.9, "rights reserved", r"all rights reserved"),
-    ("copyright", 30, 0.6, "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"),
-    ("public-domain", 45, 0.8, "public domain", r"(?:placed|released|dedicated) (?:in|into|to) the public domain"),
-    ("mit", 45, 0.85, "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", 45, 0.8, "permission to use", r"permission to use copy modify and or distribute this software"),
-    ("bsd-3-clause", 45, 0.75, "redistribution and use", r"redistribution and use in source and binary forms"),
-    ("gpl", 35, 0.7, "general public", r"gnu general public licen[sc]e"),
-    ("proprietary", 40, 0.8, "confidential", r"proprietary and confidential"),
-)
-
-
-# A text without any of these (anywhere, lower case) runs no rule; every base phrase holds one.
-GATE = ("licen", "spdx", "copyright", "rights reserved", "public domain", "permission", "redistribution and use", "confidential", "apache", " gpl", "lgpl", "agpl", "mozilla", "cc by", "cc0", "creative commons")
+_SPAN = "array<struct<b:int,ne:int,np:int,label:string,weight:double>>"
 
 
 @dataclass(frozen=True)
@@ -105,12 +31,8 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """All rules, best first: base phrases, every name in every wording, then notices."""
-    found = [Rule(label, 100, 1.0, phrase, phrase) for phrase, label in BASE]
-    for label, name, keys in NAMES:
-        for priority, weight, wording in WORDINGS:
-            found += [Rule(label, priority, weight, key, wording.replace("{}", name)) for key in (keys,)]
-    found += [Rule(label, p, w, key, pattern) for label, p, w, key, pattern in NOTICES]
+    """The base phrases and all rules, higher priorities first."""
+    found = [Rule(label, 100, 1.0, phrase, phrase) for phrase, label in BASE] + [Rule(*r) for r in RULES]
     return sorted(found, key=lambda r: -r.priority)
 
 
@@ -135,32 +57,36 @@ def _spans(words: Column, rule: Column) -> Column:
 
 
 def _resolve(spans: Column) -> Column:
-    """Keeps, in order of start, the spans not inside an earlier or equal one and not beaten by an overlapping one."""
-    kept = "array<struct<label:string,weight:double,b:int,e:int>>"
-    zero = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("np"), F.array().cast(kept).alias("kept"))
+    """The spans that lie in no other one and meet none of higher priority (or, at equal priority, of an earlier start)."""
+
+    def outer(acc: Column, s: Column) -> Column:
+        # In order of start, longest first: a span that ends no later than any before it lies inside one.
+        longer = -s["ne"] > acc["end"]
+        return F.struct(F.greatest(acc["end"], -s["ne"]).alias("end"), F.when(longer, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"))
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = -s["ne"] <= acc["end"]
-        beaten = (s["b"] < acc["end"]) & (s["np"] > acc["np"])
-        add = F.array(F.struct(s["label"].alias("label"), s["weight"].alias("weight"), s["b"].alias("b"), (-s["ne"]).alias("e")))
-        return F.when(inside | beaten, acc).otherwise(F.struct((-s["ne"]).alias("end"), s["np"].alias("np"), F.concat(acc["kept"], add).alias("kept")))
+    def free(acc: Column, s: Column) -> Column:
+        span = F.struct(s["label"].alias("label"), s["weight"].alias("weight"), s["b"].alias("b"), s["e"].alias("e"))
+        return F.when(F.exists(acc, lambda k: (k["b"] < s["e"]) & (s["b"] < k["e"])), acc).otherwise(F.concat(acc, F.array(span)))
 
-    return F.aggregate(F.array_sort(spans), zero, step)["kept"]
+    alone = F.aggregate(F.array_sort(spans), F.struct(F.lit(-1).alias("end"), F.array().cast(_SPAN).alias("kept")), outer)["kept"]
+    ranked = F.array_sort(F.transform(alone, lambda s: F.struct(s["np"].alias("np"), s["b"].alias("b"), (-s["ne"]).alias("e"), s["label"].alias("label"), s["weight"].alias("weight"))))
+    return F.aggregate(ranked, F.array().cast("array<struct<label:string,weight:double,b:int,e:int>>"), free)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, n_words, n_base, first_word, last_word, base_labels, detections (label, weight, characters), labels, score.
 
-    One row per input row, in place, without a shuffle.  Null and empty texts have no words, no labels and score 0;
-    repeated keys give repeated rows; further columns are ignored.  Positions of detections are characters of the
-    text's words joined by single blanks, a blank in front.
+    One row per input row, in place, without a shuffle, whatever the text's length.  Null and empty texts have no words, no
+    labels and score 0; a null key stays null, repeated keys give repeated rows; further columns are ignored, whatever
+    their names; an empty table gives no rows.  labels are those of the base phrases and of the detections, score is the greatest weight
+    (1 with a base phrase).  Positions of detections are characters of the text's words joined by single blanks, a blank in front.
     """
     found = rules()
     table_of = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.array(*[F.lit(k) for k in r.keyword.split("|")]).alias("keys"), F.lit(r.pattern).alias("pattern")) for r in found])
     keys = F.array(*[F.lit(k) for k in sorted({k for r in found for k in r.keyword.split("|")})])
     lower = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = docs.select(docs[key].alias("_key"), F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, _BREAKS, " ")), F.lit(" ")).alias("_w"))
-    gate = reduce(or_, [F.contains("_w", F.lit(g)) for g in GATE])
+    gate = F.exists(F.array(*[F.lit(f" {g}") for g in GATE]), lambda g: F.contains(F.col("_w"), g))
     rows = rows.select("_key", F.when(F.col("_w") == "  ", F.lit(0).cast("bigint")).otherwise(_spaces(F.col("_w")) - 1).alias("_n"), F.when(gate, F.col("_w")).alias("_w"))
     rows = rows.withColumn("_keys", F.when(F.col("_w").isNotNull(), F.filter(keys, lambda k: F.contains(F.col("_w"), F.concat(F.lit(" "), k)))))
     w, starts, counts, labels = F.col("_w"), [], [], []
@@ -173,7 +99,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         counts.append(F.when(F.col("_w").isNotNull(), n).otherwise(0).cast("bigint"))
         starts.append((F.when(n > 0, first), F.when(n > 0, last)))
         labels.append(F.when(n > 0, F.lit(label)))
-    spans = F.when(F.size("_keys") > 0, F.flatten(F.transform(F.filter(table_of, lambda r: F.arrays_overlap(r["keys"], F.col("_keys"))), lambda r: _spans(w, r)))).otherwise(F.array().cast("array<struct<b:int,ne:int,np:int,label:string,weight:double>>"))
+    spans = F.when(F.size("_keys") > 0, F.flatten(F.transform(F.filter(table_of, lambda r: F.arrays_overlap(r["keys"], F.col("_keys"))), lambda r: _spans(w, r)))).otherwise(F.array().cast(_SPAN))
     none = F.array().cast("array<struct<label:string,weight:double,b:int,e:int>>")
     rows = rows.select(
         F.col("_key").alias(key),
