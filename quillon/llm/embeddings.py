@@ -2,29 +2,33 @@
 
 Equal vectors of a label are one class first.  A class is hashed by the nearest signed axis after fast Hadamard
 rotations; several rotations side by side make a table's code, several tables make candidates, and multiprobe adds the
-codes of each rotation's next axes.  Candidates meet in buckets, which are dealt into blocks, and every pair in
-a block is verified by its cosine in double precision.  A pair that meets in several buckets counts in the first one
-only, so link counts are sums, and no pair is ever written: of its links a block returns counts and a spanning forest.
+codes of each rotation's next axes.  Buckets hold ids alone.  Every member of a bucket is verified against the
+bucket's first class, by cosine in double precision; buckets whose other members still lie in several components are
+compared in blocks.  So components of links are known, and as linked vectors share a component, a last pass counts links inside
+components, again in blocks.  A vector travels to its few candidates and to the blocks of its component, not to its
+buckets, and no pair is written but those with a bucket's first class.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, schema, settle, table, whole_groups
+from quillon.llm.common import components, maybe_among, release, schema, settle, table, whole_groups
+from quillon.plans.skew import hot_keys, salted_join
 
 COSINE = 0.93
 #: Tables, rotations side by side in a table's code, and codes that each vector takes in a table.
 TABLES, DEPTH, PROBES = 8, 3, 5
 ROUNDS = 3
-#: Members of a bucket that one task compares with each other or with another such block; groups up to SMALL are
-#: compared many at a time.
-BLOCK, SMALL = 1024, 32
+#: Members of a bucket or component, and bytes of their vectors, that one task compares with each other or with another
+#: such block; groups up to SMALL are compared many at a time.
+BLOCK, BLOCK_BYTES, SMALL = 512, 8 << 20, 32
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -48,16 +52,11 @@ def rotated(x: np.ndarray, table_no: int, step: int) -> np.ndarray:
     return out
 
 
-def codes(x: np.ndarray, tables: int = TABLES) -> np.ndarray:
-    """(rows, tables, PROBES) codes: the first from the nearest axes, the others with second axes in some rotations.
-
-    The rotations whose two largest coordinates are closest change first: none, the closest, the next, both, the third.
-    """
-    n = len(x)
-    out = np.empty((n, tables, PROBES), np.int64)
-    flips = [(), (0,), (1,), (0, 1), (2,), (0, 2), (1, 2)]
+def axes(x: np.ndarray, tables: int = TABLES) -> np.ndarray:
+    """(rows, tables, 3, DEPTH): each rotation's nearest and second signed axis, and the rotations by how close these are."""
+    out = np.empty((len(x), tables, 3, DEPTH), np.uint32)
     for t in range(tables):
-        first, second, gap = (np.empty((n, DEPTH), kind) for kind in (np.int64, np.int64, float))
+        gap = np.empty((len(x), DEPTH))
         for k in range(DEPTH):
             r = rotated(x, t, k)
             size = np.abs(r)
@@ -66,113 +65,120 @@ def codes(x: np.ndarray, tables: int = TABLES) -> np.ndarray:
             swap = big[:, 1] > big[:, 0]
             order[swap] = order[swap][:, ::-1]
             axis = 2 * order + (np.take_along_axis(r, order, 1) < 0)
-            first[:, k], second[:, k], gap[:, k] = axis[:, 0], axis[:, 1], np.abs(big[:, 0] - big[:, 1])
-        width = 2 * size.shape[1]
-        closest = np.argsort(gap, axis=1, kind="stable")
-        for p in range(PROBES):
-            axes = first.copy()
-            for f in flips[p]:
-                at = closest[:, f : f + 1]
-                np.put_along_axis(axes, at, np.take_along_axis(second, at, 1), 1)
-            code = np.zeros(n, np.int64)
-            for k in range(DEPTH):
-                code = code * width + axes[:, k]
-            out[:, t, p] = code
+            out[:, t, 0, k], out[:, t, 1, k], gap[:, k] = axis[:, 0], axis[:, 1], np.abs(big[:, 0] - big[:, 1])
+        out[:, t, 2] = np.argsort(gap, axis=1, kind="stable")
     return out
 
 
-def _valid(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
-    keep, found = [], []
-    for i, v in enumerate(batch.column(1).to_pylist()):
-        if v and None not in v:
-            x = np.array(v, float)
-            if np.isfinite(x).all() and (s := np.abs(x).max()) > 0:
-                y = x / s
-                keep.append(i)
-                found.append(y / np.sqrt(y @ y))
-    return np.array(keep, int), found
+def codes_of(marks: np.ndarray, dim: int) -> np.ndarray:
+    """(rows, tables, PROBES) codes from ``axes``: the first from the nearest axes, the others with second axes in some.
 
+    The rotations whose two largest coordinates are closest change first: none, the closest, the next, both, the third.
+    """
+    flips = [(), (0,), (1,), (0, 1), (2,), (0, 2), (1, 2)]
+    width = 2 * max(2, 1 << (dim - 1).bit_length())
+    out = np.empty((*marks.shape[:2], PROBES), np.int64)
+    for p in range(PROBES):
+        chosen = marks[:, :, 0].astype(np.int64)
+        for f in flips[p]:
+            at = marks[:, :, 2, f : f + 1].astype(np.int64)
+            np.put_along_axis(chosen, at, np.take_along_axis(marks[:, :, 1], at, 2).astype(np.int64), 2)
+        code = np.zeros(marks.shape[:2], np.int64)
+        for k in range(DEPTH):
+            code = code * width + chosen[:, :, k]
+        out[:, :, p] = code
+    return out
 
-def units(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """key, label and unit (the vector scaled to length 1, doubles as bytes) of the rows that can link."""
-    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label")).where("id is not null and v is not null and label is not null")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, found = _valid(b)
-            if len(keep):
-                own = b.take(pa.array(keep))
-                yield pa.record_batch([own.column(0), own.column(2), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "label", "unit"])
+def codes(x: np.ndarray, tables: int = TABLES) -> np.ndarray:
+    return codes_of(axes(x, tables), x.shape[1])
 
-    return rows.mapInArrow(run, schema("id bigint, label string, unit binary"))
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1 in double precision; by the largest component first, so that nothing overflows."""
+    y = x.astype(np.float64)
+    y /= np.abs(y).max(1, keepdims=True)
+    return y / np.sqrt(np.einsum("ij,ij->i", y, y))[:, None]
 
-def _entries(reps: DataFrame, tables: int) -> DataFrame:
-    """(label, dim, t, code, id, probe): where a class stands; every class takes PROBES codes of a table."""
+
+def _lists(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) of the usable vectors of a list column, one length at a time."""
+    sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()), 0)
+    values, begin = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()[:-1]
+    for dim in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == dim)
+        x = values[begin[rows][:, None] + np.arange(dim)].astype(column.type.value_type.to_pandas_dtype())
+        ok = np.isfinite(x).all(1) & (x != 0).any(1)
+        if ok.any():
+            yield rows[ok], x[ok]
+
+
+def hashed(vectors: DataFrame, key: str, vector: str, label: str, tables: int) -> DataFrame:
+    """id, label, dim, h1, h2 (a 128-bit hash of the unit vector), marks (its axes) and vec of every row.
+
+    vec is in the input's own precision.  Where a row cannot link, the columns from dim on are null.
+    """
+    kind = "float" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "double"
+    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast(f"array<{kind}>").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 2048):
                 part = b.slice(start, 2048)
-                dims = np.array([len(x) for x in part.column(2).to_pylist()]) // 8
-                for dim in np.unique(dims):
-                    own = part.filter(pa.array(dims == dim))
-                    x = np.frombuffer(b"".join(own.column(2).to_pylist())).reshape(-1, dim)
-                    c = codes(x, tables)
-                    n = own.num_rows
-                    yield pa.record_batch(
-                        [
-                            pa.array(own.column(1).take(pa.array(np.repeat(np.arange(n), tables * PROBES)))), pa.array(np.full(c.size, dim, np.int32)),
-                            pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), PROBES), n)), pa.array(c.reshape(-1)), pa.array(np.repeat(own.column(0).to_numpy(), tables * PROBES)),
-                        ], names=["label", "dim", "t", "code", "id"],
-                    )
-
-    return reps.select("id", "label", "unit").mapInArrow(run, schema("label string, dim int, t int, code bigint, id bigint"))
-
-
-def _pairs_of(group: np.ndarray, own: np.ndarray, mixed: np.ndarray, unit: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the linked pairs within groups that lie end to end; group holds their bounds.
-
-    In a group of two blocks (mixed) only pairs between the blocks count.
-    """
-    size = np.diff(group)
-    left, right = [], []
-    for n in np.unique(size[(size <= SMALL) & ~mixed & (size > 1)]):
-        starts = group[:-1][(size == n) & ~mixed]
-        i, j = np.triu_indices(n, 1)
-        step = max(1, 200_000 // len(i))
-        for k in range(0, len(starts), step):
-            at = starts[k : k + step, None]
-            p, q = (at + i).ravel(), (at + j).ravel()
-            ok = np.einsum("ij,ij->i", unit[p], unit[q]) >= cosine
-            left.append(p[ok])
-            right.append(q[ok])
-    for g in np.flatnonzero((size > SMALL) | (mixed & (size > 1))):
-        rows = np.arange(group[g], group[g + 1])
-        if mixed[g]:
-            first = own[rows] == own[rows].min()
-            p, q = np.nonzero(unit[rows[first]] @ unit[rows[~first]].T >= cosine)
-            left.append(rows[first][p])
-            right.append(rows[~first][q])
-        else:
-            p, q = np.nonzero(np.triu(unit[rows] @ unit[rows].T >= cosine, 1))
-            left.append(rows[p])
-            right.append(rows[q])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _first_meeting(p: np.ndarray, q: np.ndarray, t: np.ndarray, code: np.ndarray, unit: np.ndarray, tables: int) -> np.ndarray:
-    """Whether the pairs of rows meet in no earlier table, nor in their table under a smaller code."""
-    used = np.unique(np.concatenate([p, q]))
-    own = codes(unit[used], tables)
-    ok = np.ones(len(p), bool)
-    for k in range(0, len(p), 20_000):
-        x, y = own[np.searchsorted(used, p[k : k + 20_000])], own[np.searchsorted(used, q[k : k + 20_000])]
-        met = np.where((x[..., :, None] == y[..., None, :]).any(-1), x, np.iinfo(np.int64).max).min(-1)
-        before = (met < np.iinfo(np.int64).max) & (np.arange(tables) < t[p[k : k + 20_000], None])
-        here = np.take_along_axis(met, t[p[k : k + 20_000], None].astype(np.int64), 1)[:, 0]
-        ok[k : k + 20_000] = ~before.any(1) & (here >= code[p[k : k + 20_000]])
-    return ok
+                usable = part.column(0).is_valid().to_numpy(zero_copy_only=False) & part.column(1).is_valid().to_numpy(zero_copy_only=False)
+                dims, h1, h2, marks, vecs = ([None] * part.num_rows for _ in range(5))
+                for at, x in _lists(part.column(2)):
+                    at, x = at[usable[at]], x[usable[at]]
+                    if len(at):
+                        unit = unit_rows(x)
+                        a = axes(unit, tables).astype(np.uint8 if x.shape[1] <= 128 else np.uint32)
+                        for k, i in enumerate(at.tolist()):
+                            d = blake2b(unit[k].tobytes(), digest_size=16).digest()
+                            dims[i], h1[i], h2[i] = x.shape[1], int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+                            marks[i], vecs[i] = a[k].tobytes(), x[k].tobytes()
+                columns = [part.column(0), part.column(1), *(pa.array(c, t) for c, t in ((dims, pa.int32()), (h1, pa.int64()), (h2, pa.int64()), (marks, pa.binary()), (vecs, pa.binary())))]
+                yield pa.record_batch(columns, names=["id", "label", "dim", "h1", "h2", "marks", "vec"])
+
+    return rows.mapInArrow(run, schema("id bigint, label string, dim int, h1 bigint, h2 bigint, marks binary, vec binary"))
+
+
+def _entries(reps: DataFrame, tables: int) -> DataFrame:
+    """(bucket, c): where a class stands; every class takes PROBES codes of each table.  A bucket is a 64-bit hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column(2).to_numpy()
+            for dim in np.unique(dims):
+                own = b.filter(pa.array(dims == dim))
+                marks = np.frombuffer(b"".join(own.column(3).to_pylist()), np.uint8 if dim <= 128 else np.uint32).reshape(own.num_rows, tables, 3, DEPTH)
+                h = own.column(1).to_numpy().view(np.uint64)[:, None, None] + np.arange(1, tables + 1, dtype=np.uint64)[None, :, None] * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + codes_of(marks, int(dim)).view(np.uint64)
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(32)
+                yield pa.record_batch([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(own.column(0).to_numpy(), tables * PROBES))], names=["bucket", "c"])
+
+    return reps.select("c", F.xxhash64("label", "dim").alias("k"), "dim", "marks").mapInArrow(run, schema("bucket bigint, c bigint"))
+
+
+def _units(column: pa.Array, dim: int, wide: str) -> np.ndarray:
+    return unit_rows(np.frombuffer(b"".join(column.to_pylist()), wide).reshape(-1, dim))
+
+
+def _linked(pairs: DataFrame, cosine: float, wide: str) -> DataFrame:
+    """The pairs (a, b) of one label and length whose cosine is at least ``cosine``, from their vectors x and y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column(2).to_numpy()
+            for dim in np.unique(dims):
+                own = b.filter(pa.array(dims == dim))
+                for start in range(0, own.num_rows, 4096):
+                    part = own.slice(start, 4096)
+                    ok = np.einsum("ij,ij->i", _units(part.column(3), dim, wide), _units(part.column(4), dim, wide)) >= cosine
+                    yield part.select([0, 1]).filter(pa.array(ok))
+
+    return pairs.select("a", "b", "dim", "x", "y").mapInArrow(run, schema("a bigint, b bigint"))
 
 
 def _forest(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -194,67 +200,149 @@ def _forest(p: np.ndarray, q: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _verified(rows: DataFrame, cosine: float, tables: int) -> DataFrame:
-    """Per class its number of links found here (id, links), and links that connect all links found (a, b)."""
-
-    def work(held: pa.Table, group: np.ndarray) -> pa.RecordBatch:
-        i, j, own, t, code, cls, w, low = (held.column(c).to_numpy() for c in ("i", "j", "own", "t", "code", "id", "w", "low"))
-        raw = held.column("unit").to_pylist()
-        dims = np.array([len(x) for x in raw]) // 8
-        a_all, b_all = [], []
-        for dim in np.unique(dims):  # a bucket has one length
-            chosen = np.flatnonzero(dims == dim)
-            sizes = np.diff(group)[dims[group[:-1]] == dim]
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            unit = np.frombuffer(b"".join([raw[k] for k in chosen])).reshape(-1, dim)
-            first = chosen[bounds[:-1]]
-            p, q = _pairs_of(bounds, own[chosen], i[first] != j[first], unit, cosine)
-            if len(p):
-                ok = _first_meeting(p, q, t[chosen], code[chosen], unit, tables)
-                a_all.append(chosen[p[ok]])
-                b_all.append(chosen[q[ok]])
-        p, q = (np.concatenate(x) if x else np.zeros(0, int) for x in (a_all, b_all))
-        ids, at = np.unique(np.concatenate([cls[p], cls[q]]), return_inverse=True)
-        links = np.bincount(at, np.concatenate([w[q], w[p]]), len(ids)).astype(np.int64)
-        tree = _forest(low[p], low[q])
-        n, m = len(ids), len(tree)
-        return pa.record_batch([pa.array([*ids.tolist(), *[None] * m], pa.int64()), pa.array([*links.tolist(), *[None] * m], pa.int64()), pa.array([*[None] * n, *low[p[tree]].tolist()], pa.int64()), pa.array([*[None] * n, *low[q[tree]].tolist()], pa.int64())], names=["id", "links", "a", "b"])
+def _in_blocks(rows: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
+    """The rows of the groups in ``sizes`` (group, k rows, m blocks), each with its group's blocks i <= j that it belongs to."""
+    total = sizes.agg(F.sum("k")).first()[0] or 0
+    rows = salted_join(rows, sizes.select(group, "m"), [group], "c", hot_keys(sizes, [group], "k", total))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("c"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "m")
+
+
+def _blocks_of(k, dim):
+    return F.ceil(F.greatest(k / BLOCK, k * dim * 8 / BLOCK_BYTES)).cast("int")
+
+
+def _similar(held: pa.Table, group: np.ndarray, cosine: float, wide: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left rows, right rows, linked) for stacks of groups that lie end to end: index arrays (k, n), (k, m) and (k, n, m).
+
+    A group of one block is compared with itself (left and right are one array, linked is symmetric, its diagonal false),
+    one of two blocks across.
+    """
+    i, j, own, dims = (held.column(c).to_numpy() for c in ("i", "j", "own", "dim"))
+    raw = held.column("vec").to_pylist()
+    size, mixed = np.diff(group), (i != j)[group[:-1]]
+
+    def unit(rows: np.ndarray, dim: int) -> np.ndarray:
+        return unit_rows(np.frombuffer(b"".join([raw[k] for k in rows.ravel().tolist()]), wide).reshape(-1, dim)).reshape(*rows.shape, dim)
+
+    dim_of = dims[group[:-1]]
+    pure = np.maximum.reduceat(dims, group[:-1]) == np.minimum.reduceat(dims, group[:-1])
+    for dim in np.unique(dim_of):
+        for n in np.unique(size[(size <= SMALL) & (size > 1) & ~mixed & pure & (dim_of == dim)]):
+            starts = group[:-1][(size == n) & ~mixed & pure & (dim_of == dim)]
+            step = max(1, 20_000 // (n * n))
+            for k in range(0, len(starts), step):
+                rows = starts[k : k + step, None] + np.arange(n)
+                x = unit(rows, dim)
+                ok = np.triu(x @ x.transpose(0, 2, 1) >= cosine, 1)
+                yield rows, rows, ok | ok.transpose(0, 2, 1)
+    for g in np.flatnonzero((size > 1) & ((size > SMALL) | mixed | ~pure)):
+        every = np.arange(group[g], group[g + 1])
+        for dim in np.unique(dims[every]):  # a hash collision may put two lengths into one bucket
+            rows = every[dims[every] == dim]
+            if mixed[g]:
+                first = own[rows] == i[group[g]]
+                a, b = rows[first], rows[~first]
+                if len(a) and len(b):
+                    yield a[None], b[None], (unit(a, dim) @ unit(b, dim).T >= cosine)[None]
+            elif len(rows) > 1:
+                x, one = unit(rows, dim), rows[None]
+                ok = np.triu(x @ x.T >= cosine, 1)
+                yield one, one, (ok | ok.T)[None]
+
+
+def _links_between(rows: DataFrame, cosine: float, wide: str) -> DataFrame:
+    """Links (a, b) that connect all links between different components (column root) in the blocks of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, group in whole_groups(batches, ("bucket", "i", "j")):
-            yield work(held, group)
+            c, root = held.column("c").to_numpy(), held.column("root").to_numpy()
+            label = held.column("label").combine_chunks().dictionary_encode()
+            label = (label.chunk(0) if isinstance(label, pa.ChunkedArray) else label).indices.to_numpy()
+            p, q = [], []
+            for left, right, ok in _similar(held, group, cosine, wide):
+                at, x, y = np.nonzero(ok)
+                a, b = left[at, x], right[at, y]
+                new = (root[a] < root[b]) & (label[a] == label[b]) if left is right else (root[a] != root[b]) & (label[a] == label[b])
+                p.append(a[new])
+                q.append(b[new])
+            p, q = (np.concatenate(x) if x else np.zeros(0, int) for x in (p, q))
+            if len(p):
+                tree = _forest(root[p], root[q])
+                yield pa.record_batch([pa.array(c[p[tree]]), pa.array(c[q[tree]])], names=["a", "b"])
+
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "c").mapInArrow(run, schema("a bigint, b bigint"))
+
+
+def _counted(rows: DataFrame, cosine: float, wide: str) -> DataFrame:
+    """(c, links): the weights of the classes that each class links with, block by block of its component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, group in whole_groups(batches, ("root", "i", "j")):
+            c, w = held.column("c").to_numpy(), held.column("w").to_numpy()
+            links = np.zeros(len(c), np.int64)
+            for left, right, ok in _similar(held, group, cosine, wide):
+                np.add.at(links, left, (ok * w[right][:, None, :]).sum(2))
+                if left is not right:
+                    np.add.at(links, right, (ok * w[left][:, :, None]).sum(1))
+            some = np.flatnonzero(links)
+            yield pa.record_batch([pa.array(c[some]), pa.array(links[some])], names=["c", "links"])
 
-    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
-    return dealt.mapInArrow(run, schema("id bigint, links bigint, a bigint, b bigint"))
+    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "c").mapInArrow(run, schema("c bigint, links bigint"))
 
 
 def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, tables: int = TABLES) -> DataFrame:
     """key, n_links, component_id and kept of every row.
 
     Rows with a null label or id, and vectors that are null, empty, zero or hold null or non-finite components, link
-    with nothing.  Vectors of different lengths never link.  Equal unit vectors of a label always link.  Rows that
-    repeat an id are separate vectors for n_links and share a component.  Further columns are ignored.  Whether a pair
-    is found depends on its two vectors alone, not on the table's size or order.
+    with nothing; a null id has a null component and is kept.  Vectors of different lengths never link.  Equal unit
+    vectors of a label always link.  Rows that repeat an id are separate vectors for n_links and share a component.
+    Further columns are ignored, whatever their names; an empty table gives no rows.  A link is found if its two
+    vectors meet in a bucket, or if other found links connect them.
     """
-    rows = settle(units(vectors, key, vector, label))
-    # A class: the hash of its label and unit vector, its smallest id and its number of rows.
-    classes = rows.groupBy("label", "unit").agg(F.min("id").alias("low"), F.count("*").alias("w"))
-    classes = settle(classes.withColumn("id", F.xxhash64("label", "unit")))
-    entries = settle(_entries(classes, tables).select(F.xxhash64("label", "dim", "t", "code").alias("bucket"), "t", "code", "id"))
-    sizes = settle(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = entries.join(sizes, "bucket").withColumn("m", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = shared.withColumn("own", F.pmod(F.xxhash64("id"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    placed = placed.select("bucket", "t", "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id").join(classes.select("id", "unit", "w", "low"), "id")
-    found = settle(_verified(placed, cosine, tables))
-    links = found.where("id is not null").groupBy("id").agg(F.sum("links").alias("links"))
-    of_class = classes.join(links, "id", "left").select("label", "unit", "low", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"))
-    of_row = settle(rows.join(of_class, ["label", "unit"]).select("id", "low", "n"))
-    edges = found.where("a is not null").select("a", "b").union(of_row.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
-    roots = components(edges).withColumnRenamed("id", "_id")
-    rest = vectors.select(F.col(key).cast("bigint").alias("id")).exceptAll(of_row.select("id")).select("id", F.lit(0).cast("bigint").alias("n"))
-    out = of_row.select("id", "n").union(rest).join(roots, F.col("id") == F.col("_id"), "left")
+    rows = settle(hashed(vectors, key, vector, label, tables).withColumn("rid", F.monotonically_increasing_id()))
+    wide = "<f4" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
+    usable = rows.where("h1 is not null")
+    same = ["label", "dim", "h1", "h2"]
+    classes = settle(usable.groupBy(*same).agg(F.min("id").alias("low"), F.count("*").alias("w"), F.min("rid").alias("c")))
+    reps = settle(usable.select(F.col("rid").alias("c"), "label", "dim", "marks").join(classes.select("c", "w", "low"), "c"))
+    twice = settle(_entries(reps, tables).groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket"))
+    found = settle(maybe_among(_entries(reps, tables), "bucket", twice, "bucket").where("_maybe").select("bucket", "c"))
+    # Two probes of one class may hash to one bucket, so members count once.
+    shared = settle(found.groupBy("bucket").agg(F.min("c").alias("leader"), F.count("*").alias("k")).where("k > 1"))
+    total = shared.agg(F.sum("k")).first()[0] or 0
+    members = settle(salted_join(found, shared, ["bucket"], "c", hot_keys(shared, ["bucket"], "k", total)).where("c <> leader"))
+    release(twice, found, shared)
+    pairs = settle(members.select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct())
+    involved = settle(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+    vecs = maybe_among(usable.select(F.col("rid").alias("c"), "label", "dim", "vec"), "c", involved, "c").where("_maybe").join(involved, "c", "left_semi").drop("_maybe")
+    vecs = settle(vecs)
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"], "n", pairs.count())
+    both = salted_join(pairs, vecs.select(F.col("c").alias("a"), "label", "dim", F.col("vec").alias("x")), ["a"], "b", hot)
+    both = both.join(vecs.select(F.col("c").alias("b"), "label", "dim", F.col("vec").alias("y")), ["b", "label", "dim"])
+    links = settle(_linked(both, cosine, wide))
+    roots = settle(components(links).withColumnRenamed("id", "c"))
+    rest = members.where("k > 2").select("bucket", "c").distinct().join(roots, "c", "left").select("bucket", "c", F.coalesce("root", "c").alias("root"))
+    rest = settle(rest)
+    split = rest.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("z"), F.count("*").alias("k")).where("r <> z")
+    split = settle(split.join(rest.join(reps.select("c", "dim"), "c").groupBy("bucket").agg(F.max("dim").alias("dim")), "bucket").select("bucket", "k", _blocks_of(F.col("k"), F.col("dim")).alias("m")))
+    if not split.isEmpty():
+        placed = _in_blocks(rest, "bucket", split).join(vecs, "c")
+        links = settle(links.union(_links_between(placed, cosine, wide)))
+        roots = settle(components(links).withColumnRenamed("id", "c"))
+    linked = roots.join(reps.select("c", "low", "w", "dim"), "c")
+    sizes = settle(linked.groupBy("root").agg(F.count("*").alias("k"), F.max("dim").alias("dim")).select("root", "k", _blocks_of(F.col("k"), F.col("dim")).alias("m")))
+    counted = _counted(_in_blocks(linked.select("root", "c", "w"), "root", sizes).join(vecs.select("c", "dim", "vec"), "c"), cosine, wide)
+    of_class = settle(counted.groupBy("c").agg(F.sum("links").alias("links")))
+    of_class = classes.join(of_class, "c", "left").select(*same, "low", "w", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"))
+    hot = hot_keys(classes, same, "w", usable.count())
+    of_row = settle(salted_join(usable.select("id", *same), of_class, same, "id", hot).select("id", "low", "n"))
+    low = reps.select("c", "low")
+    edges = roots.join(low, "c").join(low.withColumnsRenamed({"c": "root", "low": "b"}), "root").select(F.col("low").alias("a"), "b")
+    edges = edges.union(of_row.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
+    out = of_row.select("id", "n").join(components(edges), "id", "left").union(rows.where("h1 is null").select("id", F.lit(0).cast("bigint"), F.lit(None).cast("bigint")))
     root = F.coalesce("root", "id")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_links"), root.alias("component_id"), (F.col("id") == root).alias("kept"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
