@@ -1,8 +1,8 @@
 """BPE encoding with chunk reuse (operator 2) and token counts by heap merging (operator 4).
 
 Both work on one fact of the vocabulary files in JSON form with word ends: white space always separates words and is
-then dropped, no merge crosses a word, and special strings hold no white space.  So a text between two ASCII white
-space bytes ("unit") has the same tokens wherever it stands.
+then dropped, no merge crosses a word, and special strings hold no white space.  ``word_vocabulary`` refuses files of
+another make.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import hashlib
 import heapq
 import json
 import re
+import sys
 import unicodedata
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -19,16 +20,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import held, schema, slices, table
+from quillon.llm.common import SLICE_BYTES, held, schema, slices, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks are cut where the low MASK_BITS bits of the rolling hash are zero: 2**MASK_BITS bytes on average.
 MASK_BITS, WINDOW, MAX_CHUNK = 9, 32, 8192
-#: Entries of the caches of a Python worker: chunks, of which the longest unused go, and words and units, held in two
-#: generations of WORDS each, of which the older goes.  They take about 100 MB.
-CHUNKS, WORDS = 8_000, 80_000
-#: Entries of the counter's caches (a number for each word and unit).
-UNITS = 300_000
+#: Bytes of the caches of a Python worker: encoded chunks, of which the longest unused go; words and units, held in two
+#: generations of WORD_BYTES each, of which the older goes; the counter's numbers, which all go at once.
+CHUNK_BYTES, WORD_BYTES, COUNT_BYTES = 32 << 20, 24 << 20, 64 << 20
+#: Words and units longer than this are not cached, and longer words are cut where no merge can reach before merging.
+LONGEST, CUT_WORD = 256, 4096
+# What a vocabulary file must say of normalisation and words.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -38,6 +46,18 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def word_vocabulary(path: str) -> dict:
+    """The vocabulary file's content; ValueError if its words, normalisation, decoder or special strings are others than assumed."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    plain = model["type"] == "BPE" and model.get("end_of_word_suffix") and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    special = all(t["special"] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    if not (plain and special and spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER and spec["decoder"] is None and spec["post_processor"] is None):
+        raise ValueError(f"{path}: only BPE vocabularies with word ends, lower case and dropped white space are understood")
+    return spec
+
+
 def cut_points(raw: np.ndarray) -> np.ndarray:
     """Ends of the content-defined chunks of UTF-8 bytes, the last being its length.
 
@@ -68,78 +88,126 @@ def cut_points(raw: np.ndarray) -> np.ndarray:
     return np.append(cuts, n)
 
 
+Rendered = tuple[str, int, str]
+
+
+def _joined(parts: list[Rendered]) -> Rendered:
+    parts = [x for x in parts if x[1]]
+    return " ".join([x[0] for x in parts]), sum([x[1] for x in parts]), " ".join([x[2] for x in parts])
+
+
 class ChunkEncoder:
-    """Encodes texts as the tokenizers library does, each distinct chunk once while it stays in the cache."""
+    """Encodes texts as the tokenizers library does, each distinct chunk once while it stays in the cache.
 
-    def __init__(self, path: str, chunks: int = CHUNKS, units: int = WORDS):
+    A chunk's own tokens are those of its units between white space.  What lies across a cut is encoded again by the
+    library in one window, which reaches over the nearest unit of the chunks on both sides: its tokens must agree with
+    those chunks' own at both ends, else the text is encoded whole.
+    """
+
+    def __init__(self, path: str, chunk_bytes: int = CHUNK_BYTES, word_bytes: int = WORD_BYTES):
         from tokenizers import Tokenizer
 
+        word_vocabulary(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokens = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.chunks: OrderedDict[bytes, tuple] = OrderedDict()
-        self.units: dict[bytes, tuple[str, int, str]] = {}
-        self.words: dict[str, tuple[str, int, str]] = {}
-        self.old_units: dict[bytes, tuple[str, int, str]] = {}
-        self.old_words: dict[str, tuple[str, int, str]] = {}
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        #: Per chunk: text before its first white space, tokens of what lies between, text after its last white space,
+        #: the pieces a window reaches over at both ends with their ids; or None for a chunk without white space.
+        self.chunks: OrderedDict[bytes, tuple | None] = OrderedDict()
+        self.words: dict[str, Rendered] = {}
+        self.units: dict[bytes, Rendered] = {}
+        self.old_words: dict[str, Rendered] = {}
+        self.old_units: dict[bytes, Rendered] = {}
         # Texts of printable ASCII (without the first byte of a special string) and precomposed Latin letters are split
         # into words here, by the vocabulary's own pattern, so that capitals and marks beside a word cost nothing.
-        self.simple = re.compile(r"[ -;=-~\t\n\rÀ-ÖØ-öø-įı-ſ]*")
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words_of = re.compile(pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}").replace(r"[^\s\p{L}\p{N}]", r"[^\sa-zß-öø-ſ0-9]").replace(r"\p{L}", "[a-zß-öø-ſ]").replace(r"\p{N}", "[0-9]"))
-        self.split: dict[bytes, list[str] | None] = {}
+        self.simple = re.compile(r"[ -;=-~\t\n\r\x0b\x0cÀ-ÖØ-öø-įı-ſ]*")
+        self.words_of = re.compile(_WORDS.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}").replace(r"[^\s\p{L}\p{N}]", r"[^\sa-zß-öø-ſ0-9]").replace(r"\p{L}", "[a-zß-öø-ſ]").replace(r"\p{N}", "[0-9]"))
         self.edge = re.compile(rb"(\S*)(\s(?:.*\s)?)(\S*)", re.DOTALL)
-        self.most_chunks, self.most_units = chunks, units
-        self.hits = self.misses = 0
+        self.chunk_bytes, self.word_bytes = chunk_bytes, word_bytes
+        self.chunks_held = self.words_held = 0
+        self.hits = self.misses = self.disagreed = 0
+
+    def _rendered(self, ids: list[int]) -> Rendered:
+        return " ".join(map(str, ids)), len(ids), " ".join([self.tokens[i] for i in ids])
 
-    def _whole(self, texts: list[str]) -> list[tuple[str, int, str]]:
-        got = []
+    def _ids(self, texts: list[str]) -> Iterator[list[int]]:
         for start in range(0, len(texts), 20_000):
             for e in self.tokenizer.encode_batch_fast(texts[start : start + 20_000], add_special_tokens=False):
-                ids = e.ids
-                got.append((" ".join(map(str, ids)), len(ids), " ".join([self.tokens[i] for i in ids])))
-        return got
+                yield e.ids
 
-    def _fill(self, wanted: set, known: dict, older: dict) -> None:
-        """Puts what is wanted into ``known``: from the older generation, or else by the tokenizer."""
+    def _fill(self, wanted: set, known: dict, older: dict, once: dict) -> None:
+        """Puts what is wanted into ``known``: from the older generation, or else by the tokenizer; long ones into ``once``."""
         new = []
         for w in wanted:
             if w not in known:
                 if w in older:
                     known[w] = older[w]
+                    self.words_held += 400
                 else:
                     new.append(w)
-        known.update(zip(new, self._whole([w.decode() if isinstance(w, bytes) else w for w in new]), strict=True))
-
-    def learn(self, parts: set[bytes]) -> None:
-        """Learns the words of these runs of units (in plain Latin script), or else their units."""
-        if len(self.units) + len(self.words) > self.most_units:
-            self.old_units, self.old_words = self.units, self.words
-            self.units, self.words = {}, {}
-        words, units = set(), set()
+        for w, ids in zip(new, self._ids([w.decode() if isinstance(w, bytes) else w for w in new]), strict=True):
+            got = self._rendered(ids)
+            if len(w) > LONGEST:
+                once[w] = got
+            else:
+                known[w] = got
+                self.words_held += 200 + sys.getsizeof(w) + sys.getsizeof(got[0]) + sys.getsizeof(got[2])
+
+    def _own_tokens(self, parts: list[bytes]) -> list[tuple[Rendered, list[int], list[int]]]:
+        """Of every run of units: its tokens, and the ids of its first and its last unit."""
+        if self.words_held > self.word_bytes:
+            self.old_words, self.old_units = self.words, self.units
+            self.words, self.units, self.words_held = {}, {}, 0
+        words, units, split, once = set(), set(), [], {}
         for p in parts:
-            text = p.decode()
+            text, ends = p.decode(), p.split(None, 1)[:1] + p.rsplit(None, 1)[-1:]
             if self.simple.fullmatch(text):
-                self.split[p] = got = self.words_of.findall(text.lower())
-                words.update(got)
+                found = [self.words_of.findall(t.lower()) for t in (text, *(e.decode() for e in ends))]
+                words.update(found[0])
+                split.append((self.words, self.words_of, found))
             else:
-                self.split[p] = None
-                units.update(p.split())
-        self._fill(words, self.words, self.old_words)
-        self._fill(units, self.units, self.old_units)
-
-    def _render(self, part: bytes) -> tuple[str, int, str]:
-        words = self.split[part]
-        got = [self.units[u] for u in part.split()] if words is None else [self.words[w] for w in words]
-        got = [x for x in got if x[1]]
-        return " ".join([x[0] for x in got]), sum([x[1] for x in got]), " ".join([x[2] for x in got])
-
-    def encode(self, texts: list[bytes]) -> Iterator[tuple[str, int, str]]:
+                found = [p.split(), *([e] for e in ends)]
+                units.update(found[0])
+                split.append((self.units, None, found))
+        self._fill(words, self.words, self.old_words, once)
+        self._fill(units, self.units, self.old_units, once)
+        out = []
+        for known, _, found in split:
+            whole, *ends = (_joined([known.get(x) or once[x] for x in f]) for f in found)
+            ends = [[*map(int, e[0].split())] for e in ends]
+            out.append((whole, ends[0] if ends else [], ends[-1] if ends else []))
+        return out
+
+    def _learn(self, fresh: list[bytes]) -> dict[bytes, tuple | None]:
+        """The entries of chunks, a bounded share of them at a time."""
+        made: dict[bytes, tuple | None] = {}
+        group: list[tuple[bytes, tuple[bytes, bytes, bytes]]] = []
+        held_bytes = 0
+
+        def close() -> None:
+            for (p, (head, inner, tail)), (own, first, last) in zip(group, self._own_tokens([g[1][1] for g in group]), strict=True):
+                body = inner.rstrip()
+                front = inner[: len(inner) - len(inner.lstrip())] + (body.split(None, 1)[0] if body else b"")
+                back = (body.rsplit(None, 1)[-1] if body else b"") + inner[len(body) :]
+                made[p] = (head, own, tail, (front, first), (back, last))
+
+        for p in fresh:
+            m = self.edge.fullmatch(p)
+            if not m:
+                made[p] = None
+                continue
+            group.append((p, m.groups()))
+            held_bytes += len(p)
+            if held_bytes > SLICE_BYTES:
+                close()
+                group, held_bytes = [], 0
+        close()
+        return made
+
+    def encode(self, texts: list[bytes]) -> Iterator[Rendered]:
         """(decimal ids joined by blanks, their number, decoded text) of each text."""
-        cut, fresh, made = [], set(), {}
+        cut, fresh, made = [], {}, {}
         for data in texts:
             ends = cut_points(np.frombuffer(data, np.uint8)).tolist()
             parts = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
@@ -153,53 +221,55 @@ class ChunkEncoder:
                     self.hits += 1
                 else:
                     self.misses += 1
-                    fresh.add(p)
-        # A chunk's inner units stand between white space, so they hold in any context; its two edges don't.
-        inner, edges, plans = {}, set(), []
-        for p in fresh:
-            m = self.edge.fullmatch(p)
-            inner[p] = m.groups() if m else None
-        self.learn({x[1] for x in inner.values() if x})
-        for p, x in inner.items():
-            made[p] = x and (x[0], self._render(x[1]), x[2])
-        self.split.clear()
+                    fresh[p] = None
+        made |= self._learn([*fresh])
+        # A plan alternates windows (before, bytes, after) and the chunks' own tokens between them.
+        plans, windows = [], {}
         for parts in cut:
-            plan, carry = [], b""
+            plan, carry, before = [], [], (b"", [])
             for p in parts:
                 entry = made[p]
-                # The join is re-encoded from the last white space before the cut to the first one after it; while a
-                # chunk has none, the window grows over it.  From there on both chunks' own tokens agree with it.
-                if entry is None:
-                    carry += p
+                if entry is None:  # no white space: the window grows over the whole chunk
+                    carry.append(p)
                     continue
-                carry += entry[0]
-                if carry:
-                    plan.append(carry)
-                    edges.add(carry)
-                if entry[1][1]:
-                    plan.append(entry[1])
-                carry = entry[2]
-            if carry:
-                plan.append(carry)
-                edges.add(carry)
+                head, own, tail, front, back = entry
+                carry.append(head)
+                plan += [(before, b"".join(carry), front), own]
+                before, carry = back, [tail]
+            plan.append((before, b"".join(carry), (b"", [])))
             plans.append(plan)
-        self.learn(edges)
-        for plan in plans:
-            got = [self._render(x) if isinstance(x, bytes) else x for x in plan]
-            got = [x for x in got if x[1]]
-            yield " ".join([x[0] for x in got]), sum([x[1] for x in got]), " ".join([x[2] for x in got])
-        self.split.clear()
+            windows.update((x[0][0] + x[1] + x[2][0], None) for x in plan[::2] if x[1])
+        order = [*windows]
+        windows = dict(zip(order, self._ids([w.decode() for w in order]), strict=True))
+        for data, plan in zip(texts, plans, strict=True):
+            out = []
+            for k, x in enumerate(plan):
+                if k % 2:
+                    out.append(x)
+                elif x[1]:
+                    (back, left), carry, (front, right) = x
+                    ids = windows[back + carry + front]
+                    end = len(ids) - len(right)
+                    if len(left) > end or ids[: len(left)] != left or ids[end:] != right:
+                        self.disagreed += 1
+                        out = [self._rendered(next(self._ids([data.decode()])))]
+                        break
+                    out.append(self._rendered(ids[len(left) : end]))
+            yield _joined(out)
         for p in fresh:
-            self.chunks[p] = made[p]
-        while len(self.chunks) > self.most_chunks:
-            self.chunks.popitem(last=False)
+            self.chunks[p] = got = made[p]
+            self.chunks_held += 600 + 2 * len(p) + (sys.getsizeof(got[1][0]) + sys.getsizeof(got[1][2]) if got else 0)
+        while self.chunks_held > self.chunk_bytes:
+            p, got = self.chunks.popitem(last=False)
+            self.chunks_held -= 600 + 2 * len(p) + (sys.getsizeof(got[1][0]) + sys.getsizeof(got[1][2]) if got else 0)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, ids (decimal, joined by one blank), n_tokens and decoded text of every row.
 
-    A null text counts as empty; empty texts have no tokens and decode to the empty text; repeated keys give repeated
-    rows; further columns of the input are ignored.  Memory: SLICE_BYTES of text and two bounded caches per worker.
+    A null text counts as empty; empty texts have no tokens and decode to the empty text; a null key stays null,
+    repeated keys give repeated rows, an empty table none; further columns are ignored, whatever their names.  Memory: SLICE_BYTES of
+    text, or one longer text, and caches bounded in bytes per worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +284,11 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "
 
 
 def encode_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; the digests are taken beside the encoder so that no ids travel."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; the digests are taken beside the encoder so that no ids travel.
+
+    Nulls, empty and long texts, repeated rows, empty tables and further columns as in ``encode_documents``; texts
+    without tokens have the digests of empty strings.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = held(ChunkEncoder, vocabulary_path(vocabulary))
@@ -245,30 +319,41 @@ class HeapCounter:
     popped, stale entries are skipped, and the count is the number of first symbols less the merges made.
     """
 
-    def __init__(self, path: str, most: int = UNITS):
+    def __init__(self, path: str, most: int = COUNT_BYTES):
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = word_vocabulary(path)
         self.end = spec["model"]["end_of_word_suffix"] or ""
         self.ranks: dict[tuple[str, str], tuple[int, str]] = {}
         for i, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks.setdefault((a, b), (i, a + b))
-        self.words_of = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.words_of = regex.compile(_WORDS)
+        #: Letters that stand side by side within some token: a merge reaches over no other pair.
+        self.beside = {x[k : k + 2] for t in spec["model"]["vocab"] for x in [t.removesuffix(self.end)] for k in range(len(x) - 1)}
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
         self.any_special = min((t["content"] for t in spec["added_tokens"]), key=len)[:2].encode()
         self.letters = _byte_letters()
         self.units: dict[bytes, int] = {}
         self.words: dict[str, int] = {}
-        self.most = most
+        self.most, self.held = most, 0
 
     def merge_count(self, word: str) -> int:
-        symbols = [self.letters[b] for b in word.encode()]
+        """Tokens of a word.  A long word is cut first between letters that no token holds side by side."""
+        letters = [self.letters[b] for b in word.encode()]
+        if len(letters) <= CUT_WORD:
+            return self._merged(letters, self.end)
+        total, start = 0, 0
+        for k in range(1, len(letters)):
+            if letters[k - 1] + letters[k] not in self.beside:
+                total, start = total + self._merged(letters[start:k], ""), k
+        return total + self._merged(letters[start:], self.end)
+
+    def _merged(self, symbols: list[str], end: str) -> int:
         n = len(symbols)
         if n < 2:
             return n
-        symbols[-1] += self.end
+        symbols[-1] += end
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         ranks, heap = self.ranks, []
         for i in range(n - 1):
@@ -309,12 +394,14 @@ class HeapCounter:
         else:
             text = text.lower()
         total = 0
-        for w in self.words_of.findall(text):
+        for m in self.words_of.finditer(text):
+            w = m[0]
             got = self.words.get(w)
             if got is None:
-                if len(self.words) >= self.most:
-                    self.words.clear()
-                got = self.words[w] = self.merge_count(w)
+                got = self.merge_count(w)
+                if len(w) <= LONGEST:
+                    self.words[w] = got
+                    self.held += 200 + len(w)
             total += got
         return total
 
@@ -326,24 +413,45 @@ class HeapCounter:
         return self._plain(text)
 
     def count(self, data: bytes) -> int:
-        units = data.split()
-        known = self.units
-        try:
-            return sum([known[u] for u in units])
-        except KeyError:
-            if len(known) >= self.most:
-                known.clear()
-            total = 0
-            for u in units:
-                got = known.get(u)
-                if got is None:
-                    got = known[u] = self.unit(u)
-                total += got
-            return total
+        if self.held > self.most:
+            self.words.clear()
+            self.units.clear()
+            self.held = 0
+        known, total = self.units, 0
+        # A long text goes in parts that end at white space, so that its list of units stays short.
+        for part in [data] if len(data) <= SLICE_BYTES else _parts(data):
+            units = part.split()
+            try:
+                total += sum([known[u] for u in units])
+            except KeyError:
+                for u in units:
+                    got = known.get(u)
+                    if got is None:
+                        got = self.unit(u)
+                        if len(u) <= LONGEST:
+                            known[u] = got
+                            self.held += 200 + len(u)
+                    total += got
+        return total
+
+
+def _parts(data: bytes) -> Iterator[bytes]:
+    """The bytes in parts of about SLICE_BYTES, each ending before white space."""
+    start = 0
+    for m in re.finditer(rb"\s", data):
+        if m.start() - start >= SLICE_BYTES:
+            yield data[start : m.start()]
+            start = m.start()
+    yield data[start:]
 
 
 def count_tokens(docs: DataFrame, limit: int = 2048, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row; null texts count as empty."""
+    """Key, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row.
+
+    A null text counts as empty: no bytes, no tokens.  A null key stays null, repeated keys give repeated rows, an
+    empty table none; further columns are ignored, whatever their names.  Memory: SLICE_BYTES of text, or one longer
+    text, and a cache bounded in bytes per worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = held(HeapCounter, vocabulary_path(vocabulary))
