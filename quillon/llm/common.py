@@ -89,16 +89,25 @@ def id_crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows, chosen by a hash of the key, never more than 1.25 times as many.
+def bounded_sample(df: DataFrame, key: str, rows: int, stratum: str | None = None) -> DataFrame:
+    """About ``rows`` rows, chosen by a hash of the row's key, never more than 1.25 times as many.
 
-    Only for fitting a model; ``rows`` is a documented parameter of each caller.
+    With a ``stratum`` (a column of few values) each value gets an equal part of the rows, and what rare values leave
+    over goes to the others, so none of them vanishes.  Only for fitting a model; ``rows`` is a documented parameter of each caller.
     """
-    n = df.count()
-    if n <= rows:
+    by = [stratum] if stratum else []
+    sizes = {tuple(r)[:-1]: r["count"] for r in (df.groupBy(*by).count().collect())}
+    if sum(sizes.values()) <= rows:
         return df.limit(rows)
-    share = int(rows / n * (1 << 31))
-    return df.where(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << 31)) < share).limit(rows + rows // 4)
+    left, quota = rows, {}
+    for k, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: x[1])):
+        quota[name] = min(n, left // (len(sizes) - k))
+        left -= quota[name]
+    kind = df.schema[stratum].dataType.simpleString() if stratum else "int"
+    shares = df.sparkSession.createDataFrame([(*(name or (0,)), quota[name] / n) for name, n in sizes.items()], f"_stratum {kind}, _share double")
+    at = F.pmod(F.xxhash64(F.lit(7), *[F.col(c) for c in df.columns]), F.lit(1 << 31)) / float(1 << 31)
+    same = F.col("_stratum").eqNullSafe(F.col(stratum)) if stratum else F.lit(True)
+    return df.join(F.broadcast(shares), same).where(at < F.col("_share")).select(*df.columns).limit(rows + rows // 4)
 
 
 def byte_view(column: pa.Array):

@@ -7,7 +7,6 @@ languages that contain it.  A text's per-language popcounts, less the hits expec
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,20 +15,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_sample, byte_view, give_back, id_crc, schema, slices, table
+from quillon.llm.common import bounded_sample, byte_view, id_crc, release, schema, settle, slices, table
 
-#: Labelled rows that the filters are fitted on (a bounded, hash-chosen sample; prediction covers every text).
+#: Labelled rows that the filters are fitted on: a bounded, hash-chosen sample, the same number of each language as far
+#: as there are so many (prediction covers every text).
 SAMPLE_ROWS = 6000
 GRAM, SLOTS, HASHES = 4, 1 << 21, 2
-#: An n-gram enters a language's filter if seen so often there, and at this share of its highest relative frequency.
-LEAST_SEEN, LEAST_SHARE = 3, 0.34
+#: An n-gram enters a language's filter if seen so often there (once or twice where a language has under ROWS_A_SIGHT or
+#: twice as many texts), and at this share of its highest relative frequency.
+LEAST_SEEN, ROWS_A_SIGHT, LEAST_SHARE = 3, 50, 0.34
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 @dataclass
 class Model:
+    """The languages, more texts first; cells[w, slot] holds the bits of languages 64 w to 64 w + 63 (8 if there are no more)."""
+
     languages: list[str]
     cells: np.ndarray
     false_rates: np.ndarray
@@ -77,53 +79,64 @@ def _cells_of(codes: np.ndarray) -> list[np.ndarray]:
     return [((wide * m) >> shift).astype(np.int64) for m in _MULTIPLIERS[:HASHES]]
 
 
-def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of the texts and how often each occurs, counted some texts at a time to spare the driver's memory."""
-    parts = [np.unique(grams(*byte_view(pa.array(texts[k : k + 200], pa.string())))[0], return_counts=True) for k in range(0, len(texts), 200)]
-    code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    return code, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
-
-
-def fit(texts: list[str | None], languages: list[str]) -> Model:
-    order, counts = np.unique(languages, return_counts=True) if languages else (np.zeros(0, str), np.zeros(0, int))
-    order = [str(order[i]) for i in np.lexsort((order, -counts))]
-    if len(order) > 64:
-        raise ValueError("at most 64 languages fit a cell")
-    kind = np.uint8 if len(order) <= 8 else np.uint64
-    cells = np.zeros(SLOTS, kind)
-    seen, labels = [], np.array(languages)
-    for name in order:
-        code, n = _counted([t or "" for t, x in zip(texts, labels, strict=True) if x == name])
-        seen.append((code, n, n / max(1, n.sum())))
-    if seen:
-        every = np.unique(np.concatenate([c for c, _, _ in seen]))
-        top = np.zeros(len(every))
-        for code, _, share in seen:
-            at = np.searchsorted(every, code)
-            top[at] = np.maximum(top[at], share)
-        for bit, (code, n, share) in enumerate(seen):
-            chosen = code[(n >= LEAST_SEEN) & (share >= LEAST_SHARE * top[np.searchsorted(every, code)])]
-            for at in _cells_of(chosen):
-                cells[at] |= kind(1 << bit)
-    fill = np.array([(cells >> kind(b) & kind(1)).mean() for b in range(len(order))])
-    return Model(order, cells, fill**HASHES)
+def _gram_counts(taught: DataFrame) -> DataFrame:
+    """(bit, code, n): how often each n-gram occurs in the texts of each language; taught has text and bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            codes, offsets = grams(*byte_view(b.column(0)))
+            bits = np.repeat(b.column(1).to_numpy(), np.diff(offsets)).astype(np.uint64)
+            both, n = np.unique(bits << np.uint64(32) | codes.astype(np.uint64), return_counts=True)
+            yield pa.record_batch([pa.array((both >> np.uint64(32)).astype(np.int32)), pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], names=["bit", "code", "n"])
+
+    return taught.select("text", "bit").mapInArrow(run, schema("bit int, code bigint, n bigint")).groupBy("bit", "code").agg(F.sum("n").alias("n"))
+
+
+def fit(taught: DataFrame, order: list[tuple[str, int]]) -> Model:
+    """Filters from texts (text, lang); ``order`` has the languages and their numbers of texts, the tie-break's order.
+
+    N-grams are counted and chosen on the executors; the driver receives filled cells, at most SLOTS for 64 languages.
+    """
+    spark, many = taught.sparkSession, len(order)
+    kind = np.uint8 if many <= 8 else np.uint64
+    cells = np.zeros((max(1, -(-many // 64)), SLOTS), kind)
+    if many:
+        names = spark.createDataFrame([(name, bit, min(LEAST_SEEN, 1 + n // ROWS_A_SIGHT)) for bit, (name, n) in enumerate(order)], "lang string, bit int, least int")
+        counts = settle(_gram_counts(taught.join(F.broadcast(names), "lang")))
+        share = F.col("n") / F.col("total")
+        counts_of = counts.join(F.broadcast(counts.groupBy("bit").agg(F.sum("n").alias("total"))), "bit").join(F.broadcast(names.select("bit", "least")), "bit").withColumn("share", share)
+        chosen = counts_of.join(counts_of.groupBy("code").agg(F.max("share").alias("top")), "code").where((F.col("n") >= F.col("least")) & (F.col("share") >= LEAST_SHARE * F.col("top"))).select("bit", "code")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                bits, codes = b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy().astype(np.uint32)
+                mask = (np.uint64(1) << (bits % 64).astype(np.uint64)).view(np.int64)
+                for at in _cells_of(codes):
+                    yield pa.record_batch([pa.array(bits // 64), pa.array(at), pa.array(mask)], names=["word", "slot", "mask"])
+
+        got = chosen.mapInArrow(run, schema("word bigint, slot bigint, mask bigint")).groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+        release(counts)
+        cells[got.column(0).to_numpy(), got.column(1).to_numpy()] = got.column(2).to_numpy().view(np.uint64).astype(kind)
+    fill = np.array([(cells[b // 64] >> kind(b % 64) & kind(1)).mean() for b in range(many)])
+    return Model([name for name, _ in order], cells, fill**HASHES)
 
 
 def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     n, many = len(texts), len(model.languages)
-    has_letter = np.array([bool(x and _LETTER.search(x)) for x in texts.to_pylist()], bool)
+    has_letter = np.array([bool(x) and any(map(str.isalpha, x)) for x in texts.to_pylist()], bool)
     if not many or not n:
         return [UNDETERMINED] * n, np.zeros(n)
     codes, offsets = grams(*byte_view(texts))
-    held = np.full(len(codes), ~model.cells.dtype.type(0), model.cells.dtype)
-    for at in _cells_of(codes):
-        held &= model.cells[at]
+    slots, kind = _cells_of(codes), model.cells.dtype.type
     total = np.diff(offsets).astype(float)
     hits = np.zeros((many, n))
-    one = model.cells.dtype.type(1)
-    for bit in range(many):
-        upto = np.concatenate([[0], np.cumsum((held >> model.cells.dtype.type(bit)) & one, dtype=np.int64)])
-        hits[bit] = upto[offsets[1:]] - upto[offsets[:-1]]
+    for word, cells in enumerate(model.cells):
+        held = np.full(len(codes), ~kind(0), kind)
+        for at in slots:
+            held &= cells[at]
+        for bit in range(64 * word, min(many, 64 * word + 64)):
+            upto = np.concatenate([[0], np.cumsum((held >> kind(bit % 64)) & kind(1), dtype=np.int64)])
+            hits[bit] = upto[offsets[1:]] - upto[offsets[:-1]]
     rate = model.false_rates[:, None]
     hits = np.clip((hits - rate * total) / np.maximum(1e-9, 1 - rate), 0, None)
     best = hits.argmax(0)
@@ -136,21 +149,22 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def fit_from(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most 1.25 * ``rows`` rows with a language, of those whose crc32(doc_id) mod 3 is not 1."""
-    taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(id_crc(), F.lit(3)) != 1))
-    got = bounded_sample(taught.select("doc_id", "text", "lang"), "doc_id", rows).toArrow()
-    model = fit(got.column("text").to_pylist(), [str(x) for x in got.column("lang").to_pylist()])
-    del got
-    give_back()
-    return model
+    """Fits on at most 1.25 * ``rows`` rows with a language, of those whose crc32(doc_id) mod 3 is not 1.
+
+    Rows with a null text or language teach nothing; rows that repeat count as often as they stand there.
+    """
+    taught = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    taught = taught.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(F.pmod(id_crc(), F.lit(3)) != 1, F.lit(True)))
+    order = sorted(((r["lang"], r["count"]) for r in taught.groupBy("lang").count().collect()), key=lambda x: (-x[1], x[0]))  # one row a language
+    return fit(settle(bounded_sample(taught, "doc_id", rows, "lang").select("text", "lang")), order)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, lang_pred and score of every row.
 
-    Null, empty and letterless texts give ``und`` with score 0; with no labelled row at all every text does.  Ties go
-    to the language with more labelled rows.  Repeated keys give repeated rows; further columns are ignored.  The
-    broadcast model has a fixed size (SLOTS cells).
+    Null, empty and letterless texts (no character of a letter category) give ``und`` with score 0; with no labelled row at all every text does.  Ties go
+    to the language with more labelled rows.  Null keys stay null, repeated keys give repeated rows, an empty table
+    none; further columns are ignored, whatever their names.  The broadcast model has SLOTS cells for each 64 languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -164,7 +178,10 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text has a determined language with a score of at least ``least``, columns as they were."""
+    """The rows of ``docs`` whose text has a determined language with a score of at least ``least``, columns as they were.
+
+    Rows with null, empty or letterless texts go; null ids, repeated rows and further columns change nothing.
+    """
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = names.index("text")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_sample, id_crc, schema, slices, table
+from quillon.llm.common import bounded_sample, id_crc, release, schema, settle, slices, table
 
 #: Labelled rows that the lexicon, the trees and the calibration are fitted on, and the folds of the cross-fitting.
 SAMPLE_ROWS = 8000
@@ -92,17 +92,29 @@ def matrix(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
     return np.array([features(t, lexicon) for t in texts], dtype=float).reshape(-1, len(FEATURES))
 
 
-def learn_lexicon(texts: list[str | None], labels: np.ndarray, least: int = 6, purity: float = 0.55) -> Lexicon:
-    """Words and word prefixes found in at least ``least`` toxic texts that make up ``purity`` of all texts with them."""
-    toxic, every = (Counter(), Counter()), (Counter(), Counter())
-    for t, y in zip(texts, labels, strict=True):
-        words = set((t or "").encode().translate(_TABLE).split())
-        for kind, found in enumerate((words, {w[:PREFIX] for w in words if len(w) > PREFIX})):
-            every[kind].update(found)
-            if y:
-                toxic[kind].update(found)
-    chosen = [frozenset(w for w, c in toxic[k].items() if c >= least and c >= purity * every[k][w]) for k in (0, 1)]
-    return Lexicon(*chosen)
+def learn_lexicons(sample: DataFrame, least: int, purity: float = 0.55) -> list[Lexicon]:
+    """Words and word prefixes found in at least ``least`` toxic texts that make up ``purity`` of all texts with them.
+
+    sample has text, toxic and fold.  FOLDS lexicons, each learned without one fold, then the one of all rows.  Words
+    are counted on the executors and only chosen ones travel; words beyond 64 bytes are no lexicon words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            seen: Counter = Counter()
+            for text, toxic, fold in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                words = {w for w in (text or "").encode().translate(_TABLE).split() if len(w) <= 64}
+                for kind, found in enumerate((words, {w[:PREFIX] for w in words if len(w) > PREFIX})):
+                    seen.update((kind, w, fold, toxic) for w in found)
+            kinds, words, folds, toxics = zip(*seen, strict=True) if seen else ((),) * 4
+            yield pa.record_batch([pa.array(kinds, pa.int32()), pa.array(words, pa.binary()), pa.array(folds, pa.int32()), pa.array(toxics, pa.int32()), pa.array([*seen.values()], pa.int64())], names=["kind", "word", "fold", "toxic", "n"])
+
+    counts = sample.select("text", "toxic", "fold").mapInArrow(run, schema("kind int, word binary, fold int, toxic int, n bigint"))
+    without = [F.col("fold") != k for k in range(FOLDS)] + [F.lit(True)]
+    sums = counts.groupBy("kind", "word").agg(*[F.sum(F.when(w & (F.col("toxic") == 1) if t else w, F.col("n")).otherwise(0)).alias(f"{'te'[1 - t]}{k}") for k, w in enumerate(without) for t in (0, 1)])
+    good = [(F.col(f"t{k}") >= least) & (F.col(f"t{k}") >= purity * F.col(f"e{k}")) for k in range(FOLDS + 1)]
+    rows = sums.select("kind", "word", F.array(*good).alias("good")).where(F.exists("good", lambda g: g)).toArrow().to_pylist()
+    return [Lexicon(*(frozenset(bytes(r["word"]) for r in rows if r["kind"] == kind and r["good"][k]) for kind in (0, 1))) for k in range(FOLDS + 1)]
 
 
 @dataclass
@@ -162,8 +174,12 @@ def boost(x: np.ndarray, y: np.ndarray) -> Forest:
     return forest
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots (score, probability) of the least-squares increasing fit, by pooling adjacent violators."""
+def isotonic(score: np.ndarray, y: np.ndarray, prior: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (score, probability) of the increasing fit by pooling adjacent violators, each pool's mean drawn to 1/2.
+
+    Without ``prior`` the knots are the least-squares increasing fit; with it a pool of n rows counts as 2 * prior rows
+    more, half of them positive, so that small pools are not told as certain.
+    """
     order = np.lexsort((y, score))
     blocks: list[list[float]] = []
     for s, v in zip(score[order], y[order], strict=True):
@@ -174,7 +190,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             blocks[-1][1] += v2[1]
             blocks[-1][3] = v2[3]
     xs = [e for b in blocks for e in (b[2], b[3])]
-    ys = [(b[0] + 0.5) / (b[1] + 1) for b in blocks for _ in (0, 1)]
+    ys = [(b[0] + prior) / (b[1] + 2 * prior) for b in blocks for _ in (0, 1)]
     return np.array(xs), np.maximum.accumulate(np.array(ys)) if ys else np.array(ys)
 
 
@@ -192,46 +208,59 @@ class Model:
         return np.clip(np.interp(raw, *self.knots), 0, 1) if len(self.knots[0]) else 1 / (1 + np.exp(-raw))
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Model:
-    """Lexicon, trees and calibration, cross-fitted; a constant if one class is nearly missing.
+def fit(sample: DataFrame) -> Model:
+    """Lexicon, trees and calibration of rows (text, toxic 0 or 1, fold), cross-fitted; a constant if one class is nearly missing.
 
     A row's features come from a lexicon learned on the other folds, and its score for the calibration from trees grown on
-    the other folds, so neither is fitted to what it is used on.  The final lexicon and trees use all rows.
+    the other folds, so neither is fitted to what it is used on.  The final lexicon is learned on all rows, the final
+    trees are grown on all rows' features.  The driver receives numbers and lexicon words, no texts.
     """
-    y = np.array(labels, float)
-    base = float((y.sum() + 0.5) / (len(y) + 1))
-    if len(y) < 60 or min(y.sum(), len(y) - y.sum()) < 2 * FOLDS:
+    got = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
+    n, positive = got["n"], int(got["t"])
+    base = (positive + 0.5) / (n + 1)
+    if n < 60 or min(positive, n - positive) < 2 * FOLDS:
         return Model(Lexicon(frozenset(), frozenset()), None, (np.zeros(0), np.zeros(0)), base)
-    fold = np.arange(len(y)) % FOLDS
-    least = max(2, min(6, int(y.sum() / 40)))
-    x = np.zeros((len(y), len(FEATURES)))
-    for k in range(FOLDS):
-        rest = np.flatnonzero(fold != k)
-        x[fold == k] = matrix([texts[i] for i in np.flatnonzero(fold == k)], learn_lexicon([texts[i] for i in rest], y[rest], least))
+    lexicons = learn_lexicons(sample, max(2, min(6, positive // 40)))
+    shared = sample.sparkSession.sparkContext.broadcast(lexicons)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            texts, folds = b.column(0).to_pylist(), b.column(2).to_pylist()
+            x = [features(t, shared.value[f]) for t, f in zip(texts, folds, strict=True)]
+            yield pa.record_batch([b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "fold", "x"])
+
+    rows = sample.select("text", "toxic", "fold").mapInArrow(run, schema("toxic int, fold int, x array<double>")).toArrow()
+    x = np.array(rows.column(2).to_pylist(), float).reshape(-1, len(FEATURES))
+    order = np.lexsort([*x.T, rows.column(0).to_numpy()])  # rows come in any order; the fit must not depend on it
+    x, y, fold = x[order], rows.column(0).to_numpy()[order].astype(float), rows.column(1).to_numpy()[order]
     raw = np.zeros(len(y))
     for k in range(FOLDS):
-        raw[fold == k] = boost(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return Model(learn_lexicon(texts, y, least), boost(x, y), isotonic(raw, y), base)
+        if (fold == k).any():
+            raw[fold == k] = boost(x[fold != k], y[fold != k]).raw(x[fold == k])
+    return Model(lexicons[-1], boost(x, y), isotonic(raw, y), base)
 
 
 def fit_from(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fits on at most 1.25 * ``rows`` labelled documents of those whose crc32(doc_id) mod 5 is not 0.
 
-    Rows with a null label are no examples; of several labels of a document the largest counts, of equal ids the
-    smallest text.
+    Rows with a null label or id are no examples; of several labels of a document the largest counts, of equal ids the
+    smallest text.  Ids may be of any type.
     """
-    taught = labels.where(F.col("toxic").isNotNull() & (F.pmod(id_crc(), F.lit(5)) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = bounded_sample(taught, "doc_id", rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    got = got.toArrow().to_pandas().assign(k=lambda d: (d.doc_id.astype("int64") * 2654435761) % (1 << 32)).sort_values(["k", "doc_id"])
-    return fit([t if isinstance(t, str) else None for t in got.text], [int(v > 0) for v in got.toxic])
+    taught = labels.where(F.col("toxic").isNotNull() & (F.pmod(id_crc(), F.lit(5)) != 0)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    chosen = bounded_sample(taught, "doc_id", rows)  # bounded by rows, so its ids may be broadcast
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = settle(found.select("text", "toxic", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")))
+    model = fit(sample)
+    release(sample)
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, score and predicted (score >= 0.5) of every row.
 
-    Null and empty texts get the score of an all-zero feature row; repeated keys give repeated rows; further columns
-    are ignored; without labelled rows every score is the same base rate.  The broadcast model is bounded by SAMPLE_ROWS.
+    Null and empty texts get the score of an all-zero feature row; null keys stay null, repeated keys give repeated
+    rows, an empty table none; further columns are ignored, whatever their names; without labelled rows every score is
+    the same base rate.  The broadcast model is bounded by SAMPLE_ROWS.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -245,7 +274,10 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
 
 
 def keep_civil(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``, columns as they were."""
+    """The rows of ``docs`` that score below ``limit``, columns as they were.
+
+    Null and empty texts score as in ``score_documents``; null ids, repeated rows and further columns change nothing.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -70,9 +70,65 @@ def test_chunks_are_reused(spark):
     one = list(coder.encode([text]))
     missed = coder.misses
     again = list(coder.encode([b"a new head " + text, text]))
-    assert again[1] == one[0] and coder.misses - missed <= 3
-    small = K.ChunkEncoder(K.vocabulary_path(), chunks=2, units=3)
+    assert again[1] == one[0] and coder.misses - missed <= 3 and coder.disagreed == 0
+    small = K.ChunkEncoder(K.vocabulary_path(), chunk_bytes=9000, word_bytes=3000)
     assert list(small.encode([text]))[0] == one[0] and list(small.encode([text, text]))[1] == one[0]
+    assert small.chunks_held <= 9000
+
+
+def test_joins_are_repaired(library):
+    """A chunk entry whose end tokens are wrong disagrees with the window, and the text is encoded whole."""
+    coder = K.ChunkEncoder(K.vocabulary_path())
+    text = ("some words of a text that goes on and on, with a few numbers 12 34 " * 60).encode()
+    want = list(coder.encode([text]))[0]
+    for p, e in coder.chunks.items():
+        if e:
+            coder.chunks[p] = (*e[:3], (e[3][0], [1, 2]), e[4])
+    assert list(coder.encode([text]))[0] == want and coder.disagreed == 1
+    e = library.encode(text.decode(), add_special_tokens=False)
+    assert want[0] == " ".join(map(str, e.ids))
+
+
+def test_texts_without_blanks(spark, library):
+    """CJK, base64 and one long word: no cache keeps them, and ids and counts equal the library's."""
+    rng = random.Random(4)
+    cjk = ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n)) for n in (3000, 6001, 20_000)]
+    texts = [*cjk, base64.b64encode(rng.randbytes(30_000)).decode(), "ab" * 9000, "x" * 40_000, "é" * 9000 + "<|endoftext|>" + "ß" * 5000, cjk[0] + "\u3000" + cjk[0]]
+    got = by_id(K.encode_documents(documents(spark, texts)), "ids", "decoded")
+    counted = by_id(K.count_tokens(documents(spark, texts)), "n_tokens")
+    for k, t in enumerate(texts):
+        e = library.encode(t, add_special_tokens=False)
+        assert got[k] == (" ".join(map(str, e.ids)), library.decode(e.ids, skip_special_tokens=False)) and counted[k] == (len(e.ids),), k
+    coder, counter = K.ChunkEncoder(K.vocabulary_path()), K.HeapCounter(K.vocabulary_path())
+    for t in cjk * 3:
+        list(coder.encode([t.encode()]))
+        counter.count(t.encode())
+    assert not coder.units and not counter.units and coder.chunks_held <= K.CHUNK_BYTES
+
+
+def test_long_texts_in_parts(spark, library, monkeypatch):
+    monkeypatch.setattr(K, "SLICE_BYTES", 500)
+    text = " ".join(real_texts(spark, 20)) + " é日本" * 300
+    n = len(library.encode(text, add_special_tokens=False).ids)
+    counter, coder = K.HeapCounter(K.vocabulary_path(), most=2000), K.ChunkEncoder(K.vocabulary_path(), word_bytes=2000)
+    assert [counter.count(text.encode()) for _ in range(2)] == [n, n] and [x[1] for x in coder.encode([text.encode()] * 2)] == [n, n]
+    assert b"".join(K._parts(text.encode())) == text.encode()
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        K.ChunkEncoder(K.vocabulary_path("byte_bpe_50k.json"))
+    with pytest.raises(ValueError):
+        K.HeapCounter(K.vocabulary_path("byte_bpe_50k.json"))
+
+
+def test_token_edges(spark):
+    empty = documents(spark, [])
+    assert K.encode_documents(empty).count() == K.encode_digests(empty).count() == K.count_tokens(empty).count() == 0
+    rows = documents(spark, ["same", "same", None], [None, 7, 7])
+    none = hashlib.sha256(b"").hexdigest()
+    assert sorted(((r["doc_id"] or 0), r["n_tokens"], r["ids_sha256"] == none) for r in K.encode_digests(rows).collect()) == [(0, 1, False), (7, 0, True), (7, 1, False)]
+    assert sorted(((r["doc_id"] or 0), r["n_bytes"], r["n_tokens"]) for r in K.count_tokens(rows).collect()) == [(0, 4, 1), (7, 0, 0), (7, 4, 1)]
 
 
 def test_cuts_keep_characters():
@@ -358,11 +414,88 @@ def test_license_base_equals_brute_force(spark):
     assert C.scan(documents(spark, [])).count() == 0
 
 
+def expansions(pattern):
+    """All texts that a rule's expression matches: literals, groups of alternatives, optional parts and classes."""
+
+    def alternatives(at):
+        out, now = [], [""]
+        while at < len(pattern) and pattern[at] != ")":
+            c = pattern[at]
+            if c == "|":
+                out, now, at = out + now, [""], at + 1
+                continue
+            if pattern.startswith("(?:", at):
+                got, at = alternatives(at + 3)
+                at += 1
+            elif c == "[":
+                end = pattern.index("]", at)
+                body = pattern[at + 1 : end]
+                got = [chr(x) for x in range(ord(body[0]), ord(body[2]) + 1)] if "-" in body else [*body]
+                at = end + 1
+                if pattern.startswith("{2}", at):
+                    got, at = [x + y for x in got for y in got], at + 3
+            else:
+                got, at = [c], at + 1
+            if pattern.startswith("?", at):
+                got, at = ["", *got], at + 1
+            now = [x + y for x in now for y in got]
+        return out + now, at
+
+    return alternatives(0)[0]
+
+
+def test_license_filters_lose_no_match():
+    for r in C.rules():
+        keys = r.keyword.split("|")
+        assert all(any(f" {g}" in f" {k}" for g in C.GATE) for k in keys), r
+        every = expansions(r.pattern)
+        assert all(re.fullmatch(r.pattern, x) for x in every[:50])
+        missed = [x for x in every if not any(f" {k}" in f" {x}" for k in keys)]
+        assert not missed, (r, missed[:3])
+        assert all(x == x.strip() and "  " not in x for x in every), r
+
+
+def license_labels(text):
+    """Every rule over the whole text, then containment and priority, pair by pair."""
+    w = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(_LOW))) + " "
+    spans = {(m.start(), m.end(), r.priority, r.label, r.weight) for r in C.rules() for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", w)}
+    best = {}
+    for s in sorted(spans, key=lambda s: (-s[2], s[3], s[4])):
+        best.setdefault(s[:2], s)
+    alone = [s for s in best.values() if not any(o[0] <= s[0] and s[1] <= o[1] and o[:2] != s[:2] for o in best)]
+    kept = []
+    for s in sorted(alone, key=lambda s: (-s[2], s[0])):
+        if not any(k[0] < s[1] and s[0] < k[1] for k in kept):
+            kept.append(s)
+    base = license_base(text)[4]
+    labels = sorted({x for x in base.split(",") if x} | {s[3] for s in kept})
+    return ",".join(labels), 1.0 if base else max([s[4] for s in kept], default=0.0)
+
+
+def license_texts(spark):
+    rng = random.Random(9)
+    every = [x for r in C.rules() for x in expansions(r.pattern)]
+    texts = [rng.choice(every).title() for _ in range(250)]
+    texts += [", ".join(rng.choice(["the", "this file is", "distributed", "mit dem Hund", "gnu", "license"]) + " " + rng.choice(every) for _ in range(rng.randrange(2, 7))) for _ in range(250)]
+    words = sorted({w for x in every for w in x.split()})
+    texts += [" ".join(rng.choice(words) for _ in range(40)) for _ in range(150)]
+    return [*ODD, *texts, "word " * 30_000 + "under the WTFPL", *real_texts(spark, 200)]
+
+
+def test_license_labels_equal_brute_force(spark):
+    texts = license_texts(spark)
+    got = by_id(C.scan(documents(spark, texts)), "labels", "score")
+    want = {k: license_labels(t) for k, t in enumerate(texts)}
+    assert {k: (got[k], want[k], texts[k][:300]) for k in got if got[k] != want[k]} == {}
+    assert len({x for v, _ in want.values() for x in v.split(",")}) > 60
+
+
 @pytest.mark.parametrize(
     ("text", "labels"),
     [
         ("Licensed under the GNU General Public License, version 3.", "gpl-3"), ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc,cc-by-nc-sa"), ("SPDX-License-Identifier: MPL-2.0", "mpl-2.0"), ("All rights reserved.", "all-rights-reserved"),
         ("die Lizenz mit dem Hund", ""), ("the Apache tribe", ""), ("BSD 3-Clause License; Copyright (c) 2020", "bsd-3-clause,copyright"), ("", ""), (None, ""),
+        ("Distributed under the WTFPL", "wtfpl"), ("released under EUPL version 1.2 terms", "eupl-1.2"), ("distributed under the BSD 3-clause terms", "bsd-3-clause"), ("available under the MPL 2.0", "mpl-2.0"),
     ],
 )
 def test_license_rules(spark, text, labels):
@@ -370,9 +503,18 @@ def test_license_rules(spark, text, labels):
     assert r["labels"] == labels and 0 <= r["score"] <= 1
 
 
+def test_license_priority_goes_both_ways(spark):
+    def kept(*spans):
+        rows = spark.createDataFrame([([(b, -e, -p, f"{b}-{e}", 1.0) for b, e, p in spans],)], f"x {C._SPAN}")
+        return sorted(s["label"] for s in rows.select(C._resolve(F.col("x")).alias("k")).first()["k"])
+
+    assert kept((0, 10, 50), (5, 20, 90)) == ["5-20"] and kept((0, 10, 90), (5, 20, 50)) == ["0-10"]
+    assert kept((0, 20, 50), (5, 15, 90)) == ["0-20"] and kept((0, 10, 50), (5, 20, 50)) == ["0-10"]
+
+
 def test_license_plan_is_native(spark):
     plan = C.op9_license_scan(spark, SF)._jdf.queryExecution().toString()
-    assert not re.search("Python|Arrow|Pandas|Exchange", plan) and len(C.rules()) > 200
+    assert not re.search("Python|Arrow|Pandas|Exchange", plan) and len(C.rules()) > 200 and len(set(C.rules())) == len(C.rules())
 
 
 def test_embeddings_equal_brute_force(spark):
