@@ -10,16 +10,18 @@ from quillon.session import local_session
 
 
 def extract(a) -> None:
-    from quillon.operators.hops import hop
+    from quillon.operators.hops import hop, with_schema
     from quillon.sources.rdf import graph_of, read_rdf
 
     spark = local_session("extract")
-    g = graph_of(read_rdf(spark, a.input))
+    g = graph_of(read_rdf(spark, a.input, a.recursive))
     for k in range(1, a.hops + 1):
-        hop(g, k).write.mode("overwrite").partitionBy("x").parquet(f"{a.output}/{k}hop")
+        rows = hop(g, k)
+        (with_schema(g, rows) if a.with_schema else rows).write.mode("overwrite").parquet(f"{a.output}/{k}hop")
 
 
 def reason(a) -> None:
+    """Entails, explains and asks; an inconsistent ontology gives its clashes and nothing else (FLT-15)."""
     from quillon.operators import explain as X
     from quillon.operators import questions as Q
     from quillon.operators import reasoning as R
@@ -29,21 +31,26 @@ def reason(a) -> None:
     from quillon.sources.text import write_questions
 
     spark = local_session("reason")
-    g = graph_of(read_rdf(spark, a.input))
-    m = R.materialize(g, existentials=a.existentials)
-    f = X.Facts(g, g.types, g.relations, settle(R.named_types(g, m.types).select("s", "c")), settle(m.relations.select("s", "p", "o")))
+    g = graph_of(read_rdf(spark, a.input, a.recursive))
+    m = R.materialize(g, existentials=a.existentials, equality=not a.no_equality)
+    found = settle(R.clashes(m, m.types, m.relations, m.same))
+    if not found.isEmpty():
+        found.write.mode("overwrite").json(f"{a.output}/clashes")
+        print(f"inconsistent ontology: {a.input}; see {a.output}/clashes")
+        return
+    f = X.Facts(g, g.types, g.relations, settle(R.named_types(g, m.types).select("s", "c")), settle(R.named_relations(m.relations.select("s", "p", "o"))))
     paths = settle(T.with_tags(X.deduplicate(X.explain_all(f))))
     paths.write.mode("overwrite").parquet(f"{a.output}/explanations")
     write_questions(Q.ask(Q.inferences(f)).unionByName(Q.select_(Q.inferences(f))), f"{a.output}/questions", "overwrite")
 
 
 def sample(a) -> None:
-    from quillon.operators.stats import strata, stratified_keep
+    from quillon.operators.stats import sampled_tasks, strata, stratified_keep
     from quillon.sources.text import read_questions, require_columns
 
     spark = local_session("sample")
-    q = require_columns(read_questions(spark, a.input), ["Task ID", "Size of ontology ABox", "Max Tag Length"]).dropDuplicates()
-    stratified_keep(strata(q, "Size of ontology ABox", "Max Tag Length"), "Task ID", a.test_size, a.seed).drop("strata").write.mode("overwrite").option("header", True).csv(a.output)
+    q = sampled_tasks(require_columns(read_questions(spark, a.input), ["Task ID", "Task Type", "Size of ontology ABox", "Max Tag Length"]))
+    stratified_keep(strata(q, "Size of ontology ABox", "Max Tag Length"), "Task ID", a.test_size, a.seed).drop("strata", "task_group").write.mode("overwrite").option("header", True).csv(a.output)
 
 
 def repair(a) -> None:
@@ -64,28 +71,54 @@ def evaluate(a) -> None:
 
 
 def verbalize(a) -> None:
-    from quillon.operators.verbalize import document, individuals
-    from quillon.sources.rdf import graph_of, read_rdf
+    from quillon.operators.verbalize import document, individuals, metadata_json, sections
+    from quillon.sources.rdf import graph_of, labels_of, read_rdf
 
     spark = local_session("verbalize")
-    t = read_rdf(spark, a.input).cache()
+    t = read_rdf(spark, a.input, a.recursive).cache()
     g = graph_of(t)
-    document(a.name, individuals(g.types, g.relations, g.schema), g.schema, t.count()).write.mode("overwrite").text(a.output)
+    from quillon.functions.names import short_form
+
+    labels = labels_of(t).withColumn("entity", short_form(F.col("entity")))
+    people = individuals(g.types, g.relations, g.schema, labels=labels)
+    if a.lines:
+        sections(people, g.schema).write.mode("overwrite").json(a.output)
+    else:
+        document(a.name, people, g.schema, t.count()).write.mode("overwrite").text(a.output)
+    if a.metadata:
+        spark.createDataFrame([(metadata_json(g.schema),)], "value string").coalesce(1).write.mode("overwrite").text(a.metadata)
+
+
+def abstract(a) -> None:
+    """Ontology files with abstract names, and the mapping (ABS-9, ABS-10, SNK-5, SNK-6)."""
+    from quillon.operators import abstraction as B
+    from quillon.sources.rdf import read_rdf
+
+    spark = local_session("abstract")
+    m = B.mapping(B.declared(read_rdf(spark, a.input, a.recursive).where("_error is null"))).cache()
+    files = spark.read.text(a.input, wholetext=True, recursiveFileLookup=a.recursive).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    how = B.prefix_mode(files).first()
+    mode, name = how["mode"], (how["name"] or "").rstrip("#")
+    B.rewrite_turtle(files, "text", m, mode, name).write.mode("overwrite").partitionBy("file").text(f"{a.output}/ontologies")
+    B.mapping_lines(m).write.mode("overwrite").text(f"{a.output}/mapping")
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="quillon")
     sub = p.add_subparsers(required=True)
+    flag = {"action": "store_true"}
     for name, f, extra in (
-        ("extract", extract, [("--hops", {"type": int, "default": 2})]), ("reason", reason, [("--existentials", {"action": "store_true"})]),
-        ("sample", sample, [("--test-size", {"type": float, "default": 0.95}), ("--seed", {"type": int, "default": 42})]), ("repair", repair, [("--validate", {"action": "store_true"})]),
-        ("evaluate", evaluate, []), ("verbalize", verbalize, [("--name", {"default": "ontology"})]),
+        ("extract", extract, [("--hops", {"type": int, "default": 2}), ("--with-schema", flag)]), ("reason", reason, [("--existentials", flag), ("--no-equality", flag)]),
+        ("sample", sample, [("--test-size", {"type": float, "default": 0.95}), ("--seed", {"type": int, "default": 42})]), ("repair", repair, [("--validate", flag)]),
+        ("evaluate", evaluate, []), ("verbalize", verbalize, [("--name", {"default": "ontology"}), ("--lines", flag), ("--metadata", {})]), ("abstract", abstract, []),
     ):
         c = sub.add_parser(name)
         c.add_argument("input")
         c.add_argument("output")
-        for flag, kw in extra:
-            c.add_argument(flag, **kw)
+        if name in ("extract", "reason", "verbalize", "abstract"):
+            c.add_argument("--recursive", action="store_true")
+        for option, kw in extra:
+            c.add_argument(option, **kw)
         c.set_defaults(run=f)
     a = p.parse_args(argv)
     a.run(a)

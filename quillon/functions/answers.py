@@ -158,13 +158,19 @@ def strict_answer_type(c: Column) -> Column:
     return F.when(low.isin("multi choice", "mc", "multichoice"), "MC").when(low.isin("bin", "binary"), "BIN").otherwise(F.raise_error(F.concat(F.lit("unknown answer type: "), F.coalesce(c, F.lit("null")))))
 
 
-_ASK = {"BIN": "TRUE or FALSE, nothing else", "MC": "all local names that answer it, separated by commas"}
+_ASK = {"BIN": "TRUE or FALSE, nothing else", "MC": "all local names that answer it, separated by commas", "OTHER": "your answer in local names"}
+
+
+def clean_kind(c: Column) -> Column:
+    """The kind of a prompt's answer: BIN, MC or, for any other type, OTHER."""
+    low = F.trim(F.lower(c))
+    return F.when(low.isin("multi choice", "mc", "multichoice"), "MC").when(low.isin("bin", "binary"), "BIN").otherwise("OTHER")
 
 
 def prompt(question: Column, context: Column, answer_type: Column, mode: str) -> Column:
     """SCR-15: task, answer form, question and context (at most 10 000 characters of it)."""
-    kind = normal_answer_type(answer_type)
-    form = F.when(kind == "MC", _ASK["MC"]).otherwise(_ASK["BIN"])
+    kind = clean_kind(answer_type)
+    form = F.when(kind == "MC", _ASK["MC"]).when(kind == "BIN", _ASK["BIN"]).otherwise(_ASK["OTHER"])
     task = "Answer the SPARQL query from the Turtle ontology below." if mode == "ttl" else "Answer the question from the statements below; infer what follows from them."
     lines = F.concat(F.lit(f"{task}\nReply in exactly three lines:\nANSWER: ["), form, F.lit("]\nCONFIDENCE: [0.0 to 1.0]\nREASONING_STEPS: [1 to 10]\n\nQuestion: "))
     return F.concat(lines, question, F.lit("\nContext: "), truncated(context, 10_000))

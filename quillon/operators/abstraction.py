@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon.functions.names import namespace
+from quillon.plans.skew import running
 
 BASE = "http://www.example.com/abstracted.owl#"
 # Categories by rank, with the stems of their abstract names.
@@ -59,39 +61,97 @@ def resolve(terms: DataFrame) -> DataFrame:
 def mapping(terms: DataFrame) -> DataFrame:
     """ABS-7: original, category, abstract_name and abstract_uri, numbered by name within a category.
 
-    The vocabulary is numbered by one window for each category; its size is the schema's and the graph's names, and the
-    sort spills.
+    The numbers are running counts over ranges of names, so a category of any size is numbered by all tasks.
     """
-    w = Window.partitionBy("rank").orderBy("term")
     stem = F.coalesce(*[F.when(F.col("rank") == r, F.lit(s)) for r, s in CATEGORIES.values()])
     cat = F.coalesce(*[F.when(F.col("rank") == r, F.lit(c)) for c, (r, _) in CATEGORIES.items()])
-    name = F.concat(stem, F.row_number().over(w).cast("string"))
-    m = resolve(terms).select(F.col("term").alias("original"), cat.alias("category"), name.alias("abstract_name"))
+    name = F.concat(stem, F.col("_n").cast("string"))
+    m = running(resolve(terms), ["rank"], ["term"], "_n").select(F.col("term").alias("original"), cat.alias("category"), name.alias("abstract_name"))
     return m.withColumn("abstract_uri", F.concat(F.lit(BASE), "abstract_name"))
 
 
+#: Words of a text, and every other character alone.
+_TOKENS = r"(?U)\w+|[^\w]"
+
+
+def _free(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have."""
+    out = []
+    for n in names:
+        while n in df.columns:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def rewrite(df: DataFrame, text: str, m: DataFrame) -> DataFrame:
-    """ABS-9 .. ABS-11: whole words of the text by their abstract names; a null text is empty.
+    """ABS-9 .. ABS-11: names in the text by their abstract names; a null text is empty.
 
-    Words are looked up by a join of the distinct words, not by one alternation of all names, and go back into their
-    places within the row; so neither the number of names nor the length of a text bounds it.
+    A name stands where its words and the characters between them stand whole; of names that begin at one place the
+    longest counts.  Names are looked up by a join of the distinct word runs, not by one alternation of all names, and go
+    back into their places within the row; so neither the number of names nor the length of a text bounds it.
     """
-    key = "_row"
-    rows = df.withColumn(text, F.coalesce(text, F.lit(""))).withColumn(key, F.xxhash64(*df.columns))
-    parts = rows.withColumn("_tok", F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w]+"), F.lit(0)))
-    words = parts.select(key, F.explode(F.array_distinct("_tok")).alias("original")).distinct().join(m.select("original", "abstract_name"), "original")
-    found = words.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("original", "abstract_name"))).alias("_map"))
-    out = parts.join(found, key, "left")
-    new = F.array_join(F.transform("_tok", lambda t: F.coalesce(F.try_element_at(F.col("_map"), t), t)), "")
+    most = m.agg(F.max(F.size(F.regexp_extract_all("original", F.lit(_TOKENS), F.lit(0))))).first()[0] or 1
+    row, tok, found_map = _free(df, "_row", "_tok", "_map")
+    rows = df.withColumn(text, F.coalesce(text, F.lit(""))).withColumn(row, F.xxhash64(*df.columns))
+    parts = rows.withColumn(tok, F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)))
+    run = lambda i, k: F.array_join(F.slice(F.col(tok), i + 1, k), "")  # noqa: E731  k tokens from the i-th, from 0
+    sizes = F.array(*[F.lit(k) for k in range(most, 0, -1)])
+    places = F.sequence(F.lit(0), F.size(tok) - 1)
+    runs = F.when(F.size(tok) > 0, F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(sizes, lambda k: run(i, k))))))
+    words = parts.select(row, F.explode(runs).alias("original")).distinct().join(m.select("original", "abstract_name"), "original")
+    found = words.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("original", "abstract_name"))).alias(found_map))
+    out = parts.join(found, row, "left")
+    start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("said"))
+
+    def step(acc: Column, i: Column) -> Column:
+        hit = F.get(F.filter(sizes, lambda k: F.map_contains_key(F.col(found_map), run(i, k)) & (F.size(F.slice(F.col(tok), i + 1, k)) == k)), F.lit(0))
+        said = F.coalesce(F.try_element_at(F.col(found_map), run(i, F.coalesce(hit, F.lit(1)))), run(i, F.lit(1)))
+        return F.when(acc["skip"] > 0, F.struct((acc["skip"] - 1).alias("skip"), acc["said"].alias("said"))).otherwise(F.struct((F.coalesce(hit, F.lit(1)) - 1).alias("skip"), F.concat(acc["said"], F.array(said)).alias("said")))
+
+    new = F.when(F.col(found_map).isNull(), F.col(text)).otherwise(F.array_join(F.aggregate(places, start, step)["said"], ""))
     return out.withColumn(text, new).select(*df.columns)
 
 
+def rewrite_turtle(files: DataFrame, text: str, m: DataFrame, mode: str, name: str) -> DataFrame:
+    """ABS-9, ABS-10 on ontology files (a row a file): the own names of a Turtle text by their abstract IRIs.
+
+    mode uri: ``<name#local>`` and comments ``### name#local``; mode prefix: whole ``name:local``; with another mode (no
+    namespace is common) nothing changes.  Names without a mapping stay.
+    """
+    if mode not in ("uri", "prefix"):
+        return files
+    row, tok, found_map = _free(files, "_row", "_tok", "_map")
+    own = re.escape(name)
+    pieces = rf"<{own}#[^<>\s]+>|###\s+{own}#[^\s]+" if mode == "uri" else rf"(?<![\w<:/]){own}:[\w\-]+"
+    pattern = F.lit(rf"(?s){pieces}|.+?(?={pieces}|\z)")
+    rows = files.withColumn(text, F.coalesce(text, F.lit(""))).withColumn(row, F.xxhash64(*files.columns))
+    parts = rows.withColumn(tok, F.regexp_extract_all(text, pattern, F.lit(0)))
+    whole = rf"(?s)^(?:<|###\s+)?{own}[#:]([^>\s]+)>?$"
+    local = lambda t: F.regexp_extract(t, whole, 1)
+    words = parts.select(row, F.explode(F.array_distinct(F.transform(tok, local))).alias("original")).distinct().join(m.select("original", "abstract_uri"), "original")
+    found = words.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("original", "abstract_uri"))).alias(found_map))
+
+    def said(t: Column) -> Column:
+        iri = F.try_element_at(F.col(found_map), local(t))
+        return F.when(iri.isNull() | (local(t) == ""), t).when(t.startswith("###"), F.concat(F.lit("###  "), iri)).otherwise(F.concat(F.lit("<"), iri, F.lit(">")))
+
+    return parts.join(found, row, "left").withColumn(text, F.array_join(F.transform(tok, said), "")).select(*files.columns)
+
+
 def missed(all_terms: DataFrame, typed: DataFrame) -> DataFrame:
     """JN-12: terms that no declaration types."""
     return all_terms.join(typed, "term", "left_anti")
 
 
+# The sections of a mapping file, by category.
+SECTIONS = {"class": "CLASSES", "object_property": "OBJECT PROPERTIES", "data_property": "DATA PROPERTIES", "individual": "INDIVIDUALS"}
+
+
 def mapping_lines(m: DataFrame) -> DataFrame:
-    """SNK-6: the lines of a mapping file, by category and name."""
+    """SNK-6: the lines of a mapping file: a head for each category that has names, then its names in order."""
     rank = F.coalesce(*[F.when(F.col("category") == c, F.lit(r)) for c, (r, _) in CATEGORIES.items()])
-    return m.select(rank.alias("rank"), "original", F.concat("original", F.lit(" -> <"), "abstract_uri", F.lit(">")).alias("line")).orderBy("rank", "original").select("line")
+    title = F.coalesce(*[F.when(F.col("category") == c, F.lit(f"=== {t} ===")) for c, t in SECTIONS.items()])
+    heads = m.groupBy("category").agg(F.count("*")).select(rank.alias("rank"), F.lit(0).alias("k"), F.lit("").alias("original"), title.alias("line"))
+    names = m.select(rank.alias("rank"), F.lit(1).alias("k"), "original", F.concat("original", F.lit(" -> <"), "abstract_uri", F.lit(">")).alias("line"))
+    return heads.unionByName(names).orderBy("rank", "k", "original").select("line")

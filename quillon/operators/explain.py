@@ -504,10 +504,16 @@ def signature(kind: Column, axioms: Column) -> Column:
 
 
 def deduplicate(paths: DataFrame) -> DataFrame:
-    """EXP-41: one path of each target and signature: the longer description, then more axioms, then the smaller text."""
+    """EXP-41: one path of each target and signature: the longer description, then more axioms, then the smaller text.
+
+    One aggregate with map-side combine; no group of paths is sorted.
+    """
     rows = paths.withColumn("signature", signature(c("type"), c("axioms"))).withColumn("description", F.array_join("justifications", "; "))
-    w = Window.partitionBy("s", "p", "o", "signature").orderBy(F.length("description").desc(), F.size("axioms").desc(), F.col("description"), F.col("strategy"))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    keys = ["s", "p", "o", "signature"]
+    order = [(-F.length("description")).alias("_a"), (-F.size("axioms")).alias("_b"), F.col("description"), F.col("strategy")]
+    rest = [n for n in rows.columns if n not in (*keys, "description", "strategy")]
+    best = rows.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("m"))
+    return best.select(*[F.col(n) if n in keys else F.col(f"m.{n}").alias(n) for n in rows.columns])
 
 
 def justification_list(said: Column, axioms: Column, description: Column) -> Column:

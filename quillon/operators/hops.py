@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.model import THING, Graph
+from quillon.operators.reasoning import apart_groups
 from quillon.plans.lineage import settle
 
 
@@ -37,22 +38,47 @@ def hop(g: Graph, k: int, start: Column | None = None) -> DataFrame:
 
 
 def neighbours(g: Graph) -> DataFrame:
-    """JN-4: (s, o) in both directions."""
+    """JN-4: (s, o) in both directions, of relations and of asserted equalities."""
     e = g.relations.select("s", "o")
+    if g.same is not None:
+        e = e.unionByName(g.same.select(F.col("a").alias("s"), F.col("b").alias("o")))
     return e.unionByName(e.select(F.col("o").alias("s"), F.col("s").alias("o"))).distinct()
 
 
 def reach(g: Graph, start: DataFrame, k: int) -> DataFrame:
-    """JN-3: (x, y) for y within k steps of x, breadth first; each step joins only the last frontier."""
-    edge = neighbours(g)
+    """JN-3: (x, y) for y within k steps of x, breadth first; each step joins only the last frontier.
+
+    The members of an axiom of different individuals are one step apart; a step goes over the axiom, so an axiom of n
+    individuals costs n rows and not its pairs.
+    """
+    edge, apart = neighbours(g), apart_groups(g)
     seen = start.select("x", F.col("x").alias("y"))
     front = seen
     for _ in range(k):
-        front = settle(front.join(edge, front["y"] == edge["s"]).select("x", F.col("o").alias("y")).distinct().join(seen, ["x", "y"], "left_anti"))
+        step = front.join(edge, front["y"] == edge["s"]).select("x", F.col("o").alias("y"))
+        if apart is not None:
+            by = front.join(apart, front["y"] == apart["s"]).select("x", "axiom").distinct()
+            step = step.unionByName(by.join(apart, "axiom").select("x", F.col("s").alias("y")))
+        front = settle(step.distinct().join(seen, ["x", "y"], "left_anti"))
         seen = seen.unionByName(front)
     return seen
 
 
+def schema_axioms(g: Graph) -> list[str]:
+    """The texts of all axioms without individuals (JN-5: every module holds them)."""
+    s = g.schema
+    named = (("SubClassOf", s.subclass), ("EquivalentTo", s.equivalent), ("DisjointWith", s.disjoint), ("SubPropertyOf", s.subproperty), ("EquivalentProperty", s.equivalent_property), ("DisjointProperty", s.disjoint_property), ("InverseOf", s.inverse), ("Domain", s.domain), ("Range", s.range))
+    kinds = (("Symmetric", s.symmetric), ("Transitive", s.transitive), ("Functional", s.functional), ("InverseFunctional", s.inverse_functional), ("Reflexive", s.reflexive), ("Irreflexive", s.irreflexive), ("Asymmetric", s.asymmetric))
+    out = [f"{kind}|{a}|{b}" for kind, rows in named for a, b in rows] + [f"{kind}|{p}" for kind, rows in kinds for p in rows]
+    return sorted({*out, *(f"PropertyChain|{' o '.join(links)}|{t}" for links, t in s.chains), *(f"HasKey|{c}|{','.join(ps)}" for c, ps in s.keys)})
+
+
+def with_schema(g: Graph, modules: DataFrame) -> DataFrame:
+    """JN-5: modules (x, axiom) with the schema's axioms in each; the schema is a bounded, broadcast table."""
+    every = g.small([(a,) for a in schema_axioms(g)], "axiom string")
+    return modules.select("x", "axiom").unionByName(modules.select("x").distinct().crossJoin(every))
+
+
 def module(g: Graph, k: int, start: DataFrame) -> DataFrame:
     """(x, axiom) of modules of any radius: axioms all of whose individuals are within k steps of x (FLT-3)."""
     near = reach(g, start, k)
@@ -61,6 +87,11 @@ def module(g: Graph, k: int, start: DataFrame) -> DataFrame:
     return hit.join(size, "axiom").where("m = n").select("x", "axiom")
 
 
+def totals(sized: DataFrame) -> DataFrame:
+    """AGG-2: (kind, n, mean) over many ontologies' sizes (graph_id, kind, n)."""
+    return sized.groupBy("kind").agg(F.sum("n").cast("bigint").alias("n"), F.round(F.avg("n"), 4).alias("mean"))
+
+
 def sizes(g: Graph) -> DataFrame:
     """Numbers of individuals, named classes (without Thing) and properties."""
     s = g.schema

@@ -19,7 +19,8 @@ THING = "Thing"
 
 @dataclass(frozen=True)
 class Expression:
-    """An anonymous class: kind ``and``/``or`` over operands, or ``some``/``all``/``self``/``max``/``not`` on a property."""
+    """An anonymous class: ``and``/``or``/``not`` over operands, or ``some``/``all``/``self``/``value`` or a bound
+    (``min``/``max``/``exact`` of ``n``) on a property; the filler of ``value`` is an individual."""
 
     kind: str
     operands: tuple[str, ...] = ()
@@ -51,6 +52,8 @@ class Schema:
     chains: list[tuple[tuple[str, ...], str]] = field(default_factory=list)
     keys: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
     expressions: dict[str, Expression] = field(default_factory=dict)
+    #: Groups of individuals that are asserted to be pairwise different, by the node of their axiom.
+    all_different: list[tuple[str, str]] = field(default_factory=list)
 
     def named(self, c: str) -> bool:
         return c not in self.expressions
@@ -110,9 +113,13 @@ def _plain(value, kind: pa.DataType):
 
 @dataclass
 class Graph:
+    """Facts and schema; ``same`` has asserted equalities (a, b), ``different`` members of groups (axiom, s) all apart."""
+
     types: DataFrame
     relations: DataFrame
     schema: Schema
+    same: DataFrame | None = None
+    different: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:

@@ -7,8 +7,10 @@ transitivity, chains, equalities and class expressions iterate over facts, on th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,16 @@ from quillon.operators.model import THING, Graph, Schema, closed
 from quillon.plans.lineage import settle
 
 REL, TYP = ("s", "p", "o"), ("s", "c")
-ROUNDS = 25
+#: A fixpoint that has not ended after so many rounds is a fault; known rows are rewritten as one table every COMPACT rounds.
+GUARD, COMPACT = 100_000, 8
+
+
+def rounds(what: str) -> Iterator[int]:
+    """Round numbers until the caller's fixpoint ends; an error instead of a silent stop."""
+    for k in count():
+        if k >= GUARD:
+            raise RuntimeError(f"{what} did not end after {GUARD} rounds")
+        yield k
 
 
 def union(parts: list[DataFrame], columns) -> DataFrame:
@@ -63,23 +74,33 @@ def transitive_closure(g: Graph, rel: DataFrame) -> DataFrame:
     """RSN-7: all facts of transitive properties, by semi-naive rounds; cycles end as no row is new."""
     known = settle(rel.where(F.col("p").isin(g.schema.transitive)).select(*REL).distinct())
     new = known
-    for _ in range(ROUNDS * 4):
+    for k in rounds("a transitive closure"):
         new = settle(transitive_step(g, new, known).distinct().join(known, list(REL), "left_anti"))
         if new.isEmpty():
             return known
-        known = known.unionByName(new)
-    raise RuntimeError("a transitive closure did not end")
+        known = _grown(known, new, k)
+
+
+def _grown(known: DataFrame, new: DataFrame, k: int) -> DataFrame:
+    """Known rows and the new ones; as one table every COMPACT rounds, so that plans do not widen with the rounds."""
+    both = known.unionByName(new)
+    return settle(both) if k % COMPACT == COMPACT - 1 else both
 
 
-def chain(g: Graph, rel: DataFrame) -> DataFrame:
-    """RSN-8: property chains of any length, as left-deep equi-joins."""
+def chain(g: Graph, rel: DataFrame, new: DataFrame | None = None) -> DataFrame:
+    """RSN-8: property chains of any length, as left-deep equi-joins.
+
+    With ``new`` (a part of ``rel``) only paths with a new fact: each link in turn is taken from it.
+    """
     out = []
     for links, target in g.schema.chains:
-        path = rel.where(F.col("p") == links[0]).select("s", F.col("o").alias("_at"))
-        for link in links[1:]:
-            nxt = rel.where(F.col("p") == link).select(F.col("s").alias("_at"), F.col("o").alias("_to"))
-            path = path.join(nxt, "_at").select("s", F.col("_to").alias("_at"))
-        out.append(path.select("s", F.lit(target).alias("p"), F.col("_at").alias("o")).distinct())
+        for turn in range(1 if new is None else len(links)):
+            of = [new if new is not None and k == turn else rel for k in range(len(links))]
+            path = of[0].where(F.col("p") == links[0]).select("s", F.col("o").alias("_at"))
+            for link, rows in zip(links[1:], of[1:], strict=True):
+                nxt = rows.where(F.col("p") == link).select(F.col("s").alias("_at"), F.col("o").alias("_to"))
+                path = path.join(nxt, "_at").select("s", F.col("_to").alias("_at"))
+            out.append(path.select("s", F.lit(target).alias("p"), F.col("_at").alias("o")).distinct())
     return union(out, REL) if out else rel.select(*REL).limit(0)
 
 
@@ -143,6 +164,18 @@ def has_self(g: Graph, rel: DataFrame) -> DataFrame:
     return rel.where("s = o").join(g.small([(k, p) for k, p, _ in _expressions(g, "self")], "x string, p string"), "p").select("s", F.col("x").alias("c")).distinct()
 
 
+def has_value(g: Graph, rel: DataFrame) -> DataFrame:
+    """x P v puts x into (value P v)."""
+    t = g.small(_expressions(g, "value"), "x string, p string, o string")
+    return rel.join(t, ["p", "o"]).select("s", F.col("x").alias("c")).distinct()
+
+
+def value_facts(g: Graph, typ: DataFrame) -> DataFrame:
+    """x in (value P v) gives x P v."""
+    t = g.small(_expressions(g, "value"), "x string, p string, o string")
+    return typ.join(t, F.col("c") == F.col("x")).select("s", "p", "o").distinct()
+
+
 # -- equality ----------------------------------------------------------------------------------------------------------
 
 
@@ -162,8 +195,8 @@ def _to_least(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def max_one_same(g: Graph, typ: DataFrame, rel: DataFrame) -> DataFrame:
-    """RSN-17: values of P of type F are equal for members of (max 1 P F); larger bounds derive nothing in RL."""
-    rows = [(k, e.prop, e.filler or THING) for k, e in g.schema.expressions.items() if e.kind == "max" and e.n == 1]
+    """RSN-17: values of P of type F are equal for members of (max or exactly 1 P F); larger bounds derive nothing in RL."""
+    rows = [(k, e.prop, e.filler or THING) for k, e in g.schema.expressions.items() if e.kind in ("max", "exact") and e.n == 1]
     t = typ.join(g.small(rows, "x string, p string, f string"), F.col("c") == F.col("x")).select("s", "p", "f", "x")
     v = t.join(rel, ["s", "p"])
     typed = v.where(F.col("f") != THING).join(typ.select(F.col("s").alias("o"), F.col("c").alias("f")), ["o", "f"])
@@ -186,7 +219,7 @@ def representatives(pairs: DataFrame) -> DataFrame:
     """(s, r): every individual of an equality and the smallest one equal to it, by rounds of minima over edges."""
     edges = settle(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = settle(edges.select(F.col("a").alias("s")).distinct().select("s", F.col("s").alias("r")))
-    for _ in range(ROUNDS * 4):
+    for _ in rounds("equalities"):
         low = edges.join(label, F.col("b") == F.col("s")).groupBy("a").agg(F.min("r").alias("m"))
         new = settle(label.join(low, F.col("s") == F.col("a")).select("s", F.least("r", "m").alias("r")))
         # Pointers double: a label's own label is never larger.
@@ -194,7 +227,6 @@ def representatives(pairs: DataFrame) -> DataFrame:
         if new.join(label, ["s", "r"], "left_anti").isEmpty():
             return new
         label = new
-    raise RuntimeError("equalities did not settle")
 
 
 def substitute_same(rows: DataFrame, reps: DataFrame, columns: list[str]) -> DataFrame:
@@ -204,6 +236,13 @@ def substitute_same(rows: DataFrame, reps: DataFrame, columns: list[str]) -> Dat
     return rows.distinct()
 
 
+def expand_same(rows: DataFrame, reps: DataFrame, columns: list[str]) -> DataFrame:
+    """RSN-11, the way back: a fact of a representative holds for every individual equal to it."""
+    for c in columns:
+        rows = rows.join(reps.select(F.col("s").alias("_s"), F.col("r").alias("_r")), F.col(c) == F.col("_r"), "left").withColumn(c, F.coalesce("_s", c)).drop("_s", "_r")
+    return rows.distinct()
+
+
 # -- existentials ------------------------------------------------------------------------------------------------------
 
 
@@ -221,26 +260,68 @@ def skolems(g: Graph, typ: DataFrame, rel: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def materialize(g: Graph, existentials: bool = False, equality: bool = False) -> Graph:
-    """All entailed types and relations (RSN-0 .. RSN-19), semi-naive; anonymous classes stay in ``types`` by their ids.
+    """All entailed types and relations (RSN-0 .. RSN-19); anonymous classes stay in ``types`` by their ids.
 
-    Each round joins only last round's new rows with what is known, drops known rows by anti-join and settles
-    the result in the shared folder, so that lineage stays short and a lost executor repeats one round at most.
+    With ``equality`` equal individuals share all facts: facts are derived for the smallest of each set of equals, new
+    equalities are sought among what was derived until there are none, and the result is expanded to all of them; its
+    ``same`` has (a, b) for each individual a and its smallest equal b.
     """
-    s = g.schema
     base_rel, base_typ = g.relations.select(*REL), g.types.select(*TYP)
     if existentials:
-        first = materialize(replace(g), existentials=False, equality=equality)
+        first = materialize(g, existentials=False, equality=equality)
         more_rel, more_typ = skolems(g, first.types, first.relations)
         base_rel, base_typ = base_rel.unionByName(settle(more_rel)), base_typ.unionByName(settle(more_typ))
+    out = _saturated(replace(g, types=base_typ, relations=base_rel))
+    if not equality:
+        return out
+    pairs = [] if g.same is None else [g.same.select("a", "b")]
+    reps = None
+    for _ in rounds("equalities"):
+        found = union([*pairs, functional_same(g, out.relations), max_one_same(g, out.types, out.relations), key_same(g, out.types, out.relations)], ["a", "b"]).where("a <> b")
+        found = settle(found.distinct())
+        if found.isEmpty():
+            break
+        # Former equals stay equal: their pairs with their representatives join the new ones.
+        earlier = [] if reps is None else [reps.select(F.col("s").alias("a"), F.col("r").alias("b"))]
+        reps = representatives(union([found, *earlier], ["a", "b"]))
+        pairs = []
+        out = _saturated(replace(g, types=substitute_same(base_typ, reps, ["s"]), relations=substitute_same(base_rel, reps, ["s", "o"])))
+    if reps is None:
+        return out
+    same = reps.select(F.col("s").alias("a"), F.col("r").alias("b"))
+    return replace(out, types=settle(expand_same(out.types.select(*TYP), reps, ["s"])), relations=settle(expand_same(out.relations.select(*REL), reps, ["s", "o"])), same=same)
+
+
+def _saturated(g: Graph) -> Graph:
+    """Entailments without equality.  Facts by ``value`` expressions may feed new relations; then all starts from these, too."""
+    out = _derived(g)
+    for _ in rounds("value restrictions"):
+        if not any(e.kind == "value" for e in g.schema.expressions.values()):
+            return out
+        more = settle(value_facts(g, out.types).join(out.relations, list(REL), "left_anti"))
+        if more.isEmpty():
+            return out
+        g = replace(g, relations=g.relations.select(*REL).unionByName(more))
+        out = _derived(g)
+
+
+def _derived(g: Graph) -> Graph:
+    """Relations first, then types, each by semi-naive rounds.
+
+    A round joins only the last round's new rows with what is known, drops known rows by anti-join and settles the
+    result in the shared folder, so that lineage stays short and a lost executor repeats one round at most.
+    """
+    s = g.schema
+    base_rel, base_typ = g.relations.select(*REL), g.types.select(*TYP)
     # Properties of no chain, step or transitive axiom derive no relation: their facts are read once and not iterated.
     active = {p for p, _, _ in s.property_steps()} | {p for links, _ in s.chains for p in links} | set(s.transitive)
     moving = base_rel.where(F.col("p").isin(sorted(active)))
     known = settle(moving.unionByName(apply_property_steps(g, moving)).distinct())
     new = known
-    for _ in range(ROUNDS):
+    for k in rounds("relations"):
         made = [transitive_step(g, new, known)] if s.transitive else []
         if s.chains:
-            made.append(chain(g, known))
+            made.append(chain(g, known, new if k else None))
         if not made:
             break
         made = union(made, REL)
@@ -248,7 +329,7 @@ def materialize(g: Graph, existentials: bool = False, equality: bool = False) ->
         new = settle(made.distinct().join(known, list(REL), "left_anti"))
         if new.isEmpty():
             break
-        known = known.unionByName(new)
+        known = _grown(known, new, k)
     rel = base_rel.where(~F.col("p").isin(sorted(active))).unionByName(known)
     if s.reflexive:
         people = base_typ.select("s").unionByName(rel.select("s")).unionByName(rel.select(F.col("o").alias("s"))).distinct()
@@ -264,7 +345,7 @@ def materialize(g: Graph, existentials: bool = False, equality: bool = False) ->
     used = sorted({e.prop for e in s.expressions.values() if e.prop})
     near = settle(rel.where(F.col("p").isin(used))) if used else rel  # relations are complete here, only these matter to expressions
     fresh = typ
-    for turn in range(ROUNDS):
+    for turn in rounds("types"):
         made = []
         if "or" in kinds:
             made.append(union_of(g, fresh))
@@ -275,8 +356,9 @@ def materialize(g: Graph, existentials: bool = False, equality: bool = False) ->
             made.append(some_values(g, fresh, near))
         if "all" in kinds:
             made.append(all_values(g, fresh, near))
-        if "self" in kinds and turn == 0:
-            made.append(has_self(g, near))
+        if turn == 0:
+            made += [has_self(g, near)] if "self" in kinds else []
+            made += [has_value(g, near)] if "value" in kinds else []
         if not made:
             break
         made = union(made, TYP)
@@ -284,15 +366,8 @@ def materialize(g: Graph, existentials: bool = False, equality: bool = False) ->
         fresh = settle(made.distinct().join(typ, list(TYP), "left_anti"))
         if fresh.isEmpty():
             break
-        typ = typ.unionByName(fresh)
-    out = Graph(typ, rel, s)
-    if equality:
-        pairs = union([functional_same(g, rel), max_one_same(g, typ, rel), key_same(g, typ, rel)], ["a", "b"])
-        reps = representatives(pairs)
-        if not reps.isEmpty():
-            merged = Graph(substitute_same(g.types, reps, ["s"]), substitute_same(g.relations, reps, ["s", "o"]), s)
-            return materialize(merged, existentials)
-    return out
+        typ = _grown(typ, fresh, turn)
+    return replace(g, types=typ, relations=rel)
 
 
 def named_types(g: Graph, typ: DataFrame) -> DataFrame:
@@ -314,8 +389,12 @@ def is_entailed(typ: DataFrame, rel: DataFrame, facts: DataFrame) -> DataFrame:
 # -- clashes -----------------------------------------------------------------------------------------------------------
 
 
-def clashes(g: Graph, typ: DataFrame, rel: DataFrame, different: DataFrame | None = None, same: DataFrame | None = None) -> DataFrame:
-    """RSN-20: (rule, a, b) of every contradiction found; an empty result means that no clash rule fires."""
+def clashes(g: Graph, typ: DataFrame, rel: DataFrame, same: DataFrame | None = None) -> DataFrame:
+    """RSN-20: (rule, a, b) of every contradiction found; an empty result means that no clash rule fires.
+
+    same has (a, b) for an individual and its smallest equal (``materialize`` gives it); individuals that an axiom of
+    ``g.different`` or of the schema tells apart must not share one.  A group of n is never written as its pairs.
+    """
     s, out = g.schema, []
     spark = g.spark
     empty = spark.createDataFrame([], "rule string, a string, b string")
@@ -332,11 +411,31 @@ def clashes(g: Graph, typ: DataFrame, rel: DataFrame, different: DataFrame | Non
     if s.asymmetric:
         a = rel.where(F.col("p").isin(s.asymmetric))
         out.append(a.join(a.select(F.col("o").alias("s"), "p", F.col("s").alias("o")), list(REL)).select(F.lit("asymmetric").alias("rule"), F.col("s").alias("a"), F.col("o").alias("b")))
-    if different is not None and same is not None:
-        out.append(same.join(different, ["a", "b"], "left_semi").select(F.lit("same_and_different").alias("rule"), "a", "b"))
+    apart = apart_groups(g)
+    if same is not None and apart is not None:
+        placed = apart.join(same.select(F.col("a").alias("s"), F.col("b").alias("r")), "s", "left").withColumn("r", F.coalesce("r", "s"))
+        met = placed.groupBy("axiom", "r").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b")
+        out.append(met.select(F.lit("same_and_different").alias("rule"), "a", "b"))
     return union(out, ["rule", "a", "b"]).distinct() if out else empty
 
 
+def apart_groups(g: Graph) -> DataFrame | None:
+    """(axiom, s) of individuals told apart, by asserted pairs and by the schema's groups; None if there are none."""
+    parts = [] if g.different is None else [g.different.select("axiom", "s")]
+    parts += [g.small(g.schema.all_different, "axiom string, s string")] if g.schema.all_different else []
+    return union(parts, ["axiom", "s"]).distinct() if parts else None
+
+
+def is_consistent(g: Graph, typ: DataFrame, rel: DataFrame, same: DataFrame | None = None) -> bool:
+    """Whether no clash rule fires."""
+    return clashes(g, typ, rel, same).isEmpty()
+
+
+def keep_consistent(rows: DataFrame, found: DataFrame, graph: str = "graph_id") -> DataFrame:
+    """FLT-15: rows of the graphs in which no clash was found; ``found`` has the graph of every clash."""
+    return rows.join(found.select(graph).distinct(), graph, "left_anti")
+
+
 def tbox_closure(schema: Schema) -> list[tuple[str, str]]:
     """RSN-22: the named class hierarchy, closed."""
     return sorted((a, b) for a, b in closed(schema.class_edges()) if a != b and schema.named(a) and schema.named(b))

@@ -20,25 +20,76 @@ def score(rows: DataFrame) -> DataFrame:
     return rows.withColumn("calibration", A.calibration(F.col("confidence"), F.col("jaccard"))).withColumn("hallucination", A.hallucination_rate(a, F.col("expected"), F.col("context"), F.col("answer_type")))
 
 
-def _summary() -> list[Column]:
-    j = F.col("jaccard")
-    share = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return [
-        F.count("*").alias("n"), F.round(F.avg(j), 6).alias("accuracy"), F.round(F.stddev_pop(j), 6).alias("accuracy_std"), F.count_if(j == 1).alias("perfect"), F.count_if((j > 0) & (j < 1)).alias("partial"),
-        F.count_if(j == 0).alias("wrong"), share(j == 1).alias("perfect_rate"), F.round(F.avg("calibration"), 6).alias("calibration"), F.round(F.avg("hallucination"), 6).alias("hallucination"),
+#: A response is well calibrated, or clean of made-up names, from these scores on; below SEVERE it is severely off.
+CALIBRATED, CLEAN, SEVERE = 0.7, 0.7, 0.3
+
+
+def _spread(name: str, value: str | Column) -> list[Column]:
+    return [F.round(F.avg(value), 6).alias(name), F.round(F.stddev_pop(value), 6).alias(f"{name}_std")]
+
+
+def _share(c: Column) -> Column:
+    return F.round(F.avg(c.cast("double")), 6)
+
+
+def _summary(columns: list[str]) -> list[Column]:
+    """Figures of scored rows; those of response_time, token_count and inference_count where the columns are there."""
+    j, h = F.col("jaccard"), F.col("hallucination")
+    partial = (F.col("answer_type") != "BIN") & (j > 0) & (j < 1)
+    out = [
+        F.count("*").alias("n"), *_spread("accuracy", "jaccard"), F.count_if(j >= 1).alias("perfect"), F.count_if(partial).alias("partial"), F.count_if((j < 1) & ~partial).alias("wrong"),
+        _share(j >= 1).alias("perfect_rate"), _share(partial).alias("partial_rate"), _share((j < 1) & ~partial).alias("wrong_rate"), *_spread("calibration", "calibration"),
+        F.count_if(F.col("calibration") >= CALIBRATED).alias("well_calibrated"), *_spread("hallucination", "hallucination"), F.count_if(h >= CLEAN).alias("clean"), F.count_if(h < SEVERE).alias("severe"), _share(h < CLEAN).alias("hallucination_rate"),
     ]
+    for c in ("response_time", "token_count"):
+        out += _spread(c, c) if c in columns else []
+    return [*out, F.round(F.avg("inference_count"), 6).alias("inference_count")] if "inference_count" in columns else out
+
 
+def summary(rows: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """AGG-13: by model, and by model and answer type (answer_type ALL for the former); population deviation.
+
+    With ``questions`` (answer_type) coverage is the percent of all questions of the kind that were evaluated.
+    """
+    both = rows.groupingSets([["model"], ["model", "answer_type"]], "model", "answer_type").agg(*_summary(rows.columns), F.grouping_id().alias("_g"))
+    both = both.withColumn("answer_type", F.when(F.col("_g") == 0, F.col("answer_type")).otherwise("ALL")).drop("_g")
+    if questions is None:
+        return both
+    sizes = questions.groupingSets([[], ["answer_type"]], "answer_type").agg(F.count("*").alias("_all"), F.grouping_id().alias("_g"))
+    sizes = sizes.select(F.when(F.col("_g") == 0, F.col("answer_type")).otherwise("ALL").alias("answer_type"), "_all")
+    return both.join(F.broadcast(sizes), "answer_type", "left").withColumn("coverage", F.round(100.0 * F.col("n") / F.col("_all"), 4)).drop("_all")
 
-def summary(rows: DataFrame) -> DataFrame:
-    """AGG-13: by model, and by model and answer type (answer_type ALL for the former); population deviation."""
-    both = rows.groupingSets([["model"], ["model", "answer_type"]], "model", "answer_type").agg(*_summary(), F.grouping_id().alias("_g"))
-    return both.withColumn("answer_type", F.when(F.col("_g") == 0, F.col("answer_type")).otherwise("ALL")).drop("_g")
+
+def composition(questions: DataFrame) -> DataFrame:
+    """AGG-7: all questions, those of either kind, and their shares in percent."""
+    n, b, m = F.count("*"), F.count_if(F.col("answer_type") == "BIN"), F.count_if(F.col("answer_type") == "MC")
+    return questions.agg(n.alias("total"), b.alias("bin"), m.alias("mc"), F.round(100.0 * b / n, 4).alias("bin_percent"), F.round(100.0 * m / n, 4).alias("mc_percent"))
 
 
 def group_summary(rows: DataFrame, least: int = 3) -> DataFrame:
     """AGG-14: by model and tag group, for groups of at least ``least`` rows."""
     g = rows.withColumn("tag_group", F.explode("tag_groups")).groupBy("model", "tag_group")
-    return g.agg(*_summary(), F.count_if(F.col("answer_type") == "BIN").alias("n_bin"), F.count_if(F.col("answer_type") == "MC").alias("n_mc")).where(F.col("n") >= least)
+    return g.agg(*_summary(rows.columns), F.count_if(F.col("answer_type") == "BIN").alias("n_bin"), F.count_if(F.col("answer_type") == "MC").alias("n_mc")).where(F.col("n") >= least)
+
+
+def key_findings(overall: DataFrame, groups: DataFrame, shares: DataFrame) -> DataFrame:
+    """SNK-10: (model, json) of the summary file: preformatted overall figures, tag groups and answer types.
+
+    overall is ``summary`` with coverage, groups ``group_summary``, shares ``tags.distribution`` (tag_group, share).
+    """
+    rate = lambda x: F.format_string("%.1f%%", F.coalesce(F.col(x), F.lit(0.0)) * 100)
+    plain = lambda x: F.format_string("%.2f", F.coalesce(F.col(x), F.lit(0.0)))
+    metrics = F.struct(
+        rate("accuracy").alias("average_accuracy"), rate("perfect_rate").alias("perfect_answers"), rate("partial_rate").alias("partial_answers"), rate("wrong_rate").alias("wrong_answers"),
+        rate("calibration").alias("confidence_calibration"), rate("hallucination").alias("hallucination_score"), plain("response_time").alias("average_response_time_ms"), plain("token_count").alias("average_token_count"),
+    )
+    kind = F.struct(F.format_string("%d (%.1f%%)", "n", "coverage").alias("successfully_evaluated"), rate("accuracy").alias("average_accuracy"), plain("response_time").alias("average_response_time_ms"), plain("token_count").alias("average_token_count"))
+    whole = overall.groupBy("model").agg(F.max(F.when(F.col("answer_type") == "ALL", metrics)).alias("overall_metrics"), F.max(F.when(F.col("answer_type") == "BIN", kind)).alias("binary"), F.max(F.when(F.col("answer_type") == "MC", kind)).alias("mc"))
+    named = groups.join(F.broadcast(shares.select("tag_group", "share")), "tag_group", "left")
+    one = F.struct("tag_group", F.struct(rate("accuracy").alias("accuracy"), F.format_string("%.1f%%", F.coalesce(F.col("share"), F.lit(0.0))).alias("percentage_of_total")).alias("v"))
+    by = named.groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(one))).alias("tag_group_analysis"))  # a row a tag group, of which there are ten
+    out = whole.join(by, "model", "left")
+    return out.select("model", F.to_json(F.struct("overall_metrics", "tag_group_analysis", F.struct("binary", "mc").alias("performance_by_answer_type"))).alias("json"))
 
 
 def performance(rows: DataFrame, value: str = "response_time") -> DataFrame:
@@ -50,10 +101,12 @@ def performance(rows: DataFrame, value: str = "response_time") -> DataFrame:
     )
 
 
-def pattern_counts(rows: DataFrame, text: str, answer_type: str) -> DataFrame:
-    """AGG-16, AGG-17: questions by kind and length; a dot anywhere makes a query count as complex."""
+def pattern_counts(rows: DataFrame, text: str, answer_type: str, task_type: str | None = None) -> DataFrame:
+    """AGG-16, AGG-17: questions by kind, length and task; a dot anywhere makes a query count as complex."""
     n = A.words(F.col(text))
+    tasks = [F.count_if(F.col(task_type) == "Membership").alias("membership"), F.count_if(F.col(task_type) == "Property Assertion").alias("property")] if task_type else []
     return rows.agg(
+        *tasks,
         F.count("*").alias("total"), F.count_if(F.col(answer_type) == "BIN").alias("bin"), F.count_if(F.col(answer_type) == "MC").alias("mc"), F.count_if(n <= 5).alias("short"), F.count_if((n > 5) & (n <= 10)).alias("middle"),
         F.count_if(n > 10).alias("long"), F.count_if(F.contains(F.col(text), F.lit("."))).alias("complex"),
     )
@@ -82,6 +135,11 @@ def top_groups(rows: DataFrame, k: int = 3) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def with_available_context(questions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """SRC-14: the questions whose root entity has a context."""
+    return questions.join(contexts.select("root_entity").distinct(), "root_entity", "left_semi")
+
+
 def by_query(questions: DataFrame, explanations: DataFrame) -> DataFrame:
     """JN-6: equality of normalised queries; of several explanations the first by position."""
     e = explanations.groupBy(A.normal_query(F.col("query")).alias("norm")).agg(F.min(F.struct("pos", "explanation_id")).alias("m"))

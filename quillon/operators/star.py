@@ -59,7 +59,9 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
         region.select(node("region", "r_regionkey").alias("s"), F.lit("Region").alias("c")),
         part.select(node("part", "p_partkey").alias("s"), F.concat(F.lit("Brand_"), "p_brand").alias("c")),
     ]
-    pair = supplier.select("s_nationkey", F.col("s_suppkey").alias("a")).join(supplier.select("s_nationkey", F.col("s_suppkey").alias("b")), "s_nationkey").where("a < b")
+    # Compatriots are linked to the first of their nation, not as all pairs; one row a nation is broadcast.
+    first = supplier.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("a"))
+    pair = supplier.select("s_nationkey", F.col("s_suppkey").alias("b")).join(first, "s_nationkey").where("a < b")
     rel = lambda df, s, p, o: df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
     relations = [
         rel(customer, node("customer", "c_custkey"), "inNation", node("nation", "c_nationkey")),
@@ -99,7 +101,7 @@ asserted_rel(s, p, o) AS (
   UNION ALL SELECT 'supplier/' || s_suppkey, 'inNation', 'nation/' || s_nationkey FROM supplier
   UNION ALL SELECT 'nation/' || n_nationkey, 'inRegion', 'region/' || n_regionkey FROM nation
   UNION ALL SELECT 'order/' || o_orderkey, 'placedBy', 'customer/' || o_custkey FROM orders
-  UNION ALL SELECT 'supplier/' || a.s_suppkey, 'compatriotOf', 'supplier/' || b.s_suppkey FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey),
+  UNION ALL SELECT 'supplier/' || a, 'compatriotOf', 'supplier/' || s_suppkey FROM supplier JOIN (SELECT s_nationkey AS k, min(s_suppkey) AS a FROM supplier GROUP BY s_nationkey) ON s_nationkey = k AND a < s_suppkey),
 compat(s, o) AS (SELECT s, o FROM asserted_rel WHERE p = 'compatriotOf' UNION SELECT o, s FROM asserted_rel WHERE p = 'compatriotOf'),
 rel(s, p, o) AS (
   SELECT s, p, o FROM asserted_rel WHERE p <> 'compatriotOf'

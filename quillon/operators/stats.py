@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
-from pyspark.sql.window import Window
+
+from quillon.plans.skew import running
 
 
 def bin_edges(df: DataFrame, value: str) -> DataFrame:
@@ -35,6 +36,16 @@ def strata(df: DataFrame, a: str, b: str) -> DataFrame:
     return cut(cut(df, a, "_a"), b, "_b").withColumn("strata", F.concat_ws("_", F.col("_a").cast("string"), F.col("_b").cast("string"))).drop("_a", "_b")
 
 
+# The task types that are sampled.
+TASK_TYPES = ("Membership", "Property Assertion")
+
+
+def sampled_tasks(questions: DataFrame, task_type: str = "Task Type", task_id: str = "Task ID") -> DataFrame:
+    """FLT-9, PRJ-13: distinct questions of the two task types, with the task id less its answer kind as ``task_group``."""
+    rows = questions.dropDuplicates().where(F.col(task_type).isin(*TASK_TYPES))
+    return rows.withColumn("task_group", F.regexp_replace(task_id, "-(BIN|MC)$", ""))
+
+
 def split_size(n: int, classes: int, test: float) -> int:
     """STAT-4: rows of the test side; halves round to even, each side has at least one row a class."""
     if n == 0:
@@ -59,31 +70,35 @@ def stratified_keep(df: DataFrame, key: str, test: float = 0.95, seed: int = 42,
     whole = {k: math.floor(v) for k, v in exact.items()}
     extra = sorted(counts, key=lambda k: (-(exact[k] - whole[k]), k))[: train - sum(whole.values())]
     take = df.sparkSession.createDataFrame([(k, whole[k] + (k in set(extra))) for k in sorted(counts)], "strata string, take int")
-    w = Window.partitionBy("strata").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
-    return df.join(F.broadcast(take), "strata").withColumn("_n", F.row_number().over(w)).where("_n <= take").drop("_n", "take")
+    hashed = df.join(F.broadcast(take), "strata").withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    return running(hashed, ["strata"], ["_h", key], "_n").where("_n <= take").drop("_n", "take", "_h")
+
+
+#: A resample's weight of a row is Poisson(1): the number of these cumulative chances at or below a uniform number.
+_POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(10))
+_PRIME = (1 << 31) - 1
 
 
 def bootstrap_ci(df: DataFrame, group: str, key: str, value: str, samples: int = 1000, seed: int = 42) -> DataFrame:
-    """STAT-6: percentile interval of the mean, seeded.
+    """STAT-6: percentile interval of the mean, seeded, by the Poisson bootstrap.
 
-    Each resample draws the group's size of rows by position: position = hash of (seed, sample, draw) modulo n.  The draws
-    of a sample are counted per position first, so a row meets each sample once, and no resample is held together.
+    Sample b weighs a row by Poisson(1) of the number (h1 + b h2) mod a prime, h1 and h2 from the md5 of seed and key; so
+    rows draw alone, and only sums of each group and sample leave a task.  Null values are no rows.
     """
-    w = Window.partitionBy(group).orderBy(key)
-    rows = df.select(group, F.col(value).cast("double").alias("v"), (F.row_number().over(w) - 1).alias("i"))
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("d", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("d").cast("string"))
-    draws = draws.withColumn("i", F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.col("n")).cast("int"))
-    hits = draws.groupBy(group, "b", "i", "n").agg(F.count("*").alias("k"))
-    means = hits.join(rows, [group, "i"]).groupBy(group, "b", "n").agg((F.sum(F.col("k") * F.col("v")) / F.first("n")).alias("m"))
-    return means.groupBy(group).agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    half = lambda k: F.pmod(F.conv(F.substring(digest, k, 8), 16, 10).cast("bigint"), F.lit(_PRIME))
+    rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"), half(1).alias("h1"), half(9).alias("h2"))
+    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("u", F.pmod(F.col("h1") + F.col("b") * F.col("h2"), F.lit(_PRIME)) / float(_PRIME))
+    weight = sum((F.col("u") >= x).cast("int") for x in _POISSON)
+    means = drawn.withColumn("k", weight).groupBy(group, "b").agg(F.sum(F.col("k") * F.col("v")).alias("s"), F.sum("k").alias("n")).where("n > 0")
+    return means.groupBy(group).agg(F.round(F.percentile(F.col("s") / F.col("n"), 0.025), 6).alias("low"), F.round(F.percentile(F.col("s") / F.col("n"), 0.975), 6).alias("high"))
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, pairs: list[tuple[str, str]] | None = None, least: int = 30) -> DataFrame:
     """STAT-7: U of the first group, tie- and continuity-corrected z, mean difference, for pairs of groups over ``least`` rows.
 
-    Values are counted per (group, value) first; ranks are prefix sums over distinct values, one window a pair.
+    Values are counted per (group, value) first; ranks are running sums over distinct values, dealt over tasks by ranges of
+    values.
     """
     names = sorted(r[0] for r in df.groupBy(group).agg(F.count(value).alias("n")).where(F.col("n") > least).select(group).collect())  # one name a model
     chosen = pairs or [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
@@ -91,8 +106,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, pairs: list[tuple[str, s
     table = F.broadcast(df.sparkSession.createDataFrame(chosen or [("", "")], "a string, b string"))
     both = counts.join(table, (F.col(group) == F.col("a")) | (F.col(group) == F.col("b")))
     v = both.groupBy("a", "b", value).agg(F.sum(F.when(F.col(group) == F.col("a"), F.col("k")).otherwise(0)).alias("ka"), F.sum("k").alias("t"))
-    w = Window.partitionBy("a", "b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn("rank", F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2)
+    v = running(v, ["a", "b"], [value], "_upto", "t").withColumn("rank", F.col("_upto") - F.col("t") + (F.col("t") + 1) / 2)
     s = v.groupBy("a", "b").agg(
         F.sum("ka").cast("double").alias("n1"), (F.sum("t") - F.sum("ka")).cast("double").alias("n2"), F.sum(F.col("ka") * F.col("rank")).alias("r1"), F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("ties"),
         (F.sum(F.col("ka") * F.col(value)) / F.sum("ka") - F.sum((F.col("t") - F.col("ka")) * F.col(value)) / (F.sum("t") - F.sum("ka"))).alias("difference"),

@@ -6,6 +6,7 @@ Sentences are ordered by section, property and object.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from quillon.operators.model import Schema
 
 #: Incoming statements beyond this many subjects are left out of a description.
 MOST_INCOMING = 5
+BOUNDS = {"min": "at least", "max": "at most", "exact": "exactly"}
 
 
 def label(name: str) -> str:
@@ -46,8 +48,10 @@ def classes(s: Schema) -> dict[str, str]:
             if e and e.kind in ("some", "all"):
                 how = {"some": "some", "all": "only"}[e.kind]
                 said.append(f"{label(c)} is defined as a class that has {how} '{words(e.prop or '')}' relationship with an instance of {label(e.filler or 'Thing')}.")
-            elif e and e.kind == "max":
-                said.append(f"{label(c)} is defined as a class that has exactly {e.n} '{words(e.prop or '')}' relationship with an instance of {label(e.filler or 'Thing')}.")
+            elif e and e.kind in BOUNDS:
+                said.append(f"{label(c)} is defined as a class that has {BOUNDS[e.kind]} {e.n} '{words(e.prop or '')}' relationship(s) with an instance of {label(e.filler or 'Thing')}.")
+            elif e and e.kind == "value":
+                said.append(f"{label(c)} is defined as a class that has '{words(e.prop or '')}' relationship with {label(e.filler or '')}.")
         apart = sorted(b if a == c else a for a, b in s.disjoint if c in (a, b))
         if apart:
             said.append(f"{label(c)} is disjoint with {listed([label(d) for d in apart])}.")
@@ -87,36 +91,63 @@ def discover(types: DataFrame, relations: DataFrame) -> DataFrame:
     return types.select("s").unionByName(relations.select("s")).unionByName(relations.select(F.col("o").alias("s"))).distinct()
 
 
-def individuals(types: DataFrame, relations: DataFrame, s: Schema, label=N.entity_label, incoming: bool = True) -> DataFrame:
+def individuals(types: DataFrame, relations: DataFrame, s: Schema, label=N.entity_label, incoming: bool = True, labels: DataFrame | None = None) -> DataFrame:
     """VRB-12: s, label and description of every individual.
 
     Types first, then outgoing statements by property, then incoming ones of properties that do not go out: one subject
     in the property's own sentence, up to MOST_INCOMING listed, more left out.  Incoming subjects are counted before any
-    are gathered, so a hub gathers none.
+    are gathered, so a hub gathers none.  ``labels`` (entity, text) names individuals where it can (JN-15), else their names do.
     """
-    x, p = F.col("s"), F.col("p")
+    p = F.col("p")
+    if labels is None:
+        types, relations = types.withColumn("ls", label(F.col("s"))), relations.withColumns({"ls": label(F.col("s")), "lo": label(F.col("o"))})
+    else:
+        named = labels.select(F.col("entity").alias("_e"), label(F.col("text")).alias("_l"))
+        side = lambda rows, of, out: rows.join(named, F.col(of) == F.col("_e"), "left").withColumn(out, F.coalesce("_l", label(F.col(of)))).drop("_e", "_l")
+        types, relations = side(types, "s", "ls"), side(side(relations, "s", "ls"), "o", "lo")
     kind = N.pattern(p, p.isin(s.functional) if s.functional else F.lit(False), p.isin(s.symmetric) if s.symmetric else F.lit(False), p.isin(s.transitive) if s.transitive else F.lit(False))
-    t = types.groupBy("s").agg(F.array_sort(F.collect_set("c")).alias("cs")).select("s", F.concat(F.lit("0"), F.lit("")).alias("k"), F.concat(label(x), F.lit(" is an instance of "), F.array_join("cs", " and ")).alias("t"))
-    o = relations.groupBy("s", "p").agg(F.array_sort(F.collect_set(label(F.col("o")))).alias("os")).select("s", F.concat(F.lit("1"), p).alias("k"), N.sentence(kind, p, label(x), N.and_list(F.col("os"))).alias("t"))
+    t = types.groupBy("s", "ls").agg(F.array_sort(F.collect_set("c")).alias("cs")).select("s", F.lit("0").alias("k"), F.concat("ls", F.lit(" is an instance of "), F.array_join("cs", " and ")).alias("t"))
+    o = relations.groupBy("s", "ls", "p").agg(F.array_sort(F.collect_set("lo")).alias("os")).select("s", F.concat(F.lit("1"), p).alias("k"), N.sentence(kind, p, F.col("ls"), N.and_list(F.col("os"))).alias("t"))
     parts = t.unionByName(o)
     if incoming:
-        into = relations.select(F.col("o").alias("s"), "p", F.col("s").alias("y")).join(relations.select("s", "p").distinct(), ["s", "p"], "left_anti")
+        into = relations.select(F.col("o").alias("s"), F.col("lo").alias("ls"), "p", F.col("s").alias("y"), F.col("ls").alias("ly")).join(relations.select("s", "p").distinct(), ["s", "p"], "left_anti")
         few = into.groupBy("s", "p").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_INCOMING)
-        i = into.join(few, ["s", "p"]).groupBy("s", "p").agg(F.array_sort(F.collect_set(label(F.col("y")))).alias("ys"))
-        one = N.sentence(kind, p, F.get("ys", F.lit(0)), label(x))
-        many = F.concat(N.and_list(F.col("ys")), F.lit(" are related to "), label(x), F.lit(" through "), N.property_words(p))
+        i = into.join(few, ["s", "p"]).groupBy("s", "ls", "p").agg(F.array_sort(F.collect_set("ly")).alias("ys"))
+        one = N.sentence(kind, p, F.get("ys", F.lit(0)), F.col("ls"))
+        many = F.concat(N.and_list(F.col("ys")), F.lit(" are related to "), F.col("ls"), F.lit(" through "), N.property_words(p))
         parts = parts.unionByName(i.select("s", F.concat(F.lit("2"), p).alias("k"), F.when(F.size("ys") == 1, one).otherwise(many).alias("t")))
     said = parts.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("ts")).select("s", F.concat(F.array_join(F.transform("ts", lambda q: q["t"]), ". "), F.lit(".")).alias("d"))
-    return discover(types, relations).join(said, "s", "left").select("s", label(x).alias("label"), F.coalesce("d", F.concat(label(x), F.lit(" is an individual in this ontology."))).alias("description"))
+    name = types.select("s", "ls").unionByName(relations.select("s", "ls")).unionByName(relations.select(F.col("o").alias("s"), F.col("lo").alias("ls"))).distinct()
+    return name.join(said, "s", "left").select("s", F.col("ls").alias("label"), F.coalesce("d", F.concat("ls", F.lit(" is an individual in this ontology."))).alias("description"))
 
 
 def structural_type(n_subclass: Column, n_properties: Column, n_individuals: Column) -> Column:
-    """AGG-21: what an ontology mostly is."""
-    return F.when(n_individuals > 50, "instance-rich").when(n_properties > 20, "property-rich").when(n_subclass > 10, "taxonomy").otherwise("small")
+    """AGG-21: what an ontology mostly is; the first bound that is passed names it."""
+    return F.when(n_subclass > 10, "hierarchical").when(n_properties > 20, "relational").when(n_individuals > 50, "instance_heavy").otherwise("general")
+
+
+def sections(described: DataFrame, s: Schema) -> DataFrame:
+    """VRB-13 for ontologies of any size: (section, label, description), a row each; written as JSON lines in many files."""
+    spark = described.sparkSession
+    small = [("classes", label(c), d) for c, d in classes(s).items()] + [("objectProperties", label(p), d) for p, d in properties(s).items()]
+    return spark.createDataFrame(small, "section string, label string, description string").unionByName(described.select(F.lit("individuals").alias("section"), "label", "description"))
+
+
+def tbox_text(s: Schema) -> str:
+    """SNK-12: the schema as text, a line for each class and property."""
+    return "\n".join([*(d for _, d in sorted(classes(s).items())), *(d for _, d in sorted(properties(s).items()))])
+
+
+def metadata_json(s: Schema) -> str:
+    """SNK-12: the metadata file's content."""
+    return json.dumps({"metadata": {"verbalized_tbox": tbox_text(s)}}, ensure_ascii=False, indent=2)
 
 
 def document(name: str, described: DataFrame, s: Schema, triples: int) -> DataFrame:
-    """VRB-13: one JSON document of an ontology: classes, properties and individuals sorted by label."""
+    """VRB-13: one JSON document of an ontology: classes, properties and individuals sorted by label.
+
+    One row, as the file is one object; ``sections`` has the same content a row an entity, for ontologies too large for that.
+    """
     spark = described.sparkSession
     cls = [(label(c), d) for c, d in classes(s).items()]
     prop = [(label(p), d) for p, d in properties(s).items()]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillon.plans.lineage import settle
 
 #: At most so many keys are treated as hot, whatever the input: a key is hot beyond rows / HOT_KEYS rows.
 HOT_KEYS, LEAST_HOT = 1 << 16, 64
@@ -24,3 +27,18 @@ def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: str, h
     a = many.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     b = one.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
+def running(df: DataFrame, by: list[str], order: list[str], out: str, weight: str | None = None) -> DataFrame:
+    """Adds ``out``: the running sum of ``weight`` (or the row number from 1) within ``by`` in the given order.
+
+    Rows are dealt to tasks by ranges of the whole order, so a group as large as the table is still summed in all of
+    them; what a group holds before a range is a sum of the (few) range totals.  The order must be total.
+    """
+    rows = settle(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    sums = rows.groupBy(*by, "_part").agg((F.sum(weight) if weight else F.count("*")).alias("_all"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "_part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", (F.sum(weight) if weight else F.count("*")).over(own))
+    return rows.join(sums, [*by, "_part"]).withColumn(out, F.col("_before") + F.col("_own")).drop("_part", "_before", "_own")

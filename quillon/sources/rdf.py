@@ -232,6 +232,10 @@ def parse_rdf_xml(data: bytes, graph: str = "g") -> Iterator[Triple]:
         out.clear()
 
 
+#: Names of ontology files in any case of letters.
+ONTOLOGY_FILES = "*.{[oO][wW][lL],[tT][tT][lL],[rR][dD][fF],[nN]3}"
+
+
 def parse(data: bytes, name: str) -> Iterator[Triple]:
     graph = re.sub(r"(?i)\.(owl|ttl|rdf|n3)$", "", name)
     head = data[:400].lstrip()
@@ -250,20 +254,21 @@ def read_rdf(spark: SparkSession, path: str, recursive: bool = False, pattern: s
         names = [f.split(" ")[0] for f in TRIPLES.split(", ")]
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                name = path.rsplit("/", 1)[-1]
-                graph = re.sub(r"(?i)\.(owl|ttl|rdf|n3)$", "", name)
-                try:
-                    seen = dict.fromkeys(parse(content.as_py(), name))
-                    rows = [(graph, s.value, s.kind, p, o.value, o.kind, o.datatype, o.lang, None) for s, p, o in seen]
-                except (ValueError, ET.ParseError, UnicodeDecodeError, IndexError) as e:
-                    rows = [(graph, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+                rows = parsed_rows(path.rsplit("/", 1)[-1], content.as_py())
                 for k in range(0, len(rows), 50_000):
                     yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows[k : k + 50_000], strict=True)], names=names)
 
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern or "*.{owl,ttl,rdf,n3,OWL,TTL,RDF,N3}").option("recursiveFileLookup", str(recursive).lower())
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern or ONTOLOGY_FILES).option("recursiveFileLookup", str(recursive).lower())
     return reader.load(path).select("path", "content").mapInArrow(run, TRIPLES)
 
 
+# The properties that label an entity, the first that is there.
+LABELS = (RDFS + "label", "http://www.w3.org/2004/02/skos/core#prefLabel", "http://purl.org/dc/elements/1.1/title", "http://xmlns.com/foaf/0.1/name", "http://schema.org/name")
+# What a restriction says, and the kind of its expression.
+RESTRICTIONS = {
+    "someValuesFrom": "some", "allValuesFrom": "all", "hasSelf": "self", "hasValue": "value", "minCardinality": "min", "minQualifiedCardinality": "min", "maxCardinality": "max", "maxQualifiedCardinality": "max",
+    "cardinality": "exact", "qualifiedCardinality": "exact",
+}
 _CHARACTERS = {
     "SymmetricProperty": "symmetric", "TransitiveProperty": "transitive", "FunctionalProperty": "functional", "InverseFunctionalProperty": "inverse_functional", "ReflexiveProperty": "reflexive",
     "IrreflexiveProperty": "irreflexive", "AsymmetricProperty": "asymmetric",
@@ -299,10 +304,11 @@ def schema_of(rows: list[tuple[str, str, str, str]]) -> Schema:
             s.expressions[n] = Expression("not", (name(f[OWL + "complementOf"][0]),))
         if OWL + "onProperty" in f:
             prop = name(f[OWL + "onProperty"][0])
-            filler = next((name(f[OWL + k][0]) for k in ("someValuesFrom", "allValuesFrom", "onClass") if OWL + k in f), None)
-            kind = "some" if OWL + "someValuesFrom" in f else "all" if OWL + "allValuesFrom" in f else "self" if OWL + "hasSelf" in f else "max"
-            count = next((int(f[OWL + k][0]) for k in ("maxQualifiedCardinality", "maxCardinality", "qualifiedCardinality", "cardinality") if OWL + k in f), None)
-            s.expressions[n] = Expression(kind, (), prop, filler, count)
+            filler = next((name(f[OWL + k][0]) for k in ("someValuesFrom", "allValuesFrom", "onClass", "hasValue") if OWL + k in f), None)
+            kind = next((v for k, v in RESTRICTIONS.items() if OWL + k in f), None)
+            count = next((int(f[OWL + k][0]) for k in RESTRICTIONS if k.lower().endswith("cardinality") and OWL + k in f), None)
+            if kind:
+                s.expressions[n] = Expression(kind, (), prop, filler, count)
     for x in sorted(by):
         f = by[x]
         pairs = ((RDFS + "subClassOf", s.subclass), (OWL + "equivalentClass", s.equivalent), (OWL + "disjointWith", s.disjoint), (RDFS + "subPropertyOf", s.subproperty), (OWL + "equivalentProperty", s.equivalent_property), (OWL + "propertyDisjointWith", s.disjoint_property), (OWL + "inverseOf", s.inverse), (RDFS + "domain", s.domain), (RDFS + "range", s.range))
@@ -311,6 +317,8 @@ def schema_of(rows: list[tuple[str, str, str, str]]) -> Schema:
         for o in f.get(RDF + "type", ()):
             if (kind := _CHARACTERS.get(local(o))) and o.startswith(OWL):
                 getattr(s, kind).append(name(x))
+            if o == OWL + "AllDifferent":
+                s.all_different.extend((name(x), name(y)) for k in ("members", "distinctMembers") for h in f.get(OWL + k, ()) for y in listed(h))
             if o == OWL + "AllDisjointClasses":
                 m = [name(y) for h in f.get(OWL + "members", ()) for y in listed(h)]
                 s.disjoint.extend((a, b) for k, a in enumerate(m) for b in m[k + 1 :])
@@ -342,7 +350,27 @@ def graph_of(triples: DataFrame) -> Graph:
     rows = [tuple(r) for r in tbox.select("s", "s_kind", "p", "o").distinct().collect()]
     types = ok.where((F.col("p") == RDF + "type") & (F.col("o_kind") == "iri") & ~builtin & (F.col("s_kind") == "iri")).select(short_form(F.col("s")).alias("s"), short_form(F.col("o")).alias("c")).distinct()
     rel = ok.where(~is_schema(F.col("p")) & (F.col("o_kind") == "iri") & (F.col("s_kind") == "iri")).select(short_form(F.col("s")).alias("s"), short_form(F.col("p")).alias("p"), short_form(F.col("o")).alias("o")).distinct()
-    return Graph(types, rel, schema_of(rows))
+    between = ok.where((F.col("o_kind") == "iri") & (F.col("s_kind") == "iri"))
+    a, b = short_form(F.col("s")), short_form(F.col("o"))
+    same = between.where(F.col("p") == OWL + "sameAs").select(a.alias("a"), b.alias("b")).distinct()
+    apart = between.where(F.col("p") == OWL + "differentFrom").select(F.concat_ws("|", a, b).alias("axiom"), F.explode(F.array(a, b)).alias("s")).distinct()
+    return Graph(types, rel, schema_of(rows), same, apart)
+
+
+def labels_of(triples: DataFrame) -> DataFrame:
+    """JN-15: (entity, text), the first label of each entity by the order of LABELS, then by text; cleaned by the caller."""
+    rank = F.coalesce(*[F.when(F.col("p") == p, F.lit(k)) for k, p in enumerate(LABELS)])
+    found = triples.where(F.col("_error").isNull() & F.col("p").isin(*LABELS) & (F.col("o") != ""))
+    return found.groupBy(F.col("s").alias("entity")).agg(F.min(F.struct(rank.alias("rank"), F.col("o").alias("text"))).alias("m")).select("entity", "m.text")
+
+
+def parsed_rows(name: str, content: bytes) -> list[tuple]:
+    """The rows of TRIPLES of one file: its distinct triples, or one row with the error if it cannot be read."""
+    graph = re.sub(r"(?i)\.(owl|ttl|rdf|n3)$", "", name)
+    try:
+        return [(graph, s.value, s.kind, p, o.value, o.kind, o.datatype, o.lang, None) for s, p, o in dict.fromkeys(parse(content, name))]
+    except (ValueError, ET.ParseError, UnicodeDecodeError, IndexError) as e:
+        return [(graph, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
 
 
 def to_turtle(triples: DataFrame, by: str = "graph_id") -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,30 +32,37 @@ def is_json(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()
 
 
+def _whole_pairs(text: str | None) -> list[tuple[str, str]]:
+    decoder, found = json.JSONDecoder(), []
+    at = (text or "").find("{") + 1
+    while at > 0:
+        try:
+            while text[at] in " \t\r\n,":
+                at += 1
+            name, at = decoder.raw_decode(text, at)
+            while text[at] in " \t\r\n:":
+                at += 1
+            value, at = decoder.raw_decode(text, at)
+        except (ValueError, IndexError):
+            break
+        if not isinstance(name, str):
+            break
+        found.append((name, json.dumps(value)))
+    return found
+
+
 def partial_json(df: DataFrame, key: str, text: str) -> DataFrame:
-    """SRC-10: (key, name, value as JSON) of the whole pairs of an object before its first error."""
-    out = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))
-
-    @F.udf(out, useArrow=True)
-    def pairs(t: str):
-        decoder, found = json.JSONDecoder(), []
-        at = (t or "").find("{") + 1
-        while at > 0:
-            try:
-                while t[at] in " \t\r\n,":
-                    at += 1
-                name, at = decoder.raw_decode(t, at)
-                while t[at] in " \t\r\n:":
-                    at += 1
-                value, at = decoder.raw_decode(t, at)
-            except (ValueError, IndexError):
-                break
-            if not isinstance(name, str):
-                break
-            found.append((name, json.dumps(value)))
-        return found
-
-    return df.select(key, F.explode(pairs(text)).alias("p")).select(key, "p.name", "p.value")
+    """SRC-10: (key, name, value as JSON) of the whole pairs of an object before its first error; Arrow batches."""
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    kind = rows.schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, *pair) for i, t in enumerate(b.column(1).to_pylist()) for pair in _whole_pairs(t)]
+            at, names, values = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.record_batch([b.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(values, pa.string())], names=["key", "name", "value"])
+
+    return rows.mapInArrow(run, f"key {kind}, name string, value string").withColumnRenamed("key", key)
 
 
 def read_explanations(spark: SparkSession, path: str) -> DataFrame:
@@ -73,6 +82,23 @@ def explanation_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("|", "s", "p", "o").alias("triple_key"), body.alias("json"))
 
 
+def explanation_lines(rows: DataFrame) -> DataFrame:
+    """SNK-3: the lines of the explanation file, in order: one valid JSON object of all triples (columns of ``explanation_json``).
+
+    Sorted by triple; only the last line's comma differs, and it is found by the greatest key, so no row meets all others.
+    """
+    last = rows.agg(F.max("triple_key").alias("_last"))
+    entry = F.concat(F.to_json(F.struct(F.col("triple_key").alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("triple_key").alias("k")))) - 6), F.lit(": "), "json")
+    body = rows.crossJoin(F.broadcast(last)).select(F.lit(1).alias("_k"), "triple_key", F.concat(entry, F.when(F.col("triple_key") == F.col("_last"), F.lit("")).otherwise(F.lit(","))).alias("value"))
+    ends = rows.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "_k int, triple_key string, value string")
+    return body.unionByName(ends).orderBy("_k", "triple_key").select("value")
+
+
+def write_explanations(rows: DataFrame, path: str) -> None:
+    """SNK-3: the file's lines as text parts in order; read together (``cat part-*``) they are one JSON object."""
+    explanation_lines(rows).write.mode("overwrite").text(path)
+
+
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     """SRC-12: (original, abstract_uri, abstract_name) of the lines ``name -> <iri>``; headers and blanks go."""
     lines = spark.read.text(path).where(F.contains("value", F.lit("->")) & ~F.col("value").startswith("===") & ~F.col("value").startswith("Original"))

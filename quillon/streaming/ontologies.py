@@ -11,7 +11,7 @@ from quillon.sources import rdf
 
 def stream_triples(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
     """Appends the triples of new files of ``folder`` to the table at ``out``; processes what is there and stops."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*.{owl,ttl,rdf,n3}").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", rdf.ONTOLOGY_FILES).load(folder)
 
     def batch(df: DataFrame, number: int) -> None:
         at = f"{out}/batch={number}"
@@ -22,19 +22,12 @@ def stream_triples(spark: SparkSession, folder: str, out: str, checkpoint: str)
 
 
 def _parse_batches(batches):
-    import re
-
     import pyarrow as pa
 
     names = [f.split(" ")[0] for f in rdf.TRIPLES.split(", ")]
     for b in batches:
         for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            name = path.rsplit("/", 1)[-1]
-            graph = re.sub(r"(?i)\.(owl|ttl|rdf|n3)$", "", name)
-            try:
-                rows = [(graph, s.value, s.kind, p, o.value, o.kind, o.datatype, o.lang, None) for s, p, o in dict.fromkeys(rdf.parse(content.as_py(), name))]
-            except (ValueError, IndexError) as e:
-                rows = [(graph, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+            rows = rdf.parsed_rows(path.rsplit("/", 1)[-1], content.as_py())  # a broken file is one row with its error
             if rows:
                 yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
 

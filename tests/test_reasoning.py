@@ -57,10 +57,49 @@ def test_class_expressions(spark):
     assert {("a", "Both"), ("a", "Some"), ("a", "Any"), ("b", "Any"), ("d", "D"), ("a", "Self")} <= got and ("b", "Both") not in got
 
 
-def test_equality(spark):
-    g = graph(spark, [("x", "C"), ("k1", "K"), ("k2", "K")], [("a", "f", "x"), ("a", "f", "y"), ("y", "q", "z"), ("k1", "id", "7"), ("k2", "id", "7")], functional=["f"], keys=[("K", ("id",))])
+def test_equal_individuals_keep_all_facts(spark):
+    g = graph(spark, [("x", "C"), ("k1", "K"), ("k2", "K"), ("k2", "L")], [("a", "f", "x"), ("a", "f", "y"), ("y", "q", "z"), ("k1", "id", "7"), ("k2", "id", "7")], functional=["f"], keys=[("K", ("id",))])
     m = R.materialize(g, equality=True)
-    assert ("x", "q", "z") in rows(m.relations.select("s", "p", "o")) and ("k1", "K") in rows(m.types.select("s", "c")) and ("k2", "K") not in rows(m.types.select("s", "c"))
+    assert rows(m.relations.select("s", "p", "o")) == {("a", "f", "x"), ("a", "f", "y"), ("y", "q", "z"), ("x", "q", "z"), ("k1", "id", "7"), ("k2", "id", "7")}
+    assert rows(m.types.select("s", "c")) == {("x", "C"), ("y", "C"), ("k1", "K"), ("k2", "K"), ("k1", "L"), ("k2", "L")}
+    assert rows(m.same) == {("x", "x"), ("y", "x"), ("k1", "k1"), ("k2", "k1")}
+
+
+def test_equalities_lead_to_further_ones(spark):
+    """x = y joins the values of g, so u = v; these join the values of h, so 1 = 2; an asserted equality counts, too."""
+    g = graph(spark, relations=[("a", "f", "x"), ("a", "f", "y"), ("x", "g", "u"), ("y", "g", "v"), ("u", "h", "1"), ("v", "h", "2"), ("w", "p", "b")], functional=["f", "g", "h"])
+    g.same = spark.createDataFrame([("w", "u")], "a string, b string")
+    m = R.materialize(g, equality=True)
+    assert {("1", "1"), ("2", "1"), ("w", "u"), ("v", "u")} <= rows(m.same)
+    assert {("v", "p", "b"), ("w", "h", "2"), ("x", "g", "w")} <= rows(m.relations.select("s", "p", "o"))
+
+
+def test_long_chains_through_some(spark):
+    n = 60
+    g = graph(spark, [("i0", "A")], [(f"i{k + 1}", "p", f"i{k}") for k in range(n)], subclass=[("_s", "A")], expressions={"_s": Expression("some", prop="p", filler="A")})
+    m = R.materialize(g)
+    assert {s for s, c in rows(m.types.select("s", "c")) if c == "A"} == {f"i{k}" for k in range(n + 1)}
+
+
+def test_chain_of_three_is_semi_naive(spark):
+    facts = [("a", "p", "b"), ("b", "q", "c"), ("c", "r", "d"), ("d", "p", "e"), ("e", "q", "f"), ("f", "r", "g")]
+    g = graph(spark, relations=facts, chains=[(("p", "q", "r"), "t"), (("t", "t"), "t")])
+    assert {(s, o) for s, p, o in rows(R.materialize(g).relations.select("s", "p", "o")) if p == "t"} == {("a", "d"), ("d", "g"), ("a", "g")}
+    new = spark.createDataFrame([("e", "q", "f")], "s string, p string, o string")
+    assert ("d", "t", "g") in rows(R.chain(g, g.relations, new)) and ("a", "t", "d") not in rows(R.chain(g, g.relations, new))
+
+
+def test_a_fixpoint_never_stops_silently(spark, monkeypatch):
+    monkeypatch.setattr(R, "GUARD", 3)
+    g = graph(spark, [("i0", "A")], [(f"i{k + 1}", "p", f"i{k}") for k in range(9)], subclass=[("_s", "A")], expressions={"_s": Expression("some", prop="p", filler="A")})
+    with pytest.raises(RuntimeError):
+        R.materialize(g)
+
+
+def test_value_restrictions(spark):
+    g = graph(spark, [("x", "Red")], [("y", "colour", "red"), ("z", "colour", "blue")], equivalent=[("Red", "_v")], subproperty=[("colour", "look")], expressions={"_v": Expression("value", prop="colour", filler="red")})
+    m = R.materialize(g)
+    assert {("x", "colour", "red"), ("x", "look", "red")} <= rows(m.relations.select("s", "p", "o")) and ("y", "Red") in rows(m.types.select("s", "c")) and ("z", "Red") not in rows(m.types.select("s", "c"))
 
 
 def test_max_one(spark):
@@ -73,6 +112,24 @@ def test_clashes(spark):
     assert {r[0] for r in rows(R.clashes(g, g.types, g.relations))} == {"disjoint_classes", "irreflexive", "asymmetric", "disjoint_properties"}
 
 
+def test_same_and_different_clash(spark):
+    g = graph(spark, relations=[("a", "f", "x"), ("a", "f", "y")], functional=["f"], all_different=[("d", "x"), ("d", "z"), ("d", "y")])
+    m = R.materialize(g, equality=True)
+    assert rows(R.clashes(m, m.types, m.relations, m.same)) == {("same_and_different", "x", "y")} and not R.is_consistent(m, m.types, m.relations, m.same)
+    assert rows(R.keep_consistent(spark.createDataFrame([("g1", 1), ("g2", 2)], "graph_id string, v int"), spark.createDataFrame([("g1",)], "graph_id string"))) == {("g2", 2)}
+
+
+def test_reach_over_equal_and_different(spark):
+    from quillon.operators import hops as H
+
+    g = graph(spark, relations=[("a", "p", "b")], all_different=[("d", x) for x in "bcde"])
+    g.same = spark.createDataFrame([("e", "f")], "a string, b string")
+    start = spark.createDataFrame([("a",)], "x string")
+    assert {y for _, y in rows(H.reach(g, start, 2))} == {*"abcde"} and {y for _, y in rows(H.reach(g, start, 3))} == {*"abcdef"}
+    modules = H.with_schema(graph(spark, symmetric=["p"], subclass=[("A", "B")]), spark.createDataFrame([("a", "p|a|b"), ("b", "p|a|b")], "x string, axiom string"))
+    assert rows(modules) == {(x, y) for x in "ab" for y in ("p|a|b", "Symmetric|p", "SubClassOf|A|B")}
+
+
 def test_hops(spark):
     from quillon.operators import hops as H
 

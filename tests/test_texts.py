@@ -77,6 +77,74 @@ def test_rewrite(spark):
     assert sorted(r["t"] for r in got) == ["", "Class1 Property1, Food Property1?"]
 
 
+def test_rewrite_names_with_marks(spark):
+    names = ["Brand#17", "has-part", "part", "North West", "North", "a.b.c", "Ω mega"]
+    m = B.mapping(spark.createDataFrame([(n, "class") for n in names], "term string, category string"))
+    to = {r["original"]: r["abstract_name"] for r in m.collect()}
+    text = "is Brand#17 has-part foo, part of (North West) or North; xa.b.c a.b.c. Brand#170 Ω mega!"
+    want = f"is {to['Brand#17']} {to['has-part']} foo, {to['part']} of ({to['North West']}) or {to['North']}; xa.b.c {to['a.b.c']}. Brand#170 {to['Ω mega']}!"
+    df = spark.createDataFrame([(1, text, 7), (1, text, 7), (2, "", 8), (3, None, 9)], "_row int, _tok string, _map int")
+    got = B.rewrite(df, "_tok", m)
+    assert got.columns == df.columns and sorted(r["_tok"] for r in got.collect()) == sorted([want, want, "", ""])
+    assert [r["_tok"] for r in B.rewrite(df.limit(1), "_tok", m.limit(0)).collect()] == [text]
+
+
+def test_rewrite_turtle(spark):
+    m = B.mapping(spark.createDataFrame([("Foo", "class"), ("x-1", "individual")], "term string, category string"))
+    base = "http://www.example.com/abstracted.owl#"
+    uri = spark.createDataFrame([("f", "###  http://e/o#Foo\n<http://e/o#x-1> a <http://e/o#Foo> , <http://e/o#Other> ; <http://z/o#Foo> 1 .")], "file string, text string")
+    assert B.rewrite_turtle(uri, "text", m, "uri", "http://e/o").first()["text"] == f"###  {base}Class1\n<{base}Individual1> a <{base}Class1> , <http://e/o#Other> ; <http://z/o#Foo> 1 ."
+    pre = spark.createDataFrame([("ns1:x-1 a ns1:Foo, ns1:Food ; p:ns1:Foo 2 .",), (None,)], "text string")
+    assert sorted(r["text"] for r in B.rewrite_turtle(pre, "text", m, "prefix", "ns1").collect()) == ["", f"<{base}Individual1> a <{base}Class1>, ns1:Food ; p:ns1:Foo 2 ."]
+    assert [r["line"] for r in B.mapping_lines(m).collect()] == ["=== CLASSES ===", f"Foo -> <{base}Class1>", "=== INDIVIDUALS ===", f"x-1 -> <{base}Individual1>"]
+
+
+def test_running_sums(spark):
+    from quillon.plans.skew import running
+
+    rows = [("a", k % 97, k, 1 + k % 5) for k in range(800)] + [("b", k, k, 2) for k in range(30)]
+    df = spark.createDataFrame(rows, "g string, v int, id int, w int").repartition(5)
+    got = {(r["g"], r["id"]): (r["n"], r["s"]) for r in running(running(df, ["g"], ["v", "id"], "n"), ["g"], ["v", "id"], "s", "w").collect()}
+    for g in "ab":
+        upto = 0
+        for n, (_, v, i, w) in enumerate(sorted(r for r in rows if r[0] == g), 1):
+            upto += w
+            assert got[g, i] == (n, upto)
+
+
+def test_salted_join(spark, monkeypatch):
+    from quillon.plans import skew
+
+    monkeypatch.setattr(skew, "LEAST_HOT", 3)
+    many = spark.createDataFrame([("hot", k) for k in range(50)] + [("cold", 1), ("none", 2)], "k string, v int")
+    one = spark.createDataFrame([("hot", "x"), ("hot", "y"), ("cold", "z"), ("extra", "q")], "k string, o string")
+    hot = skew.hot_keys(many.groupBy("k").count(), ["k"], "count", many.count())
+    for how in ("inner", "left"):
+        assert sorted(map(str, skew.salted_join(many, one, ["k"], "v", hot, how).collect())) == sorted(map(str, many.join(one, "k", how).collect()))
+    assert hot.first()["_parts"] == 17
+
+
+def test_settled_tables_are_released(spark):
+    from pathlib import Path
+
+    from quillon.plans.lineage import release, settle
+
+    t = settle(spark.range(5).toDF("id"))
+    at = Path(t._settled_at.removeprefix("file://").removeprefix("file:"))
+    assert t.count() == 5 and at.exists()
+    release(t, spark.range(1))
+    assert not at.exists()
+
+
+def test_bootstrap_covers_the_mean(spark):
+    df = spark.range(4000).select((F.col("id") % 2).alias("g"), "id", (F.rand(3) * 10 + (F.col("id") % 2)).alias("v"))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    for r in S.bootstrap_ci(df, "g", "id", "v", 400).collect():
+        m = df.where(F.col("g") == r["g"]).agg(F.avg("v"), F.stddev("v"), F.count("v")).first()
+        half = 1.96 * m[1] / m[2] ** 0.5
+        assert abs(r["low"] - (m[0] - half)) < 0.3 * half and abs(r["high"] - (m[0] + half)) < 0.3 * half
+
+
 BAD = ['{"a": 1}', '{"a": 1,\n,\n"b": 2}', '{"a": 1,}', '{"a": 1', '{"a": {"x": 1},,"b": 2}']
 
 
@@ -120,6 +188,83 @@ def test_rdf(spark, tmp_path):
     assert len(set(rdf.parse_turtle(back, "one"))) == len(set(first))
 
 
+RESTRICTIONS = """@prefix : <http://e.org/o#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix skos: <http://www.w3.org/2004/02/skos/core#> .
+:A owl:equivalentClass [ a owl:Restriction ; owl:onProperty :p ; owl:hasValue :red ] .
+:B owl:equivalentClass [ a owl:Restriction ; owl:onProperty :p ; owl:minCardinality 2 ] .
+:C owl:equivalentClass [ a owl:Restriction ; owl:onProperty :p ; owl:maxQualifiedCardinality 3 ; owl:onClass :D ] .
+:E owl:equivalentClass [ a owl:Restriction ; owl:onProperty :p ; owl:cardinality 1 ] .
+:x owl:sameAs :y . :x owl:differentFrom :z . [ a owl:AllDifferent ; owl:distinctMembers ( :x :z :w ) ] .
+:x rdfs:label "b" , "a" . :y skos:prefLabel "why" ."""
+
+
+def test_restrictions_equalities_and_labels(spark, tmp_path):
+    (tmp_path / "r.TtL").write_text(RESTRICTIONS)
+    t = rdf.read_rdf(spark, str(tmp_path)).cache()
+    g = rdf.graph_of(t)
+    kinds = {(e.kind, e.n, e.filler) for e in g.schema.expressions.values()}
+    assert kinds == {("value", None, "red"), ("min", 2, None), ("max", 3, "D"), ("exact", 1, None)}
+    assert {tuple(r) for r in g.same.collect()} == {("x", "y")} and {r["s"] for r in g.different.collect()} == {"x", "z"} and {s for _, s in g.schema.all_different} == {"x", "z", "w"}
+    assert {r["entity"].split("#")[1]: r["text"] for r in rdf.labels_of(t).collect()} == {"x": "a", "y": "why"}
+    said = V.classes(g.schema)
+    assert "at least 2" in said["B"] and "at most 3" in said["C"] and "exactly 1" in said["E"] and "Red" in said["A"]
+
+
+def test_stream_survives_broken_files(spark, tmp_path):
+    from quillon.streaming.ontologies import stream_triples
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "bad.owl").write_text("<?xml version='1.0'?><rdf:RDF")
+    (tmp_path / "in" / "good.ttl").write_text(TURTLE)
+    stream_triples(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert {r["graph_id"] for r in out.where("_error is not null").collect()} == {"bad"} and out.where("graph_id = 'good' and _error is null").count() > 5
+
+
+def test_windowed_counts(spark):
+    from quillon.streaming.ontologies import windowed_counts
+
+    events = spark.createDataFrame([(f"2024-01-01 00:{m:02}:00", "a") for m in (1, 9, 11)], "t string, event_type string").select(F.to_timestamp("t").alias("ts"), "event_type")
+    assert sorted(r["n"] for r in windowed_counts(events).collect()) == [1, 2]
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    """Consistent and inconsistent ontologies, modules with the schema, verbalisation by labels, abstracted files."""
+    from quillon import cli
+
+    monkeypatch.setattr(cli, "local_session", lambda name: spark)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.ttl").write_text(TURTLE)
+    at = lambda name: str(tmp_path / name)
+    cli.main(["reason", at("in"), at("r")])
+    assert spark.read.parquet(at("r/explanations")).count() > 0 and not (tmp_path / "r" / "clashes").exists()
+    cli.main(["extract", at("in"), at("e"), "--hops", "1", "--with-schema"])
+    assert spark.read.parquet(at("e/1hop")).where("axiom like 'Domain%'").count() > 0
+    cli.main(["verbalize", at("in"), at("v"), "--lines", "--metadata", at("m")])
+    assert "individuals" in {r["section"] for r in spark.read.json(at("v")).collect()} and "verbalized_tbox" in spark.read.text(at("m"), wholetext=True).first()[0]
+    cli.main(["abstract", at("in"), at("a")])
+    assert spark.read.text(at("a/mapping")).count() >= 1
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "two.ttl").write_text("@prefix : <http://e/o#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . :A owl:disjointWith :B . :x a :A , :B .")
+    cli.main(["reason", at("bad"), at("c")])
+    assert spark.read.json(at("c/clashes")).count() > 0 and not (tmp_path / "c" / "questions").exists()
+
+
+def test_explanation_file_is_json(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([('a"b', "p", "c", [["x"]], 1, 2, 1, ["t"], ["q"]), ("d", "p", "e", [["y", "z"]], 1, 1, 1, [], [])], "s string, p string, o string, explanations array<array<string>>, min_size int, max_size int, explanation_count int, task_ids array<string>, sparql_queries array<string>")
+    X.write_explanations(X.explanation_json(rows), str(tmp_path / "x"))
+    got = json.loads("\n".join(p.read_text() for p in sorted((tmp_path / "x").glob("part-*"))))
+    assert set(got) == {'a"b|p|c', "d|p|e"} and got["d|p|e"]["explanations"] == [["y", "z"]]
+    assert {r["triple_key"] for r in X.read_explanations(spark, str(tmp_path / "x")).collect()} <= set(got)
+    assert json.loads("".join(r["value"] for r in X.explanation_lines(X.explanation_json(rows.limit(0))).collect())) == {}
+
+
+def test_prompts_have_three_forms(spark):
+    said = {k: one(spark, A.prompt(F.lit("q"), F.lit("c"), F.col("k"), "json"), k=k) for k in ("BIN", "Multi Choice", "Open")}
+    assert len(set(said.values())) == 3 and "TRUE or FALSE" in said["BIN"]
+
+
 def test_stream(spark, tmp_path):
     from quillon.streaming.ontologies import stream_triples
 
@@ -159,3 +304,11 @@ def test_individuals(spark):
     got = {x["s"]: x["description"] for x in V.individuals(t, r, Schema()).collect()}
     assert got["ada_1868"] == "Ada is an instance of Woman. Ada is sister of Gwen. John is father of Ada."
     assert "knows" not in got["ada_1868"]
+    labels = spark.createDataFrame([("ada_1868", "Lady Ada"), ("john_1840", "old john")], "entity string, text string")
+    named = {x["s"]: (x["label"], x["description"]) for x in V.individuals(t, r, Schema(), labels=labels).collect()}
+    assert named["ada_1868"] == ("Lady Ada", "Lady Ada is an instance of Woman. Lady Ada is sister of Gwen. Old John is father of Lady Ada.")
+
+
+def test_structural_type(spark):
+    kinds = {k: one(spark, V.structural_type(*(F.lit(x) for x in k)), t=1) for k in [(20, 30, 60), (10, 30, 60), (10, 20, 60), (10, 20, 50)]}
+    assert [*kinds.values()] == ["hierarchical", "relational", "instance_heavy", "general"]
