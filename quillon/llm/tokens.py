@@ -11,10 +11,10 @@ import hashlib
 import heapq
 import json
 import re
-import sys
 import unicodedata
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ VOCABULARY = "word_bpe_49k.json"
 MASK_BITS, WINDOW, MAX_CHUNK = 9, 32, 8192
 #: Bytes of the caches of a Python worker: encoded chunks, of which the longest unused go; words and units, held in two
 #: generations of WORD_BYTES each, of which the older goes; the counter's numbers, which all go at once.
-CHUNK_BYTES, WORD_BYTES, COUNT_BYTES = 32 << 20, 24 << 20, 64 << 20
+CHUNK_BYTES, WORD_BYTES, COUNT_BYTES = 24 << 20, 32 << 20, 64 << 20
 #: Words and units longer than this are not cached, and longer words are cut where no merge can reach before merging.
 LONGEST, CUT_WORD = 256, 4096
 # What a vocabulary file must say of normalisation and words.
@@ -88,12 +88,7 @@ def cut_points(raw: np.ndarray) -> np.ndarray:
     return np.append(cuts, n)
 
 
-Rendered = tuple[str, int, str]
-
-
-def _joined(parts: list[Rendered]) -> Rendered:
-    parts = [x for x in parts if x[1]]
-    return " ".join([x[0] for x in parts]), sum([x[1] for x in parts]), " ".join([x[2] for x in parts])
+Ids = tuple[int, ...]
 
 
 class ChunkEncoder:
@@ -111,14 +106,20 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokens = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        #: Per chunk: text before its first white space, tokens of what lies between, text after its last white space,
-        #: the pieces a window reaches over at both ends with their ids; or None for a chunk without white space.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.tokens = [""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.tokens[i] = t
+        #: Every id as one object that all caches share, and as decimal text.
+        self.number = [*range(len(self.tokens))]
+        self.decimal = [*map(str, self.number)]
+        #: Per chunk: text before its first white space, ids of what lies between, text after its last white space, and
+        #: the pieces that a window reaches over at both ends with their ids; or None for a chunk without white space.
         self.chunks: OrderedDict[bytes, tuple | None] = OrderedDict()
-        self.words: dict[str, Rendered] = {}
-        self.units: dict[bytes, Rendered] = {}
-        self.old_words: dict[str, Rendered] = {}
-        self.old_units: dict[bytes, Rendered] = {}
+        self.words: dict[str, Ids] = {}
+        self.units: dict[bytes, Ids] = {}
+        self.old_words: dict[str, Ids] = {}
+        self.old_units: dict[bytes, Ids] = {}
         # Texts of printable ASCII (without the first byte of a special string) and precomposed Latin letters are split
         # into words here, by the vocabulary's own pattern, so that capitals and marks beside a word cost nothing.
         self.simple = re.compile(r"[ -;=-~\t\n\r\x0b\x0cÀ-ÖØ-öø-įı-ſ]*")
@@ -128,55 +129,56 @@ class ChunkEncoder:
         self.chunks_held = self.words_held = 0
         self.hits = self.misses = self.disagreed = 0
 
-    def _rendered(self, ids: list[int]) -> Rendered:
-        return " ".join(map(str, ids)), len(ids), " ".join([self.tokens[i] for i in ids])
+    def rendered(self, ids) -> tuple[str, int, str]:
+        """Decimal ids joined by blanks, their number, and the decoded text: the tokens joined by blanks."""
+        return " ".join(map(self.decimal.__getitem__, ids)), len(ids), " ".join(map(self.tokens.__getitem__, ids))
 
-    def _ids(self, texts: list[str]) -> Iterator[list[int]]:
+    def _ids(self, texts: list[str]) -> Iterator[Ids]:
+        number = self.number.__getitem__
         for start in range(0, len(texts), 20_000):
             for e in self.tokenizer.encode_batch_fast(texts[start : start + 20_000], add_special_tokens=False):
-                yield e.ids
+                yield tuple(map(number, e.ids))
 
-    def _fill(self, wanted: set, known: dict, older: dict, once: dict) -> None:
-        """Puts what is wanted into ``known``: from the older generation, or else by the tokenizer; long ones into ``once``."""
+    def _fill(self, wanted: set, known: dict, older: dict) -> list:
+        """Puts what is wanted into ``known``: from the older generation, or else by the tokenizer; returns the long ones."""
         new = []
         for w in wanted:
             if w not in known:
                 if w in older:
-                    known[w] = older[w]
-                    self.words_held += 400
+                    known[w] = got = older[w]
+                    self.words_held += 200 + len(w) + 8 * len(got)
                 else:
                     new.append(w)
         for w, ids in zip(new, self._ids([w.decode() if isinstance(w, bytes) else w for w in new]), strict=True):
-            got = self._rendered(ids)
-            if len(w) > LONGEST:
-                once[w] = got
-            else:
-                known[w] = got
-                self.words_held += 200 + sys.getsizeof(w) + sys.getsizeof(got[0]) + sys.getsizeof(got[2])
+            known[w] = ids
+            self.words_held += 200 + len(w) + 8 * len(ids)
+        return [w for w in new if len(w) > LONGEST]
 
-    def _own_tokens(self, parts: list[bytes]) -> list[tuple[Rendered, list[int], list[int]]]:
-        """Of every run of units: its tokens, and the ids of its first and its last unit."""
+    def _own_tokens(self, parts: list[bytes]) -> list[tuple[Ids, Ids, Ids]]:
+        """Of every run of units: its ids, and those of its first and of its last unit."""
         if self.words_held > self.word_bytes:
             self.old_words, self.old_units = self.words, self.units
             self.words, self.units, self.words_held = {}, {}, 0
-        words, units, split, once = set(), set(), [], {}
+        words, units, split = set(), set(), []
         for p in parts:
-            text, ends = p.decode(), p.split(None, 1)[:1] + p.rsplit(None, 1)[-1:]
+            text = p.decode()
+            ends = p.split(None, 1)[:1] + p.rsplit(None, 1)[-1:]
             if self.simple.fullmatch(text):
-                found = [self.words_of.findall(t.lower()) for t in (text, *(e.decode() for e in ends))]
-                words.update(found[0])
-                split.append((self.words, self.words_of, found))
+                whole = self.words_of.findall(text.lower())
+                words.update(whole)
+                split.append((self.words, whole, [self.words_of.findall(e.decode().lower()) for e in ends]))
             else:
-                found = [p.split(), *([e] for e in ends)]
-                units.update(found[0])
-                split.append((self.units, None, found))
-        self._fill(words, self.words, self.old_words, once)
-        self._fill(units, self.units, self.old_units, once)
+                whole = p.split()
+                units.update(whole)
+                split.append((self.units, whole, [[e] for e in ends]))
+        long = [(self.words, self._fill(words, self.words, self.old_words)), (self.units, self._fill(units, self.units, self.old_units))]
         out = []
-        for known, _, found in split:
-            whole, *ends = (_joined([known.get(x) or once[x] for x in f]) for f in found)
-            ends = [[*map(int, e[0].split())] for e in ends]
-            out.append((whole, ends[0] if ends else [], ends[-1] if ends else []))
+        for known, whole, ends in split:
+            ids, *sides = (tuple(chain.from_iterable(map(known.__getitem__, x))) for x in (whole, *ends))
+            out.append((ids, sides[0] if sides else (), sides[-1] if sides else ()))
+        for known, over in long:
+            for w in over:  # once is enough for what is long
+                self.words_held -= 200 + len(w) + 8 * len(known.pop(w))
         return out
 
     def _learn(self, fresh: list[bytes]) -> dict[bytes, tuple | None]:
@@ -205,8 +207,11 @@ class ChunkEncoder:
         close()
         return made
 
-    def encode(self, texts: list[bytes]) -> Iterator[Rendered]:
-        """(decimal ids joined by blanks, their number, decoded text) of each text."""
+    def _cost(self, p: bytes, entry: tuple | None) -> int:
+        return 300 if entry is None else 900 + 2 * len(p) + 8 * len(entry[1])
+
+    def encode(self, texts: list[bytes]) -> Iterator[list[int]]:
+        """The ids of each text."""
         cut, fresh, made = [], {}, {}
         for data in texts:
             ends = cut_points(np.frombuffer(data, np.uint8)).tolist()
@@ -226,7 +231,7 @@ class ChunkEncoder:
         # A plan alternates windows (before, bytes, after) and the chunks' own tokens between them.
         plans, windows = [], {}
         for parts in cut:
-            plan, carry, before = [], [], (b"", [])
+            plan, carry, before = [], [], (b"", ())
             for p in parts:
                 entry = made[p]
                 if entry is None:  # no white space: the window grows over the whole chunk
@@ -236,32 +241,31 @@ class ChunkEncoder:
                 carry.append(head)
                 plan += [(before, b"".join(carry), front), own]
                 before, carry = back, [tail]
-            plan.append((before, b"".join(carry), (b"", [])))
+            plan.append((before, b"".join(carry), (b"", ())))
             plans.append(plan)
             windows.update((x[0][0] + x[1] + x[2][0], None) for x in plan[::2] if x[1])
         order = [*windows]
         windows = dict(zip(order, self._ids([w.decode() for w in order]), strict=True))
         for data, plan in zip(texts, plans, strict=True):
-            out = []
+            out: list[int] = []
             for k, x in enumerate(plan):
                 if k % 2:
-                    out.append(x)
+                    out.extend(x)
                 elif x[1]:
                     (back, left), carry, (front, right) = x
                     ids = windows[back + carry + front]
                     end = len(ids) - len(right)
                     if len(left) > end or ids[: len(left)] != left or ids[end:] != right:
                         self.disagreed += 1
-                        out = [self._rendered(next(self._ids([data.decode()])))]
+                        out = [*next(self._ids([data.decode()]))]
                         break
-                    out.append(self._rendered(ids[len(left) : end]))
-            yield _joined(out)
+                    out.extend(ids[len(left) : end])
+            yield out
         for p in fresh:
-            self.chunks[p] = got = made[p]
-            self.chunks_held += 600 + 2 * len(p) + (sys.getsizeof(got[1][0]) + sys.getsizeof(got[1][2]) if got else 0)
+            self.chunks[p] = made[p]
+            self.chunks_held += self._cost(p, made[p])
         while self.chunks_held > self.chunk_bytes:
-            p, got = self.chunks.popitem(last=False)
-            self.chunks_held -= 600 + 2 * len(p) + (sys.getsizeof(got[1][0]) + sys.getsizeof(got[1][2]) if got else 0)
+            self.chunks_held -= self._cost(*self.chunks.popitem(last=False))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,7 +279,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = held(ChunkEncoder, vocabulary_path(vocabulary))
         for b in slices(batches, "_text", holding=True):
-            got = list(coder.encode([x.encode() if x else b"" for x in b.column(1).to_pylist()]))
+            got = [coder.rendered(ids) for ids in coder.encode([x.encode() if x else b"" for x in b.column(1).to_pylist()])]
             yield pa.record_batch([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.string())], names=["_key", "ids", "n_tokens", "decoded"])
 
     source = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
@@ -294,7 +298,7 @@ def encode_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         coder = held(ChunkEncoder, vocabulary_path(vocabulary))
         for b in slices(batches, "text", holding=True):
             n, ids, decoded = [], [], []
-            for a, k, d in coder.encode([x.encode() if x else b"" for x in b.column(1).to_pylist()]):
+            for a, k, d in map(coder.rendered, coder.encode([x.encode() if x else b"" for x in b.column(1).to_pylist()])):
                 n.append(k)
                 ids.append(hashlib.sha256(a.encode()).hexdigest())
                 decoded.append(hashlib.sha256(d.encode()).hexdigest())
