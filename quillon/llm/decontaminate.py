@@ -23,10 +23,10 @@ from quillon.llm.neardup import _mix, word_hashes
 
 #: An item is found where a document's words are within this share of its length in word edits.
 MOST_EDITS = 0.2
-#: Samples of a walk, steps of a sample, and the most walks; as many walks are made as TARGET needs for items with
-#: DESIGN_EDITS of their words edited.
-SAMPLES, STEPS, WALKS = 6, 4, 4
-TARGET, DESIGN_EDITS, TRIALS = 0.95, 0.1, 128
+#: Samples of a walk and steps of a sample; as many walks are made as TARGET needs for items with as many edits as are
+#: accepted, measured on every item, TRIALS times at least in all.  More than WALKS are an error, not a lower recall.
+SAMPLES, STEPS, WALKS = 8, 4, 24
+TARGET, TRIALS = 0.92, 1024
 #: Words of the items of one pass over the documents; more items take more passes.
 ITEM_WORDS = 400_000
 #: Least and most bits of the filter before a key lookup: it has about 128 for each key, and stays near the processor.
@@ -79,9 +79,9 @@ class Index:
 
 
 def _sampled_steps(size: int, walk: int) -> np.ndarray:
-    """(SAMPLES, STEPS) sorted steps of a walk over a window, before the step at which walks begin to leave it."""
+    """(SAMPLES, STEPS) sorted steps among the first ``size`` of a walk, in which edits have pushed few walks apart yet."""
     rng = np.random.default_rng([size, walk, 23])
-    n = max(1, 3 * size // 2)
+    n = max(1, size)
     return np.stack([np.sort(rng.choice(n, STEPS, replace=n < STEPS)) for _ in range(SAMPLES)])
 
 
@@ -221,36 +221,37 @@ def edited(rng: np.random.Generator, words: np.ndarray, edits: int) -> np.ndarra
 
 
 def measured_recall(index: Index, share: float, trials: int = TRIALS, seed: int = 5) -> float:
-    """Share of edited items, set into random words, whose window meets the item itself."""
+    """Share of edited items, set into random words, whose window meets the item itself; every item is tried."""
     rng = np.random.default_rng(seed)
     full = [k for k, w in enumerate(index.words) if len(w)]
     if not full:
         return 1.0
     rows, own = [], []
-    for t in range(trials):
+    for t in range(len(full) * -(-trials // len(full))):
         k = full[t % len(full)]
-        body = edited(rng, index.words[k], int(round(share * len(index.words[k]))))
+        body = edited(rng, index.words[k], int(share * len(index.words[k])))
         pad = rng.integers(1, 1 << 62, 60).astype(np.uint64)
         cut = int(rng.integers(8, 50))
         rows.append(np.concatenate([pad[:cut], body, pad[cut:]]))
         own.append(k)
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     got = {(int(r), int(i)) for r, i, _ in candidates(index, np.concatenate(rows), offsets)}
-    return sum((t, k) in got for t, k in enumerate(own)) / trials
+    return sum((t, k) in got for t, k in enumerate(own)) / len(own)
 
 
-def index_items(ids: list[int], texts: list[str | None], target: float = TARGET, share: float = DESIGN_EDITS) -> Index:
-    """The least number of walks (at most WALKS) that reaches the target recall on edited copies of the items."""
+def index_items(ids: list[int], texts: list[str | None], target: float = TARGET, share: float = MOST_EDITS) -> Index:
+    """The least number of walks that reaches the target recall on items with ``share`` of their words edited."""
     values, at = words_of(pa.array(texts, pa.string()))
     words = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
     for walks in range(1, WALKS + 1):
         index = build(ids, words, walks)
-        if walks == WALKS or measured_recall(index, share) >= target:
+        reached = measured_recall(index, share)
+        if reached >= target:
             return index
-    raise AssertionError
+    raise ValueError(f"a recall of {reached:.3f} with {WALKS} walks, {target} is wanted for {share:.0%} edits")
 
 
-def _indexes(items: DataFrame, key: str, text: str) -> list[Index]:
+def _indexes(items: DataFrame, key: str, text: str, share: float) -> list[Index]:
     """Indexes of blocks of items, of about ITEM_WORDS words each whatever the number of items."""
     rows = items.select(F.col(key).cast("bigint").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -258,7 +259,7 @@ def _indexes(items: DataFrame, key: str, text: str) -> list[Index]:
     out = []
     for k in range(blocks):
         got = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).toArrow()
-        out.append(index_items(got.column(0).to_pylist(), got.column(1).to_pylist()))
+        out.append(index_items(got.column(0).to_pylist(), got.column(1).to_pylist(), share=share))
     return out
 
 
@@ -267,14 +268,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
 
     edits is the exact word edit distance of the item to the nearest part of the document around the best candidate,
     at most ``share`` of the item's words; first_word is about where the item starts.  Null texts, and items without
-    words or with a null id, give nothing.  Repeated documents give repeated rows, an item repeated under one id one row each
-    time it stands in ``items``.  Further columns are ignored; empty tables give no rows.  A broadcast index holds a
+    words or with a null id, give nothing.  A document's null key stays null.  Repeated documents give repeated rows, an item
+    repeated under one id one row each time it stands in ``items``.  Further columns are ignored, whatever their names; empty tables
+    give no rows.  A broadcast index holds a
     block of at most about ITEM_WORDS item words; each block is a pass over the documents.
     """
     rows = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text")).where(F.col("_text").isNotNull())
     kind = rows.schema[0].dataType.simpleString()
     out = None
-    for index in _indexes(items, item_key, item_text):
+    for index in _indexes(items, item_key, item_text, share):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -292,9 +294,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, share: float = MOST_EDITS) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, columns as they were; one pass for each block of items."""
+    """The rows of ``docs`` in which no item is found, columns as they were; one pass for each block of items.
+
+    Null and empty texts hold no item and stay; null ids, repeated rows and further columns change nothing.
+    """
     at = docs.columns.index("text")
-    for index in _indexes(items, "item_id", "text"):
+    for index in _indexes(items, "item_id", "text", share):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
