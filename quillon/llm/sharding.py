@@ -25,7 +25,6 @@ RANGES = (16, 1024)
 ROWS_A_RANGE = 500_000
 #: Expected samples for each range; a range is overfull beyond this many times its share.
 SAMPLES_A_RANGE, OVERFULL = 32, 2.0
-ROUNDS = 8
 
 Splitter = tuple[int, int]
 
@@ -41,7 +40,7 @@ def range_of(keys: np.ndarray, ids: np.ndarray, splitters: list[Splitter]) -> np
 
 
 def with_range(rows: DataFrame, splitters: list[Splitter]) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(splitters)  # at most shards * RANGES[1] * 2**ROUNDS pairs, in practice a few times the ranges
+    shared = rows.sparkSession.sparkContext.broadcast(splitters)  # a few times the ranges, of which there are at most shards * RANGES[1]
     names = rows.columns
     k, d = names.index("_key"), names.index("doc_id")
 
@@ -71,10 +70,14 @@ def _sample(rows: DataFrame, rate: float) -> list[tuple[int, int, float]]:
 
 
 def splitters_of(rows: DataFrame, total: int, parts: int) -> list[Splitter]:
-    """Boundaries of about ``parts`` ranges of near-equal size, overfull ranges subdivided by samples of their own."""
+    """Boundaries of about ``parts`` ranges of near-equal size, overfull ranges subdivided by samples of their own.
+
+    Ends when no range is overfull, or when those that are have no further boundary among their rows' samples: what
+    is left then is one row repeated, which no boundary can divide.
+    """
     found = _quantiles(_sample(rows, parts * SAMPLES_A_RANGE / max(1, total)), parts)
     target = max(1, total / parts)
-    for _ in range(ROUNDS):
+    while True:
         sums = with_range(rows, found).groupBy("_range").agg(F.sum("size").alias("s"), F.max("size").alias("most"), F.min(F.struct("_key", "doc_id")).alias("a"), F.max(F.struct("_key", "doc_id")).alias("z"))
         over = [r for r in sums.collect() if r["s"] > OVERFULL * target + r["most"] and r["a"] != r["z"]]
         if not over:
@@ -97,7 +100,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
 
     size is the text's UTF-8 length plus 1 (a null text has length 0 and crc 0); shard boundaries fall where the
     running size passes a multiple of total/shards, so sizes differ by less than the largest rows.  Slots count the
-    rows of a shard from 0 without gaps in the global order; fully equal rows take slots in any order.  grown_shard
+    rows of a shard from 0 without gaps in the global order (by hash of the text, then doc_id, nulls first); fully equal rows take slots in any order.  grown_shard
     belongs to the law ``key`` alone and is null.  Further columns are ignored; an empty table gives no rows.
     """
     data = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -126,12 +129,18 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, key: str = "doc_id") -> None:
-    """Writes the documents under ``path`` in one folder a shard, rows in slot order within each written file.
+    """Writes the documents under ``path`` in one folder ``_shard=N`` a shard, rows in slot order within each written file.
 
-    Needs unique keys, as the text joins its place by key.
+    Needs unique keys, as the text joins its place by key; null keys are refused.  Further columns are written as they are;
+    one named ``_shard`` (in any case) is refused, as the folders carry that name.
     """
-    at = assign(docs, shards, key).select(key, F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    docs.join(at, key).repartition(F.col("_shard"), F.floor(F.col("_slot") / 250_000)).sortWithinPartitions("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)
+    if "_shard" in [c.lower() for c in docs.columns]:
+        raise ValueError("a column is named _shard")
+    slot = "_slot"
+    while slot in docs.columns:
+        slot += "_"
+    at = assign(docs, shards, key).select(F.when(F.col(key).isNull(), F.raise_error(F.lit("a key is null"))).otherwise(F.col(key)).alias(key), F.col("shard").alias("_shard"), F.col("slot").alias(slot))
+    docs.join(at, key).repartition(F.col("_shard"), F.floor(F.col(slot) / 250_000)).sortWithinPartitions("_shard", slot).drop(slot).write.partitionBy("_shard").parquet(path)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

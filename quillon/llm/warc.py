@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import schema, settle, shared_dir, slices, table
+from quillon.plans.skew import hot_keys, salted_join
 
 #: Bytes of records in an archive before compression; a writer holds no more than this and one record.
 ARCHIVE_BYTES = 16 << 20
-#: Dictionary size, and bytes of records, taken evenly over the whole archive, that it is trained on.
+#: Dictionary size, and about how many bytes of records, taken evenly over the whole archive, it is trained on (at most
+#: twice as many).
 DICTIONARY_BYTES, TRAINING_BYTES = 64 << 10, 2 << 20
 LEVEL = 3
 # The magic number of the skippable frame for dictionaries, and the profile of equal payloads.
@@ -38,19 +40,28 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, size: int, payload_digest: str, refers_to: int | None, payload: bytes | None) -> bytes:
-    """A WARC/1.1 record; with ``payload`` None a revisit of ``refers_to``, whose block is the response's head alone."""
+def record_id(page_id: int | None, url: str | None, payload_digest: str) -> str:
+    """Names a record by page, address and payload, so that rows which repeat an id, or have none, are told apart.
+
+    Only rows equal in all three share a name: they are one record, written as often as it stands there.
+    """
+    return f"{_NAME}{'' if page_id is None else page_id}:{hashlib.sha1((url or '').encode()).hexdigest()[:16]}:{payload_digest}"
+
+
+def record(page_id: int | None, url: str | None, size: int, payload_digest: str, refers_to: tuple[int, str | None] | None, payload: bytes | None) -> bytes:
+    """A WARC/1.1 record; with ``payload`` None a revisit of ``refers_to`` (page_id, url), whose block is the response's head alone."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    target = lambda u: quote(u or "about:blank", safe=":/?#[]@!$&()*+,;=%~")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if payload is None else 'response'}",
-        f"WARC-Record-ID: <{_NAME}{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{record_id(page_id, url, payload_digest)}>",
         "WARC-Date: 2024-01-01T00:00:00Z",
-        f"WARC-Target-URI: {quote(url or 'about:blank', safe=':/?#[]@!$&()*+,;=%~')}",
+        f"WARC-Target-URI: {target(url)}",
         f"WARC-Payload-Digest: sha1:{payload_digest}",
     ]
     if payload is None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{_NAME}{refers_to}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(*refers_to, payload_digest)}>", f"WARC-Refers-To-Target-URI: {target(refers_to[1])}"]
     block = head + (payload or b"")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
@@ -125,28 +136,28 @@ def put_file(at: str, data: bytes) -> None:
 
 
 def with_referrals(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and, by payload digest, what the row refers to: the largest page_id with that payload, if another."""
+    """page_id, url, html, digest and what the row refers to: id and url of the largest page_id with that payload, if another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
-            yield pa.record_batch([b.column(0), pa.array([digest((x or "").encode()) for x in b.column(1).to_pylist()])], names=["page_id", "digest"])
+            yield pa.record_batch([*b.columns, pa.array([digest((x or "").encode()) for x in b.column(2).to_pylist()])], names=["page_id", "url", "html", "digest"])
 
-    ids = settle(pages.select(F.col("page_id").cast("bigint"), F.col("html").cast("string")).mapInArrow(run, schema("page_id bigint, digest string")))
-    last = settle(ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    # Counts and maxima are combined map-side, and both sides of this join are exchanges that Spark may split, so a
-    # payload shared by a third of the pages is no task's burden; no payload travels here.
-    refer = ids.join(last, "digest").where("page_id <> refers_to or page_id is null").groupBy("page_id", "digest").agg(F.max("refers_to").alias("refers_to"))
-    # A page_id may stand on several rows with different payloads, so the digest is part of what it looks up.
-    refer = refer.groupBy(F.col("page_id").alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct("digest", "refers_to"))).alias("refers"))
-    rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.join(refer, F.col("page_id").eqNullSafe(F.col("_id")), "left").select("page_id", "url", "html", "refers")
+    rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, schema("page_id bigint, url string, html string, digest string"))
+    ids = settle(rows.select("page_id", "url", "digest"))
+    # Counts and maxima are combined map-side; a payload shared by a third of the pages is dealt over tasks.
+    last = ids.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("m"), F.count("*").alias("n")).where("n > 1")
+    last = settle(last.select("digest", F.col("m.page_id").alias("to_id"), F.col("m.url").alias("to_url"), "n"))
+    out = salted_join(rows, last.select("digest", "to_id", "to_url"), ["digest"], "page_id", hot_keys(last, ["digest"], "n", ids.count()), "left")
+    other = F.col("to_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to_id"))
+    return out.select("page_id", "url", "html", "digest", F.when(other, F.col("to_id")).alias("to_id"), F.when(other, F.col("to_url")).alias("to_url"))
 
 
 def write_archives(pages: DataFrame, out: str) -> DataFrame:
     """Writes the pages (page_id, url, html) as archives under ``out``; returns archive, records, bytes of each file.
 
-    A null html is an empty payload, a null url ``about:blank``; further columns are ignored; an empty table writes no
-    file.  File names follow partitions and rows are sorted inside them, so a repeated task writes the same files.
+    A null html is an empty payload, a null url ``about:blank``; a row with a null page_id revisits the largest page_id of
+    its payload, if there is one; rows that repeat an id are records of their own, told apart by url and payload; further columns are
+    ignored; an empty table writes no file.  File names follow partitions and rows are sorted inside them, so a repeated task writes the same files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +170,9 @@ def write_archives(pages: DataFrame, out: str) -> DataFrame:
             return pa.record_batch([pa.array([names[-1]]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], names=["archive", "records", "bytes"])
 
         for b in slices(batches, "html"):
-            for page_id, url, html, refers in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for page_id, url, html, d, to_id, to_url in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 payload = (html or "").encode()
-                d = digest(payload)
-                target = dict(refers or ()).get(d)
-                one = record(page_id, url, len(payload), d, target, payload if target is None else None)
+                one = record(page_id, url, len(payload), d, (to_id, to_url), payload if to_id is None else None)
                 if held and size + len(one) > ARCHIVE_BYTES:
                     yield close()
                     held, size = [], 0
@@ -173,7 +182,7 @@ def write_archives(pages: DataFrame, out: str) -> DataFrame:
             yield close()
 
     rows = with_referrals(pages).sortWithinPartitions("page_id", F.xxhash64("url", "html"))
-    return settle(rows.select("page_id", "url", "html", "refers").mapInArrow(run, schema("archive string, records bigint, bytes bigint")))
+    return settle(rows.mapInArrow(run, schema("archive string, records bigint, bytes bigint")))
 
 
 def read_archives(spark: SparkSession, out: str) -> DataFrame:
@@ -184,7 +193,7 @@ def read_archives(spark: SparkSession, out: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda x: int(x) if (x := x.strip("<>").removeprefix(_NAME)) else None
+        number = lambda x: int(x) if (x := x.strip("<>").removeprefix(_NAME).split(":")[0]) else None
         for b in batches:
             for archive in b.column(0):
                 rows, size = [], 0
