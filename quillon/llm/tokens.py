@@ -102,7 +102,7 @@ class ChunkEncoder:
     def __init__(self, path: str, chunk_bytes: int = CHUNK_BYTES, word_bytes: int = WORD_BYTES):
         from tokenizers import Tokenizer
 
-        word_vocabulary(path)
+        spec = word_vocabulary(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -113,6 +113,8 @@ class ChunkEncoder:
         #: Every id as one object that all caches share, and as decimal text.
         self.number = [*range(len(self.tokens))]
         self.decimal = [*map(str, self.number)]
+        end = spec["model"]["end_of_word_suffix"]
+        self.ends_word = np.array([t.endswith(end) for t in self.tokens])
         #: Per chunk: text before its first white space, ids of what lies between, text after its last white space, and
         #: the pieces that a window reaches over at both ends with their ids; or None for a chunk without white space.
         self.chunks: OrderedDict[bytes, tuple | None] = OrderedDict()
@@ -139,19 +141,26 @@ class ChunkEncoder:
             for e in self.tokenizer.encode_batch_fast(texts[start : start + 20_000], add_special_tokens=False):
                 yield tuple(map(number, e.ids))
 
+    def _word_ids(self, words: list[str]) -> list[Ids]:
+        """The ids of single words, many encoded as one text: a word's last token, and no other, ends a word."""
+        texts = [words[k : k + 256] for k in range(0, len(words), 256)]
+        out: list[Ids] = []
+        for own, ids in zip(texts, self._ids([" ".join(t) for t in texts]), strict=True):
+            ends = (np.flatnonzero(self.ends_word[np.array(ids, np.int64)]) + 1).tolist()
+            if len(ends) != len(own) or ends[-1] != len(ids):
+                raise ValueError("a word of the vocabulary's pattern has other tokens beside others than alone")
+            out += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
     def _fill(self, wanted: set, known: dict, older: dict) -> list:
         """Puts what is wanted into ``known``: from the older generation, or else by the tokenizer; returns the long ones."""
-        new = []
-        for w in wanted:
-            if w not in known:
-                if w in older:
-                    known[w] = got = older[w]
-                    self.words_held += 200 + len(w) + 8 * len(got)
-                else:
-                    new.append(w)
-        for w, ids in zip(new, self._ids([w.decode() if isinstance(w, bytes) else w for w in new]), strict=True):
-            known[w] = ids
-            self.words_held += 200 + len(w) + 8 * len(ids)
+        missing = wanted - known.keys()
+        kept = missing & older.keys()
+        known.update((w, older[w]) for w in kept)
+        new = [*(missing - kept)]
+        got = [*self._ids([w.decode() for w in new])] if known is self.units else self._word_ids(new)
+        known.update(zip(new, got, strict=True))
+        self.words_held += 250 * len(missing) + sum(map(len, missing)) + 8 * sum(map(len, got))
         return [w for w in new if len(w) > LONGEST]
 
     def _own_tokens(self, parts: list[bytes]) -> list[tuple[Ids, Ids, Ids]]:
@@ -178,7 +187,7 @@ class ChunkEncoder:
             out.append((ids, sides[0] if sides else (), sides[-1] if sides else ()))
         for known, over in long:
             for w in over:  # once is enough for what is long
-                self.words_held -= 200 + len(w) + 8 * len(known.pop(w))
+                self.words_held -= 250 + len(w) + 8 * len(known.pop(w))
         return out
 
     def _learn(self, fresh: list[bytes]) -> dict[bytes, tuple | None]:
