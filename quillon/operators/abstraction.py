@@ -44,11 +44,63 @@ def declared(triples: DataFrame) -> DataFrame:
     return rows.where("category is not null").distinct()
 
 
+# Names of individuals, then of properties (any case, so any name that begins with a letter).
+INDIVIDUAL_NAMES = ("^[UPC][0-9]", "^[A-Z][0-9]+$", "[0-9]+$", "_[0-9]+$", r"^Individual\d+$")
+PROPERTY_NAMES = ("^(has|is|can|should|get|set)", "(Of|For|By|To|From|With)$", "^(advises|enrolls|teaches|offer|takes)", "^[a-z]")
+
+
 def heuristic(name: Column) -> Column:
-    """ABS-4 on a bare name: individuals by digits or underscores, properties by verb-like beginnings, capitals are classes."""
-    person = name.rlike("^[a-z]+(?:_[a-z]+)*_[0-9]{4}$") | name.rlike("^[A-Za-z]+[0-9]+$") | name.rlike("^[a-z]+_[a-z_]+$")
-    verb = name.rlike("^(?:has|is|in|of|belongs|contains|part)[A-Z].*") | name.rlike("^[a-z]+(?:Of|By|In|To|From|With)$")
-    return F.when(person, "individual").when(verb, "object_property").when(name.rlike("^[A-Z]"), "class").otherwise("individual")
+    """ABS-4 on a bare name: individuals, then properties, then classes by a first capital; any other is a property."""
+    person = name.rlike("|".join(INDIVIDUAL_NAMES))
+    return F.when(person, "individual").when(name.rlike("(?i)" + "|".join(PROPERTY_NAMES)), "object_property").when(name.rlike(r"^\p{Lu}"), "class").otherwise("object_property")
+
+
+def _own(mode: str, name: str) -> str:
+    """A term of the ontology's own namespace or prefix, its local name as the group."""
+    return rf"<{re.escape(name)}#([^<>\s]+)>" if mode == "uri" else rf"\b{re.escape(name)}:([A-Za-z][A-Za-z0-9_]*)\b"
+
+
+def target_terms(files: DataFrame, text: str, mode: str, name: str) -> DataFrame:
+    """ABS-3: (term) of all own terms in Turtle texts."""
+    return files.select(F.explode(F.regexp_extract_all(text, F.lit(_own(mode, name)), F.lit(1))).alias("term")).distinct()
+
+
+# What a declaration says, and its category.
+DECLARED = (("Class", "class"), ("ObjectProperty", "object_property"), ("(?:DatatypeProperty|AnnotationProperty)", "data_property"), ("NamedIndividual", "individual"))
+
+
+def _found(text: str, pattern: str, category: str, rank: int = 0) -> Column:
+    """(term, k, category) of the terms that a pattern finds."""
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda t: F.struct(t.alias("term"), F.lit(rank).alias("k"), F.lit(category).alias("category")))
+
+
+def declared_in(files: DataFrame, text: str, mode: str, name: str) -> DataFrame:
+    """ABS-2 on Turtle texts, for either mode: (term, category) of ``term a owl:Kind`` or ``term rdf:type owl:Kind``."""
+    said = r"\s+(?:rdf:type|a)\s+(?:owl:|<http://www\.w3\.org/2002/07/owl#)"
+    rows = [_found(text, rf"{_own(mode, name)}{said}{kind}\b", category) for kind, category in DECLARED]
+    return files.select(F.explode(F.concat(*rows)).alias("r")).select("r.term", "r.category").distinct()
+
+
+def structural(files: DataFrame, text: str, name: str) -> DataFrame:
+    """ABS-4, the tests of place for prefix mode: (term, category), the first test that a term passes anywhere.
+
+    Classes beside rdfs:subClassOf, properties with a domain or range or between two words, individuals with a type.
+    """
+    own = rf"{re.escape(name)}:(\w+)"
+    tests = ((rf"\b{own}\s+rdfs:subClassOf", "class"), (rf"rdfs:subClassOf\s+{own}\b", "class"), (rf"\b{own}\s+rdfs:(?:domain|range)", "object_property"), (rf"(?<=\w)\s+{own}(?=\s+\w)", "object_property"), (rf"\b{own}\s+(?:rdf:type|a)\s+(?:\w+:|<[^>]*#)[A-Z]", "individual"))
+    rows = files.select(F.explode(F.concat(*[_found(text, p, c, k) for k, (p, c) in enumerate(tests)])).alias("r")).select("r.*")
+    return rows.groupBy("term").agg(F.min(F.struct("k", "category")).alias("m")).select("term", "m.category")
+
+
+def categorized(files: DataFrame, text: str, mode: str, name: str) -> DataFrame:
+    """ABS-2 .. ABS-4: (term, category) of all own terms: declarations, else places (prefix mode), else names."""
+    told = declared_in(files, text, mode, name)
+    rest = missed(target_terms(files, text, mode, name), told.select("term"))
+    if mode == "prefix":
+        rest = rest.join(structural(files, text, name), "term", "left")
+    else:
+        rest = rest.withColumn("category", F.lit(None).cast("string"))
+    return told.unionByName(rest.select("term", F.coalesce("category", heuristic(F.col("term"))).alias("category")))
 
 
 def resolve(terms: DataFrame) -> DataFrame:

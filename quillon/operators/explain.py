@@ -213,20 +213,26 @@ def range_entailed(f: Facts) -> DataFrame:
 def property_trace(f: Facts) -> DataFrame:
     """EXP-7: (s, p, axioms, said): how a property of s rests on assertions, by the first source that gives one.
 
-    Sources in order: an assertion, a sub-property (nearest first), an asserted inverse, a chain of two assertions.
-    Within a source the smallest text wins.
+    Sources in order: an assertion, a sub-property (however that rests, nearest kind of source first), the inverse of an
+    assertion or of what a sub-property of the inverse asserts, a chain of two assertions.  Within a source the smallest text wins.
     """
-    direct = f.a_rel.select("s", "p", F.lit(1).alias("rank"), F.array(_edge(c("s"), c("p"), c("o"))).alias("said"), F.array(axiom("PropertyAssertion", c("p"), c("s"), c("o"))).alias("axioms"))
+
+    def rows(df: DataFrame, s, p, rank: int, said: list, axioms: list, inner=None) -> DataFrame:
+        return df.select(s.alias("s"), p.alias("p"), F.lit(rank).alias("rank"), (F.lit(0) if inner is None else inner).alias("inner"), F.array(*said).alias("said"), F.array(*axioms).alias("axioms"))
+
     subs = sorted((b, a) for a, b in closed(set(f.g.schema.subproperty)) if a != b) or [("", "")]
-    sub = f.a_rel.withColumnRenamed("p", "q").join(f.g.small(subs, "p string, q string"), "q")
-    sub = sub.select("s", "p", F.lit(2).alias("rank"), F.array(lit_text(c("q"), " rdfs:subPropertyOf ", c("p")), _edge(c("s"), c("q"), c("o"))).alias("said"), F.array(axiom("SubPropertyOf", c("q"), c("p")), axiom("PropertyAssertion", c("q"), c("s"), c("o"))).alias("axioms"))
-    pairs = [*f.g.schema.inverse, *((b, a) for a, b in f.g.schema.inverse)] or [("", "")]
-    inv = f.a_rel.withColumnRenamed("p", "q").join(f.g.small(pairs, "p string, q string"), "q")
-    inv = inv.select(c("o").alias("s"), "p", F.lit(3).alias("rank"), F.array(lit_text(F.least("p", "q"), " owl:inverseOf ", F.greatest("p", "q")), _edge(c("s"), c("q"), c("o"))).alias("said"), F.array(axiom("InverseProperties", F.least("p", "q"), F.greatest("p", "q")), axiom("PropertyAssertion", c("q"), c("s"), c("o"))).alias("axioms"))
-    two = _two_links(f, f.a_rel)
-    two = two.select("s", c("p"), F.lit(4).alias("rank"), F.array(lit_text("PropertyChain(", c("p1"), " o ", c("p2"), ") -> ", c("p")), _edge(c("s"), c("p1"), c("z")), _edge(c("z"), c("p2"), c("o"))).alias("said"), F.array(axiom("PropertyChain", c("p1"), c("p2"), c("p")), axiom("PropertyAssertion", c("p1"), c("s"), c("z")), axiom("PropertyAssertion", c("p2"), c("z"), c("o"))).alias("axioms"))
-    every = reduce(DataFrame.unionByName, [direct, sub, inv, two])
-    best = every.groupBy("s", "p").agg(F.min(F.struct("rank", "said", "axioms")).alias("b"))
+    below = f.g.small(subs, "p string, q string")
+    pairs = f.g.small([*f.g.schema.inverse, *((b, a) for a, b in f.g.schema.inverse)] or [("", "")], "p string, q string")
+    edge, held = _edge(c("s"), c("q"), c("o")), axiom("PropertyAssertion", c("q"), c("s"), c("o"))
+    direct = rows(f.a_rel, c("s"), c("p"), 1, [_edge(c("s"), c("p"), c("o"))], [axiom("PropertyAssertion", c("p"), c("s"), c("o"))])
+    turned, opposite = lit_text(F.least("p", "q"), " owl:inverseOf ", F.greatest("p", "q")), axiom("InverseProperties", F.least("p", "q"), F.greatest("p", "q"))
+    inv = rows(f.a_rel.withColumnRenamed("p", "q").join(pairs, "q"), c("o"), c("p"), 3, [turned, edge], [opposite, held])
+    deep = f.a_rel.withColumnRenamed("p", "r").join(below.select(c("q").alias("r"), c("p").alias("q")), "r").join(pairs, "q")
+    deep = rows(deep, c("o"), c("p"), 3, [turned, lit_text(c("r"), " rdfs:subPropertyOf ", c("q")), _edge(c("s"), c("r"), c("o"))], [opposite, axiom("SubPropertyOf", c("r"), c("q")), axiom("PropertyAssertion", c("r"), c("s"), c("o"))], F.lit(1))
+    two = rows(_two_links(f, f.a_rel), c("s"), c("p"), 4, [lit_text("PropertyChain(", c("p1"), " o ", c("p2"), ") -> ", c("p")), _edge(c("s"), c("p1"), c("z")), _edge(c("z"), c("p2"), c("o"))], [axiom("PropertyChain", c("p1"), c("p2"), c("p")), axiom("PropertyAssertion", c("p1"), c("s"), c("z")), axiom("PropertyAssertion", c("p2"), c("z"), c("o"))])
+    own = reduce(DataFrame.unionByName, [direct, inv, deep, two])
+    sub = own.withColumnRenamed("p", "q").join(below, "q").select("s", "p", F.lit(2).alias("rank"), (c("rank") * 10 + c("inner")).alias("inner"), F.concat(F.array(lit_text(c("q"), " rdfs:subPropertyOf ", c("p"))), "said").alias("said"), F.concat(F.array(axiom("SubPropertyOf", c("q"), c("p"))), "axioms").alias("axioms"))
+    best = own.unionByName(sub).groupBy("s", "p").agg(F.min(F.struct("rank", "inner", "said", "axioms")).alias("b"))
     return best.select("s", "p", "b.axioms", "b.said")
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import answers as A
+from quillon.plans.lineage import settle
+from quillon.plans.skew import running
 
 
 class Responder(Protocol):
@@ -54,6 +56,29 @@ def model_spec(text: str) -> tuple[str, str, str]:
     return provider or "openai", model, text.replace(":", "_").replace("/", "_")
 
 
+# Providers and the names by which their models are known without one.
+PROVIDERS = {"openai": ("gpt", "o1", "o3"), "anthropic": ("claude",), "google": ("gemini",), "meta": ("llama",), "deepseek": ("deepseek",)}
+
+
+def model_metadata(spark, models: list[str]) -> DataFrame:
+    """SRC-16, SUP-10: (name, provider, model, column) of the models of a run, written beside its results."""
+    rows = []
+    for text in models:
+        provider, model, column = model_spec(text)
+        if ":" not in text:
+            provider = next((p for p, heads in PROVIDERS.items() if model.lower().startswith(heads)), provider)
+        rows.append((text, provider, model, column))
+    return spark.createDataFrame(rows, "name string, provider string, model string, column string")
+
+
+def responder_for(text: str, clients: dict[str, Responder]) -> Responder:
+    """SUP-10: the client of a model's provider; an error names what is missing before any question is asked."""
+    provider = model_spec(text)[0]
+    if provider not in clients:
+        raise ValueError(f"no client for {provider}, which {text} needs; there are: {', '.join(sorted(clients)) or 'none'}")
+    return clients[provider]
+
+
 def run_questions(questions: DataFrame, models: list[str], ask: Responder = offline, done: DataFrame | None = None, workers: int = 8) -> DataFrame:
     """Rows (task_id, model, response, seconds) for questions (task_id, prompt) not yet in ``done``.
 
@@ -84,6 +109,33 @@ def parsed(responses: DataFrame, questions: DataFrame) -> DataFrame:
     return r.select("task_id", "model", "answer_type", "answer", "final_answer", A.confidence(F.col("response")).alias("confidence"), A.reasoning_steps(F.col("response")).alias("steps"), A.correctness(F.col("answer"), F.col("final_answer"), F.col("answer_type")).alias("correctness"), F.col("response").startswith("[ERROR]").alias("error"), "seconds")
 
 
+def run_with_checkpoints(questions: DataFrame, models: list[str], folder: str, ask: Responder = offline, every: int = 50, workers: int = 8) -> DataFrame:
+    """SNK-8, LIM-4, SUP-12: runs in batches of ``every`` questions, each written before the next begins.
+
+    A batch is one folder ``part=K`` of the results; ``LATEST`` names the last one with its rows.  A rerun reads what is
+    there and asks only the rest, so what a broken run has paid for is never asked again.  Batches follow each other by nature:
+    a later one must not begin before the earlier one is safe.
+    """
+    spark = questions.sparkSession
+    results, latest = f"{folder}/results", f"{folder}/LATEST"
+    path = spark._jvm.org.apache.hadoop.fs.Path(results)
+    done, part = None, 0
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        done = spark.read.parquet(results)
+        part = 1 + (done.agg(F.max("part")).first()[0] or 0)
+    left = questions.select("task_id", "prompt").dropDuplicates(["task_id"])
+    if done is not None:
+        full = done.groupBy("task_id").agg(F.count_distinct("model").alias("n")).where(F.col("n") >= len(models))
+        left = left.join(full, "task_id", "left_anti")
+    batch = F.floor((F.col("_n") - 1) / every)
+    left = settle(running(left, [], ["task_id"], "_n").withColumn("_b", batch))
+    for k in range((left.agg(F.max("_b")).first()[0] if not left.isEmpty() else -1) + 1):
+        run_questions(left.where(F.col("_b") == k), models, ask, done, workers).write.mode("overwrite").parquet(f"{results}/part={part + k}")
+        rows = spark.read.parquet(f"{results}/part={part + k}").count()
+        spark.createDataFrame([(part + k, rows)], "part int, rows bigint").coalesce(1).write.mode("overwrite").json(latest)
+    return spark.read.parquet(results) if done is not None or not left.isEmpty() else run_questions(left.limit(0), models, ask)
+
+
 def append_checkpoint(rows: DataFrame, path: str) -> None:
     """SNK-8: finished rows join the earlier ones; a rerun skips them by ``done``."""
     rows.write.mode("append").parquet(path)

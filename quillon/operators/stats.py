@@ -134,5 +134,20 @@ def percent(c: Column) -> Column:
     return F.format_string("%.1f%%", c * 100)
 
 
+def signed_percent(c: Column) -> Column:
+    """STAT-8: a difference in percent with its sign."""
+    return F.format_string("%+.1f%%", c * 100)
+
+
+def p_text(c: Column) -> Column:
+    """STAT-8: a p-value with six places."""
+    return F.format_string("%.6f", c)
+
+
+def count_percent(n: Column, percent_of: Column) -> Column:
+    """STAT-8: a count with its share of a whole."""
+    return F.format_string("%d (%.1f%%)", n, F.coalesce(F.try_divide(n * 100.0, percent_of), F.lit(0.0)))
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

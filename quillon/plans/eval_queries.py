@@ -9,6 +9,8 @@ from quillon.functions import answers as A
 from quillon.functions import names as N
 from quillon.operators import abstraction as B
 from quillon.operators import benchmark as K
+from quillon.operators import questions as U
+from quillon.operators import reports as P
 from quillon.operators import scoring as S
 from quillon.operators import stats as T
 from quillon.operators import tags as G
@@ -546,3 +548,124 @@ def explanation_file(spark, d):
     from pyspark.sql.window import Window
 
     return lines.withColumn("i", F.monotonically_increasing_id()).select(F.row_number().over(Window.orderBy("i")).alias("n"), "value")
+
+
+# -- runs, reports and parts of the final data set ---------------------------------------------------------------------
+
+
+@query("run_counters", "SELECT (SELECT count(*) FROM pages WHERE page_id % 7 <> 0) AS ontologies, (SELECT count(*) FROM pages WHERE page_id % 7 = 0) AS errors, (SELECT count(*) FROM documents) AS inferences, count(*) AS questions, count(*) FILTER (turn % 4 <> 3) AS bin, count(*) FILTER (turn % 4 = 3) AS mc FROM conversations")
+def run_counters(spark, d):
+    """AGG-7 over pages as files, some of them broken, documents as inferences and turns as questions."""
+    files = read(spark, d, "pages").select(F.col("page_id").alias("graph_id"), F.when(F.col("page_id") % 7 == 0, "bad").alias("_error"))
+    asked = read(spark, d, "conversations").select(F.when(F.col("turn") % 4 == 3, "MC").otherwise("BIN").alias("answer_type"))
+    return P.run_counters(asked, files, read(spark, d, "documents"))
+
+
+@query("durations", "WITH s AS (SELECT event_type AS step, CAST(sum(user_id) AS BIGINT) AS ms FROM events GROUP BY event_type) SELECT CAST(row_number() OVER (ORDER BY ms DESC, step) AS INTEGER) AS rank, step, ms FROM s UNION ALL SELECT 0, 'total', CAST(sum(ms) AS BIGINT) FROM s")
+def durations(spark, d):
+    return P.durations(read(spark, d, "events").select(F.col("event_type").alias("step"), F.col("user_id").alias("ms")))
+
+
+@query("first_present", "SELECT o_custkey, min_by(o_totalprice, o_orderkey) FILTER (o_totalprice > 200000) AS price FROM orders GROUP BY o_custkey")
+def first_present(spark, d):
+    o = read(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_totalprice") > 200000, F.col("o_totalprice")).alias("price"))
+    return P.first_present(o, ["o_custkey"], "price", "o_orderkey")
+
+
+@query("last_results", "SELECT model, event_id FROM (SELECT event_type AS model, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) WHERE n <= 5")
+def last_results(spark, d):
+    return P.last_results(read(spark, d, "events").select(F.col("event_type").alias("model"), "event_id"), "event_id")
+
+
+@query("text_statistics", "WITH s AS (SELECT count(*) AS n, count(*) FILTER (turn % 5 <> 0) AS ok FROM conversations) SELECT CAST(k AS INTEGER) AS n, CASE k WHEN 0 THEN 'Processing Statistics' WHEN 1 THEN '====================' WHEN 2 THEN 'Total questions: ' || n WHEN 3 THEN 'Successfully processed: ' || ok WHEN 4 THEN 'Errors: ' || (n - ok) WHEN 5 THEN printf('Success rate: %.1f%%', 100.0 * ok / n) WHEN 6 THEN 'Total processing time: 64.00 seconds' ELSE printf('Average time per question: %.2f seconds', 64.0 / n) END AS line FROM s, range(0, 8) r(k)")
+def text_statistics(spark, d):
+    return P.text_statistics(read(spark, d, "conversations"), F.col("turn") % 5 != 0, 64.0)
+
+
+@query("experiment_summary", "WITH r AS (SELECT event_type AS model, event_id, user_id % 7 = 0 AS error, value FROM events) SELECT 'nl' AS mode, CAST((SELECT count(DISTINCT event_id) FROM events) AS VARCHAR) AS asked, CAST((SELECT count(*) FROM events) AS VARCHAR) AS calls, CAST((SELECT count(*) FROM r WHERE model = 'click') AS VARCHAR) AS clicks, (SELECT round(avg(CASE WHEN error THEN 0.0 ELSE 1.0 END), 6) FROM r WHERE model = 'click')::DOUBLE AS rate, (SELECT round(avg(value) FILTER (NOT error), 6) FROM r WHERE model = 'click')::DOUBLE AS seconds")
+def experiment_summary(spark, d):
+    """SNK-9: some figures of the summary, read back from its JSON."""
+    r = read(spark, d, "events").select(F.col("event_id").alias("task_id"), F.col("event_type").alias("model"), (F.col("user_id") % 7 == 0).alias("error"), F.col("value").alias("seconds"), F.lit(1.0).alias("correctness"))
+    at = lambda path: F.get_json_object("json", f"$.{path}")
+    one = "performance_summary.click"
+    return P.experiment_summary(r, P.Config(), 5.0).select(at("config.mode").alias("mode"), at("total_questions_processed").alias("asked"), at("total_api_calls").alias("calls"), at(f"{one}.calls").alias("clicks"), at(f"{one}.success_rate").cast("double").alias("rate"), at(f"{one}.response_time").cast("double").alias("seconds"))
+
+
+@query("zip_sides", "WITH a AS (SELECT o_custkey AS task_id, o_orderstatus AS sparql_query, o_orderkey AS pos, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS n FROM orders), b AS (SELECT *, pos * 10 AS question FROM a WHERE n < 3) SELECT a.task_id, a.sparql_query, a.pos, b.question AS abs_question FROM a LEFT JOIN b USING (task_id, sparql_query, n)")
+def zip_sides(spark, d):
+    """JN-9: orders of a customer and status meet those of a list that holds the first two of each."""
+    nl = read(spark, d, "orders").select(F.col("o_custkey").alias("task_id"), F.col("o_orderstatus").alias("sparql_query"), F.col("o_orderkey").alias("pos"))
+    from quillon.plans.skew import running
+
+    some = running(nl, ["task_id", "sparql_query"], ["pos"], "k").where("k < 3").select("task_id", "sparql_query", "pos", (F.col("pos") * 10).alias("question"))
+    return K.zip_sides(nl, some)
+
+
+@query("attach_explanations", "WITH e AS (SELECT l_orderkey AS triple_key, CAST(min(l_linenumber) AS INTEGER) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY l_orderkey) SELECT o_orderkey AS triple_key, 'line ' || n AS explanation FROM orders LEFT JOIN e ON o_orderkey = triple_key")
+def attach_explanations(spark, d):
+    """JN-8: orders as questions with the first of their large lines as explanation."""
+    e = read(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("triple_key"), F.col("l_linenumber").alias("n"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("explanation"))
+    return K.attach(read(spark, d, "orders").select(F.col("o_orderkey").alias("triple_key")), e)
+
+
+@query("contexts_of_questions", "SELECT c_custkey, coalesce(n_name, 'File not found: ' || c_custkey % 40) AS context FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 40")
+def contexts_of_questions(spark, d):
+    """JN-10: customers with the nation of a number as context; some numbers have none."""
+    q = read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 40).cast("string").alias("root_entity"))
+    c = read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("root_entity"), F.col("n_name").alias("context"))
+    return K.with_context(q, c, "context").select("c_custkey", "context")
+
+
+@query("time_estimate", "SELECT event_type, count(*) * 3.0 / 8 AS nl, count(*) * 3.5 / 4 AS ttl FROM events GROUP BY event_type")
+def time_estimate(spark, d):
+    n = F.count("*")
+    return read(spark, d, "events").groupBy("event_type").agg(S.time_estimate(n, 8).alias("nl"), S.time_estimate(n, 4, "ttl").alias("ttl"))
+
+
+@query("distinct_questions", "SELECT DISTINCT o_custkey, o_orderstatus FROM orders")
+def distinct_questions(spark, d):
+    """AGG-9"""
+    return read(spark, d, "orders").select("o_custkey", "o_orderstatus").dropDuplicates()
+
+
+@query("abstract_categories", "WITH n AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_brand WHEN 1 THEN 'has' || p_name WHEN 2 THEN 'U' || p_partkey || 'x' WHEN 3 THEN '_Plain' WHEN 4 THEN 'Éclair' WHEN 5 THEN 'C9' || p_name WHEN 6 THEN '_partOf' ELSE p_name END AS term FROM part) SELECT p_partkey, CASE WHEN regexp_matches(term, '^[UPC][0-9]|[0-9]+$') THEN 'individual' WHEN regexp_matches(term, '^[A-Za-z]|(Of|For|By|To|From|With)$') THEN 'object_property' WHEN regexp_matches(term, '^\\p{Lu}') THEN 'class' ELSE 'object_property' END AS category FROM n")
+def abstract_categories(spark, d):
+    """ABS-4 by names alone."""
+    k, p = F.col("p_partkey") % 8, F.col("p_name")
+    term = F.when(k == 0, F.col("p_brand")).when(k == 1, F.concat(F.lit("has"), p)).when(k == 2, F.concat(F.lit("U"), F.col("p_partkey").cast("string"), F.lit("x"))).when(k == 3, "_Plain").when(k == 4, "Éclair").when(k == 5, F.concat(F.lit("C9"), p)).when(k == 6, "_partOf").otherwise(p)
+    return read(spark, d, "part").select("p_partkey", B.heuristic(term).alias("category"))
+
+
+@query("missed_terms", "SELECT DISTINCT p_brand AS term FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 1)")
+def missed_terms(spark, d):
+    """JN-12: brands that no part of size one declares."""
+    p = read(spark, d, "part")
+    return B.missed(p.select(F.col("p_brand").alias("term")).distinct(), p.where("p_size = 1").select(F.col("p_brand").alias("term")).distinct())
+
+
+@query("root_of_file", "SELECT page_id, 'Thing_' || page_id || CASE WHEN page_id % 4 = 3 THEN '.txt' ELSE '' END AS root_entity FROM pages")
+def root_of_file(spark, d):
+    k = F.col("page_id")
+    name = F.concat(F.lit("Thing_"), k.cast("string"), F.when(k % 4 == 0, ".ttl").when(k % 4 == 1, ".OWL").when(k % 4 == 2, ".n3").otherwise(".txt"))
+    return read(spark, d, "pages").select("page_id", U.root_of_file(name).alias("root_entity"))
+
+
+@query("formats", "SELECT p_partkey, printf('%.1f%%', p_size * 2.0) AS rate, printf('%+.1f%%', (p_size - 25) * 4.0) AS difference, printf('%.6f', p_size / 64.0) AS p, printf('%d (%.1f%%)', p_size, p_size * 2.0) AS share FROM part")
+def formats(spark, d):
+    """STAT-8"""
+    n = F.col("p_size")
+    return read(spark, d, "part").select("p_partkey", T.percent(n / 50.0).alias("rate"), T.signed_percent((n - 25) / 25.0).alias("difference"), T.p_text(n / 64.0).alias("p"), T.count_percent(n, F.lit(50)).alias("share"))
+
+
+@query("question_prompts", "SELECT c_custkey, 'Write ' || CASE WHEN c_custkey % 3 = 0 THEN 'a yes-or-no question' WHEN c_custkey % 2 = 0 THEN 'a question for all classes of the individual' ELSE 'a question for all individuals so related' END || ' in English for this SPARQL query, and nothing else.' || chr(10) || 'Query: ' || c_name AS prompt FROM customer")
+def question_prompts(spark, d):
+    """SCR-16"""
+    k = F.col("c_custkey")
+    return read(spark, d, "customer").select("c_custkey", A.question_prompt(F.col("c_name"), F.when(k % 3 == 0, "BIN").otherwise("MC"), F.when(k % 2 == 0, "Membership").otherwise("Property Assertion")).alias("prompt"))
+
+
+@query("file_names", "SELECT p_partkey, substr(regexp_replace(CASE WHEN p_partkey % 3 = 0 THEN 'Thing' ELSE array_to_string(list_sort([p_brand, p_type])[1:2], '_') END || '_' || p_name, '[^a-zA-Z0-9._-]', '_', 'g'), 1, 100) AS f FROM part")
+def file_names(spark, d):
+    """SNK-1, LIM-3: names of module files from types and individuals."""
+    types = F.when(F.col("p_partkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("p_brand", "p_type"))
+    return read(spark, d, "part").select("p_partkey", N.file_name(types, F.col("p_name")).alias("f"))

@@ -13,7 +13,7 @@ from quillon.operators import hops as H
 from quillon.operators import questions as Q
 from quillon.operators import reasoning as R
 from quillon.operators import tags as T
-from quillon.operators.model import Graph, Schema, closed
+from quillon.operators.model import Expression, Graph, Schema, closed
 from quillon.operators.star import core_graph, kg_sql, star_graph
 from quillon.plans.lineage import release, settle
 
@@ -452,3 +452,112 @@ def task_ids(spark, d):
 @query("tracker_stats", "SELECT 'supplier/' || k AS graph, count(*) AS n_first FROM (SELECT min(l_suppkey) AS k FROM lineitem GROUP BY l_orderkey, l_partkey) GROUP BY k")
 def tracker_stats(spark, d):
     return first_seen_dedup(spark, d).groupBy("graph").agg(F.count("*").alias("n_first"))
+
+
+# -- further rules, modules and parts of questions ---------------------------------------------------------------------
+
+
+def _name(kind: str, c: str):
+    return F.concat(F.lit(f"{kind}/"), F.col(c).cast("string"))
+
+
+@query("rule_equivalent_property", "SELECT 'order/' || o_orderkey AS s, p, 'customer/' || o_custkey AS o FROM orders, (VALUES ('placedBy'), ('orderedBy')) v(p)")
+def rule_equivalent_property(spark, d):
+    g = core_graph(spark, d)
+    g.schema = Schema(equivalent_property=[("placedBy", "orderedBy")])
+    return R.apply_property_steps(g, g.relations.where("p = 'placedBy'"))
+
+
+@query("rule_inverse_functional", "WITH m(n, s) AS (SELECT c_nationkey, 'customer/' || c_custkey FROM customer UNION ALL SELECT s_nationkey, 'supplier/' || s_suppkey FROM supplier) SELECT a, s AS b FROM m JOIN (SELECT n, min(s) AS a FROM m GROUP BY n) USING (n) WHERE s <> a")
+def rule_inverse_functional(spark, d):
+    """Whom an inverse functional inNation would make equal: all of a nation, each with the first."""
+    g = core_graph(spark, d)
+    g.schema = Schema(inverse_functional=["inNation"])
+    return R.functional_same(g, g.relations)
+
+
+@query("rule_has_self", "SELECT 'n/' || c_custkey AS s, '_self' AS c FROM customer WHERE c_custkey = c_nationkey UNION ALL SELECT 'n/' || s_suppkey, '_self' FROM supplier WHERE s_suppkey = s_nationkey AND s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey = c_nationkey)")
+def rule_has_self(spark, d):
+    c, s = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "supplier"))
+    rel = c.select(_name("n", "c_custkey").alias("s"), F.lit("points").alias("p"), _name("n", "c_nationkey").alias("o")).unionByName(s.select(_name("n", "s_suppkey").alias("s"), F.lit("points").alias("p"), _name("n", "s_nationkey").alias("o")))
+    g = Graph(rel.select("s", F.lit("N").alias("c")), rel, Schema(expressions={"_self": Expression("self", prop="points")}))
+    return R.has_self(g, rel)
+
+
+_FIRST_OF_NATION = "SELECT a, 'supplier/' || s_suppkey AS b FROM supplier JOIN (SELECT s_nationkey AS n, min('supplier/' || s_suppkey) AS a FROM supplier GROUP BY s_nationkey) ON s_nationkey = n WHERE a <> 'supplier/' || s_suppkey"
+
+
+@query("rule_max_one", _FIRST_OF_NATION)
+def rule_max_one(spark, d):
+    """Suppliers of a nation that may have one at most."""
+    g = _sellers(spark, d)
+    g.schema = Schema(expressions={"_m": Expression("max", prop="hasSupplier", filler="Supplier", n=1)})
+    nations = g.relations.where("p = 'hasSupplier'").select("s", F.lit("_m").alias("c"))
+    return R.max_one_same(g, g.types.unionByName(nations.distinct()), g.relations)
+
+
+@query("rule_keys", "WITH m AS (SELECT c_nationkey AS n, 'customer/' || c_custkey AS s FROM customer WHERE c_mktsegment = 'BUILDING') SELECT a, s AS b FROM m JOIN (SELECT n, min(s) AS a FROM m GROUP BY n) USING (n) WHERE s <> a")
+def rule_keys(spark, d):
+    """Customers of one segment whose key would be their nation."""
+    g = core_graph(spark, d)
+    g.schema = Schema(keys=[("Segment_BUILDING", ("inNation",))])
+    return R.key_same(g, g.types, g.relations)
+
+
+@query("rule_value", "SELECT 'customer/' || c_custkey AS s, '_home' AS c FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'supplier/' || s_suppkey, '_home' FROM supplier WHERE s_nationkey = 3")
+def rule_value(spark, d):
+    g = core_graph(spark, d)
+    g.schema = Schema(expressions={"_home": Expression("value", prop="inNation", filler="nation/3")})
+    return R.has_value(g, g.relations)
+
+
+@query("module_radius", "SELECT 'region/' || r_regionkey AS x, 1 + 2 * (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n_axioms FROM region")
+def module_radius(spark, d):
+    """FLT-3: modules of radius one around the regions: their nations, what types all of them, and what joins them."""
+    g = core_graph(spark, d)
+    start = g.types.where("c = 'Region'").select(F.col("s").alias("x"))
+    return H.module(g, 1, start).groupBy("x").agg(F.count("*").alias("n_axioms"))
+
+
+@query("module_with_schema", "SELECT x, n + 43 AS n_axioms FROM (SELECT 'region/' || r_regionkey AS x, 1 + 2 * (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n FROM region)")
+def module_with_schema(spark, d):
+    """JN-5: the same modules with the schema's 43 axioms in each."""
+    g = core_graph(spark, d)
+    start = g.types.where("c = 'Region'").select(F.col("s").alias("x"))
+    return H.with_schema(g, H.module(g, 1, start)).groupBy("x").agg(F.count("*").alias("n_axioms"))
+
+
+@query("root_of_classes", kg_sql("SELECT s, min(c) AS root_entity FROM typ GROUP BY s"))
+def root_of_classes(spark, d):
+    return Q.root_of_classes(facts(spark, d).typ, ["s"])
+
+
+@query("discover_individuals", kg_sql("SELECT s FROM asserted_type UNION SELECT s FROM asserted_rel UNION SELECT o FROM asserted_rel"))
+def discover_individuals(spark, d):
+    from quillon.operators.verbalize import discover
+
+    g = core_graph(spark, d)
+    return discover(g.types, g.relations)
+
+
+@query("build_query", "SELECT c_custkey, CASE WHEN c_custkey % 5 < 4 THEN 'ASK { ' ELSE 'SELECT ' || CASE WHEN c_custkey % 3 = 0 THEN '?s ?o' ELSE '?o' END || ' WHERE { ' END || CASE WHEN c_custkey % 3 = 0 THEN '?s' ELSE '<' || c_name || '>' END || ' ' || CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE '<p>' END || ' ' || CASE c_custkey % 5 WHEN 0 THEN '<http://x/' || c_nationkey || '>' WHEN 4 THEN '?o' ELSE '\"' || c_mktsegment || '\"' END || ' }' AS q FROM customer")
+def build_query(spark, d):
+    """PRJ-7: some parts missing, types, IRIs and literals."""
+    k = F.col("c_custkey")
+    s = F.when(k % 3 != 0, F.col("c_name"))
+    p = F.when(k % 2 == 0, F.lit("rdf:type")).otherwise("p")
+    o = F.when(k % 5 == 0, F.concat(F.lit("http://x/"), F.col("c_nationkey").cast("string"))).when(k % 5 != 4, F.col("c_mktsegment"))
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.when(k % 5 < 4, Q.build_query(s, p, o)).otherwise(Q.build_query(s, p, o, "SELECT")).alias("q"))
+
+
+@query("axiom_texts", "SELECT n_nationkey, n_name || ' rdf:type Nation' AS t1, n_name || ' inRegion r' || n_regionkey AS t2, 'domain(inRegion) = ' || n_name AS t3, 'Irreflexive(' || n_name || ')' AS t4, 3 AS n3 FROM nation")
+def axiom_texts(spark, d):
+    """PRJ-11, AGG-23: plain forms of axioms, and the names in one."""
+    from quillon.operators import reports as P
+
+    n, r = F.col("n_name"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))
+    said = lambda kind, *args: X.axiom_text(X.axiom(kind, *args))
+    return spark.read.parquet(f"{d}/nation.parquet").select(
+        "n_nationkey", said("ClassAssertion", F.lit("Nation"), n).alias("t1"), said("PropertyAssertion", F.lit("inRegion"), n, r).alias("t2"), said("Domain", F.lit("inRegion"), n).alias("t3"), said("Irreflexive", n).alias("t4"),
+        P.occurrences(X.axiom("PropertyChain", F.lit("p"), F.lit("q"), n, F.lit("p"))).alias("n3"),
+    )

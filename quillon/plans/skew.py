@@ -35,10 +35,12 @@ def running(df: DataFrame, by: list[str], order: list[str], out: str, weight: st
     Rows are dealt to tasks by ranges of the whole order, so a group as large as the table is still summed in all of
     them; what a group holds before a range is a sum of the (few) range totals.  The order must be total.
     """
+    if not by:
+        df, by = df.withColumn("_one", F.lit(0)), ["_one"]
     rows = settle(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
     sums = rows.groupBy(*by, "_part").agg((F.sum(weight) if weight else F.count("*")).alias("_all"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "_part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
     own = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_own", (F.sum(weight) if weight else F.count("*")).over(own))
-    return rows.join(sums, [*by, "_part"]).withColumn(out, F.col("_before") + F.col("_own")).drop("_part", "_before", "_own")
+    return rows.join(sums, [*by, "_part"]).withColumn(out, F.col("_before") + F.col("_own")).drop("_part", "_before", "_own", "_one")

@@ -383,3 +383,20 @@ def to_turtle(triples: DataFrame, by: str = "graph_id") -> DataFrame:
     line = F.concat(term(F.col("s"), F.col("s_kind"), none, none), F.lit(" <"), F.col("p"), F.lit("> "), term(F.col("o"), F.col("o_kind"), F.col("o_datatype"), F.col("o_lang")), F.lit(" ."))
     return triples.where("_error is null").groupBy(by).agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("turtle"))
 
+
+
+def module_turtle(modules: DataFrame, about: str, comment: str, version: str, by: str = "graph_id") -> DataFrame:
+    """SNK-1: Turtle of extracted modules (TRIPLES), each with its ontology head: label, comment and version.
+
+    ``about`` may hold {} for the module's name.
+    """
+    head = F.concat(F.lit("<http://example.org/extracted/"), F.col(by), F.lit("> "))
+    quoted = lambda x: F.to_json(F.struct(x.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(x.alias("x")))) - 6)  # noqa: E731  a JSON string is a Turtle string
+    label = F.replace(F.lit(about), F.lit("{}"), F.col(by))
+    lines = [F.concat(head, F.lit(f"<{RDF}type> <{OWL}Ontology> .")), F.concat(head, F.lit(f"<{RDFS}label> "), quoted(label), F.lit("@en .")), F.concat(head, F.lit(f"<{RDFS}comment> "), quoted(F.lit(comment)), F.lit(" .")), F.concat(head, F.lit(f"<{OWL}versionInfo> "), quoted(F.lit(version)), F.lit(" ."))]
+    return to_turtle(modules, by).select(by, F.concat_ws("\n", *lines, "turtle").alias("turtle"))
+
+
+def write_turtle(texts: DataFrame, path: str, by: str = "graph_id") -> None:
+    """SNK-1, SNK-5: a folder for each graph with its Turtle text."""
+    texts.select(by, F.col("turtle").alias("value")).write.mode("overwrite").partitionBy(by).text(path)

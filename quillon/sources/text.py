@@ -119,12 +119,75 @@ def write_questions(rows: DataFrame, path: str, mode: str = "append") -> None:
     flat.write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
-def read_contexts(spark: SparkSession, path: str, pattern: str = "*.json", most: int = 15_000) -> DataFrame:
-    """SRC-11, SRC-13: (root_entity, context) of the files of a folder, long ones cut with a remark."""
+def read_contexts(spark: SparkSession, path: str, mode: str = "json", most: int = 15_000) -> DataFrame:
+    """SRC-11, SRC-13: (root_entity, context) of the files of a folder, long ones cut with a remark.
+
+    mode ttl takes Turtle files as they are, json takes JSON files, indented (as they are where they are no JSON).
+    """
     from quillon.functions.answers import truncated
 
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("f"), "value")
-    return files.select(F.regexp_replace("f", r"\.[^.]+$", "").alias("root_entity"), truncated(F.col("value"), most).alias("context"))
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=f"*.{mode}", recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("f"), "value")
+    rows = files.select(F.regexp_replace("f", r"\.[^.]+$", "").alias("root_entity"), F.col("value").alias("context"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([_indented(t) for t in b.column(1).to_pylist()], pa.string())], names=["root_entity", "context"])
+
+    rows = rows.mapInArrow(run, rows.schema) if mode == "json" else rows
+    return rows.select("root_entity", truncated(F.col("context"), most).alias("context"))
+
+
+def _indented(text: str) -> str:
+    try:
+        return json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+    except ValueError:
+        return text
+
+
+def _sheet(content: bytes) -> list[list[str | None]]:
+    """The cells of a workbook's first sheet, as text."""
+    import io
+    import re
+    import zipfile
+    from xml.etree import ElementTree as ET
+
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in si.iter(f"{space}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{space}si")]
+        first = min((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+        out = []
+        for row in ET.fromstring(z.read(first)).iter(f"{space}row"):
+            cells: list[str | None] = []
+            for cell in row.iter(f"{space}c"):
+                at = 0
+                for letter in re.match("[A-Z]+", cell.get("r", "A"))[0]:
+                    at = at * 26 + ord(letter) - 64
+                cells += [None] * (at - 1 - len(cells))
+                value, kind = cell.find(f"{space}v"), cell.get("t")
+                text = "".join(t.text or "" for t in cell.iter(f"{space}t")) if kind == "inlineStr" else None if value is None else shared[int(value.text)] if kind == "s" else value.text
+                cells.append({"1": "TRUE", "0": "FALSE"}.get(text, text) if kind == "b" else text)
+            out.append(cells)
+    return out
+
+
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-8: the first sheet of a workbook, its first row as names, all columns strings; a sheet is one small file."""
+    content = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    head, *rows = _sheet(bytes(content)) or [[]]
+    width = len(head)
+    kinds = T.StructType([T.StructField(str(c) if c is not None else f"_c{k}", T.StringType()) for k, c in enumerate(head)])
+    return spark.createDataFrame([tuple([*r, *[None] * width][:width]) for r in rows], kinds)
+
+
+def read_table(spark: SparkSession, base: str) -> DataFrame:
+    """SRC-8: ``base.xlsx`` if it is there, else ``base.csv``; an error names both."""
+    for suffix in (".xlsx", ".csv"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(base + suffix)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return read_xlsx(spark, base + suffix) if suffix == ".xlsx" else spark.read.csv(base + suffix, header=True, quote='"', escape='"', multiLine=True)
+    raise FileNotFoundError(f"neither {base}.xlsx nor {base}.csv is there")
 
 
 def to_long(wide: DataFrame, keys: list[str]) -> DataFrame:

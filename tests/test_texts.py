@@ -309,6 +309,107 @@ def test_individuals(spark):
     assert named["ada_1868"] == ("Lady Ada", "Lady Ada is an instance of Woman. Lady Ada is sister of Gwen. Old John is father of Lady Ada.")
 
 
+def test_checkpoints_resume(spark, tmp_path):
+    q = spark.createDataFrame([(k, f"p{k}") for k in range(7)], "task_id int, prompt string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def ask(model, prompt):
+        asked.add(1)
+        return P.offline(model, prompt)
+
+    at = f"file://{tmp_path}/run"
+    first = P.run_with_checkpoints(q.where("task_id < 4"), ["a", "b"], at, ask, every=3, workers=2)
+    assert first.count() == 8 and spark.read.json(f"{at}/LATEST").first()["part"] == 1
+    every = P.run_with_checkpoints(q, ["a", "b"], at, ask, every=3, workers=2)
+    assert every.select("task_id", "model").distinct().count() == every.count() == 14 and asked.value == 14
+    assert P.run_with_checkpoints(q, ["a", "b"], at, ask).count() == 14 and asked.value == 14
+    assert [r["provider"] for r in P.model_metadata(spark, ["claude-x", "meta:llama", "gpt-9"]).collect()] == ["anthropic", "meta", "openai"]
+    with pytest.raises(ValueError, match="no client"):
+        P.responder_for("meta:llama", {"openai": P.offline})
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "r.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Task ID</t></si><si><t>a</t></si><si><r><t>b</t></r><r><t>c</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>n</t></is></c></row><row><c r="A2" t="s"><v>2</v></c><c r="C2"><v>4.5</v></c></row><row><c r="B3" t="b"><v>1</v></c></row></sheetData></worksheet>')
+    base = f"file://{tmp_path}"
+    assert [tuple(r) for r in X.read_table(spark, f"{base}/r").collect()] == [("bc", None, "4.5"), (None, "TRUE", None)]
+    (tmp_path / "c.csv").write_text('x,y\n1,"a, b"\n')
+    assert X.read_table(spark, f"{base}/c").first()["y"] == "a, b"
+    with pytest.raises(FileNotFoundError):
+        X.read_table(spark, f"{base}/none")
+
+
+def test_contexts_by_mode(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"b":[1]}')
+    (tmp_path / "bad.json").write_text("{")
+    (tmp_path / "c.ttl").write_text(":x :y :z .")
+    got = {r["root_entity"]: r["context"] for r in X.read_contexts(spark, str(tmp_path), "json").collect()}
+    assert got["bad"] == "{" and "\n" in got["a"] and set(got) == {"a", "bad"}
+    assert [r["context"] for r in X.read_contexts(spark, str(tmp_path), "ttl").collect()] == [":x :y :z ."]
+
+
+def test_module_files(spark, tmp_path):
+    (tmp_path / "one.ttl").write_text(TURTLE)
+    t = rdf.read_rdf(spark, str(tmp_path / "one.ttl"))
+    text = rdf.module_turtle(t, 'Subgraph "{}"', "a comment", "1").first()["turtle"]
+    assert 'label> "Subgraph \\"one\\""@en .' in text and len(list(rdf.parse_turtle(text, "one"))) >= 4 + len(set(rdf.parse_turtle(TURTLE, "one")))
+    rdf.write_turtle(rdf.module_turtle(t, "x", "y", "z"), str(tmp_path / "out"))
+    assert (tmp_path / "out" / "graph_id=one").exists()
+
+
+def test_categories_of_turtle_terms(spark):
+    text = """ns1:A a owl:Class . ns1:p rdf:type owl:ObjectProperty . ns1:d a owl:AnnotationProperty . ns1:i a owl:NamedIndividual .
+ns1:B rdfs:subClassOf ns1:C . ns1:q rdfs:domain ns1:B . ns1:j a ns1:A . ns1:j ns1:verb ns1:k9 . x ns1:between y ."""
+    df = spark.createDataFrame([(text,)], "t string")
+    got = {r["term"]: r["category"] for r in B.categorized(df, "t", "prefix", "ns1").collect()}
+    assert got == {"A": "class", "p": "object_property", "d": "data_property", "i": "individual", "B": "class", "C": "class", "q": "object_property", "j": "individual", "verb": "object_property", "k9": "individual", "between": "object_property"}
+    uri = spark.createDataFrame([("<http://e/o#A> a <http://www.w3.org/2002/07/owl#Class> . <http://e/o#U1> <http://e/o#has> <http://z#B> .",)], "t string")
+    assert {r["term"]: r["category"] for r in B.categorized(uri, "t", "uri", "http://e/o").collect()} == {"A": "class", "U1": "individual", "has": "object_property"}
+
+
+def test_nested_lines_are_json(spark):
+    import json
+
+    from quillon.operators import benchmark as K
+
+    rows = spark.createDataFrame([("b", 1, "x"), ("a", 2, 'y"'), ("a", 1, "z"), (None, 1, "w")], "k string, n int, t string")
+    got = json.loads("".join(r["value"] for r in K.nested_lines(rows, ["k"], ["n", "t"]).collect()))
+    assert got == [{"k": "a", "qas": [{"n": 1, "t": "z"}, {"n": 2, "t": 'y"'}]}, {"k": "b", "qas": [{"n": 1, "t": "x"}]}]
+    assert json.loads("".join(r["value"] for r in K.nested_lines(rows.limit(0), ["k"], ["n", "t"]).collect())) == []
+
+
+def test_reports(spark):
+    import json
+
+    from quillon.operators import reports as O
+
+    timers = O.Timers()
+    with timers.step("a"):
+        pass
+    assert [r["step"] for r in timers.table(spark).orderBy("rank").collect()] == ["total", "a"] and O.Config().row(spark).first()["batch_size"] == 25
+    line = one(spark, O.tagged_record(F.lit('k"'), F.lit("e"), F.lit("DH"), F.lit("2024-01-01 00:00:00").cast("timestamp")), x=1)
+    assert json.loads("{" + line + "}") == {'k"': {"explanation": "e", "tags": "DH", "timestamp": 1704067200000}}
+    assert [one(spark, O.ontology_name(F.lit(x)), y=1) for x in ("http://e/onto", None)] == ["onto", "unknown"]
+
+
+def test_deep_property_traces(spark):
+    """EXP-7: a sub-property of a chain, of an inverse, and the inverse of a sub-property."""
+    from quillon.operators import explain as E
+    from quillon.operators.model import Graph
+
+    rel = spark.createDataFrame([("a", "p", "b"), ("b", "q", "c"), ("x", "r", "y"), ("m", "u", "n")], "s string, p string, o string")
+    typ = spark.createDataFrame([], "s string, c string")
+    g = Graph(typ, rel, Schema(chains=[(("p", "q"), "t")], subproperty=[("t", "top"), ("rInv", "up"), ("u", "v")], inverse=[("r", "rInv"), ("v", "w")]))
+    got = {(r["s"], r["p"]): r["said"] for r in E.property_trace(E.Facts(g, typ, rel, typ, rel)).collect()}
+    assert got["a", "top"] == ["t rdfs:subPropertyOf top", "PropertyChain(p o q) -> t", "a p b", "b q c"]
+    assert got["y", "up"] == ["rInv rdfs:subPropertyOf up", "r owl:inverseOf rInv", "x r y"]
+    assert got["n", "w"] == ["v owl:inverseOf w", "u rdfs:subPropertyOf v", "m u n"] and got["m", "v"] == ["u rdfs:subPropertyOf v", "m u n"]
+
+
 def test_structural_type(spark):
     kinds = {k: one(spark, V.structural_type(*(F.lit(x) for x in k)), t=1) for k in [(20, 30, 60), (10, 30, 60), (10, 20, 60), (10, 20, 50)]}
     assert [*kinds.values()] == ["hierarchical", "relational", "instance_heavy", "general"]
