@@ -7,12 +7,10 @@ may have any names: they pass through unchanged (the last stage leaves them out)
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontaminate, langid, neardup, tokens, toxicity
-from quillon.llm.common import shared_dir, table
+from quillon.llm.common import scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
+    base = scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(at := f"{base}/{k}_{name}")
         docs = spark.read.parquet(at)

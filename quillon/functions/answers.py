@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What is dropped from an answer.
 _PUNCTUATION = "[_*#@$%^&()+=\\[\\]{}|\\\\:\";'<>?/~`]"
 # What counts as a bullet and as a connective in a response.
 BULLETS = ("•", "-", "*", "1.", "2.", "3.")
@@ -21,6 +22,7 @@ def clean_answer(text: Column) -> Column:
     low = F.regexp_replace(F.trim(F.lower(text)), "\\s+", " ")
     items = F.when(F.contains(low, F.lit(";")), F.split(low, ";")).when(F.contains(low, F.lit(",")), F.split(low, ",")).otherwise(F.array(low))
 
+    # The expressions of this chain and their order decide what counts as equal.
     def clean(i: Column) -> Column:
         i = squeeze(F.regexp_replace(F.trim(i), _PUNCTUATION, ""))
         i = F.regexp_replace(F.regexp_replace(i, "\\s+[0-9]{4}$", ""), "\\s+[0-9]{4}\\s+", " ")
@@ -81,6 +83,7 @@ def final_answer(response: Column, answer_type: Column) -> Column:
     told = F.regexp_extract(response, "(?i)ANSWER:\\s*([^\\n\\r]+)", 1)
     first = F.trim(F.split(F.regexp_replace(response, "^\\s+", ""), "\n")[0])
     answer = F.when(told != "", F.trim(told)).otherwise(first)
+    # The expressions that bare a local name, in this order.
     local = F.regexp_replace(answer, "<[^#]*#([^>]+)>", "$1")
     local = F.regexp_replace(local, "[^#]*#([^,\\s]+)", "$1")
     for prefix in ("ns1", "rdf", "rdfs", "owl"):

@@ -132,6 +132,3 @@ class Graph:
         names = [f.name for f in kinds]
         arrays = [pa.array([_plain(r[k], kinds.field(k).type) for r in rows], kinds.field(k).type) for k in range(len(names))]
         return F.broadcast(self.spark.createDataFrame(pa.Table.from_arrays(arrays, schema=kinds)))
-
-    def singles(self, names) -> DataFrame:
-        return self.small([(n,) for n in names], "p string")

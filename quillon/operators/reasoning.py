@@ -106,7 +106,7 @@ def chain(g: Graph, rel: DataFrame, new: DataFrame | None = None) -> DataFrame:
 
 def reflexive(g: Graph, individuals: DataFrame) -> DataFrame:
     """RSN-19: every individual (s) relates to itself by each reflexive property."""
-    return individuals.crossJoin(g.singles(g.schema.reflexive)).select("s", "p", F.col("s").alias("o"))
+    return individuals.select("s", F.explode(F.array(*[F.lit(p) for p in g.schema.reflexive])).alias("p"), F.col("s").alias("o"))
 
 
 # -- types -------------------------------------------------------------------------------------------------------------

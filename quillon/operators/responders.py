@@ -85,8 +85,7 @@ def run_questions(questions: DataFrame, models: list[str], ask: Responder = offl
     The model list is a parameter, so its product with the questions is bounded by it; ``workers`` partitions bound how many calls run
     at once.
     """
-    spark = questions.sparkSession
-    tasks = questions.select("task_id", "prompt").crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in models], "model string")))
+    tasks = questions.select("task_id", "prompt", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
     if done is not None:
         tasks = tasks.join(done.select("task_id", "model"), ["task_id", "model"], "left_anti")
 

@@ -273,15 +273,13 @@ def similarity_join(spark, d):
 
 @query("questions_x_models", "SELECT o_orderkey, model FROM orders, (VALUES ('a'), ('b'), ('c')) m(model)")
 def questions_x_models(spark, d):
-    models = spark.createDataFrame([("a",), ("b",), ("c",)], "model string")
-    return read(spark, d, "orders").select("o_orderkey").crossJoin(F.broadcast(models))
+    return read(spark, d, "orders").select("o_orderkey", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("model"))
 
 
 @query("resume_anti_join", "SELECT o_orderkey, model FROM orders, (VALUES ('a'), ('b')) m(model) WHERE NOT (model = 'a' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45))")
 def resume_anti_join(spark, d):
     """Tasks still to run: those without a finished (task, model)."""
-    models = spark.createDataFrame([("a",), ("b",)], "model string")
-    tasks = read(spark, d, "orders").select("o_orderkey").crossJoin(F.broadcast(models))
+    tasks = read(spark, d, "orders").select("o_orderkey", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model"))
     done = read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), F.lit("a").alias("model"))
     return tasks.join(done, ["o_orderkey", "model"], "left_anti")
 

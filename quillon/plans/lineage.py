@@ -5,13 +5,18 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of settled tables by application, swept when the driver's Python ends.
 _ROOTS: dict[str, tuple] = {}
+#: The tables settled within the open ``temporary`` blocks of a thread.
+_OPEN = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,25 +47,53 @@ def _sweep() -> None:
             return
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes the rows as Parquet to the shared folder and reads them again.
-
-    Iterative plans stay short, and a lost executor costs no recomputation.  ``release`` deletes the rows once nothing
-    reads them; what is left goes when the driver ends.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name within the shared folder; what is written there goes when the driver ends."""
     root = f"{shared_dir(spark)}/settled/{spark.sparkContext.applicationId}"
     if root not in _ROOTS:
         if not _ROOTS:
             atexit.register(_sweep)
         _ROOTS[root] = (spark._jvm, spark._jsc.hadoopConfiguration())
-    at = f"{root}/{uuid.uuid4().hex}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes the rows as Parquet to the shared folder and reads them again.
+
+    Iterative plans stay short, and a lost executor costs no recomputation.  The rows go with the ``temporary`` block
+    around the call, by ``release``, or when the driver ends.
+    """
+    spark = df.sparkSession
+    at = scratch(spark, "table")
     df.write.option("compression", "zstd").parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._settled_at = at
+    for made in getattr(_OPEN, "blocks", ())[-1:]:
+        made.append(out)
     return out
 
 
+def keep(table: DataFrame) -> DataFrame:
+    """Takes a settled table out of the ``temporary`` block around it: a plan that outlives the block reads it."""
+    blocks = getattr(_OPEN, "blocks", [])
+    if blocks:
+        blocks[-1][:] = [t for t in blocks[-1] if t is not table]
+        if len(blocks) > 1:
+            blocks[-2].append(table)
+    return table
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes the tables that are settled within the block when it ends, but those of ``keep``."""
+    _OPEN.blocks = [*getattr(_OPEN, "blocks", ()), made := []]
+    try:
+        yield
+    finally:
+        _OPEN.blocks = _OPEN.blocks[:-1]
+    release(*made)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes settled tables; only for tables that no plan still to run reads."""
     for t in tables:
