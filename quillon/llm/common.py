@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.plans.lineage import release, settle, shared_dir
+from quillon.plans.lineage import keep, release, scratch, settle, temporary
 from quillon.plans.skew import hot_keys, salted_join
 
-__all__ = ["release", "settle", "shared_dir"]
+__all__ = ["keep", "release", "scratch", "settle", "temporary"]
 
 #: Bytes of text that one step of a Python operator holds at a time.
 SLICE_BYTES = 1 << 20
@@ -154,7 +154,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> It
 
 
 def maybe_among(rows: DataFrame, key: str, ids: DataFrame, id_column: str) -> DataFrame:
-    """The rows and ``_maybe``: false only where the key is surely not among the ids.
+    """(row, maybe): the rows as structs, and false only where the key is surely not among the ids.
 
     A broadcast bitmap of hashed ids, 16 bits for each id (``ids`` is settled, so counting costs little), from 512 KB
     to 64 MB whatever their number.  It spares texts a shuffle before an exact join; beyond 33 million ids more rows
@@ -163,14 +163,14 @@ def maybe_among(rows: DataFrame, key: str, ids: DataFrame, id_column: str) -> Da
     bits = 1 << min(29, max(22, (16 * ids.count()).bit_length()))
 
     def hashed(c):
-        return F.pmod(F.xxhash64(c), F.lit(bits))
+        return F.pmod(F.xxhash64(c.cast("bigint")), F.lit(bits))
 
-    maps = ids.where(F.col(id_column).isNotNull()).select(hashed(F.col(id_column).cast("bigint")).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("_b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("_m"))
-    names = rows.columns
-    byte = F.conv(F.hex(F.expr("substring(_m, cast(bitmap_bit_position(_h) div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    rows = rows.withColumn("_h", hashed(F.col(key).cast("bigint"))).withColumn("_b", F.expr("bitmap_bucket_number(_h)"))
-    hit = F.call_function("getbit", byte, (F.expr("bitmap_bit_position(_h)") % 8).cast("int")).cast("int") == 1
-    return rows.join(F.broadcast(maps), "_b", "left").select(*[F.col(f"`{c}`") for c in names], F.coalesce(hit & F.col(key).isNotNull(), F.lit(False)).alias("_maybe"))
+    maps = ids.where(F.col(id_column).isNotNull()).select(hashed(F.col(id_column)).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m"))
+    # The columns go into one struct, so that none of theirs can clash with one of these.
+    found = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{key}`").alias("k")).withColumn("h", hashed(F.col("k"))).withColumn("b", F.expr("bitmap_bucket_number(h)"))
+    byte = F.conv(F.hex(F.expr("substring(m, cast(bitmap_bit_position(h) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    hit = F.call_function("getbit", byte, (F.expr("bitmap_bit_position(h)") % 8).cast("int")).cast("int") == 1
+    return found.join(F.broadcast(maps), "b", "left").select("row", F.coalesce(hit & F.col("k").isNotNull(), F.lit(False)).alias("maybe"))
 
 
 def without_ids(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def without_ids(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
     flagged = maybe_among(docs, key, gone, key)
-    return flagged.where("not _maybe").select(*names).union(flagged.where("_maybe").join(gone, [key], "left_anti").select(*names))
+    return flagged.where("not maybe").select("row.*").union(flagged.where("maybe").select("row.*").join(gone, [key], "left_anti").select(*names))
 
 
 def schema(ddl: str) -> T.StructType:
@@ -223,4 +223,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     # Settled edges are (id, root), one for each id that is no root.
+    keep(edges)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, maybe_among, release, schema, settle, table, whole_groups
+from quillon.llm.common import components, keep, maybe_among, schema, settle, table, temporary, whole_groups
 from quillon.plans.skew import hot_keys, salted_join
 
 COSINE = 0.93
@@ -300,47 +300,48 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     Further columns are ignored, whatever their names; an empty table gives no rows.  A link is found if its two
     vectors meet in a bucket, or if other found links connect them.
     """
-    rows = settle(hashed(vectors, key, vector, label, tables).withColumn("rid", F.monotonically_increasing_id()))
-    wide = "<f4" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
-    usable = rows.where("h1 is not null")
-    same = ["label", "dim", "h1", "h2"]
-    classes = settle(usable.groupBy(*same).agg(F.min("id").alias("low"), F.count("*").alias("w"), F.min("rid").alias("c")))
-    reps = settle(usable.select(F.col("rid").alias("c"), "label", "dim", "marks").join(classes.select("c", "w", "low"), "c"))
-    twice = settle(_entries(reps, tables).groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket"))
-    found = settle(maybe_among(_entries(reps, tables), "bucket", twice, "bucket").where("_maybe").select("bucket", "c"))
-    # Two probes of one class may hash to one bucket, so members count once.
-    shared = settle(found.groupBy("bucket").agg(F.min("c").alias("leader"), F.count("*").alias("k")).where("k > 1"))
-    total = shared.agg(F.sum("k")).first()[0] or 0
-    members = settle(salted_join(found, shared, ["bucket"], "c", hot_keys(shared, ["bucket"], "k", total)).where("c <> leader"))
-    release(twice, found, shared)
-    pairs = settle(members.select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct())
-    involved = settle(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
-    vecs = maybe_among(usable.select(F.col("rid").alias("c"), "label", "dim", "vec"), "c", involved, "c").where("_maybe").join(involved, "c", "left_semi").drop("_maybe")
-    vecs = settle(vecs)
-    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"], "n", pairs.count())
-    both = salted_join(pairs, vecs.select(F.col("c").alias("a"), "label", "dim", F.col("vec").alias("x")), ["a"], "b", hot)
-    both = both.join(vecs.select(F.col("c").alias("b"), "label", "dim", F.col("vec").alias("y")), ["b", "label", "dim"])
-    links = settle(_linked(both, cosine, wide))
-    roots = settle(components(links).withColumnRenamed("id", "c"))
-    rest = members.where("k > 2").select("bucket", "c").distinct().join(roots, "c", "left").select("bucket", "c", F.coalesce("root", "c").alias("root"))
-    rest = settle(rest)
-    split = rest.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("z"), F.count("*").alias("k")).where("r <> z")
-    split = settle(split.join(rest.join(reps.select("c", "dim"), "c").groupBy("bucket").agg(F.max("dim").alias("dim")), "bucket").select("bucket", "k", _blocks_of(F.col("k"), F.col("dim")).alias("m")))
-    if not split.isEmpty():
-        placed = _in_blocks(rest, "bucket", split).join(vecs, "c")
-        links = settle(links.union(_links_between(placed, cosine, wide)))
+    with temporary():
+        rows = keep(settle(hashed(vectors, key, vector, label, tables).withColumn("rid", F.monotonically_increasing_id())))
+        wide = "<f4" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
+        usable = rows.where("h1 is not null")
+        same = ["label", "dim", "h1", "h2"]
+        classes = settle(usable.groupBy(*same).agg(F.min("id").alias("low"), F.count("*").alias("w"), F.min("rid").alias("c")))
+        reps = settle(usable.select(F.col("rid").alias("c"), "label", "dim", "marks").join(classes.select("c", "w", "low"), "c"))
+        twice = settle(_entries(reps, tables).groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket"))
+        found = settle(maybe_among(_entries(reps, tables), "bucket", twice, "bucket").where("maybe").select("row.bucket", "row.c"))
+        # Two probes of one class may hash to one bucket, so members count once.
+        shared = settle(found.groupBy("bucket").agg(F.min("c").alias("leader"), F.count("*").alias("k")).where("k > 1"))
+        total = shared.agg(F.sum("k")).first()[0] or 0
+        members = settle(salted_join(found, shared, ["bucket"], "c", hot_keys(shared, ["bucket"], "k", total)).where("c <> leader"))
+        pairs = settle(members.select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct())
+        involved = settle(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+        vecs = maybe_among(usable.select(F.col("rid").alias("c"), "label", "dim", "vec"), "c", involved, "c").where("maybe").select("row.*").join(involved, "c", "left_semi")
+        vecs = settle(vecs)
+        hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"], "n", pairs.count())
+        both = salted_join(pairs, vecs.select(F.col("c").alias("a"), "label", "dim", F.col("vec").alias("x")), ["a"], "b", hot)
+        both = both.join(vecs.select(F.col("c").alias("b"), "label", "dim", F.col("vec").alias("y")), ["b", "label", "dim"])
+        links = settle(_linked(both, cosine, wide))
         roots = settle(components(links).withColumnRenamed("id", "c"))
-    linked = roots.join(reps.select("c", "low", "w", "dim"), "c")
-    sizes = settle(linked.groupBy("root").agg(F.count("*").alias("k"), F.max("dim").alias("dim")).select("root", "k", _blocks_of(F.col("k"), F.col("dim")).alias("m")))
-    counted = _counted(_in_blocks(linked.select("root", "c", "w"), "root", sizes).join(vecs.select("c", "dim", "vec"), "c"), cosine, wide)
-    of_class = settle(counted.groupBy("c").agg(F.sum("links").alias("links")))
-    of_class = classes.join(of_class, "c", "left").select(*same, "low", "w", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"))
-    hot = hot_keys(classes, same, "w", usable.count())
-    of_row = settle(salted_join(usable.select("id", *same), of_class, same, "id", hot).select("id", "low", "n"))
-    low = reps.select("c", "low")
-    edges = roots.join(low, "c").join(low.withColumnsRenamed({"c": "root", "low": "b"}), "root").select(F.col("low").alias("a"), "b")
-    edges = edges.union(of_row.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
-    out = of_row.select("id", "n").join(components(edges), "id", "left").union(rows.where("h1 is null").select("id", F.lit(0).cast("bigint"), F.lit(None).cast("bigint")))
+        rest = members.where("k > 2").select("bucket", "c").distinct().join(roots, "c", "left").select("bucket", "c", F.coalesce("root", "c").alias("root"))
+        rest = settle(rest)
+        split = rest.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("z"), F.count("*").alias("k")).where("r <> z")
+        split = settle(split.join(rest.join(reps.select("c", "dim"), "c").groupBy("bucket").agg(F.max("dim").alias("dim")), "bucket").select("bucket", "k", _blocks_of(F.col("k"), F.col("dim")).alias("m")))
+        if not split.isEmpty():
+            placed = _in_blocks(rest, "bucket", split).join(vecs, "c")
+            links = settle(links.union(_links_between(placed, cosine, wide)))
+            roots = settle(components(links).withColumnRenamed("id", "c"))
+        linked = roots.join(reps.select("c", "low", "w", "dim"), "c")
+        sizes = settle(linked.groupBy("root").agg(F.count("*").alias("k"), F.max("dim").alias("dim")).select("root", "k", _blocks_of(F.col("k"), F.col("dim")).alias("m")))
+        counted = _counted(_in_blocks(linked.select("root", "c", "w"), "root", sizes).join(vecs.select("c", "dim", "vec"), "c"), cosine, wide)
+        of_class = settle(counted.groupBy("c").agg(F.sum("links").alias("links")))
+        of_class = classes.join(of_class, "c", "left").select(*same, "low", "w", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"))
+        hot = hot_keys(classes, same, "w", usable.count())
+        of_row = keep(settle(salted_join(usable.select("id", *same), of_class, same, "id", hot).select("id", "low", "n")))
+        low = reps.select("c", "low")
+        edges = roots.join(low, "c").join(low.withColumnsRenamed({"c": "root", "low": "b"}), "root").select(F.col("low").alias("a"), "b")
+        edges = edges.union(of_row.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
+        placed_ids = components(edges)
+    out = of_row.select("id", "n").join(placed_ids, "id", "left").union(rows.where("h1 is null").select("id", F.lit(0).cast("bigint"), F.lit(None).cast("bigint")))
     root = F.coalesce("root", "id")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import byte_view, components, maybe_among, release, schema, settle, slices, table, whole_groups, without_ids
+from quillon.llm.common import byte_view, components, keep, maybe_among, schema, settle, slices, table, temporary, whole_groups, without_ids
 from quillon.plans.skew import hot_keys, salted_join
 
 WORDS, SIMILARITY = 5, 0.75
@@ -224,7 +224,7 @@ def _sets_of(classes: DataFrame, reps: DataFrame, docs: DataFrame, key: str, tex
     """
     wanted = settle(reps.join(classes, "c", "left_semi").select("c", F.col("low").alias("id"), "s1", "s2"))
     rows = maybe_among(docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null"), "id", wanted, "id")
-    sets = shingle_sets(rows.where("_maybe"), "id", "text").dropDuplicates(["id", "s1", "s2"])
+    sets = shingle_sets(rows.where("maybe").select("row.*"), "id", "text").dropDuplicates(["id", "s1", "s2"])
     return sets.join(wanted, ["id", "s1", "s2"]).select("c", "set")
 
 
@@ -362,40 +362,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     them reaches.  A row with a null id links with nothing, has a null component_id and is kept.  Further columns are
     ignored, whatever their names; an empty table gives no rows.  Ids must be integers.
     """
-    all_rows = settle(signatures(docs, key, text))
-    full = all_rows.where("n > 0 and id is not null")
-    reps = full.groupBy("s1", "s2", "n").agg(F.min("id").alias("low"), F.count("*").alias("w"), F.min(F.struct("sig", "bands")).alias("r"))
-    reps = settle(reps.select(F.monotonically_increasing_id().alias("c"), "s1", "s2", "n", "low", "w", "r.*"))
-    found = settle(_member_rows(reps))
-    shared = settle(found.groupBy("bucket").agg(F.min("c").alias("leader"), F.count("*").alias("k")).where("k > 1"))
-    total = shared.agg(F.sum("k")).first()[0] or 0
-    members = settle(salted_join(found, shared, ["bucket"], "c", hot_keys(shared, ["bucket"], "k", total)).where("c <> leader"))
-    release(found, shared)
-    cut = similarity - SLACK
-    pairs = settle(members.select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct())
-    pairs = settle(_likely(pairs, reps, cut))
-    links = settle(_confirm(pairs, reps, docs, key, text, similarity))
-    # All pairs with a bucket's leader are settled; what is left lies between its other members.
-    rest = members.where("k > 2").select("bucket", "band", "c")
-    placed = rest.join(components(links).withColumnRenamed("id", "c"), "c", "left").select("bucket", "band", "c", F.coalesce("root", "c").alias("root"))
-    placed = settle(placed)
-    split = settle(placed.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("z"), F.count("*").alias("k")).where("r <> z"))
-    total = split.agg(F.sum("k")).first()[0] or 0
-    if total:
-        placed = salted_join(placed, split.select("bucket"), ["bucket"], "c", hot_keys(split, ["bucket"], "k", total))
-        marks = reps.select("c", "sig", "bands")
-        rows = settle(_levels(placed.join(reps.select("c", "n"), "c"), similarity))
-        close = _close_members(_dealt(rows, sets=False).join(marks, "c"), cut).drop("i", "j", "own").dropDuplicates(["bucket", "c"])
-        close = settle(close)
-        sets = _sets_of(settle(close.select("c").distinct()), reps, docs, key, text)
-        links = links.union(_links_within(_dealt(close, sets=True).join(marks, "c").join(sets, "c"), cut, similarity))
-    # Links join the classes by their smallest ids; members of a class join through its smallest id, rows of one id
-    # through the id.
-    low = reps.select("c", "low")
-    links = links.join(low.withColumnsRenamed({"c": "a", "low": "x"}), "a").join(low.withColumnsRenamed({"c": "b", "low": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    hot = hot_keys(reps, ["s1", "s2", "n"], "w", full.count())
-    equal = salted_join(full.select("id", "s1", "s2", "n"), reps.select("s1", "s2", "n", "low"), ["s1", "s2", "n"], "id", hot).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    roots = components(links.union(equal))
+    with temporary():
+        all_rows = keep(settle(signatures(docs, key, text)))
+        full = all_rows.where("n > 0 and id is not null")
+        reps = full.groupBy("s1", "s2", "n").agg(F.min("id").alias("low"), F.count("*").alias("w"), F.min(F.struct("sig", "bands")).alias("r"))
+        reps = settle(reps.select(F.monotonically_increasing_id().alias("c"), "s1", "s2", "n", "low", "w", "r.*"))
+        found = settle(_member_rows(reps))
+        shared = settle(found.groupBy("bucket").agg(F.min("c").alias("leader"), F.count("*").alias("k")).where("k > 1"))
+        total = shared.agg(F.sum("k")).first()[0] or 0
+        members = settle(salted_join(found, shared, ["bucket"], "c", hot_keys(shared, ["bucket"], "k", total)).where("c <> leader"))
+        cut = similarity - SLACK
+        pairs = settle(members.select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct())
+        pairs = settle(_likely(pairs, reps, cut))
+        links = settle(_confirm(pairs, reps, docs, key, text, similarity))
+        # All pairs with a bucket's leader are settled; what is left lies between its other members.
+        rest = members.where("k > 2").select("bucket", "band", "c")
+        placed = rest.join(components(links).withColumnRenamed("id", "c"), "c", "left").select("bucket", "band", "c", F.coalesce("root", "c").alias("root"))
+        placed = settle(placed)
+        split = settle(placed.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("z"), F.count("*").alias("k")).where("r <> z"))
+        total = split.agg(F.sum("k")).first()[0] or 0
+        if total:
+            placed = salted_join(placed, split.select("bucket"), ["bucket"], "c", hot_keys(split, ["bucket"], "k", total))
+            marks = reps.select("c", "sig", "bands")
+            rows = settle(_levels(placed.join(reps.select("c", "n"), "c"), similarity))
+            close = _close_members(_dealt(rows, sets=False).join(marks, "c"), cut).drop("i", "j", "own").dropDuplicates(["bucket", "c"])
+            close = settle(close)
+            sets = _sets_of(settle(close.select("c").distinct()), reps, docs, key, text)
+            links = links.union(_links_within(_dealt(close, sets=True).join(marks, "c").join(sets, "c"), cut, similarity))
+        # Links join the classes by their smallest ids; members of a class join through its smallest id, rows of one id
+        # through the id.
+        low = reps.select("c", "low")
+        links = links.join(low.withColumnsRenamed({"c": "a", "low": "x"}), "a").join(low.withColumnsRenamed({"c": "b", "low": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        hot = hot_keys(reps, ["s1", "s2", "n"], "w", full.count())
+        equal = salted_join(full.select("id", "s1", "s2", "n"), reps.select("s1", "s2", "n", "low"), ["s1", "s2", "n"], "id", hot).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+        roots = components(links.union(equal))
     known = all_rows.where("id is not null").select("id", F.col("n").alias("n_shingles")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     out = known.union(all_rows.where("id is null").select("id", "n", F.lit(None).cast("bigint")))
     return out.select(F.col("id").alias(key), "n_shingles", F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import schema, settle, shared_dir, slices, table
+from quillon.llm.common import schema, scratch, settle, slices, table
 from quillon.plans.skew import hot_keys, salted_join
 
 #: Bytes of records in an archive before compression; a writer holds no more than this and one record.
@@ -216,7 +216,7 @@ def read_archives(spark: SparkSession, out: str) -> DataFrame:
 
 
 def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}"
+    out = scratch(spark, "warc")
     written = write_archives(table(spark, sf_dir, "pages"), out)
     if not written.count():
         return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
