@@ -368,12 +368,21 @@ def explain_dedup(spark, d):
 
 # -- tags --------------------------------------------------------------------------------------------------------------
 
-_TAGS = {"EXP-30": "D", "EXP-31": "DHH", "EXP-32": "DSS", "EXP-33": "DDTT", "EXP-34": "DII", "EXP-35": "DDNN"}
-_TAGGED = " UNION ALL ".join(f"SELECT s, p, o, justification, '{tag}' AS tag FROM ({EXPLAIN_SQL[s]})" for s, tag in _TAGS.items())
+# The tag of a strategy's paths; where paths differ, by what their justification counts or says.
+_H, _Q, _SUB = (f"(len(string_split(justification, '{x}')) - 1)" for x in (" SubClassOf ", " EquivalentTo ", " rdfs:subClassOf "))
+_WALK = f"'D' || repeat('H', 2 * {_H}) || repeat('Q', {_Q}) || CASE WHEN {_H} > 0 AND {_Q} > 0 THEN 'M' ELSE '' END"
+_VACUOUS = "CASE WHEN justification LIKE 'No %' THEN 'M' ELSE 'DD' END"
+_TAGS = {
+    "EXP-1": "'DHH'", "EXP-2": "'DQ'", "EXP-3": "'DR'", "EXP-4": "'DR'", "EXP-8": "'DR'", "EXP-9": _WALK, "EXP-10": _WALK, "EXP-11": f"'D' || repeat('H', {_SUB})", "EXP-12": f"'D' || repeat('H', {_SUB})",
+    "EXP-14": "'D∩M'", "EXP-15": "'DD'", "EXP-16": _VACUOUS, "EXP-17": "'DQQ'", "EXP-18": _VACUOUS, "EXP-19": "'DR'", "EXP-20": "CASE WHEN justification LIKE '%Union %' THEN 'DDM' ELSE 'DD' END", "EXP-21": "'DDD∩M'",
+    "EXP-22": "'DDHNRM'", "EXP-23": "'DIIRM'", "EXP-25": "'DSSRM'", "EXP-26": "'DHHRM'", "EXP-27": "'DR'", "EXP-28": "'D'", "EXP-30": "'D'", "EXP-31": "'DHH'", "EXP-32": "'DSS'", "EXP-33": "'DDTT'", "EXP-34": "'DII'", "EXP-35": "'DDNN'",
+    "EXP-6": "CASE WHEN justification LIKE 'PropertyChain%' THEN 'DDNNRM' WHEN justification LIKE '%subPropertyOf%' THEN 'DHHRM' WHEN justification LIKE '%inverseOf%' THEN 'DIIRM' ELSE 'DR' END",
+}
+_TAGGED = " UNION ALL ".join(f"SELECT s, p, o, justification, {tag} AS tag FROM ({EXPLAIN_SQL[s]})" for s, tag in _TAGS.items())
 
 
 def tagged(spark, d) -> DataFrame:
-    return T.with_tags(X.explain_all(facts(spark, d), [*X.RELATION_STRATEGIES])).withColumn("justification", F.array_join("justifications", "; "))
+    return T.with_tags(X.explain_all(facts(spark, d), [*_TAGS])).withColumn("justification", F.array_join("justifications", "; "))
 
 
 @query("tag_axioms", f"SELECT s, p, o, justification, tag FROM ({_TAGGED})")
