@@ -12,18 +12,24 @@ from quillon.plans.lineage import settle
 HOT_KEYS, LEAST_HOT = 1 << 16, 64
 
 
-def hot_keys(counts: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """keys and _parts of the hot keys: at most HOT_KEYS rows, as ``total`` is the sum of the counts."""
+def hot_keys(counts: DataFrame, keys: list[str], count: str, total: int) -> DataFrame | None:
+    """keys and _parts of the hot keys, at most HOT_KEYS rows as ``total`` is the sum of the counts; None if there are none.
+
+    As their number is bounded they are gathered and enter plans as a local table: without hot keys a join stays plain.
+    """
     most = max(LEAST_HOT, -(-total // HOT_KEYS))
-    return counts.where(F.col(count) > most).select(*keys, F.ceil(F.col(count) / most).cast("int").alias("_parts"))
+    found = counts.where(F.col(count) > most).select(*keys, F.ceil(F.col(count) / most).cast("int").alias("_parts")).toArrow()
+    return counts.sparkSession.createDataFrame(found) if found.num_rows else None
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """``many`` joined to ``one`` on the keys, the rows of a hot key dealt over parts by a hash of ``spread``.
 
     Rows of ``one`` under a hot key are copied to each of its parts.  Only the hot keys are broadcast, and their number
     is bounded (see ``hot_keys``), so the join holds at any size and any skew.
     """
+    if hot is None:
+        return many.join(one, keys, how)
     a = many.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     b = one.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
