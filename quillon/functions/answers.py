@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,14 +15,20 @@ CONNECTIVES = ("because", "therefore", "since", "thus", "shows", "indicates")
 TRUNCATED = "\n... [truncated for memory efficiency]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value evaluated once: expressions that name it often do not repeat its code."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "\\s+", " "))
 
 
 def clean_answer(text: Column) -> Column:
     """SCR-1: the set of cleaned items of an answer, as a sorted array."""
-    low = F.regexp_replace(F.trim(F.lower(text)), "\\s+", " ")
-    items = F.when(F.contains(low, F.lit(";")), F.split(low, ";")).when(F.contains(low, F.lit(",")), F.split(low, ",")).otherwise(F.array(low))
+
+    def items(low: Column) -> Column:
+        return F.when(F.contains(low, F.lit(";")), F.split(low, ";")).when(F.contains(low, F.lit(",")), F.split(low, ",")).otherwise(F.array(low))
 
     # The expressions of this chain and their order decide what counts as equal.
     def clean(i: Column) -> Column:
@@ -28,14 +36,19 @@ def clean_answer(text: Column) -> Column:
         i = F.regexp_replace(F.regexp_replace(i, "\\s+[0-9]{4}$", ""), "\\s+[0-9]{4}\\s+", " ")
         return squeeze(F.regexp_replace(F.regexp_replace(i, "^[0-9]+$", ""), "[^a-z0-9\\s]", ""))
 
-    return F.array_sort(F.array_distinct(F.filter(F.transform(items, clean), lambda i: i != "")))
+    cut = let(F.regexp_replace(F.trim(F.lower(text)), "\\s+", " "), items)
+    return F.array_sort(F.array_distinct(F.filter(F.transform(cut, clean), lambda i: i != "")))
 
 
 def jaccard(expected: Column, actual: Column, answer_type: Column) -> Column:
     """SCR-2 on cleaned sets: two empty sets agree; a BIN answer is right or wrong."""
-    both, either = F.size(F.array_intersect(expected, actual)), F.size(F.array_union(expected, actual))
-    score = F.when(either == 0, 1.0).otherwise(F.try_divide(both.cast("double"), either.cast("double")))
-    return F.when((answer_type == "BIN") & (score < 1.0), 0.0).otherwise(score)
+
+    def score(pair: Column) -> Column:
+        both, either = F.size(F.array_intersect(pair["e"], pair["a"])), F.size(F.array_union(pair["e"], pair["a"]))
+        return F.when(either == 0, 1.0).otherwise(F.try_divide(both.cast("double"), either.cast("double")))
+
+    found = let(F.struct(expected.alias("e"), actual.alias("a")), score)
+    return let(found, lambda x: F.when((answer_type == "BIN") & (x < 1.0), 0.0).otherwise(x))
 
 
 def calibration(confidence: Column, accuracy: Column) -> Column:
@@ -46,9 +59,11 @@ def calibration(confidence: Column, accuracy: Column) -> Column:
 
 def parse_answers(text: Column) -> Column:
     """SCR-5: the cleaned answers of a text in their order, with repeats."""
-    low = F.trim(F.lower(text))
-    items = F.when(F.contains(low, F.lit(";")), F.split(low, ";")).when(F.contains(low, F.lit(",")), F.split(low, ",")).when(F.contains(low, F.lit("\n")), F.split(low, "\n")).otherwise(F.array(low))
-    return F.filter(F.transform(items, lambda i: squeeze(F.regexp_replace(i, "(?U)[^\\w\\s]", ""))), lambda i: i != "")
+
+    def items(low: Column) -> Column:
+        return F.when(F.contains(low, F.lit(";")), F.split(low, ";")).when(F.contains(low, F.lit(",")), F.split(low, ",")).when(F.contains(low, F.lit("\n")), F.split(low, "\n")).otherwise(F.array(low))
+
+    return F.filter(F.transform(let(F.trim(F.lower(text)), items), lambda i: squeeze(F.regexp_replace(i, "(?U)[^\\w\\s]", ""))), lambda i: i != "")
 
 
 def valid_entities(context: Column, expected: Column) -> Column:
@@ -72,27 +87,34 @@ def answers_match(a: Column, b: Column) -> Column:
 
 def hallucination_rate(actual: Column, expected: Column, context: Column, answer_type: Column) -> Column:
     """SCR-4: share of answers that match no valid entity; null for BIN, 1 without answers."""
-    mine = F.transform(parse_answers(actual), normal_answer)
-    valid = F.transform(valid_entities(context, parse_answers(expected)), normal_answer)
-    wrong = F.size(F.filter(mine, lambda a: ~F.exists(valid, lambda v: answers_match(a, v))))
-    return F.when(answer_type == "BIN", F.lit(None).cast("double")).when(F.size(mine) == 0, 1.0).otherwise(F.try_divide(wrong.cast("double"), F.size(mine).cast("double")))
+    both = F.struct(F.transform(parse_answers(actual), normal_answer).alias("mine"), F.transform(let(parse_answers(expected), lambda e: valid_entities(context, e)), normal_answer).alias("valid"))
+
+    def share(x: Column) -> Column:
+        wrong = F.size(F.filter(x["mine"], lambda a: ~F.exists(x["valid"], lambda v: answers_match(a, v))))
+        return F.when(F.size(x["mine"]) == 0, 1.0).otherwise(F.try_divide(wrong.cast("double"), F.size(x["mine"]).cast("double")))
+
+    return F.when(answer_type == "BIN", F.lit(None).cast("double")).otherwise(let(both, share))
 
 
 def final_answer(response: Column, answer_type: Column) -> Column:
     """SCR-8"""
+    kind = F.lower(answer_type)
+
+    def read(answer: Column) -> Column:
+        # The expressions that bare a local name, in this order.
+        local = F.regexp_replace(answer, "<[^#]*#([^>]+)>", "$1")
+        local = F.regexp_replace(local, "[^#]*#([^,\\s]+)", "$1")
+        for prefix in ("ns1", "rdf", "rdfs", "owl"):
+            local = F.regexp_replace(local, prefix + ":([^,\\s]+)", "$1")
+        low = F.lower(answer)
+        binary = F.when(F.contains(low, F.lit("true")), "TRUE").when(F.contains(low, F.lit("false")), "FALSE").otherwise(answer)
+        return F.when(kind.isin("mc", "multi choice"), F.trim(local)).when(kind.isin("bin", "binary"), binary).otherwise(answer)
+
     told = F.regexp_extract(response, "(?i)ANSWER:\\s*([^\\n\\r]+)", 1)
     first = F.trim(F.split(F.regexp_replace(response, "^\\s+", ""), "\n")[0])
-    answer = F.when(told != "", F.trim(told)).otherwise(first)
-    # The expressions that bare a local name, in this order.
-    local = F.regexp_replace(answer, "<[^#]*#([^>]+)>", "$1")
-    local = F.regexp_replace(local, "[^#]*#([^,\\s]+)", "$1")
-    for prefix in ("ns1", "rdf", "rdfs", "owl"):
-        local = F.regexp_replace(local, prefix + ":([^,\\s]+)", "$1")
-    low = F.lower(answer)
-    binary = F.when(F.contains(low, F.lit("true")), "TRUE").when(F.contains(low, F.lit("false")), "FALSE").otherwise(answer)
+    answer = let(told, lambda t: F.when(t != "", F.trim(t)).otherwise(first))
     failed = response.isNull() | (response == "") | F.contains(response, F.lit("[ERROR]"))
-    kind = F.lower(answer_type)
-    return F.when(failed, "ERROR").when(kind.isin("mc", "multi choice"), F.trim(local)).when(kind.isin("bin", "binary"), binary).otherwise(answer)
+    return F.when(failed, "ERROR").otherwise(let(answer, read))
 
 
 def confidence(response: Column) -> Column:
@@ -113,10 +135,17 @@ def _terms(c: Column) -> Column:
 
 def correctness(expected: Column, extracted: Column, answer_type: Column) -> Column:
     """SCR-11: BIN by equality; MC by containment either way, else by shared terms."""
-    e, x = F.trim(F.lower(F.coalesce(expected, F.lit("")))), F.trim(F.lower(F.coalesce(extracted, F.lit(""))))
-    shared = F.try_divide(F.size(F.array_intersect(_terms(e), _terms(x))).cast("double"), F.size(F.array_union(_terms(e), _terms(x))).cast("double"))
-    mc = F.when(F.contains(x, e) | F.contains(e, x), 1.0).when((F.size(_terms(e)) > 0) & (F.size(_terms(x)) > 0), shared).otherwise(0.0)
-    return F.when(answer_type == "BIN", F.when(e == x, 1.0).otherwise(0.0)).when(answer_type == "MC", mc).otherwise(0.0)
+
+    def shared(t: Column) -> Column:
+        share = F.try_divide(F.size(F.array_intersect(t["e"], t["x"])).cast("double"), F.size(F.array_union(t["e"], t["x"])).cast("double"))
+        return F.when((F.size(t["e"]) > 0) & (F.size(t["x"]) > 0), share).otherwise(0.0)
+
+    def score(p: Column) -> Column:
+        e, x = p["e"], p["x"]
+        mc = F.when(F.contains(x, e) | F.contains(e, x), 1.0).otherwise(let(F.struct(_terms(e).alias("e"), _terms(x).alias("x")), shared))
+        return F.when(answer_type == "BIN", F.when(e == x, 1.0).otherwise(0.0)).when(answer_type == "MC", mc).otherwise(0.0)
+
+    return let(F.struct(F.trim(F.lower(F.coalesce(expected, F.lit("")))).alias("e"), F.trim(F.lower(F.coalesce(extracted, F.lit("")))).alias("x")), score)
 
 
 def words(c: Column) -> Column:
