@@ -42,6 +42,19 @@ def held(make: Callable, *args):
     return _HELD[key]
 
 
+#: Rows of an Arrow batch of texts: at Spark's default of 10 000, texts of 100 KB would make batches of a GB.
+BATCH_ROWS = 1024
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same rows; the session then hands at most BATCH_ROWS rows at a time to Python, unless it was set to other than
+    Spark's default.  Results do not depend on it."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, holding: bool = False) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the column's text stays near SLICE_BYTES in each; a longer row comes alone.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import byte_view, schema, slices, table
+from quillon.llm.common import bounded_batches, byte_view, schema, slices, table
 from quillon.llm.neardup import _mix, word_hashes
 
 #: An item is found where a document's words are within this share of its length in word edits.
@@ -273,7 +273,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     give no rows.  A broadcast index holds a
     block of at most about ITEM_WORDS item words; each block is a pass over the documents.
     """
-    rows = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text")).where(F.col("_text").isNotNull())
+    rows = bounded_batches(docs).select(docs[key].alias("_key"), docs[text].cast("string").alias("_text")).where(F.col("_text").isNotNull())
     kind = rows.schema[0].dataType.simpleString()
     out = None
     for index in _indexes(items, item_key, item_text, share):
@@ -310,7 +310,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, share: float = MOST_EDITS) ->
                 keep[got[:, 0]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(run, docs.schema)
     return docs
 
 

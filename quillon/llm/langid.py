@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_sample, byte_view, id_crc, release, schema, settle, slices, table
+from quillon.llm.common import bounded_batches, bounded_sample, byte_view, id_crc, release, schema, settle, slices, table
 
 #: Labelled rows that the filters are fitted on: a bounded, hash-chosen sample, the same number of each language as far
 #: as there are so many (prediction covers every text).
@@ -89,7 +89,7 @@ def _gram_counts(taught: DataFrame) -> DataFrame:
             both, n = np.unique(bits << np.uint64(32) | codes.astype(np.uint64), return_counts=True)
             yield pa.record_batch([pa.array((both >> np.uint64(32)).astype(np.int32)), pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], names=["bit", "code", "n"])
 
-    return taught.select("text", "bit").mapInArrow(run, schema("bit int, code bigint, n bigint")).groupBy("bit", "code").agg(F.sum("n").alias("n"))
+    return bounded_batches(taught).select("text", "bit").mapInArrow(run, schema("bit int, code bigint, n bigint")).groupBy("bit", "code").agg(F.sum("n").alias("n"))
 
 
 def fit(taught: DataFrame, order: list[tuple[str, int]]) -> Model:
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
             names, scores = predict(shared.value, b.column(1))
             yield pa.record_batch([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["_key", "lang_pred", "score"])
 
-    source = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
+    source = bounded_batches(docs).select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
     return source.mapInArrow(run, schema(f"_key {source.schema[0].dataType.simpleString()}, lang_pred string, score double")).withColumnRenamed("_key", key)
 
 
@@ -191,7 +191,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
             found, scores = predict(shared.value, b.column(at))
             yield b.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(found, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import byte_view, components, keep, maybe_among, schema, settle, slices, table, temporary, whole_groups, without_ids
+from quillon.llm.common import bounded_batches, byte_view, components, keep, maybe_among, schema, settle, slices, table, temporary, whole_groups, without_ids
 from quillon.plans.skew import hot_keys, salted_join
 
 WORDS, SIMILARITY = 5, 0.75
@@ -163,7 +163,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 sig[i], bands[i] = packed[j].tobytes(), keys[j].tobytes()
             yield pa.record_batch([b.column(0), pa.array(n), pa.array(s1), pa.array(s2), pa.array(sig, pa.binary()), pa.array(bands, pa.binary())], names=["id", "n", "s1", "s2", "sig", "bands"])
 
-    rows = docs.select(docs[key].cast("bigint").alias("id"), docs[text].cast("string").alias("text"))
+    rows = bounded_batches(docs.select(docs[key].cast("bigint").alias("id"), docs[text].cast("string").alias("text")))
     return rows.mapInArrow(run, schema("id bigint, n bigint, s1 bigint, s2 bigint, sig binary, bands binary"))
 
 
@@ -182,7 +182,7 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             marks = np.array([_digest(x) for x in own], np.int64).reshape(-1, 2)
             yield pa.record_batch([b.column(0), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["id", "s1", "s2", "set"])
 
-    rows = docs.select(docs[key].cast("bigint").alias("id"), docs[text].cast("string").alias("text"))
+    rows = bounded_batches(docs.select(docs[key].cast("bigint").alias("id"), docs[text].cast("string").alias("text")))
     return rows.mapInArrow(run, schema("id bigint, s1 bigint, s2 bigint, set array<bigint>"))
 
 

@@ -20,14 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import SLICE_BYTES, held, schema, slices, table
+from quillon.llm.common import SLICE_BYTES, bounded_batches, held, schema, slices, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks are cut where the low MASK_BITS bits of the rolling hash are zero: 2**MASK_BITS bytes on average.
 MASK_BITS, WINDOW, MAX_CHUNK = 9, 32, 8192
 #: Bytes of the caches of a Python worker: encoded chunks, of which the longest unused go; words and units, held in two
 #: generations of WORD_BYTES each, of which the older goes; the counter's numbers, which all go at once.
-CHUNK_BYTES, WORD_BYTES, COUNT_BYTES = 24 << 20, 32 << 20, 64 << 20
+CHUNK_BYTES, WORD_BYTES, COUNT_BYTES = 16 << 20, 16 << 20, 64 << 20
 #: Words and units longer than this are not cached, and longer words are cut where no merge can reach before merging.
 LONGEST, CUT_WORD = 256, 4096
 # What a vocabulary file must say of normalisation and words.
@@ -102,7 +102,6 @@ class ChunkEncoder:
     def __init__(self, path: str, chunk_bytes: int = CHUNK_BYTES, word_bytes: int = WORD_BYTES):
         from tokenizers import Tokenizer
 
-        spec = word_vocabulary(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -113,7 +112,7 @@ class ChunkEncoder:
         #: Every id as one object that all caches share, and as decimal text.
         self.number = [*range(len(self.tokens))]
         self.decimal = [*map(str, self.number)]
-        end = spec["model"]["end_of_word_suffix"]
+        end = self.tokenizer.model.end_of_word_suffix
         self.ends_word = np.array([t.endswith(end) for t in self.tokens])
         #: Per chunk: text before its first white space, ids of what lies between, text after its last white space, and
         #: the pieces that a window reaches over at both ends with their ids; or None for a chunk without white space.
@@ -277,6 +276,13 @@ class ChunkEncoder:
             self.chunks_held -= self._cost(*self.chunks.popitem(last=False))
 
 
+def checked_path(vocabulary: str) -> str:
+    """The vocabulary file's place; ValueError before any task runs if it is of another make."""
+    path = vocabulary_path(vocabulary)
+    word_vocabulary(path)
+    return path
+
+
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, ids (decimal, joined by one blank), n_tokens and decoded text of every row.
 
@@ -284,6 +290,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "
     repeated keys give repeated rows, an empty table none; further columns are ignored, whatever their names.  Memory: SLICE_BYTES of
     text, or one longer text, and caches bounded in bytes per worker.
     """
+    checked_path(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = held(ChunkEncoder, vocabulary_path(vocabulary))
@@ -291,7 +298,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "
             got = [coder.rendered(ids) for ids in coder.encode([x.encode() if x else b"" for x in b.column(1).to_pylist()])]
             yield pa.record_batch([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.string())], names=["_key", "ids", "n_tokens", "decoded"])
 
-    source = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
+    source = bounded_batches(docs).select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
     kind = source.schema[0].dataType.simpleString()
     return source.mapInArrow(run, schema(f"_key {kind}, ids string, n_tokens bigint, decoded string")).withColumnRenamed("_key", key)
 
@@ -302,6 +309,7 @@ def encode_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     Nulls, empty and long texts, repeated rows, empty tables and further columns as in ``encode_documents``; texts
     without tokens have the digests of empty strings.
     """
+    checked_path(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = held(ChunkEncoder, vocabulary_path(vocabulary))
@@ -313,7 +321,7 @@ def encode_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 decoded.append(hashlib.sha256(d.encode()).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    source = docs.select("doc_id", docs["text"].cast("string").alias("text"))
+    source = bounded_batches(docs).select("doc_id", docs["text"].cast("string").alias("text"))
     kind = source.schema[0].dataType.simpleString()
     return source.mapInArrow(run, schema(f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
 
@@ -335,7 +343,8 @@ class HeapCounter:
     def __init__(self, path: str, most: int = COUNT_BYTES):
         import regex
 
-        spec = word_vocabulary(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.end = spec["model"]["end_of_word_suffix"] or ""
         self.ranks: dict[tuple[str, str], tuple[int, str]] = {}
         for i, pair in enumerate(spec["model"]["merges"]):
@@ -465,6 +474,7 @@ def count_tokens(docs: DataFrame, limit: int = 2048, vocabulary: str = VOCABULAR
     empty table none; further columns are ignored, whatever their names.  Memory: SLICE_BYTES of text, or one longer
     text, and a cache bounded in bytes per worker.
     """
+    checked_path(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = held(HeapCounter, vocabulary_path(vocabulary))
@@ -473,7 +483,7 @@ def count_tokens(docs: DataFrame, limit: int = 2048, vocabulary: str = VOCABULAR
             n = [counter.count(x) for x in data]
             yield pa.record_batch([b.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["_key", "n_bytes", "n_tokens", "over_limit"])
 
-    source = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
+    source = bounded_batches(docs).select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
     kind = source.schema[0].dataType.simpleString()
     return source.mapInArrow(run, schema(f"_key {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")).withColumnRenamed("_key", key)
 

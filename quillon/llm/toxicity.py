@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_sample, id_crc, release, schema, settle, slices, table
+from quillon.llm.common import bounded_batches, bounded_sample, id_crc, release, schema, settle, slices, table
 
 #: Labelled rows that the lexicon, the trees and the calibration are fitted on, and the folds of the cross-fitting.
 SAMPLE_ROWS = 8000
@@ -109,7 +109,7 @@ def learn_lexicons(sample: DataFrame, least: int, purity: float = 0.55) -> list[
             kinds, words, folds, toxics = zip(*seen, strict=True) if seen else ((),) * 4
             yield pa.record_batch([pa.array(kinds, pa.int32()), pa.array(words, pa.binary()), pa.array(folds, pa.int32()), pa.array(toxics, pa.int32()), pa.array([*seen.values()], pa.int64())], names=["kind", "word", "fold", "toxic", "n"])
 
-    counts = sample.select("text", "toxic", "fold").mapInArrow(run, schema("kind int, word binary, fold int, toxic int, n bigint"))
+    counts = bounded_batches(sample).select("text", "toxic", "fold").mapInArrow(run, schema("kind int, word binary, fold int, toxic int, n bigint"))
     without = [F.col("fold") != k for k in range(FOLDS)] + [F.lit(True)]
     sums = counts.groupBy("kind", "word").agg(*[F.sum(F.when(w & (F.col("toxic") == 1) if t else w, F.col("n")).otherwise(0)).alias(f"{'te'[1 - t]}{k}") for k, w in enumerate(without) for t in (0, 1)])
     good = [(F.col(f"t{k}") >= least) & (F.col(f"t{k}") >= purity * F.col(f"e{k}")) for k in range(FOLDS + 1)]
@@ -269,7 +269,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
             s = shared.value.score(b.column(1).to_pylist())
             yield pa.record_batch([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("int32"), pa.int32())], names=["_key", "score", "predicted"])
 
-    source = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
+    source = bounded_batches(docs).select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
     return source.mapInArrow(run, schema(f"_key {source.schema[0].dataType.simpleString()}, score double, predicted int")).withColumnRenamed("_key", key)
 
 
@@ -285,7 +285,7 @@ def keep_civil(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
         for b in slices(batches, "text"):
             yield b.filter(pa.array(shared.value.score(b.column(at).to_pylist()) < limit, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

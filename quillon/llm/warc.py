@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import schema, scratch, settle, slices, table
+from quillon.llm.common import bounded_batches, schema, scratch, settle, slices, table
 from quillon.plans.skew import hot_keys, salted_join
 
 #: Bytes of records in an archive before compression; a writer holds no more than this and one record.
@@ -142,7 +142,7 @@ def with_referrals(pages: DataFrame) -> DataFrame:
         for b in slices(batches, "html"):
             yield pa.record_batch([*b.columns, pa.array([digest((x or "").encode()) for x in b.column(2).to_pylist()])], names=["page_id", "url", "html", "digest"])
 
-    rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, schema("page_id bigint, url string, html string, digest string"))
+    rows = bounded_batches(pages).select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, schema("page_id bigint, url string, html string, digest string"))
     ids = settle(rows.select("page_id", "url", "digest"))
     # Counts and maxima are combined map-side; a payload shared by a third of the pages is dealt over tasks.
     last = ids.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("m"), F.count("*").alias("n")).where("n > 1")

@@ -115,11 +115,13 @@ def test_long_texts_in_parts(spark, library, monkeypatch):
     assert b"".join(K._parts(text.encode())) == text.encode()
 
 
-def test_other_vocabularies_are_refused():
+def test_other_vocabularies_are_refused(spark):
+    for f in (K.encode_documents, K.encode_digests):
+        with pytest.raises(ValueError):
+            f(documents(spark), "byte_bpe_50k.json")
     with pytest.raises(ValueError):
-        K.ChunkEncoder(K.vocabulary_path("byte_bpe_50k.json"))
-    with pytest.raises(ValueError):
-        K.HeapCounter(K.vocabulary_path("byte_bpe_50k.json"))
+        K.count_tokens(documents(spark), vocabulary="byte_bpe_50k.json")
+    assert K.checked_path(K.VOCABULARY) == K.vocabulary_path()
 
 
 def test_token_edges(spark):
