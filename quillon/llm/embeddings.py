@@ -31,41 +31,51 @@ ROUNDS = 3
 BLOCK, BLOCK_BYTES, SMALL = 512, 8 << 20, 32
 
 
-def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of rows whose length is a power of two, scaled to keep lengths."""
-    n, h, out = x.shape[1], 1, x.copy()
+def _transform(x: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fast Walsh-Hadamard transform of columns whose length is a power of two, scaled to keep lengths; result and spare.
+
+    A column is a vector, so every step adds and subtracts long rows, and the two arrays take turns.
+    """
+    n, h = len(x), 1
     while h < n:
-        out = out.reshape(len(x), -1, 2, h)
-        out = np.stack([out[:, :, 0] + out[:, :, 1], out[:, :, 0] - out[:, :, 1]], 2).reshape(len(x), n)
-        h *= 2
-    return out / np.sqrt(n)
-
-
-def rotated(x: np.ndarray, table_no: int, step: int) -> np.ndarray:
-    """ROUNDS of random signs and a Hadamard transform, on rows padded to a power of two."""
-    width = max(2, 1 << (x.shape[1] - 1).bit_length())
-    out = np.zeros((len(x), width))
-    out[:, : x.shape[1]] = x
-    signs = np.random.default_rng([410, table_no, step, width]).integers(0, 2, (ROUNDS, width)) * 2 - 1
-    for s in signs:
-        out = hadamard(out * s)
-    return out
+        v, out = (a.reshape(n // (2 * h), 2, h, -1) for a in (x, spare))
+        np.add(v[:, 0], v[:, 1], out=out[:, 0])
+        np.subtract(v[:, 0], v[:, 1], out=out[:, 1])
+        x, spare, h = spare, x, 2 * h
+    x /= np.sqrt(n)
+    return x, spare
+
+
+def hadamard(x: np.ndarray) -> np.ndarray:
+    """The transform of rows."""
+    return _transform(x.T.copy(), np.empty(x.T.shape))[0].T
 
 
 def axes(x: np.ndarray, tables: int = TABLES) -> np.ndarray:
-    """(rows, tables, 3, DEPTH): each rotation's nearest and second signed axis, and the rotations by how close these are."""
-    out = np.empty((len(x), tables, 3, DEPTH), np.uint32)
+    """(rows, tables, 3, DEPTH): each rotation's nearest and second signed axis, and the rotations by how close these are.
+
+    A rotation is ROUNDS of random signs and a Hadamard transform, of vectors padded to a power of two.
+    """
+    n, dim = x.shape
+    width = max(2, 1 << (dim - 1).bit_length())
+    out = np.empty((n, tables, 3, DEPTH), np.uint32)
+    columns, all_rows = np.zeros((width, n)), np.arange(n)
+    columns[:dim] = x.T
+    a, b = np.empty((width, n)), np.empty((width, n))
     for t in range(tables):
-        gap = np.empty((len(x), DEPTH))
+        gap = np.empty((n, DEPTH))
         for k in range(DEPTH):
-            r = rotated(x, t, k)
-            size = np.abs(r)
-            order = np.argpartition(-size, 1, axis=1)[:, :2]
-            big = np.take_along_axis(size, order, 1)
-            swap = big[:, 1] > big[:, 0]
-            order[swap] = order[swap][:, ::-1]
-            axis = 2 * order + (np.take_along_axis(r, order, 1) < 0)
-            out[:, t, 0, k], out[:, t, 1, k], gap[:, k] = axis[:, 0], axis[:, 1], np.abs(big[:, 0] - big[:, 1])
+            a[:] = columns
+            for signs in np.random.default_rng([410, t, k, width]).integers(0, 2, (ROUNDS, width)) * 2 - 1:
+                a *= signs[:, None]
+                a, b = _transform(a, b)
+            size = np.abs(a)
+            for place in (0, 1):
+                axis = size.argmax(0)
+                top = size[axis, all_rows]
+                gap[:, k] = top if place == 0 else gap[:, k] - top
+                out[:, t, place, k] = 2 * axis + (a[axis, all_rows] < 0)
+                size[axis, all_rows] = -1
         out[:, t, 2] = np.argsort(gap, axis=1, kind="stable")
     return out
 
