@@ -113,6 +113,9 @@ class ChunkEncoder:
         self.number = [*range(len(self.tokens))]
         self.decimal = [*map(str, self.number)]
         end = self.tokenizer.model.end_of_word_suffix
+        # A special string is a token of its own and separates what stands beside it.
+        self.mark_id, mark = next((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
+        self.mark, self.mark_start = mark, mark[:2].encode()
         self.ends_word = np.array([t.endswith(end) for t in self.tokens])
         #: Per chunk: text before its first white space, ids of what lies between, text after its last white space, and
         #: the pieces that a window reaches over at both ends with their ids; or None for a chunk without white space.
@@ -140,6 +143,18 @@ class ChunkEncoder:
             for e in self.tokenizer.encode_batch_fast(texts[start : start + 20_000], add_special_tokens=False):
                 yield tuple(map(number, e.ids))
 
+    def _window_ids(self, windows: list[bytes]) -> dict[bytes, Ids]:
+        """The ids of windows; those in which no special string can begin are encoded many at a time, one between them."""
+        plain = [w for w in windows if self.mark_start not in w]
+        texts = [plain[k : k + 64] for k in range(0, len(plain), 64)]
+        out: dict[bytes, Ids] = {}
+        for own, ids in zip(texts, self._ids([self.mark.join([w.decode() for w in t]) for t in texts]), strict=True):
+            at = np.flatnonzero(np.array(ids, np.int64) == self.mark_id).tolist()
+            out.update(zip(own, [ids[a:b] for a, b in zip([0, *(x + 1 for x in at)], [*at, len(ids)], strict=True)], strict=True))
+        rest = [w for w in windows if w not in out]
+        out.update(zip(rest, self._ids([w.decode() for w in rest]), strict=True))
+        return out
+
     def _word_ids(self, words: list[str]) -> list[Ids]:
         """The ids of single words, many encoded as one text: a word's last token, and no other, ends a word."""
         texts = [words[k : k + 256] for k in range(0, len(words), 256)]
@@ -252,8 +267,7 @@ class ChunkEncoder:
             plan.append((before, b"".join(carry), (b"", ())))
             plans.append(plan)
             windows.update((x[0][0] + x[1] + x[2][0], None) for x in plan[::2] if x[1])
-        order = [*windows]
-        windows = dict(zip(order, self._ids([w.decode() for w in order]), strict=True))
+        windows = self._window_ids([*windows])
         for data, plan in zip(texts, plans, strict=True):
             out: list[int] = []
             for k, x in enumerate(plan):
