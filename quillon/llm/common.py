@@ -196,6 +196,36 @@ def without_ids(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return flagged.where("not maybe").select("row.*").union(flagged.where("maybe").select("row.*").join(gone, [key], "left_anti").select(*names))
 
 
+def pack_numbers(values) -> tuple:
+    """(bytes, end of each number in them): whole numbers from 0 in groups of seven bits, the lowest first."""
+    import numpy as np
+
+    v = np.asarray(values, np.uint64)
+    size = np.ones(len(v), np.int64)
+    for k in range(1, (int(v.max(initial=0)).bit_length() + 6) // 7):
+        size += v >= np.uint64(1 << 7 * k)
+    ends = np.cumsum(size)
+    out, start = np.empty(ends[-1] if len(v) else 0, np.uint8), ends - size
+    for k in range(size.max(initial=0)):
+        own = size > k
+        out[start[own] + k] = ((v[own] >> np.uint64(7 * k)) & np.uint64(127)) | np.where(size[own] > k + 1, np.uint64(128), np.uint64(0))
+    return out, ends
+
+
+def unpack_numbers(packed: bytes):
+    """The numbers that ``pack_numbers`` has put into bytes, as int64."""
+    import numpy as np
+
+    raw = np.frombuffer(packed, np.uint8)
+    ends = np.flatnonzero(raw < 128) + 1
+    start = np.append(0, ends[:-1])[: len(ends)]
+    size, out = ends - start, np.zeros(len(ends), np.int64)
+    for k in range(size.max(initial=0)):
+        own = size > k
+        out[own] |= (raw[start[own] + k] & 127).astype(np.int64) << (7 * k)
+    return out
+
+
 def schema(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, embeddings, langid, licenses, neardup, sharding, tokens, toxicity, warc
+from quillon.llm import bytebpe, decontaminate, embeddings, langid, licenses, neardup, runs, search, sharding, tokens, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
+        "op11_byte_bpe_codec": bytebpe.op11_byte_bpe_codec,
+        "op12_ranked_search": search.op12_ranked_search,
+        "op13_periodic_runs": runs.op13_periodic_runs,
     }
 
 
@@ -41,4 +44,4 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; models, tokenizers, checksums and rules have brute-force tests instead."""
-    return {"op5_warc_dictionary": _DIGEST, "op8_minhash_near_dedup": _NEAR_TEXTS, "op10_embedding_near_dedup": _NEAR_VECTORS}
+    return {"op5_warc_dictionary": _DIGEST, "op8_minhash_near_dedup": _NEAR_TEXTS, "op10_embedding_near_dedup": _NEAR_VECTORS, "op12_ranked_search": search.SQL}
