@@ -15,12 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.operators.model import Graph, chain_paths, closed
+from quillon.operators.model import Graph
 
 TYPE = "rdf:type"
-#: Node limits of the hierarchy searches: traces to assertions, searches over sub- and equivalent classes, and the
-#: deep search over subclasses alone.
-TRACE_NODES, SEARCH_NODES, DEEP_NODES = 10, 11, 9
 
 
 @dataclass
@@ -74,18 +71,12 @@ def _edge(s: Column, p: Column, o: Column) -> Column:
 
 def subclass_visit(f: Facts) -> DataFrame:
     """EXP-1"""
-    pairs = [(a, b) for a, b in f.g.schema.subclass if f.g.schema.named(a) and f.g.schema.named(b)]
-    r = f.typ.join(f.g.small(pairs, "c string, d string"), "c")
+    r = f.typ.join(f.g.table("subclass_named"), "c")
     return path(r, "EXP-1", "SUBSUMPTION", c("s"), F.lit(TYPE), c("d"), [axiom("ClassAssertion", c("c"), c("s")), axiom("SubClassOf", c("c"), c("d"))], [_type_of(c("s"), c("c")), lit_text(c("c"), " SubClassOf ", c("d"))])
 
 
-def _equivalents(f: Facts) -> DataFrame:
-    named = [(a, b) for a, b in f.g.schema.equivalent if f.g.schema.named(a) and f.g.schema.named(b)]
-    return f.g.small([*named, *((b, a) for a, b in named)], "c string, d string")
-
-
 def _equivalent(f: Facts, strategy: str, word: str) -> DataFrame:
-    r = f.typ.join(_equivalents(f), "c")
+    r = f.typ.join(f.g.table("equivalent_named"), "c")
     both = [F.least("c", "d"), F.greatest("c", "d")]
     return path(r, strategy, "EQUIVALENT_CLASS", c("s"), F.lit(TYPE), c("d"), [axiom("ClassAssertion", c("c"), c("s")), axiom("EquivalentClasses", *both)], [_type_of(c("s"), c("c")), lit_text(c("c"), f" {word} ", c("d"))])
 
@@ -105,15 +96,6 @@ def direct_type(f: Facts) -> DataFrame:
     return path(f.a_typ, "EXP-28", "DIRECT_ASSERTION", c("s"), F.lit(TYPE), c("c"), [axiom("ClassAssertion", c("c"), c("s"))], [lit_text(_type_of(c("s"), c("c")), " (direct assertion)")], 1)
 
 
-def _paths_table(f: Facts, edges: set[tuple[str, str]], most: int) -> DataFrame:
-    return f.g.small([(a, b, p) for a, b, p in chain_paths(edges, most)] or [("", "", [])], "c string, d string, nodes array<string>")
-
-
-def _named_edges(f: Facts, equivalents: bool) -> set[tuple[str, str]]:
-    edges = f.g.schema.class_edges() if equivalents else set(f.g.schema.subclass)
-    return {(a, b) for a, b in edges if f.g.schema.named(a) and f.g.schema.named(b) and a != b}
-
-
 def _steps(nodes: Column, word: str, same: DataFrame | None = None) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(nodes) - 2), lambda i: F.concat(F.get(nodes, i), F.lit(f" {word} "), F.get(nodes, i + 1)))
 
@@ -124,40 +106,26 @@ def _step_axioms(nodes: Column) -> Column:
 
 def subclass_trace(f: Facts) -> DataFrame:
     """EXP-9: from each asserted type the shortest subclass chain, ties by the names on it."""
-    table = [(a, b, p) for a, b, p in chain_paths(_named_edges(f, False), TRACE_NODES)]
-    best = {}
-    for a, b, p in table:
-        best.setdefault((a, b), p)
-    r = f.a_typ.join(f.g.small([(a, b, p) for (a, b), p in sorted(best.items())] or [("", "", [])], "c string, d string, nodes array<string>"), "c")
+    r = f.a_typ.join(f.g.table("traces"), "c")
     return path(r, "EXP-9", "SUBSUMPTION", c("s"), F.lit(TYPE), c("d"), F.concat(F.array(axiom("ClassAssertion", c("c"), c("s"))), _step_axioms(c("nodes"))), F.concat(F.array(_type_of(c("s"), c("c"))), _steps(c("nodes"), "SubClassOf")))
 
 
 def hierarchy_search(f: Facts) -> DataFrame:
     """EXP-10: from each asserted or entailed type the shortest chain over sub- and equivalent classes."""
-    equal = {frozenset(e) for e in f.g.schema.equivalent}
-    best: dict[tuple[str, str], list[str]] = {}
-    for a, b, p in chain_paths(_named_edges(f, True), TRACE_NODES):
-        best.setdefault((a, b), p)
-    rows = []
-    for (a, b), p in sorted(best.items()):
-        words = [f"{x} {'EquivalentTo' if frozenset((x, y)) in equal else 'SubClassOf'} {y}" for x, y in zip(p, p[1:], strict=False)]
-        kinds = ["EquivalentClasses" if frozenset((x, y)) in equal else "SubClassOf" for x, y in zip(p, p[1:], strict=False)]
-        rows.append((a, b, words, [(k, [x, y]) for k, x, y in zip(kinds, p, p[1:], strict=False)]))
-    t = f.g.small(rows, "c string, d string, words array<string>, steps array<struct<kind:string,args:array<string>>>")
-    r = f.typ.join(t, "c")
+    r = f.typ.join(f.g.table("searches"), "c")
     return path(r, "EXP-10", "SUBSUMPTION", c("s"), F.lit(TYPE), c("d"), F.concat(F.array(axiom("ClassAssertion", c("c"), c("s"))), c("steps")), F.concat(F.array(_type_of(c("s"), c("c"))), c("words")))
 
 
 def subclass_paths(f: Facts) -> DataFrame:
     """EXP-11: every cycle-free chain over sub- and equivalent classes; its assertion is that of the last step's class."""
-    r = f.a_typ.join(_paths_table(f, _named_edges(f, True), SEARCH_NODES), "c")
+    r = f.a_typ.join(f.g.table("all_paths"), "c")
     last = F.get(c("nodes"), F.size("nodes") - 2)
     return path(r, "EXP-11", "SUBSUMPTION", c("s"), F.lit(TYPE), c("d"), F.concat(F.array(axiom("ClassAssertion", last, c("s"))), _step_axioms(c("nodes"))), F.concat(F.array(_type_of(c("s"), last)), _steps(c("nodes"), "rdfs:subClassOf")))
 
 
 def deep_paths(f: Facts) -> DataFrame:
     """EXP-12: every chain over subclasses alone."""
-    r = f.a_typ.join(_paths_table(f, _named_edges(f, False), DEEP_NODES), "c")
+    r = f.a_typ.join(f.g.table("deep_paths"), "c")
     return path(r, "EXP-12", "SUBSUMPTION", c("s"), F.lit(TYPE), c("d"), F.concat(F.array(axiom("ClassAssertion", c("c"), c("s"))), _step_axioms(c("nodes"))), F.concat(F.array(_type_of(c("s"), c("c"))), _steps(c("nodes"), "rdfs:subClassOf")))
 
 
@@ -165,11 +133,11 @@ def deep_paths(f: Facts) -> DataFrame:
 
 
 def _domains(f: Facts) -> DataFrame:
-    return f.g.small(f.g.schema.domain, "p string, d string")
+    return f.g.table("domain").select("p", c("c").alias("d"))
 
 
 def _ranges(f: Facts) -> DataFrame:
-    return f.g.small(f.g.schema.range, "p string, d string")
+    return f.g.table("range").select("p", c("c").alias("d"))
 
 
 def _one_value(rel: DataFrame) -> DataFrame:
@@ -220,9 +188,8 @@ def property_trace(f: Facts) -> DataFrame:
     def rows(df: DataFrame, s, p, rank: int, said: list, axioms: list, inner=None) -> DataFrame:
         return df.select(s.alias("s"), p.alias("p"), F.lit(rank).alias("rank"), (F.lit(0) if inner is None else inner).alias("inner"), F.array(*said).alias("said"), F.array(*axioms).alias("axioms"))
 
-    subs = sorted((b, a) for a, b in closed(set(f.g.schema.subproperty)) if a != b) or [("", "")]
-    below = f.g.small(subs, "p string, q string")
-    pairs = f.g.small([*f.g.schema.inverse, *((b, a) for a, b in f.g.schema.inverse)] or [("", "")], "p string, q string")
+    below = f.g.table("subproperty_closed").select(c("q").alias("p"), c("p").alias("q"))
+    pairs = f.g.table("inverse")
     edge, held = _edge(c("s"), c("q"), c("o")), axiom("PropertyAssertion", c("q"), c("s"), c("o"))
     direct = rows(f.a_rel, c("s"), c("p"), 1, [_edge(c("s"), c("p"), c("o"))], [axiom("PropertyAssertion", c("p"), c("s"), c("o"))])
     turned, opposite = lit_text(F.least("p", "q"), " owl:inverseOf ", F.greatest("p", "q")), axiom("InverseProperties", F.least("p", "q"), F.greatest("p", "q"))
@@ -244,9 +211,7 @@ def domain_trace(f: Facts) -> DataFrame:
 
 def _two_links(f: Facts, rel: DataFrame) -> DataFrame:
     """(s, p1, z, p2, o, p) for two-link chains, with the smallest middle and end of each (s, p, chain)."""
-    links = [(ls[0], ls[1], t) for ls, t in f.g.schema.chains if len(ls) == 2]
-    t = f.g.small(links or [("", "", "")], "p1 string, p2 string, t string")
-    a = rel.select("s", c("p").alias("p1"), c("o").alias("z")).join(t, "p1")
+    a = rel.select("s", c("p").alias("p1"), c("o").alias("z")).join(f.g.table("two_links"), "p1")
     b = rel.select(c("s").alias("z"), c("p").alias("p2"), "o")
     return a.join(b, ["z", "p2"]).select("s", "p1", "z", "p2", "o", c("t").alias("p"))
 
@@ -258,31 +223,27 @@ def chain_domain(f: Facts) -> DataFrame:
     return path(r, "EXP-22", "PROPERTY_CHAIN", c("s"), F.lit(TYPE), c("d"), [axiom("PropertyAssertion", c("p1"), c("s"), c("z")), axiom("PropertyAssertion", c("p2"), c("z"), c("o")), axiom("PropertyChain", c("p1"), c("p2"), c("p")), axiom("Domain", c("p"), c("d"))], [_edge(c("s"), c("p1"), c("z")), _edge(c("z"), c("p2"), c("o")), lit_text(c("p1"), " o ", c("p2"), " SubPropertyOf ", c("p")), lit_text(c("p"), " Domain ", c("d"))])
 
 
-def _inverses(f: Facts) -> DataFrame:
-    return f.g.small([*f.g.schema.inverse, *((b, a) for a, b in f.g.schema.inverse)], "p string, q string")
-
-
 def inverse_domain(f: Facts) -> DataFrame:
     """EXP-23: y Q x, P inverse of Q, domain(P) = C, the smallest y."""
-    r = f.rel.withColumnRenamed("p", "q").join(_inverses(f), "q").join(_domains(f), "p").groupBy("o", "p", "q", "d").agg(F.min("s").alias("y"))
+    r = f.rel.withColumnRenamed("p", "q").join(f.g.table("inverse"), "q").join(_domains(f), "p").groupBy("o", "p", "q", "d").agg(F.min("s").alias("y"))
     return path(r, "EXP-23", "INVERSE_PROPERTY", c("o"), F.lit(TYPE), c("d"), [axiom("PropertyAssertion", c("q"), c("y"), c("o")), axiom("InverseProperties", F.least("p", "q"), F.greatest("p", "q")), axiom("Domain", c("p"), c("d"))], [_edge(c("y"), c("q"), c("o")), lit_text(c("p"), " InverseOf ", c("q")), lit_text(c("p"), " Domain ", c("d"))])
 
 
 def functional_range(f: Facts) -> DataFrame:
     """EXP-24: the range of a functional property is claimed of its subject, where that is entailed anyway."""
-    r = _one_value(f.rel.where(c("p").isin(f.g.schema.functional))).join(_ranges(f), "p")
+    r = _one_value(f.g.having(f.rel, "functional")).join(_ranges(f), "p")
     return path(r, "EXP-24", "FUNCTIONAL_PROPERTY", c("s"), F.lit(TYPE), c("d"), [axiom("PropertyAssertion", c("p"), c("s"), c("o")), axiom("FunctionalProperty", c("p")), axiom("Range", c("p"), c("d"))], [_edge(c("s"), c("p"), c("o")), lit_text("Functional: ", c("p")), lit_text(c("p"), " Range ", c("d"))])
 
 
 def symmetric_domain(f: Facts) -> DataFrame:
     """EXP-25: y P x with y other than x, the smallest y."""
-    r = f.rel.where(c("p").isin(f.g.schema.symmetric) & (c("s") != c("o"))).join(_domains(f), "p").groupBy("o", "p", "d").agg(F.min("s").alias("y"))
+    r = f.g.having(f.rel.where("s <> o"), "symmetric").join(_domains(f), "p").groupBy("o", "p", "d").agg(F.min("s").alias("y"))
     return path(r, "EXP-25", "SYMMETRIC_PROPERTY", c("o"), F.lit(TYPE), c("d"), [axiom("PropertyAssertion", c("p"), c("y"), c("o")), axiom("SymmetricProperty", c("p")), axiom("Domain", c("p"), c("d"))], [_edge(c("y"), c("p"), c("o")), lit_text("Symmetric: ", c("p")), lit_text(c("p"), " Domain ", c("d"))])
 
 
 def subproperty_domain(f: Facts) -> DataFrame:
     """EXP-26"""
-    subs = f.g.small(f.g.schema.subproperty, "q string, p string")
+    subs = f.g.table("subproperty")
     r = _one_value(f.rel.join(subs.select(c("q").alias("p")).distinct(), "p", "left_semi")).withColumnRenamed("p", "q").join(subs, "q").join(_domains(f), "p")
     return path(r, "EXP-26", "SUBPROPERTY", c("s"), F.lit(TYPE), c("d"), [axiom("PropertyAssertion", c("q"), c("s"), c("o")), axiom("SubPropertyOf", c("q"), c("p")), axiom("Domain", c("p"), c("d"))], [_edge(c("s"), c("q"), c("o")), lit_text(c("q"), " SubPropertyOf ", c("p")), lit_text(c("p"), " Domain ", c("d"))])
 
@@ -290,29 +251,9 @@ def subproperty_domain(f: Facts) -> DataFrame:
 # -- classes from expressions ------------------------------------------------------------------------------------------
 
 
-def _holders(f: Facts, kinds: tuple[str, ...], subclass: bool) -> list[tuple[str, str]]:
-    """(named class, expression) where the class equals the expression, or (if asked) lies below it."""
-    s = f.g.schema
-    pairs = [p for a, b in s.equivalent for p in ((a, b), (b, a))] + (list(s.subclass) if subclass else [])
-    return sorted({(a, b) for a, b in pairs if s.named(a) and not s.named(b) and s.expressions[b].kind in kinds})
-
-
-def _operand_rows(f: Facts, kind: str, subclass: bool) -> list[tuple[str, str, str, int]]:
-    """(class, expression, named operand, number of operands)"""
-    out = []
-    for cls, x in _holders(f, (kind,), subclass):
-        ops = f.g.schema.expressions[x].operands
-        out += [(cls, x, o, len(ops)) for o in ops if f.g.schema.named(o)]
-    return out
-
-
 def intersection_evidence(f: Facts) -> DataFrame:
     """EXP-14: members of all named operands (two or more operands); asserted memberships, one at least, are the evidence."""
-    rows = _operand_rows(f, "and", True)
-    named = {}
-    for cls, x, _, _ in rows:
-        named[cls, x] = named.get((cls, x), 0) + 1
-    t = f.g.small([(cls, x, o, n, named[cls, x]) for cls, x, o, n in rows if n >= 2] or [("", "", "", 0, 0)], "d string, x string, c string, n int, k int")
+    t = f.g.table("and_below")
     member = f.typ.join(t, "c").join(f.a_typ.select("s", "c", F.lit(True).alias("told")), ["s", "c"], "left")
     r = member.groupBy("s", "d", "x", "n", "k").agg(F.count("*").alias("m"), F.array_sort(F.collect_list(F.when(c("told"), c("c")))).alias("ops")).where("m = k and size(ops) > 0")
     ax = F.concat(F.array(axiom("Expression", c("d"), c("x"))), F.transform("ops", lambda o: F.struct(F.lit("ClassAssertion").alias("kind"), F.array(o, c("s")).alias("args"))))
@@ -320,14 +261,9 @@ def intersection_evidence(f: Facts) -> DataFrame:
     return path(r, "EXP-14", "INTERSECTION", c("s"), F.lit(TYPE), c("d"), ax, said)
 
 
-def _some_rows(f: Facts) -> DataFrame:
-    rows = [(cls, x, f.g.schema.expressions[x].prop, f.g.schema.expressions[x].filler) for cls, x in _holders(f, ("some",), True)]
-    return f.g.small(rows or [("", "", "", "")], "d string, x string, p string, f string")
-
-
 def existential_evidence(f: Facts) -> DataFrame:
     """EXP-15: the smallest witness with asserted evidence (edge, type, or both)."""
-    r = f.rel.join(_some_rows(f), "p").join(f.typ.select(c("s").alias("o"), c("c").alias("f")), ["o", "f"])
+    r = f.rel.join(f.g.table("some_of"), "p").join(f.typ.select(c("s").alias("o"), c("c").alias("f")), ["o", "f"])
     r = r.join(f.a_rel.select("s", "p", "o", F.lit(True).alias("e1")), ["s", "p", "o"], "left").join(f.a_typ.select(c("s").alias("o"), c("c").alias("f"), F.lit(True).alias("e2")), ["o", "f"], "left")
     r = r.where("e1 or e2").groupBy("s", "d", "x", "p", "f").agg(F.min(F.struct("o", "e1", "e2")).alias("m")).select("s", "d", "x", "p", "f", "m.*")
     ax = F.array_compact(F.array(F.when(c("e1"), axiom("PropertyAssertion", c("p"), c("s"), c("o"))), F.when(c("e2"), axiom("ClassAssertion", c("f"), c("o"))), axiom("Expression", c("d"), c("x"))))
@@ -337,26 +273,21 @@ def existential_evidence(f: Facts) -> DataFrame:
 
 def existential_entailed(f: Facts) -> DataFrame:
     """EXP-18, existential part: the smallest entailed witness."""
-    r = f.rel.join(_some_rows(f), "p").join(f.typ.select(c("s").alias("o"), c("c").alias("f")), ["o", "f"])
+    r = f.rel.join(f.g.table("some_of"), "p").join(f.typ.select(c("s").alias("o"), c("c").alias("f")), ["o", "f"])
     r = r.groupBy("s", "d", "x", "p", "f").agg(F.min("o").alias("o"))
     ax = [axiom("PropertyAssertion", c("p"), c("s"), c("o")), axiom("ClassAssertion", c("f"), c("o")), axiom("Expression", c("d"), c("x"))]
     return path(r, "EXP-18", "EXISTENTIAL", c("s"), F.lit(TYPE), c("d"), ax, [_edge(c("s"), c("p"), c("o")), _type_of(c("o"), c("f")), lit_text("some ", c("p"), ".", c("f"), " restriction satisfied")])
 
 
-def _all_rows(f: Facts) -> DataFrame:
-    rows = [(cls, x, f.g.schema.expressions[x].prop, f.g.schema.expressions[x].filler) for cls, x in _holders(f, ("all",), True)]
-    return f.g.small(rows or [("", "", "", "")], "d string, x string, p string, f string")
-
-
 def _vacuous(f: Facts, strategy: str) -> DataFrame:
-    t = _all_rows(f)
+    t = f.g.table("all_of")
     r = f.typ.withColumnRenamed("c", "d").join(t, "d").join(f.rel.select("s", "p").distinct(), ["s", "p"], "left_anti")
     return path(r, strategy, "UNIVERSAL", c("s"), F.lit(TYPE), c("d"), [axiom("Expression", c("d"), c("x"))], [lit_text("No ", c("p"), " values for ", c("s")), lit_text("all ", c("p"), ".", c("f"), " vacuously satisfied")])
 
 
 def universal_evidence(f: Facts) -> DataFrame:
     """EXP-16: no known value, or all known values of the filler, with asserted evidence."""
-    r = f.typ.withColumnRenamed("c", "d").join(_all_rows(f), "d").join(f.rel, ["s", "p"])
+    r = f.typ.withColumnRenamed("c", "d").join(f.g.table("all_of"), "d").join(f.rel, ["s", "p"])
     r = r.join(f.typ.select(c("s").alias("o"), c("c").alias("f"), F.lit(1).alias("ok")), ["o", "f"], "left").join(f.a_rel.select("s", "p", "o", F.lit(True).alias("e1")), ["s", "p", "o"], "left").join(f.a_typ.select(c("s").alias("o"), c("c").alias("f"), F.lit(True).alias("e2")), ["o", "f"], "left")
     both = F.when(c("e1") & c("e2"), F.struct("o"))
     r = r.groupBy("s", "d", "x", "p", "f").agg(F.count("*").alias("n"), F.count("ok").alias("m"), F.array_sort(F.collect_list(both)).alias("os")).where("n = m and size(os) > 0").withColumnsRenamed({"s": "x0", "p": "q"})
@@ -377,33 +308,18 @@ def property_based(f: Facts) -> DataFrame:
 
 def constructors(f: Facts) -> DataFrame:
     """EXP-20: member of all named operands (two or more of them) of an intersection; first operand of a union that has it."""
-    rows = _operand_rows(f, "and", False)
-    count: dict[tuple[str, str], int] = {}
-    for cls, x, _, _ in rows:
-        count[cls, x] = count.get((cls, x), 0) + 1
-    t = f.g.small([(cls, x, o, count[cls, x]) for cls, x, o, _ in rows if count[cls, x] >= 2] or [("", "", "", 0)], "d string, x string, c string, k int")
+    t = f.g.table("and_equal")
     r = f.typ.join(t, "c").groupBy("s", "d", "x", "k").agg(F.count("*").alias("m"), F.array_sort(F.collect_list("c")).alias("ops")).where("m = k")
     ax = F.concat(F.array(axiom("Expression", c("d"), c("x"))), F.transform("ops", lambda o: F.struct(F.lit("ClassAssertion").alias("kind"), F.array(o, c("s")).alias("args"))))
     one = path(r, "EXP-20", "INTERSECTION", c("s"), F.lit(TYPE), c("d"), ax, F.transform("ops", lambda o: F.concat(c("s"), F.lit(" rdf:type "), o)))
-    u = f.g.small([(cls, x, o) for cls, x, o, _ in _operand_rows(f, "or", False)] or [("", "", "")], "d string, x string, c string")
-    r = f.typ.join(u, "c").groupBy("s", "d", "x").agg(F.min("c").alias("c"))
+    r = f.typ.join(f.g.table("or_equal"), "c").groupBy("s", "d", "x").agg(F.min("c").alias("c"))
     two = path(r, "EXP-20", "UNION", c("s"), F.lit(TYPE), c("d"), [axiom("Expression", c("d"), c("x")), axiom("ClassAssertion", c("c"), c("s"))], [_type_of(c("s"), c("c")), lit_text("Union class membership via ", c("c"))])
     return one.unionByName(two)
 
 
 def complex_intersection(f: Facts) -> DataFrame:
     """EXP-21: intersections that mix named operands and existentials; two or more satisfied operands are told."""
-    s = f.g.schema
-    named, some = [], []
-    for cls, x in _holders(f, ("and",), False):
-        for k, o in enumerate(s.expressions[x].operands):
-            if s.named(o):
-                named.append((cls, x, k, o))
-            elif s.expressions[o].kind == "some":
-                some.append((cls, x, k, s.expressions[o].prop, s.expressions[o].filler))
-    mixed = {(d, x) for d, x, *_ in named} & {(d, x) for d, x, *_ in some}
-    tn = f.g.small([r for r in named if r[:2] in mixed] or [("", "", 0, "")], "d string, x string, k int, c string")
-    ts = f.g.small([r for r in some if r[:2] in mixed] or [("", "", 0, "", "")], "d string, x string, k int, p string, f string")
+    tn, ts = f.g.table("mixed_named"), f.g.table("mixed_some")
     a = f.typ.join(tn, "c").select("s", "d", "x", "k", F.array(_type_of(c("s"), c("c"))).alias("said"), F.array(axiom("ClassAssertion", c("c"), c("s"))).alias("axioms"))
     b = f.rel.join(ts, "p").join(f.typ.select(c("s").alias("o"), c("c").alias("f")), ["o", "f"]).groupBy("s", "d", "x", "k", "p", "f").agg(F.min("o").alias("o"))
     b = b.select("s", "d", "x", "k", F.array(_edge(c("s"), c("p"), c("o")), _type_of(c("o"), c("f"))).alias("said"), F.array(axiom("PropertyAssertion", c("p"), c("s"), c("o")), axiom("ClassAssertion", c("f"), c("o"))).alias("axioms"))
@@ -423,26 +339,26 @@ def direct_relation(f: Facts) -> DataFrame:
 
 def subproperty_relation(f: Facts) -> DataFrame:
     """EXP-31"""
-    r = f.rel.withColumnRenamed("p", "q").join(f.g.small(f.g.schema.subproperty, "q string, p string"), "q")
+    r = f.rel.withColumnRenamed("p", "q").join(f.g.table("subproperty"), "q")
     return path(r, "EXP-31", "SUBPROPERTY", c("s"), c("p"), c("o"), [axiom("PropertyAssertion", c("q"), c("s"), c("o")), axiom("SubPropertyOf", c("q"), c("p"))], [_edge(c("s"), c("q"), c("o")), lit_text(c("q"), " rdfs:subPropertyOf ", c("p"))])
 
 
 def symmetric_relation(f: Facts) -> DataFrame:
     """EXP-32: y P x gives x P y, also for x = y."""
-    r = f.rel.where(c("p").isin(f.g.schema.symmetric)).select(c("o").alias("s"), "p", c("s").alias("o"))
+    r = f.g.having(f.rel, "symmetric").select(c("o").alias("s"), "p", c("s").alias("o"))
     return path(r, "EXP-32", "SYMMETRIC_PROPERTY", c("s"), c("p"), c("o"), [axiom("PropertyAssertion", c("p"), c("o"), c("s")), axiom("SymmetricProperty", c("p"))], [_edge(c("o"), c("p"), c("s")), lit_text("SymmetricObjectProperty(", c("p"), ")")])
 
 
 def transitive_relation(f: Facts) -> DataFrame:
     """EXP-33: the smallest middle z other than y (it may be x)."""
-    a = f.rel.where(c("p").isin(f.g.schema.transitive))
+    a = f.g.having(f.rel, "transitive")
     r = a.select("s", "p", c("o").alias("z")).join(a.select(c("s").alias("z"), "p", "o"), ["z", "p"]).where("z <> o").groupBy("s", "p", "o").agg(F.min("z").alias("z"))
     return path(r, "EXP-33", "TRANSITIVE_PROPERTY", c("s"), c("p"), c("o"), [axiom("PropertyAssertion", c("p"), c("s"), c("z")), axiom("PropertyAssertion", c("p"), c("z"), c("o")), axiom("TransitiveProperty", c("p"))], [_edge(c("s"), c("p"), c("z")), _edge(c("z"), c("p"), c("o")), lit_text("TransitiveObjectProperty(", c("p"), ")")])
 
 
 def inverse_relation(f: Facts) -> DataFrame:
     """EXP-34"""
-    r = f.rel.withColumnRenamed("p", "q").join(_inverses(f), "q").select(c("o").alias("s"), "p", "q", c("s").alias("o"))
+    r = f.rel.withColumnRenamed("p", "q").join(f.g.table("inverse"), "q").select(c("o").alias("s"), "p", "q", c("s").alias("o"))
     return path(r, "EXP-34", "INVERSE_PROPERTY", c("s"), c("p"), c("o"), [axiom("PropertyAssertion", c("q"), c("o"), c("s")), axiom("InverseProperties", F.least("p", "q"), F.greatest("p", "q"))], [_edge(c("o"), c("q"), c("s")), lit_text(c("p"), " owl:inverseOf ", c("q"))])
 
 
@@ -471,8 +387,14 @@ def explain(f: Facts, strategy: str) -> DataFrame:
 
 
 def explain_all(f: Facts, strategies: list[str] | None = None) -> DataFrame:
-    """All path rows, by one union (EXP-13, EXP-42: only explained inferences appear)."""
-    return reduce(DataFrame.unionByName, [explain(f, s) for s in strategies or [*CLASS_STRATEGIES, *RELATION_STRATEGIES]])
+    """All path rows (EXP-13, EXP-42: only explained inferences appear): the paths of all strategies, then one semi-join
+    with what is entailed for types and one for relations."""
+    names = strategies or [*CLASS_STRATEGIES, *RELATION_STRATEGIES]
+    out = []
+    for known, held in ((CLASS_STRATEGIES, _entailed_types), (RELATION_STRATEGIES, _entailed_relations)):
+        own = [known[n](f) for n in names if n in known]
+        out += [held(f, reduce(DataFrame.unionByName, own))] if own else []
+    return reduce(DataFrame.unionByName, out)
 
 
 # -- path sets ---------------------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -54,6 +54,8 @@ class Schema:
     expressions: dict[str, Expression] = field(default_factory=dict)
     #: Groups of individuals that are asserted to be pairwise different, by the node of their axiom.
     all_different: list[tuple[str, str]] = field(default_factory=list)
+    #: Groups of classes that are pairwise disjoint, by the node of their axiom; never written as their pairs.
+    disjoint_groups: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
 
     def named(self, c: str) -> bool:
         return c not in self.expressions
@@ -125,6 +127,41 @@ class Graph:
     def spark(self) -> SparkSession:
         return self.types.sparkSession
 
+    def table(self, name: str) -> DataFrame:
+        """A table of the schema by its name in ``schema_tables``."""
+        from quillon.operators.schema_tables import TABLES
+
+        ddl, rows = TABLES[name]
+        return self.small(rows(self.schema), ddl)
+
+    def has(self, *names: str) -> bool:
+        """Whether one of the schema's tables or characteristics has a row."""
+        from quillon.operators.schema_tables import CHARACTERISTICS, TABLES
+
+        return any(getattr(self.schema, n) if n in CHARACTERISTICS else TABLES[n][1](self.schema) for n in names)
+
+    def having(self, relations: DataFrame, kind: str) -> DataFrame:
+        """The relations whose property is of that kind."""
+        return relations.where(F.col("p").isin(getattr(self.schema, kind)))
+
+    def reflexives(self, individuals: DataFrame) -> DataFrame:
+        """(s, p): each individual with each reflexive property of its graph."""
+        return individuals.select("s", F.explode(F.array(*[F.lit(p) for p in self.schema.reflexive])).alias("p"))
+
+    def anonymous(self, c: Column) -> Column:
+        """Whether a class is an expression."""
+        return c.isin(list(self.schema.expressions))
+
+    def moving(self, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Relations whose properties stand in steps, chains or transitive axioms, and the others."""
+        s = self.schema
+        active = sorted({p for p, _, _ in s.property_steps()} | {p for links, _ in s.chains for p in links} | set(s.transitive))
+        return relations.where(F.col("p").isin(active)), relations.where(~F.col("p").isin(active))
+
+    def used(self, relations: DataFrame) -> DataFrame:
+        """Relations whose properties stand in class expressions."""
+        return relations.where(F.col("p").isin(sorted({e.prop for e in self.schema.expressions.values() if e.prop})))
+
     def small(self, rows, ddl: str) -> DataFrame:
         """A schema-sized table, to be broadcast; as a local relation, so that no job runs for it."""
         kinds = to_arrow_schema(T._parse_datatype_string(ddl))

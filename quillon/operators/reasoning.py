@@ -1,7 +1,8 @@
 """Entailment by rules of OWL 2 RL, set at a time (RSN-0 .. RSN-23).
 
-Every rule is a function of DataFrames that yields derived rows.  Chains of sub-, inverse, equivalent and symmetric properties
-and of the class hierarchy are closed on the driver (they are schema-sized) and applied by one broadcast join; only
+Every rule is a function of DataFrames that yields derived rows.  The schema enters as tables (``Graph.table``): of one schema
+that the driver holds, or of many graphs' schemas as rows (``graphs``).  Chains of sub-, inverse, equivalent and symmetric
+properties and of the class hierarchy are closed beforehand and applied by one join; only
 transitivity, chains, equalities and class expressions iterate over facts, on the new rows of the last round.
 """
 
@@ -40,31 +41,26 @@ def union(parts: list[DataFrame], columns) -> DataFrame:
 
 def apply_property_steps(g: Graph, rel: DataFrame) -> DataFrame:
     """RSN-3/4/5/6: sub-, equivalent, inverse and symmetric properties, closed, in one broadcast join."""
-    steps = closed(g.schema.property_steps())
-    if not steps:
+    if not g.has("steps"):
         return rel.limit(0)
-    t = g.small(sorted(steps), "p string, q string, swap boolean")
-    return rel.join(t, "p").select(F.when(F.col("swap"), F.col("o")).otherwise(F.col("s")).alias("s"), F.col("q").alias("p"), F.when(F.col("swap"), F.col("s")).otherwise(F.col("o")).alias("o"))
+    return rel.join(g.table("steps"), "p").select(F.when(F.col("swap"), F.col("o")).otherwise(F.col("s")).alias("s"), F.col("q").alias("p"), F.when(F.col("swap"), F.col("s")).otherwise(F.col("o")).alias("o"))
 
 
 def sub_property(g: Graph, rel: DataFrame) -> DataFrame:
-    t = g.small([(a, b) for a, b in closed(set(g.schema.subproperty)) if a != b] or [("", "")], "p string, q string")
-    return rel.join(t, "p").select("s", F.col("q").alias("p"), "o").distinct()
+    return rel.join(g.table("subproperty_closed"), "p").select("s", F.col("q").alias("p"), "o").distinct()
 
 
 def inverse(g: Graph, rel: DataFrame) -> DataFrame:
-    pairs = {(a, b) for a, b in g.schema.inverse} | {(b, a) for a, b in g.schema.inverse}
-    return rel.join(g.small(sorted(pairs), "p string, q string"), "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o")).distinct()
+    return rel.join(g.table("inverse"), "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o")).distinct()
 
 
 def symmetric(g: Graph, rel: DataFrame) -> DataFrame:
-    return rel.where(F.col("p").isin(g.schema.symmetric)).select(F.col("o").alias("s"), "p", F.col("s").alias("o")).distinct()
+    return g.having(rel, "symmetric").select(F.col("o").alias("s"), "p", F.col("s").alias("o")).distinct()
 
 
 def transitive_step(g: Graph, new: DataFrame, known: DataFrame) -> DataFrame:
     """New facts one step longer: new after known and known after new."""
-    names = g.schema.transitive
-    a, b = new.where(F.col("p").isin(names)), known.where(F.col("p").isin(names))
+    a, b = g.having(new, "transitive"), g.having(known, "transitive")
     one = a.alias("x").join(b.alias("y"), (F.col("x.o") == F.col("y.s")) & (F.col("x.p") == F.col("y.p"))).select("x.s", "x.p", "y.o")
     two = b.alias("x").join(a.alias("y"), (F.col("x.o") == F.col("y.s")) & (F.col("x.p") == F.col("y.p"))).select("x.s", "x.p", "y.o")
     return one.unionByName(two)
@@ -72,7 +68,7 @@ def transitive_step(g: Graph, new: DataFrame, known: DataFrame) -> DataFrame:
 
 def transitive_closure(g: Graph, rel: DataFrame) -> DataFrame:
     """RSN-7: all facts of transitive properties, by semi-naive rounds; cycles end as no row is new."""
-    known = settle(rel.where(F.col("p").isin(g.schema.transitive)).select(*REL).distinct())
+    known = settle(g.having(rel, "transitive").select(*REL).distinct())
     new = known
     for k in rounds("a transitive closure"):
         new = settle(transitive_step(g, new, known).distinct().join(known, list(REL), "left_anti"))
@@ -88,25 +84,27 @@ def _grown(known: DataFrame, new: DataFrame, k: int) -> DataFrame:
 
 
 def chain(g: Graph, rel: DataFrame, new: DataFrame | None = None) -> DataFrame:
-    """RSN-8: property chains of any length, as left-deep equi-joins.
+    """RSN-8: property chains of any length, all chains link by link in one join a link.
 
     With ``new`` (a part of ``rel``) only paths with a new fact: each link in turn is taken from it.
     """
+    links = g.table("chains")
+    longest = links.agg(F.max("n")).first()[0] or 0
+    facts = lambda rows: rows.select(F.col("s").alias("_at"), F.col("p").alias("link"), F.col("o").alias("_to"))
     out = []
-    for links, target in g.schema.chains:
-        for turn in range(1 if new is None else len(links)):
-            of = [new if new is not None and k == turn else rel for k in range(len(links))]
-            path = of[0].where(F.col("p") == links[0]).select("s", F.col("o").alias("_at"))
-            for link, rows in zip(links[1:], of[1:], strict=True):
-                nxt = rows.where(F.col("p") == link).select(F.col("s").alias("_at"), F.col("o").alias("_to"))
-                path = path.join(nxt, "_at").select("s", F.col("_to").alias("_at"))
-            out.append(path.select("s", F.lit(target).alias("p"), F.col("_at").alias("o")).distinct())
-    return union(out, REL) if out else rel.select(*REL).limit(0)
+    for turn in range(1 if new is None else longest):
+        of = [new if new is not None and k == turn else rel for k in range(longest)]
+        path = facts(of[0]).withColumnRenamed("_at", "s").join(links.where(f"at = 0 and n > {turn}"), "link").select("id", "target", "n", "s", F.col("_to").alias("_at"))
+        for k in range(1, longest):
+            out.append(path.where(f"n = {k}"))
+            path = path.where(f"n > {k}").join(links.where(f"at = {k}").select("id", "link"), "id").join(facts(of[k]), ["_at", "link"]).select("id", "target", "n", "s", F.col("_to").alias("_at"))
+        out.append(path)
+    return union([p.select("s", F.col("target").alias("p"), F.col("_at").alias("o")) for p in out], REL).distinct() if out and longest else rel.select(*REL).limit(0)
 
 
 def reflexive(g: Graph, individuals: DataFrame) -> DataFrame:
     """RSN-19: every individual (s) relates to itself by each reflexive property."""
-    return individuals.select("s", F.explode(F.array(*[F.lit(p) for p in g.schema.reflexive])).alias("p"), F.col("s").alias("o"))
+    return g.reflexives(individuals).select("s", "p", F.col("s").alias("o"))
 
 
 # -- types -------------------------------------------------------------------------------------------------------------
@@ -114,66 +112,55 @@ def reflexive(g: Graph, individuals: DataFrame) -> DataFrame:
 
 def subclass(g: Graph, typ: DataFrame) -> DataFrame:
     """RSN-1/2: named and anonymous super classes, equivalences both ways, closed on the driver."""
-    pairs = sorted((a, b) for a, b in closed(g.schema.class_edges()) if a != b)
-    return typ.join(g.small(pairs, "c string, d string"), "c").select("s", F.col("d").alias("c")).distinct()
+    return typ.join(g.table("class_closed"), "c").select("s", F.col("d").alias("c")).distinct()
 
 
 def domain(g: Graph, rel: DataFrame) -> DataFrame:
-    return rel.join(g.small(g.schema.domain, "p string, c string"), "p").select("s", "c").distinct()
+    return rel.join(g.table("domain"), "p").select("s", "c").distinct()
 
 
 def range_(g: Graph, rel: DataFrame) -> DataFrame:
-    return rel.join(g.small(g.schema.range, "p string, c string"), "p").select(F.col("o").alias("s"), "c").distinct()
-
-
-def _expressions(g: Graph, kind: str) -> list[tuple]:
-    return [(k, e.prop, e.filler) for k, e in g.schema.expressions.items() if e.kind == kind]
+    return rel.join(g.table("range"), "p").select(F.col("o").alias("s"), "c").distinct()
 
 
 def union_of(g: Graph, typ: DataFrame) -> DataFrame:
     """RSN-13: a member of any operand is a member of the union."""
-    rows = [(k, o) for k, e in g.schema.expressions.items() if e.kind == "or" for o in e.operands]
-    return typ.join(g.small(rows, "x string, c string"), "c").select("s", F.col("x").alias("c")).distinct()
+    return typ.join(g.table("or"), "c").select("s", F.col("x").alias("c")).distinct()
 
 
 def intersection_of(g: Graph, typ: DataFrame) -> DataFrame:
     """RSN-12: a member of all operands is a member of the intersection, and the other way round."""
-    rows = [(k, o, len(set(e.operands))) for k, e in g.schema.expressions.items() if e.kind == "and" for o in set(e.operands)]
-    t = g.small(rows, "x string, c string, n int")
+    t = g.table("and")
     up = typ.distinct().join(t, "c").groupBy("s", "x", "n").agg(F.count("*").alias("k")).where("k = n").select("s", F.col("x").alias("c"))
-    down = typ.join(g.small([(x, c) for x, c, _ in rows], "x string, d string"), F.col("c") == F.col("x")).select("s", F.col("d").alias("c"))
+    down = typ.join(t.select("x", F.col("c").alias("d")), F.col("c") == F.col("x")).select("s", F.col("d").alias("c"))
     return up.unionByName(down).distinct()
 
 
 def some_values(g: Graph, typ: DataFrame, rel: DataFrame) -> DataFrame:
     """RSN-14: x P y and y in F put x into (some P F); a filler Thing needs no type."""
-    rows = _expressions(g, "some")
-    t = rel.join(g.small(rows, "x string, p string, f string"), "p")
+    t = rel.join(g.table("some"), "p")
     typed = t.where(F.col("f") != THING).join(typ.select(F.col("s").alias("o"), F.col("c").alias("f")), ["o", "f"])
     return typed.select("s", F.col("x").alias("c")).unionByName(t.where(F.col("f") == THING).select("s", F.col("x").alias("c"))).distinct()
 
 
 def all_values(g: Graph, typ: DataFrame, rel: DataFrame) -> DataFrame:
     """RSN-15: x in (all P F) and x P y put y into F."""
-    t = g.small(_expressions(g, "all"), "x string, p string, f string")
-    return typ.join(t, F.col("c") == F.col("x")).select("s", "p", "f").join(rel, ["s", "p"]).select(F.col("o").alias("s"), F.col("f").alias("c")).distinct()
+    return typ.join(g.table("all"), F.col("c") == F.col("x")).select("s", "p", "f").join(rel, ["s", "p"]).select(F.col("o").alias("s"), F.col("f").alias("c")).distinct()
 
 
 def has_self(g: Graph, rel: DataFrame) -> DataFrame:
     """RSN-16: x P x puts x into (self P)."""
-    return rel.where("s = o").join(g.small([(k, p) for k, p, _ in _expressions(g, "self")], "x string, p string"), "p").select("s", F.col("x").alias("c")).distinct()
+    return rel.where("s = o").join(g.table("self"), "p").select("s", F.col("x").alias("c")).distinct()
 
 
 def has_value(g: Graph, rel: DataFrame) -> DataFrame:
     """x P v puts x into (value P v)."""
-    t = g.small(_expressions(g, "value"), "x string, p string, o string")
-    return rel.join(t, ["p", "o"]).select("s", F.col("x").alias("c")).distinct()
+    return rel.join(g.table("value"), ["p", "o"]).select("s", F.col("x").alias("c")).distinct()
 
 
 def value_facts(g: Graph, typ: DataFrame) -> DataFrame:
     """x in (value P v) gives x P v."""
-    t = g.small(_expressions(g, "value"), "x string, p string, o string")
-    return typ.join(t, F.col("c") == F.col("x")).select("s", "p", "o").distinct()
+    return typ.join(g.table("value"), F.col("c") == F.col("x")).select("s", "p", "o").distinct()
 
 
 # -- equality ----------------------------------------------------------------------------------------------------------
@@ -184,8 +171,8 @@ def functional_same(g: Graph, rel: DataFrame) -> DataFrame:
 
     Each value is paired with the smallest of its group, so a group of n gives n-1 pairs, not n squared.
     """
-    f = rel.where(F.col("p").isin(g.schema.functional)).select("p", F.col("s").alias("k"), F.col("o").alias("v"))
-    i = rel.where(F.col("p").isin(g.schema.inverse_functional)).select("p", F.col("o").alias("k"), F.col("s").alias("v"))
+    f = g.having(rel, "functional").select("p", F.col("s").alias("k"), F.col("o").alias("v"))
+    i = g.having(rel, "inverse_functional").select("p", F.col("o").alias("k"), F.col("s").alias("v"))
     return _to_least(f.unionByName(i), ["p", "k"])
 
 
@@ -196,8 +183,7 @@ def _to_least(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def max_one_same(g: Graph, typ: DataFrame, rel: DataFrame) -> DataFrame:
     """RSN-17: values of P of type F are equal for members of (max or exactly 1 P F); larger bounds derive nothing in RL."""
-    rows = [(k, e.prop, e.filler or THING) for k, e in g.schema.expressions.items() if e.kind in ("max", "exact") and e.n == 1]
-    t = typ.join(g.small(rows, "x string, p string, f string"), F.col("c") == F.col("x")).select("s", "p", "f", "x")
+    t = typ.join(g.table("max_one"), F.col("c") == F.col("x")).select("s", "p", "f", "x")
     v = t.join(rel, ["s", "p"])
     typed = v.where(F.col("f") != THING).join(typ.select(F.col("s").alias("o"), F.col("c").alias("f")), ["o", "f"])
     every = typed.select("x", "s", F.col("o").alias("v")).unionByName(v.where(F.col("f") == THING).select("x", "s", F.col("o").alias("v")))
@@ -206,13 +192,15 @@ def max_one_same(g: Graph, typ: DataFrame, rel: DataFrame) -> DataFrame:
 
 def key_same(g: Graph, typ: DataFrame, rel: DataFrame) -> DataFrame:
     """RSN-18: members of a class that agree on all properties of one of its keys are equal."""
+    keys = g.table("keys")
+    longest = keys.agg(F.max("n")).first()[0] or 0
+    rows = typ.join(keys.where("at = 0").select("id", "c", "n"), "c").select("id", "n", "s", F.array().cast("array<string>").alias("k"))
     out = []
-    for k, (cls, props) in enumerate(g.schema.keys):
-        rows = typ.where(F.col("c") == cls).select("s")
-        for n, p in enumerate(props):
-            rows = rows.join(rel.where(F.col("p") == p).select("s", F.col("o").alias(f"k{n}")), "s")
-        out.append(_to_least(rows.select(F.concat_ws("\x01", F.lit(str(k)), *[f"k{n}" for n in range(len(props))]).alias("k"), F.col("s").alias("v")), ["k"]))
-    return union(out, ["a", "b"]) if out else typ.select(F.col("s").alias("a"), F.col("c").alias("b")).limit(0)
+    for at in range(longest):
+        step = rows.where(f"n > {at}").join(keys.where(f"at = {at}").select("id", "p"), "id").join(rel.select("s", "p", "o"), ["s", "p"])
+        rows = step.select("id", "n", "s", F.concat("k", F.array("o")).alias("k"))
+        out.append(rows.where(f"n = {at + 1}").select("id", "k", F.col("s").alias("v")))
+    return _to_least(union(out, ["id", "k", "v"]), ["id", "k"]) if out else typ.select(F.col("s").alias("a"), F.col("c").alias("b")).limit(0)
 
 
 def representatives(pairs: DataFrame) -> DataFrame:
@@ -248,9 +236,7 @@ def expand_same(rows: DataFrame, reps: DataFrame, columns: list[str]) -> DataFra
 
 def skolems(g: Graph, typ: DataFrame, rel: DataFrame) -> tuple[DataFrame, DataFrame]:
     """RSN-21: for C below (some P F), members of C without a named P value in F get one made-up witness, to depth one."""
-    pairs = {(a, b) for a, b in closed(g.schema.class_edges()) if b in g.schema.expressions and g.schema.expressions[b].kind == "some"}
-    rows = [(c, x, g.schema.expressions[x].prop, g.schema.expressions[x].filler) for c, x in sorted(pairs) if not c.startswith("_")]
-    need = typ.where(~F.col("s").startswith("_:")).join(g.small(rows, "c string, x string, p string, f string"), "c").select("s", "x", "p", "f").distinct()
+    need = typ.where(~F.col("s").startswith("_:")).join(g.table("witnessed"), "c").select("s", "x", "p", "f").distinct()
     has = rel.select("s", "p", "o").join(typ.select(F.col("s").alias("o"), F.col("c").alias("f")), "o").select("s", "p", "f").distinct()
     lack = need.join(has, ["s", "p", "f"], "left_anti").withColumn("o", F.concat(F.lit("_:"), "s", F.lit("|"), "x"))
     return lack.select("s", "p", "o"), lack.select(F.col("o").alias("s"), F.col("f").alias("c"))
@@ -296,7 +282,7 @@ def _saturated(g: Graph) -> Graph:
     """Entailments without equality.  Facts by ``value`` expressions may feed new relations; then all starts from these, too."""
     out = _derived(g)
     for _ in rounds("value restrictions"):
-        if not any(e.kind == "value" for e in g.schema.expressions.values()):
+        if not g.has("value"):
             return out
         more = settle(value_facts(g, out.types).join(out.relations, list(REL), "left_anti"))
         if more.isEmpty():
@@ -311,16 +297,14 @@ def _derived(g: Graph) -> Graph:
     A round joins only the last round's new rows with what is known, drops known rows by anti-join and settles the
     result in the shared folder, so that lineage stays short and a lost executor repeats one round at most.
     """
-    s = g.schema
     base_rel, base_typ = g.relations.select(*REL), g.types.select(*TYP)
     # Properties of no chain, step or transitive axiom derive no relation: their facts are read once and not iterated.
-    active = {p for p, _, _ in s.property_steps()} | {p for links, _ in s.chains for p in links} | set(s.transitive)
-    moving = base_rel.where(F.col("p").isin(sorted(active)))
+    moving, still = g.moving(base_rel)
     known = settle(moving.unionByName(apply_property_steps(g, moving)).distinct())
     new = known
     for k in rounds("relations"):
-        made = [transitive_step(g, new, known)] if s.transitive else []
-        if s.chains:
+        made = [transitive_step(g, new, known)] if g.has("transitive") else []
+        if g.has("chains"):
             made.append(chain(g, known, new if k else None))
         if not made:
             break
@@ -330,39 +314,38 @@ def _derived(g: Graph) -> Graph:
         if new.isEmpty():
             break
         known = _grown(known, new, k)
-    rel = base_rel.where(~F.col("p").isin(sorted(active))).unionByName(known)
-    if s.reflexive:
+    rel = still.unionByName(known)
+    if g.has("reflexive"):
         people = base_typ.select("s").unionByName(rel.select("s")).unionByName(rel.select(F.col("o").alias("s"))).distinct()
         rel = rel.unionByName(reflexive(g, people)).distinct()
     parts = [base_typ]
-    parts += [domain(g, rel)] if s.domain else []
-    parts += [range_(g, rel)] if s.range else []
+    parts += [domain(g, rel)] if g.has("domain") else []
+    parts += [range_(g, rel)] if g.has("range") else []
     typ = union(parts, TYP).distinct()
-    if s.subclass or s.equivalent:
+    supers = g.has("class_closed")
+    if supers:
         typ = typ.unionByName(subclass(g, typ)).distinct()
     typ = settle(typ)
-    kinds = {e.kind for e in s.expressions.values()}
-    used = sorted({e.prop for e in s.expressions.values() if e.prop})
-    near = settle(rel.where(F.col("p").isin(used))) if used else rel  # relations are complete here, only these matter to expressions
+    near = settle(g.used(rel)) if g.has("some", "all", "self", "value") else rel  # relations are complete here, only these matter to expressions
     fresh = typ
     for turn in rounds("types"):
         made = []
-        if "or" in kinds:
+        if g.has("or"):
             made.append(union_of(g, fresh))
-        if "and" in kinds:
+        if g.has("and"):
             # A new member needs a new type, so only the subjects of new rows are counted again.
             made.append(intersection_of(g, typ if turn == 0 else typ.join(fresh.select("s").distinct(), "s", "left_semi")))
-        if "some" in kinds:
+        if g.has("some"):
             made.append(some_values(g, fresh, near))
-        if "all" in kinds:
+        if g.has("all"):
             made.append(all_values(g, fresh, near))
         if turn == 0:
-            made += [has_self(g, near)] if "self" in kinds else []
-            made += [has_value(g, near)] if "value" in kinds else []
+            made += [has_self(g, near)] if g.has("self") else []
+            made += [has_value(g, near)] if g.has("value") else []
         if not made:
             break
         made = union(made, TYP)
-        made = made.unionByName(subclass(g, made)) if s.subclass or s.equivalent else made
+        made = made.unionByName(subclass(g, made)) if supers else made
         fresh = settle(made.distinct().join(typ, list(TYP), "left_anti"))
         if fresh.isEmpty():
             break
@@ -372,7 +355,7 @@ def _derived(g: Graph) -> Graph:
 
 def named_types(g: Graph, typ: DataFrame) -> DataFrame:
     """Types without anonymous classes and Thing (FLT-4, FLT-5)."""
-    return typ.where(~F.col("c").isin([*g.schema.expressions, THING]))
+    return typ.where(~g.anonymous(F.col("c")) & (F.col("c") != THING))
 
 
 def named_relations(rel: DataFrame) -> DataFrame:
@@ -395,34 +378,29 @@ def clashes(g: Graph, typ: DataFrame, rel: DataFrame, same: DataFrame | None = N
     same has (a, b) for an individual and its smallest equal (``materialize`` gives it); individuals that an axiom of
     ``g.different`` or of the schema tells apart must not share one.  A group of n is never written as its pairs.
     """
-    s, out = g.schema, []
-    spark = g.spark
-    empty = spark.createDataFrame([], "rule string, a string, b string")
-    pairs = set(s.disjoint) | {(k, e.operands[0]) for k, e in s.expressions.items() if e.kind == "not"}
-    if pairs:
-        t = g.small(sorted(pairs), "c string, d string")
-        one = typ.join(t, "c")
-        out.append(one.join(typ.select("s", F.col("c").alias("d")), ["s", "d"]).select(F.lit("disjoint_classes").alias("rule"), F.col("s").alias("a"), F.concat_ws("|", "c", "d").alias("b")))
-    if s.disjoint_property:
-        t = g.small(s.disjoint_property, "p string, q string")
-        out.append(rel.join(t, "p").join(rel.select("s", F.col("p").alias("q"), "o"), ["s", "q", "o"]).select(F.lit("disjoint_properties").alias("rule"), F.col("s").alias("a"), F.col("o").alias("b")))
-    if s.irreflexive:
-        out.append(rel.where(F.col("p").isin(s.irreflexive) & (F.col("s") == F.col("o"))).select(F.lit("irreflexive").alias("rule"), F.col("s").alias("a"), F.col("p").alias("b")))
-    if s.asymmetric:
-        a = rel.where(F.col("p").isin(s.asymmetric))
+    out = []
+    if g.has("disjoint"):
+        met = typ.select("s", "c").distinct().join(g.table("disjoint"), "c").groupBy("axiom", "s").agg(F.array_sort(F.collect_list(F.struct("at", "c"))).alias("m")).where("size(m) > 1")
+        out.append(met.select(F.lit("disjoint_classes").alias("rule"), F.col("s").alias("a"), F.array_join(F.transform("m", lambda x: x["c"]), "|").alias("b")))
+    if g.has("disjoint_property"):
+        out.append(rel.join(g.table("disjoint_property"), "p").join(rel.select("s", F.col("p").alias("q"), "o"), ["s", "q", "o"]).select(F.lit("disjoint_properties").alias("rule"), F.col("s").alias("a"), F.col("o").alias("b")))
+    if g.has("irreflexive"):
+        out.append(g.having(rel.where("s = o"), "irreflexive").select(F.lit("irreflexive").alias("rule"), F.col("s").alias("a"), F.col("p").alias("b")))
+    if g.has("asymmetric"):
+        a = g.having(rel, "asymmetric")
         out.append(a.join(a.select(F.col("o").alias("s"), "p", F.col("s").alias("o")), list(REL)).select(F.lit("asymmetric").alias("rule"), F.col("s").alias("a"), F.col("o").alias("b")))
     apart = apart_groups(g)
     if same is not None and apart is not None:
         placed = apart.join(same.select(F.col("a").alias("s"), F.col("b").alias("r")), "s", "left").withColumn("r", F.coalesce("r", "s"))
         met = placed.groupBy("axiom", "r").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b")
         out.append(met.select(F.lit("same_and_different").alias("rule"), "a", "b"))
-    return union(out, ["rule", "a", "b"]).distinct() if out else empty
+    return union(out, ["rule", "a", "b"]).distinct() if out else typ.select(F.lit("").alias("rule"), F.col("s").alias("a"), F.col("c").alias("b")).limit(0)
 
 
 def apart_groups(g: Graph) -> DataFrame | None:
     """(axiom, s) of individuals told apart, by asserted pairs and by the schema's groups; None if there are none."""
     parts = [] if g.different is None else [g.different.select("axiom", "s")]
-    parts += [g.small(g.schema.all_different, "axiom string, s string")] if g.schema.all_different else []
+    parts += [g.table("different")] if g.has("different") else []
     return union(parts, ["axiom", "s"]).distinct() if parts else None
 
 

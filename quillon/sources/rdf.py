@@ -320,8 +320,7 @@ def schema_of(rows: list[tuple[str, str, str, str]]) -> Schema:
             if o == OWL + "AllDifferent":
                 s.all_different.extend((name(x), name(y)) for k in ("members", "distinctMembers") for h in f.get(OWL + k, ()) for y in listed(h))
             if o == OWL + "AllDisjointClasses":
-                m = [name(y) for h in f.get(OWL + "members", ()) for y in listed(h)]
-                s.disjoint.extend((a, b) for k, a in enumerate(m) for b in m[k + 1 :])
+                s.disjoint_groups.extend((x, tuple(name(y) for y in listed(h))) for h in f.get(OWL + "members", ()))
         s.chains.extend((tuple(name(y) for y in listed(h)), name(x)) for h in f.get(OWL + "propertyChainAxiom", ()))
         s.keys.extend((name(x), tuple(name(y) for y in listed(h))) for h in f.get(OWL + "hasKey", ()))
         for key in ("intersectionOf", "unionOf", "disjointUnionOf"):
@@ -330,7 +329,7 @@ def schema_of(rows: list[tuple[str, str, str, str]]) -> Schema:
                 s.expressions[f"_{key}_{name(x)}"] = Expression("and" if key == "intersectionOf" else "or", ops)
                 s.equivalent.append((name(x), f"_{key}_{name(x)}"))
                 if key == "disjointUnionOf":
-                    s.disjoint.extend((a, b) for k, a in enumerate(ops) for b in ops[k + 1 :])
+                    s.disjoint_groups.append((x, ops))
     return s
 
 
@@ -339,13 +338,19 @@ def is_schema(p: Column) -> Column:
 
 
 def graph_of(triples: DataFrame) -> Graph:
-    """A graph of triples: the schema (bounded by the vocabulary) is gathered, the facts stay rows.
+    """One ontology of all triples, with local names: the schema (bounded by the vocabulary) is gathered, the facts stay rows.
 
     Facts are types by classes that are not OWL's own, and statements between resources by properties of no standard
-    vocabulary; annotations and data values are no facts here.
+    vocabulary; annotations and data values are no facts here.  ValueError if two names have the same local name;
+    ``graphs.graphs_of`` keeps whole names, and the files apart.
     """
     ok = triples.where("_error is null")
     builtin = F.col("o").startswith(OWL)
+    standard = lambda c: is_schema(c) | c.startswith(XSD)
+    terms = [ok.where((F.col(k) == "iri") & ~standard(F.col(v))).select(F.col(v).alias("iri")) for v, k in (("s", "s_kind"), ("o", "o_kind"))] + [ok.where(~standard(F.col("p"))).select(F.col("p").alias("iri"))]
+    met = terms[0].union(terms[1]).union(terms[2]).groupBy(short_form(F.col("iri")).alias("name")).agg(F.min("iri").alias("a"), F.max("iri").alias("b")).where("a <> b").first()
+    if met:
+        raise ValueError(f"{met['a']} and {met['b']} are both {met['name']}")
     tbox = ok.where(is_schema(F.col("p")) & ~((F.col("p") == RDF + "type") & (~builtin | (F.col("o") == OWL + "NamedIndividual"))) & ~F.col("p").isin(RDFS + "label", RDFS + "comment"))
     rows = [tuple(r) for r in tbox.select("s", "s_kind", "p", "o").distinct().collect()]
     types = ok.where((F.col("p") == RDF + "type") & (F.col("o_kind") == "iri") & ~builtin & (F.col("s_kind") == "iri")).select(short_form(F.col("s")).alias("s"), short_form(F.col("o")).alias("c")).distinct()
