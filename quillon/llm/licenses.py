@@ -8,6 +8,7 @@ and every keyword a gate word, so neither filter loses a match.  Of the spans fo
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,37 +41,67 @@ def _spaces(c: Column) -> Column:
     return (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))).cast("bigint")
 
 
-def _spans(words: Column, rule: Column) -> Column:
-    """Sorted-field structs of the places of one rule: start, minus end, minus priority, label, weight."""
+def _scan_sums(values: Column, join) -> Column:
+    """Running sums (or maxima) of an array: each round joins every value with the one 2**k places before it."""
+    turns = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def far(acc: Column, k: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= step, join(x, F.get(acc, i - step))).otherwise(x))
+
+    return F.aggregate(turns, values, far)
+
+
+def _found(words: Column, rule: Column) -> Column:
+    """A rule's own fields with the lengths of what lies before its places and of the places, each text read once a rule."""
     pattern = F.concat(F.lit("(?<= )(?:"), rule["pattern"], F.lit(")(?= )"))
-    pieces, hits = F.split(words, pattern, -1), F.regexp_extract_all(words, pattern, F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<b:int,e:int>>").alias("got"))
+    lengths = lambda c: F.transform(c, lambda x: F.length(x))
+    return F.struct(rule["label"].alias("label"), rule["priority"].alias("priority"), rule["weight"].alias("weight"), lengths(F.split(words, pattern, -1)).alias("before"), lengths(F.regexp_extract_all(words, pattern, F.lit(0))).alias("own"))
+
+
+def _ended(found: Column) -> Column:
+    """The same with the place where each match ends: a running sum, so n matches cost n log n."""
+    steps = F.zip_with(F.slice(found["before"], 1, F.size(found["own"])), found["own"], lambda a, b: a + b)
+    return F.struct(found["label"].alias("label"), found["priority"].alias("priority"), found["weight"].alias("weight"), found["own"].alias("own"), _scan_sums(steps, lambda a, b: a + b).alias("ends"))
+
 
-    def step(acc: Column, i: Column) -> Column:
-        b = acc["at"] + F.length(F.get(pieces, i))
-        e = b + F.length(F.get(hits, i))
-        return F.struct(e.alias("at"), F.concat(acc["got"], F.array(F.struct(b.alias("b"), e.alias("e")))).alias("got"))
+def _spans(words: Column, rules: Column) -> Column:
+    """Sorted-field structs of the places of all rules: start, minus end, minus priority, label, weight."""
+    found = F.transform(F.filter(F.transform(rules, lambda r: _found(words, r)), lambda f: F.size(f["own"]) > 0), _ended)
+    return F.flatten(F.transform(found, lambda f: F.zip_with(f["ends"], f["own"], lambda e, n: F.struct((e - n).alias("b"), (-e).alias("ne"), (-f["priority"]).alias("np"), f["label"].alias("label"), f["weight"].alias("weight")))))
 
-    n = F.size(hits)
-    places = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), zero, step)["got"]).otherwise(F.array().cast("array<struct<b:int,e:int>>"))
-    return F.transform(places, lambda p: F.struct(p["b"].alias("b"), (-p["e"]).alias("ne"), (-rule["priority"]).alias("np"), rule["label"].alias("label"), rule["weight"].alias("weight")))
+
+_SPAN_OUT = "array<struct<label:string,weight:double,b:int,e:int>>"
+
+
+def _outermost(spans: Column) -> Column:
+    """The spans that lie in no other one: in order of start, longest first, those that end after all before them."""
+    return F.transform(F.array(F.array_sort(spans)), lambda s: F.transform(F.array(_scan_sums(F.transform(s, lambda x: -x["ne"]), F.greatest)), lambda far: F.filter(s, lambda x, i: (i == 0) | (-x["ne"] > F.get(far, i - 1))))[0])[0]
 
 
 def _resolve(spans: Column) -> Column:
-    """The spans that lie in no other one and meet none of higher priority (or, at equal priority, of an earlier start)."""
+    """The spans that lie in no other one and meet none of higher priority (or, at equal priority, of an earlier start).
 
-    def outer(acc: Column, s: Column) -> Column:
-        # In order of start, longest first: a span that ends no later than any before it lies inside one.
-        longer = -s["ne"] > acc["end"]
-        return F.struct(F.greatest(acc["end"], -s["ne"]).alias("end"), F.when(longer, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"))
+    Most meet none of their two neighbours (ends ascend with starts) and stay; only the others are held against each other.
+    """
 
     def free(acc: Column, s: Column) -> Column:
         span = F.struct(s["label"].alias("label"), s["weight"].alias("weight"), s["b"].alias("b"), s["e"].alias("e"))
         return F.when(F.exists(acc, lambda k: (k["b"] < s["e"]) & (s["b"] < k["e"])), acc).otherwise(F.concat(acc, F.array(span)))
 
-    alone = F.aggregate(F.array_sort(spans), F.struct(F.lit(-1).alias("end"), F.array().cast(_SPAN).alias("kept")), outer)["kept"]
-    ranked = F.array_sort(F.transform(alone, lambda s: F.struct(s["np"].alias("np"), s["b"].alias("b"), (-s["ne"]).alias("e"), s["label"].alias("label"), s["weight"].alias("weight"))))
-    return F.aggregate(ranked, F.array().cast("array<struct<label:string,weight:double,b:int,e:int>>"), free)
+    def chosen(alone: Column) -> Column:
+        meets = lambda i: (F.coalesce(-F.get(alone, i - 1)["ne"] > F.get(alone, i)["b"], F.lit(False))) | (F.coalesce(F.get(alone, i + 1)["b"] < -F.get(alone, i)["ne"], F.lit(False)))
+        marked = F.transform(alone, lambda s, i: F.struct(s["np"].alias("np"), s["b"].alias("b"), (-s["ne"]).alias("e"), s["label"].alias("label"), s["weight"].alias("weight"), meets(i).alias("met")))
+        return F.transform(F.array(marked), _picked)[0]
+
+    def _picked(marked: Column) -> Column:
+        clear = F.transform(F.filter(marked, lambda s: ~s["met"]), lambda s: F.struct(s["np"].alias("np"), s["label"].alias("label"), s["weight"].alias("weight"), s["b"].alias("b"), s["e"].alias("e")))
+        ranked = F.array_sort(F.filter(marked, lambda s: s["met"]))
+        fought = F.aggregate(ranked, F.array().cast(_SPAN_OUT), free)
+        return F.concat(F.transform(clear, lambda s: F.struct(s["label"].alias("label"), s["weight"].alias("weight"), s["b"].alias("b"), s["e"].alias("e"))), fought)
+
+    by_place = F.transform(F.array(_outermost(spans)), chosen)[0]
+    return F.transform(F.array_sort(F.transform(by_place, lambda s: F.struct(s["b"].alias("b"), s["e"].alias("e"), s["label"].alias("label"), s["weight"].alias("weight")))), lambda s: F.struct(s["label"].alias("label"), s["weight"].alias("weight"), s["b"].alias("b"), s["e"].alias("e"))).cast(_SPAN_OUT)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -82,11 +113,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     (1 with a base phrase).  Positions of detections are characters of the text's words joined by single blanks, a blank in front.
     """
     found = rules()
-    table_of = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.array(*[F.lit(k) for k in r.keyword.split("|")]).alias("keys"), F.lit(r.pattern).alias("pattern")) for r in found])
-    keys = F.array(*[F.lit(k) for k in sorted({k for r in found for k in r.keyword.split("|")})])
+    # One literal each: hundreds of rules as expressions of their own would take longer to plan than most tables to scan.
+    listed = [{"label": r.label, "priority": r.priority, "weight": r.weight, "keys": r.keyword.split("|"), "pattern": r.pattern} for r in found]
+    table_of = F.from_json(F.lit(json.dumps(listed)), "array<struct<label:string,priority:int,weight:double,keys:array<string>,pattern:string>>")
+    keys = F.split(F.lit("|".join(sorted({k for r in found for k in r.keyword.split("|")}))), r"\|")
     lower = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = docs.select(docs[key].alias("_key"), F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, _BREAKS, " ")), F.lit(" ")).alias("_w"))
-    gate = F.exists(F.array(*[F.lit(f" {g}") for g in GATE]), lambda g: F.contains(F.col("_w"), g))
+    gate = F.exists(F.split(F.lit("|".join(f" {g}" for g in GATE)), r"\|"), lambda g: F.contains(F.col("_w"), g))
     rows = rows.select("_key", F.when(F.col("_w") == "  ", F.lit(0).cast("bigint")).otherwise(_spaces(F.col("_w")) - 1).alias("_n"), F.when(gate, F.col("_w")).alias("_w"))
     rows = rows.withColumn("_keys", F.when(F.col("_w").isNotNull(), F.filter(keys, lambda k: F.contains(F.col("_w"), F.concat(F.lit(" "), k)))))
     w, starts, counts, labels = F.col("_w"), [], [], []
@@ -99,8 +132,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         counts.append(F.when(F.col("_w").isNotNull(), n).otherwise(0).cast("bigint"))
         starts.append((F.when(n > 0, first), F.when(n > 0, last)))
         labels.append(F.when(n > 0, F.lit(label)))
-    spans = F.when(F.size("_keys") > 0, F.flatten(F.transform(F.filter(table_of, lambda r: F.arrays_overlap(r["keys"], F.col("_keys"))), lambda r: _spans(w, r)))).otherwise(F.array().cast(_SPAN))
-    none = F.array().cast("array<struct<label:string,weight:double,b:int,e:int>>")
+    spans = F.when(F.size("_keys") > 0, _spans(w, F.filter(table_of, lambda r: F.arrays_overlap(r["keys"], F.col("_keys"))))).otherwise(F.array().cast(_SPAN))
+    none = F.array().cast(_SPAN_OUT)
     rows = rows.select(
         F.col("_key").alias(key),
         F.col("_n").alias("n_words"),
