@@ -24,9 +24,9 @@ from quillon.llm.common import bounded_batches, held, hot_keys, pack_numbers, sa
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Rows of the sample in which frequent words are sought, words that may count as frequent, and their longest in characters.
-SAMPLE_ROWS, FREQUENT, LONGEST = 1 << 16, 1 << 19, 64
+SAMPLE_ROWS, FREQUENT, LONGEST = 1 << 17, 1 << 20, 64
 #: Bytes of a worker's cache of stretches between blanks; distinct words that a task counts before it hands them on.
-UNIT_BYTES, COUNTED = 48 << 20, 1 << 19
+UNIT_BYTES, COUNTED = 64 << 20, 1 << 18
 #: Words put together at a time when texts are reassembled.
 STEP_WORDS = 1 << 18
 #: Words of more bytes are merged by a heap.
@@ -103,11 +103,15 @@ class Ranks:
         return [self.id_of[p] for p in parts if p is not None]
 
 
+_POINTS = frozenset(".,;:!?)\"")
+
+
 class Words(dict):
-    """Cuts texts into words and names each by its number, 0 for a word that is not frequent.
+    """Cuts texts into words and names each by its number, rare ones by negative numbers that count the batch's ``rare``.
 
     Between two characters that are no white space a single blank always opens a word, so what stands between such blanks
-    can be cut by itself, and its numbers are kept: a mapping from such stretches to the numbers of their words.
+    can be cut by itself: this is a mapping from such stretches to the numbers of their words.  It keeps those of frequent
+    words alone, and takes in no more once it is full.
     """
 
     def __init__(self, frequent: dict[str, int], pattern: str, most: int = UNIT_BYTES):
@@ -115,40 +119,41 @@ class Words(dict):
 
         super().__init__()
         self.find = regex.compile(pattern).findall
-        self.numbers, self.most, self.held = frequent, most, 0
-        #: Words without a number, by a negative number of their own while the cache lasts.
+        self.numbers, self.left = frequent, most
         self.rare: list[str] = []
-        self.rare_number: dict[str, int] = {}
 
     def number(self, word: str) -> int:
-        got = self.numbers.get(word) or self.rare_number.get(word)
+        got = self.numbers.get(word)
         if got is None:
             self.rare.append(word)
-            got = self.rare_number[word] = -len(self.rare)
-            self.held += 200 + len(word)
+            return -len(self.rare)
         return got
 
     def __missing__(self, unit: str) -> tuple[int, ...] | None:
         """The numbers of the words in a blank and the stretch; None if white space stands at an end of the stretch."""
-        if not unit or unit[0].isspace() or unit[-1].isspace():
+        if unit.isalpha():
+            out = (self.number(" " + unit),)
+        elif unit[-1:] in _POINTS and unit[:-1].isalpha():
+            out = (self.number(" " + unit[:-1]), self.number(unit[-1]))
+        elif not unit or unit[0].isspace() or unit[-1].isspace():
             return None
-        out = tuple(map(self.number, self.find(" " + unit)))
-        if len(unit) <= LONGEST:
+        else:
+            out = tuple(map(self.number, self.find(" " + unit)))
+        if self.left > 0 and min(out) > 0 and len(unit) <= LONGEST:
             self[unit] = out
-            self.held += 250 + len(unit) + 8 * len(out)
+            self.left -= 250 + len(unit) + 8 * len(out)
         return out
 
     def cut(self, text: str) -> np.ndarray:
-        """The numbers of a text's words, negative ones for words in ``rare``."""
-        if self.held > self.most:
-            self.clear()
-            self.rare, self.rare_number, self.held = [], {}, 0
+        """The numbers of a text's words; ``rare`` grows by the rare ones, in order."""
+        before = len(self.rare)
         first, *rest = text.split(" ")
         if first and not first[-1].isspace():
+            head = tuple(map(self.number, self.find(first)))
             units = [*map(self.__getitem__, rest)]
             if None not in units:
-                head = tuple(map(self.number, self.find(first)))
                 return np.fromiter(chain(head, chain.from_iterable(units)), np.int64)
+            del self.rare[before:]
         words = self.find(text)
         return np.fromiter(map(self.number, words), np.int64, len(words))
 
@@ -159,9 +164,7 @@ class Frequent:
     def __init__(self, packed: bytes):
         rows = pa.ipc.open_stream(packed).read_all()
         self.numbers = {w: k for k, w in enumerate(rows.column("word").to_pylist(), 1)}
-        ids = rows.column("ids").combine_chunks()
-        self.flat = ids.flatten().to_numpy().astype(np.int64)
-        sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.flat, sizes = unpacked_rows(rows.column("ids").to_pylist())
         self.sizes = np.append(0, sizes)
         self.starts = np.append(0, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(1, np.int64)
 
@@ -171,15 +174,30 @@ def _words(packed: bytes, pattern: str) -> Words:
 
 
 def encode_distinct(words: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(word, ids) of the column ``word``, each row encoded by itself."""
+    """(word, ids) of the column ``word``, each row encoded by itself; the ids are packed (``pack_numbers``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = held(Ranks, vocabulary_path(vocabulary))
         for b in slices(batches, "word", holding=True):
             ids = [ranks.encode(w.encode()) for w in b.column(0).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            yield pa.record_batch([b.column(0), pa.array(packed_rows(np.fromiter(chain.from_iterable(ids), np.int64), [*map(len, ids)]), pa.binary())], names=["word", "ids"])
+
+    return bounded_batches(words.select("word")).mapInArrow(run, schema("word string, ids binary"))
+
+
+def packed_rows(values: np.ndarray, sizes: list[int]) -> list[bytes]:
+    """The packed numbers of each of the rows that stand end to end in ``values``."""
+    raw, ends = pack_numbers(values)
+    bounds = np.append(0, ends)[np.append(0, np.cumsum(sizes, dtype=np.int64))].tolist()
+    data = raw.tobytes()
+    return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
 
-    return bounded_batches(words.select("word")).mapInArrow(run, schema("word string, ids array<int>"))
+def unpacked_rows(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of all rows end to end, how many each row has)."""
+    data = b"".join(rows)
+    last = np.append(0, np.cumsum(np.frombuffer(data, np.uint8) < 128))
+    return unpack_numbers(data), np.diff(last[np.append(0, np.cumsum([len(r) for r in rows], dtype=np.int64))])
 
 
 def frequent_words(docs: DataFrame, text: str, vocabulary: str, pattern: str, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> bytes:
@@ -199,14 +217,19 @@ def frequent_words(docs: DataFrame, text: str, vocabulary: str, pattern: str, ro
         find, seen = regex.compile(pattern).findall, Counter()
 
         def rows_of() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            # Words between blanks alone: what white space stands elsewhere does not matter to what is frequent.
+            words: dict[str, int] = defaultdict(int)
+            for unit, n in seen.items():
+                for w in find(" " + unit):
+                    words[w] += n
+            seen.clear()
+            return pa.record_batch([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
 
         for b in slices(batches, "_text"):
             for t in b.column(0).to_pylist():
-                seen.update(find(t or ""))
+                seen.update(t.split(" ") if t else ())
             if len(seen) > COUNTED:
                 yield rows_of()
-                seen.clear()
         yield rows_of()
 
     counts = bounded_batches(chosen.select("_text")).mapInArrow(count, schema("word string, n bigint")).groupBy("word").agg(F.sum("n").alias("n"))
@@ -233,35 +256,31 @@ def _rare_words(source: DataFrame, packed: bytes, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = held(_words, packed, pattern)
         for b in slices(batches, "_text", holding=True):
-            found, at, row = [], [], []
-            for k, t in enumerate(b.column(3).to_pylist()):
-                numbers = words.cut(t) if t else np.zeros(0, np.int64)
-                own = np.flatnonzero(numbers < 0)
-                found += map(words.rare.__getitem__, (-1 - numbers[own]).tolist())
-                at.append(own)
-                row.append(np.full(len(own), k))
-            row = pa.array(np.concatenate(row))
-            yield pa.record_batch([pa.array(found, pa.string()), b.column(0).take(row), b.column(1).take(row), pa.array(np.concatenate(at).astype(np.int32))], names=["word", "row", "mark", "at"])
+            words.rare, at = [], []
+            for t in b.column(3).to_pylist():
+                at.append(np.flatnonzero(words.cut(t) < 0) if t else np.zeros(0, np.int64))
+            row = pa.array(np.repeat(np.arange(len(at)), [len(x) for x in at]))
+            yield pa.record_batch([pa.array(words.rare, pa.string()), b.column(0).take(row), b.column(1).take(row), pa.array(np.concatenate(at).astype(np.int32))], names=["word", "row", "mark", "at"])
+            words.rare = []
 
-    return source.mapInArrow(run, schema("word string, row bigint, mark bigint, at int"))
+    return source.mapInArrow(run, schema("word string, row bigint, mark int, at int"))
 
 
 def _numbered_texts(source: DataFrame, packed: bytes, pattern: str) -> DataFrame:
-    """(row, mark, at, _key, n, numbers): every text as the packed numbers of its n words, 0 where a rare one stands."""
+    """(row, mark, at, _key, n, data): every text as the packed numbers of its n words, 0 where a rare one stands."""
     kind = source.schema[2].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = held(_words, packed, pattern)
         for b in slices(batches, "_text", holding=True):
+            words.rare = []
             found = [np.maximum(words.cut(t), 0) if t else np.zeros(0, np.int64) for t in b.column(3).to_pylist()]
+            words.rare = []
             sizes = np.array([len(x) for x in found])
-            raw, ends = pack_numbers(np.concatenate(found))
-            ends = np.append(0, ends)[np.append(0, np.cumsum(sizes))]
-            data = raw.tobytes()
-            packs = [data[a:e] for a, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.full(len(sizes), -1, np.int32)), b.column(2), pa.array(sizes, pa.int64()), pa.array(packs, pa.binary())], names=["row", "mark", "at", "_key", "n", "numbers"])
+            packs = packed_rows(np.concatenate(found), sizes)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.full(len(sizes), -1, np.int32)), b.column(2), pa.array(sizes, pa.int64()), pa.array(packs, pa.binary())], names=["row", "mark", "at", "_key", "n", "data"])
 
-    return source.mapInArrow(run, schema(f"row bigint, mark bigint, at int, _key {kind}, n bigint, numbers binary"))
+    return source.mapInArrow(run, schema(f"row bigint, mark int, at int, _key {kind}, n bigint, data binary"))
 
 
 def _reassembled(rows: pa.Table, frequent: Frequent) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -281,16 +300,16 @@ def _reassembled(rows: pa.Table, frequent: Frequent) -> Iterator[tuple[pa.Array,
         own = part.column("at").to_numpy()
         texts, sizes = own < 0, n[a:b]
         base = np.cumsum(sizes) - sizes
-        numbers = unpack_numbers(b"".join(part.column("numbers").filter(pa.array(texts)).to_pylist()))
+        data = part.column("data")
+        numbers = unpack_numbers(b"".join(data.filter(pa.array(texts)).to_pylist()))
         holes = np.flatnonzero(numbers == 0)
         places = np.repeat(base, np.diff(np.append(np.flatnonzero(texts), len(own))) - 1) + own[~texts]
         if len(places) != len(holes) or (places != holes).any():
             raise RuntimeError("rare words do not fit their text: the input was not read twice in the same order")
-        rare = part.column("ids").filter(pa.array(~texts)).combine_chunks()
-        rare_sizes = pc.list_value_length(rare).to_numpy(zero_copy_only=False).astype(np.int64)
+        rare, rare_sizes = unpacked_rows(data.filter(pa.array(~texts)).to_pylist())
         length, start = frequent.sizes[numbers], frequent.starts[numbers]
         length[holes], start[holes] = rare_sizes, len(frequent.flat) + np.cumsum(rare_sizes) - rare_sizes
-        flat = np.concatenate([frequent.flat, rare.flatten().to_numpy()]) if len(holes) else frequent.flat
+        flat = np.concatenate([frequent.flat, rare]) if len(holes) else frequent.flat
         ends = np.cumsum(length)
         ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)]
         yield part.column("_key").filter(pa.array(texts)).combine_chunks(), ids, np.append(0, ends)[np.cumsum(sizes)]
@@ -335,15 +354,16 @@ def _encoded(docs: DataFrame, key: str, text: str, vocabulary: str, finish: Call
     docs = bounded_batches(docs)
     packed = frequent_words(docs, text, vocabulary, pattern, sample, most)
     value = docs[text].cast("string")
-    # Texts are read twice, once for their rare words and once for themselves; ``mark`` tells whether a row is the same.
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64(value).alias("mark"), docs[key].alias("_key"), value.alias("_text"))
+    # Texts are read twice, once for their rare words and once for themselves; ``mark`` and the places of
+    # rare words tell whether a row is the same.
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.pmod(F.xxhash64(value), F.lit(1 << 16)).cast("int").alias("mark"), docs[key].alias("_key"), value.alias("_text"))
     kind = source.schema[2].dataType.simpleString()
     rare = settle(_rare_words(source, packed, pattern))
     counts = settle(rare.groupBy("word").agg(F.count("*").alias("n")))
     hot = hot_keys(counts, ["word"], "n", max(1, counts.agg(F.sum("n")).first()[0] or 0))
     words = encode_distinct(counts, vocabulary)
-    back = salted_join(rare, words, ["word"], "row", hot).select("row", "mark", "at", F.lit(None).cast(kind).alias("_key"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("numbers"), "ids")
-    both = _numbered_texts(source, packed, pattern).withColumn("ids", F.lit(None).cast("array<int>")).unionByName(back)
+    back = salted_join(rare, words, ["word"], "row", hot).select("row", "mark", "at", F.lit(None).cast(kind).alias("_key"), F.lit(None).cast("bigint").alias("n"), F.col("ids").alias("data"))
+    both = _numbered_texts(source, packed, pattern).unionByName(back)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = held(_Finish, packed, vocabulary_path(vocabulary))
