@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.operators.reasoning import rounds
 from quillon.plans.lineage import keep, release, scratch, settle, temporary
 from quillon.plans.skew import hot_keys, salted_join
 
@@ -90,13 +91,6 @@ def give_back() -> None:
         return
 
 
-def spread(df: DataFrame, cores_factor: int = 3) -> DataFrame:
-    """Makes a small input file-split-independent: at least a few partitions per core."""
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism * cores_factor
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
-
-
 def id_crc(column: str = "doc_id"):
     """crc32 of an identifier as decimal text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
@@ -230,7 +224,7 @@ def schema(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id of the undirected edges (a, b): the smallest id that it reaches.
 
     Alternates large-star and small-star steps on settled tables until the edge set stops changing.  Hub vertices hold
@@ -248,7 +242,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     now = mark(edges)
-    for _ in range(rounds):
+    for _ in rounds("components"):
         if not now["n"]:
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -263,8 +257,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = mark(edges)
         if now == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     # Settled edges are (id, root), one for each id that is no root.
     keep(edges)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

@@ -197,4 +197,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit_from(docs))
-    return found.select("doc_id", (F.pmod(id_crc(), F.lit(3)) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(F.pmod(id_crc(), F.lit(3)) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -291,4 +291,4 @@ def keep_civil(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score_documents(docs, fit_from(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", (F.pmod(id_crc(), F.lit(5)) == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", F.coalesce(F.pmod(id_crc(), F.lit(5)) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
