@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -865,13 +866,98 @@ def test_semi_global_equals_table():
         assert D.semi_global(a, b[None, :])[0] == d[-1].min()
 
 
-def test_walks_reach_the_target(spark, monkeypatch):
+def test_walks_reach_the_target(spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     index = D.index_items([r["item_id"] for r in items], [r["text"] for r in items])
     assert D.measured_recall(index, 0.0, seed=9) == 1.0 and D.measured_recall(index, D.MOST_EDITS, seed=9, trials=2000) >= 0.9
-    monkeypatch.setattr(D, "WALKS", 1)
-    with pytest.raises(ValueError, match="recall"):
-        D.index_items([r["item_id"] for r in items], [r["text"] for r in items], target=0.9999)
+
+
+def test_walks_meet_crowded_edits():
+    """Every second word edited at the front, in the middle or at the back, and edits everywhere, in items with and without repeats."""
+    rng = np.random.default_rng(8)
+    for pool in (10**9, 12):
+        texts = [" ".join(f"w{x}" for x in rng.integers(0, pool, rng.integers(30, 80))) for _ in range(80)]
+        index = D.index_items([*range(80)], texts)
+        assert not index.counted and index.walks < 8
+        for where in D.PLACEMENTS:
+            assert D.measured_hits(index, D.MOST_EDITS, where, 800, seed=31)[1].mean() >= 0.92, where
+
+
+def test_items_that_walks_miss_are_counted():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, n)) for n in (4, 9, 25, 60)]
+    index = D.index_items([1, 2, 3, 4], texts, target=1.01, most=2)  # out of reach, so all are counted
+    assert index.counted == (0, 1, 2, 3)
+    for where in D.PLACEMENTS:
+        assert D.measured_hits(index, D.MOST_EDITS, where, 400, seed=2)[1].all()
+    # The places by counting hold every place from which an exhaustive search finds the item.
+    words = np.concatenate([D.words_of(pa.array(["x y " + texts[1] + " z w1 w2"]))[0], index.words[1][:3]])
+    got = {(int(r), int(p)) for r, _, p in D._by_counting(1, index.words[1], words, np.array([0, len(words) - 3, len(words)]))}
+    assert (0, 2) in got and not any(r for r, _ in got)
+
+
+def test_languages_equal_sets_of_ngrams(spark):
+    """The bitmask filters against plain sets of the same n-grams: the same language wherever no false hit can decide."""
+    rng = random.Random(6)
+    letters = {"aa": "abcdeo", "bb": "aeioustr", "cc": "klmnoae", "dd": "éñabcr"}
+    text = lambda lang: " ".join("".join(rng.choices(letters[lang], k=rng.randrange(2, 8))) for _ in range(rng.randrange(3, 60)))
+    taught = [(text(k), k) for k in letters for _ in range(40)]
+    order = sorted(((k, 40) for k in letters), key=lambda x: (-x[1], x[0]))
+    model = L.fit(spark.createDataFrame(taught, "text string, lang string"), order)
+
+    def grams_of(t):
+        return L.grams(*L.byte_view(pa.array([t])))[0].tolist()
+
+    counts = {k: defaultdict(int) for k in letters}
+    for t, k in taught:
+        for g in grams_of(t):
+            counts[k][g] += 1
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    share = {k: {g: n / total[k] for g, n in c.items()} for k, c in counts.items()}
+    least = min(L.LEAST_SEEN, 1 + 40 // L.ROWS_A_SIGHT)
+    held = {k: {g for g, n in c.items() if n >= least and share[k][g] >= L.LEAST_SHARE * max(share[j].get(g, 0) for j in letters)} for k, c in counts.items()}
+    texts = [text(rng.choice([*letters])) for _ in range(400)] + ["", "123 456", None, "aeo"]
+    names, scores = L.predict(model, pa.array(texts, pa.string()))
+    decided = 0
+    for t, name, s in zip(texts, names, scores, strict=True):
+        if not t or not any(map(str.isalpha, t)):
+            assert name == "und" and s == 0
+            continue
+        own = grams_of(t)
+        hits = sorted(((sum(g in held[k] for g in own), -order.index((k, 40)), k) for k in letters), reverse=True)
+        if hits[0][0] - hits[1][0] > 1 + 3 * len(own) * max(model.false_rates):
+            assert name == hits[0][2] and s >= 0.5
+            decided += 1
+    assert decided > 300
+
+
+def test_held_out_is_never_null(spark):
+    docs = documents(spark, ["some words here", "others there"], [None, 4])
+    found = L.identify(docs, L.fit_from(docs))
+    assert found.count() == 2
+    for name in ("op3_language_id", "op6_toxicity"):
+        df = queries.queries()[name](spark, SF)
+        assert df.where("held_out is null").count() == 0 and df.schema["held_out"].dataType.simpleString() == "boolean"
+
+
+def test_a_row_repeated_is_divided(spark):
+    rows = S.assign(documents(spark, ["same text"] * 3000, [7] * 3000)).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert sorted(by) == [*range(16)] and all(sorted(v) == [*range(len(v))] and abs(len(v) - 187.5) <= 1 for v in by.values())
+
+
+def test_license_scan_of_many_matches(spark):
+    said = "this is under the mit license and gnu general public license version 2 or apache license version 2 "
+    n = 3400
+    began = time.time()
+    r = C.scan(documents(spark, [said * n, said])).orderBy("doc_id").collect()
+    assert time.time() - began < 120
+    many, one = r
+    assert len(many["detections"]) == n * len(one["detections"]) > 10_000 and many["n_base"] == n * one["n_base"] and many["labels"] == one["labels"]
+    step = len(said)
+    assert [(d["label"], d["b"] % step) for d in many["detections"][: len(one["detections"])]] == [(d["label"], d["b"]) for d in one["detections"]]
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
