@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import eval_queries, kg_queries
+from quillon.plans import eval_queries, graph_queries, kg_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (kg_queries, eval_queries)
+MODULES = (kg_queries, graph_queries, eval_queries)
 
 
 def queries() -> dict[str, Query]:

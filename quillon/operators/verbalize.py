@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +87,109 @@ def properties(s: Schema) -> dict[str, str]:
     return out
 
 
+# -- descriptions of vocabularies of any size --------------------------------------------------------------------------
+
+_FIRST_PROPERTIES = 3
+
+
+def _spaced(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2"), r"[_\-\s]+", " "))
+
+
+def label_of(c: Column) -> Column:
+    """``label`` as a column."""
+    return F.array_join(F.transform(F.split(_spaced(c), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))), " ")
+
+
+def words_of(c: Column) -> Column:
+    return F.lower(_spaced(c))
+
+
+def _said(parts: list[DataFrame], names: DataFrame, nothing: str) -> DataFrame:
+    """(graph_id, name, label, description): the sentences of each name by section and their order there, or that it is
+    there.  Sentences are gathered for one name at a time, so no vocabulary is too large."""
+    rows = reduce(DataFrame.unionByName, [p.select("graph_id", "name", F.lit(k).alias("section"), "key", "text") for k, p in enumerate(parts)])
+    told = rows.groupBy("graph_id", "name").agg(F.array_sort(F.collect_set(F.struct("section", "key", "text"))).alias("t"))
+    named = names.where("name is not null").distinct().join(told, ["graph_id", "name"], "left").withColumn("label", label_of(F.col("name")))
+    return named.select("graph_id", "name", "label", F.coalesce(F.array_join(F.transform("t", lambda x: x["text"]), " "), F.concat("label", F.lit(nothing))).alias("description"))
+
+
+def _kind(axioms: DataFrame, *kinds: str) -> DataFrame:
+    return axioms.where(F.col("kind").isin(*kinds))
+
+
+def _either(rows: DataFrame) -> DataFrame:
+    """(graph_id, name, other) of symmetric axioms, both ways."""
+    return rows.select("graph_id", F.col("a").alias("name"), F.col("b").alias("other")).unionByName(rows.select("graph_id", F.col("b").alias("name"), F.col("a").alias("other"))).distinct()
+
+
+def describe_classes(axioms: DataFrame) -> DataFrame:
+    """VRB-6, VRB-7 for axioms as rows (``graphs.AXIOMS``): graph_id, name, label and description of every named class.
+
+    Supers, equivalents and what defines the class, disjoint classes, and the first properties whose domain it is.
+    Expressions (names that begin with ``_:``) are described where they define a class.
+    """
+    c, named = F.col, lambda x: ~F.col(x).startswith("_:")
+    me = label_of(c("name"))
+    sub = _kind(axioms, "subclass").select("graph_id", c("a").alias("name"), c("b").alias("other"))
+    same = _either(_kind(axioms, "equivalent")).where(named("name"))
+    groups = _kind(axioms, "disjoint").select("graph_id", "id", c("a").alias("name"))
+    apart = groups.join(groups.withColumnRenamed("name", "other"), ["graph_id", "id"]).where("name <> other").where(named("name") & named("other"))
+    of = _kind(axioms, "domain").select("graph_id", c("b").alias("name"), c("a").alias("p"))
+    ranged = _kind(axioms, "range").select("graph_id", c("b").alias("name"))
+    how = F.when(c("kind") == "some", F.lit("some")).when(c("kind") == "all", F.lit("only")).when(c("kind") == "min", F.lit("at least")).when(c("kind") == "max", F.lit("at most")).when(c("kind") == "exact", F.lit("exactly"))
+    counted = F.when(c("kind").isin("min", "max", "exact"), F.concat(F.lit(" "), c("n").cast("string"))).otherwise(F.lit(""))
+    many = F.when(c("kind").isin("min", "max", "exact"), F.lit("(s)")).otherwise(F.lit(""))
+    filler = label_of(F.coalesce(c("b"), F.lit("Thing")))
+    defined = F.when(c("kind") == "value", F.concat(me, F.lit(" is defined as a class that has '"), words_of(c("a")), F.lit("' relationship with "), filler, F.lit("."))).otherwise(
+        F.concat(me, F.lit(" is defined as a class that has "), how, counted, F.lit(" '"), words_of(c("a")), F.lit("' relationship"), many, F.lit(" with an instance of "), filler, F.lit("."))
+    )
+    expressions = _kind(axioms, "some", "all", "min", "max", "exact", "value").select("graph_id", c("id").alias("other"), "kind", "a", "b", "n")
+    parts = [
+        sub.where(named("name") & named("other")).withColumns({"key": c("other"), "text": F.concat(me, F.lit(" is a type of "), label_of(c("other")), F.lit("."))}),
+        same.where(named("other")).withColumns({"key": c("other"), "text": F.concat(me, F.lit(" is equivalent to "), label_of(c("other")), F.lit("."))}),
+        same.join(expressions, ["graph_id", "other"]).withColumns({"key": c("other"), "text": defined}),
+        apart.groupBy("graph_id", "name").agg(F.array_sort(F.collect_set("other")).alias("o")).select("graph_id", "name", F.lit("").alias("key"), F.concat(me, F.lit(" is disjoint with "), N.and_list(F.transform("o", label_of)), F.lit(".")).alias("text")),
+        of.groupBy("graph_id", "name").agg(F.slice(F.array_sort(F.collect_set(words_of(c("p")))), 1, _FIRST_PROPERTIES).alias("o")).select("graph_id", "name", F.lit("").alias("key"), F.concat(F.lit("Instances of "), me, F.lit(" can have "), N.and_list(c("o")), F.lit(" relationships.")).alias("text")),
+    ]
+    names = [r.select("graph_id", "name") for r in (sub, sub.select("graph_id", c("other").alias("name")), same, same.select("graph_id", c("other").alias("name")), groups, of, ranged)]
+    return _said(parts, reduce(DataFrame.unionByName, names).where(named("name")), " is a class in this ontology.")
+
+
+def describe_properties(axioms: DataFrame) -> DataFrame:
+    """VRB-9, VRB-10 for axioms as rows: graph_id, name, label and description of every property.
+
+    Of several domains or ranges the smallest name is told.
+    """
+    c = F.col
+    me = label_of(c("name"))
+    sub = _kind(axioms, "subproperty").select("graph_id", c("a").alias("name"), c("b").alias("other"))
+    chains = _kind(axioms, "chain").groupBy("graph_id", "id", c("b").alias("name")).agg(F.array_sort(F.collect_list(F.struct("at", "a"))).alias("l"))
+    kinds = ("functional", "inverse_functional", "symmetric", "asymmetric", "transitive", "irreflexive")
+    said = _kind(axioms, *kinds).select("graph_id", c("a").alias("name"), "kind")
+    place = F.array_position(F.array(*[F.lit(k) for k in kinds]), c("kind")).cast("string")
+    inverse, equal, apart = (_either(_kind(axioms, k)) for k in ("inverse", "equivalent_property", "disjoint_property"))
+    ends = [_kind(axioms, k).groupBy("graph_id", c("a").alias("name")).agg(F.min("b").alias(k)) for k in ("domain", "range")]
+    both = ends[0].join(ends[1], ["graph_id", "name"], "full")
+    relates = F.when(c("domain").isNotNull() & c("range").isNotNull(), F.concat(me, F.lit(" relates "), label_of(c("domain")), F.lit(" to "), label_of(c("range")), F.lit("."))).when(c("domain").isNotNull(), F.concat(me, F.lit(" applies to "), label_of(c("domain")), F.lit("."))).otherwise(F.concat(me, F.lit(" leads to "), label_of(c("range")), F.lit(".")))
+    other = lambda rows, middle: rows.withColumns({"key": c("other"), "text": F.concat(me, F.lit(middle), words_of(c("other")), F.lit("."))})
+    parts = [
+        other(sub, " is a kind of "),
+        chains.withColumns({"key": c("id"), "text": F.concat(me, F.lit(" follows from "), F.array_join(F.transform("l", lambda x: words_of(x["a"])), " and then "), F.lit("."))}),
+        said.withColumns({"key": place, "text": F.concat(me, F.lit(" is "), F.replace(c("kind"), F.lit("_"), F.lit(" ")), F.lit("."))}),
+        other(inverse, " is the inverse of "), other(equal, " is equivalent to "), other(apart, " is disjoint with "),
+        both.withColumns({"key": F.lit(""), "text": relates}),
+    ]
+    names = [r.select("graph_id", "name") for r in (sub, sub.select("graph_id", c("other").alias("name")), chains, said, inverse, equal, apart, both)]
+    return _said(parts, reduce(DataFrame.unionByName, names), " is a property in this ontology.")
+
+
+def vocabulary_text(axioms: DataFrame) -> DataFrame:
+    """SNK-12 for axioms as rows: (graph_id, section, name, line), the lines of the schema's text, sorted by section and name."""
+    of = lambda rows, section: rows.select("graph_id", F.lit(section).alias("section"), "name", F.col("description").alias("line"))
+    return of(describe_classes(axioms), "0 classes").unionByName(of(describe_properties(axioms), "1 properties"))
+
+
 def discover(types: DataFrame, relations: DataFrame) -> DataFrame:
     """VRB-11: (s) of all individuals: typed, or an end of a relation."""
     return types.select("s").unionByName(relations.select("s")).unionByName(relations.select(F.col("o").alias("s"))).distinct()

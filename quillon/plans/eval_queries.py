@@ -481,50 +481,6 @@ def verbalize_individual(spark, d):
     return V.individuals(g.types, g.relations, g.schema, label=lambda c: c).select("s", "description")
 
 
-# What the rules say of every class and property of the graph's schema.
-_CLASSES = """('Buyer', 'Buyer is a class in this ontology.'),
-('Client', 'Client is equivalent to Customer.'),
-('Customer', 'Customer is a type of Party. Customer is equivalent to Client. Instances of Customer can have placed relationships.'),
-('DomainEntity', 'Domain Entity is a class in this ontology.'),
-('DomesticBuyer', 'Domestic Buyer is a class in this ontology.'),
-('Located', 'Instances of Located can have located in relationships.'),
-('LocatedSupplier', 'Located Supplier is a class in this ontology.'),
-('Nation', 'Nation is a type of Place. Instances of Nation can have in region relationships.'),
-('NationMember', 'Nation Member is defined as a class that has some ''in nation'' relationship with an instance of Nation.'),
-('Order', 'Order is disjoint with Party. Instances of Order can have ordered from and placed by relationships.'),
-('Party', 'Party is a type of Domain Entity. Party is disjoint with Order and Place. Instances of Party can have in nation relationships.'),
-('Place', 'Place is a type of Domain Entity. Place is disjoint with Party.'),
-('Purchaser', 'Purchaser is defined as a class that has some ''placed'' relationship with an instance of Order.'),
-('Region', 'Region is a type of Place.'),
-('Segment_AUTOMOBILE', 'Segment Automobile is a type of Customer.'),
-('Segment_BUILDING', 'Segment Building is a type of Customer.'),
-('Segment_FURNITURE', 'Segment Furniture is a type of Customer.'),
-('Segment_HOUSEHOLD', 'Segment Household is a type of Customer.'),
-('Segment_MACHINERY', 'Segment Machinery is a type of Customer.'),
-('Status_F', 'Status F is a type of Order.'),
-('Status_O', 'Status O is a type of Order.'),
-('Status_P', 'Status P is a type of Order.'),
-('Supplier', 'Supplier is a type of Party. Instances of Supplier can have compatriot of relationships.')"""
-_PROPERTIES = """('compatriotOf', 'Compatriot Of is symmetric. Compatriot Of applies to Supplier.'),
-('inNation', 'In Nation is a kind of located in. In Nation relates Party to Nation.'),
-('inRegion', 'In Region is a kind of located in. In Region relates Nation to Region.'),
-('locatedIn', 'Located In is transitive. Located In applies to Located.'),
-('orderedFrom', 'Ordered From follows from placed by and then in nation. Ordered From applies to Order.'),
-('partyRegion', 'Party Region follows from in nation and then in region.'),
-('placed', 'Placed is the inverse of placed by. Placed applies to Customer.'),
-('placedBy', 'Placed By is functional. Placed By is the inverse of placed. Placed By relates Order to Customer.')"""
-
-
-@query("verbalize_class", f"SELECT * FROM (VALUES {_CLASSES}) v(c, description)")
-def verbalize_class(spark, d):
-    return spark.createDataFrame([*V.classes(core_graph(spark, d).schema).items()], "c string, description string")
-
-
-@query("verbalize_property", f"SELECT * FROM (VALUES {_PROPERTIES}) v(p, description)")
-def verbalize_property(spark, d):
-    return spark.createDataFrame([*V.properties(core_graph(spark, d).schema).items()], "p string, description string")
-
-
 # -- final benchmark and JSON ------------------------------------------------------------------------------------------
 
 
