@@ -2,7 +2,8 @@
 
 Texts are cut into words by the vocabulary's pattern.  The words that a bounded sample shows to be frequent get numbers,
 which every worker knows; every other word travels with its position to where all its occurrences meet, is encoded once,
-and its ids travel back to their positions.
+and its ids travel back to their positions.  Cutting works on stretches between blanks: those that the sample shows to be
+frequent are looked up by the million, the others are cut by the pattern.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -20,17 +21,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_batches, held, hot_keys, pack_numbers, salted_join, schema, settle, slices, table, unpack_numbers
+from quillon.llm.common import bounded_batches, held, hot_keys, pack_numbers, release, salted_join, schema, settle, slices, table, unpack_numbers, whole_groups
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Rows of the sample in which frequent words are sought, words that may count as frequent, and their longest in characters.
+#: Rows of the sample in which frequent words are sought, stretches between blanks that may count as frequent, and their
+#: longest in characters.
 SAMPLE_ROWS, FREQUENT, LONGEST = 1 << 17, 1 << 20, 64
-#: Bytes of a worker's cache of stretches between blanks; distinct words that a task counts before it hands them on.
-UNIT_BYTES, COUNTED = 64 << 20, 1 << 18
+#: Bytes of text that are cut at a time; distinct stretches that a task counts before it hands them on.
+GATHERED, COUNTED = 8 << 20, 1 << 18
 #: Words put together at a time when texts are reassembled.
-STEP_WORDS = 1 << 18
+STEP_WORDS = 1 << 20
 #: Words of more bytes are merged by a heap.
 SHORT = 64
+#: White space next to a blank, or at an end: such texts are cut as a whole.
+_ODD = r"^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]| [\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] |[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]$|^\x0B|\x0B | \x0B"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -106,71 +110,107 @@ class Ranks:
 _POINTS = frozenset(".,;:!?)\"")
 
 
-class Words(dict):
-    """Cuts texts into words and names each by its number, rare ones by negative numbers that count the batch's ``rare``.
+class Frequent:
+    """The frequent words with their ids and the frequent stretches with their words, as every worker holds them.
 
-    Between two characters that are no white space a single blank always opens a word, so what stands between such blanks
-    can be cut by itself: this is a mapping from such stretches to the numbers of their words.  It keeps those of frequent
-    words alone, and takes in no more once it is full.
+    Words are numbered from 1; number 0 is left for the others.
     """
 
-    def __init__(self, frequent: dict[str, int], pattern: str, most: int = UNIT_BYTES):
-        import regex
+    def __init__(self, packed: tuple[bytes, bytes]):
+        words, units = (pa.ipc.open_stream(x).read_all().combine_chunks() for x in packed)
+        self.words = words.column("word").combine_chunks()
+        self.flat, self.sizes, self.starts = self._rows(words.column("ids").to_pylist(), 1)
+        self.units = units.column("unit").combine_chunks()
+        self.unit_words, self.unit_sizes, self.unit_starts = self._rows(units.column("words").to_pylist(), 0)
 
-        super().__init__()
-        self.find = regex.compile(pattern).findall
-        self.numbers, self.left = frequent, most
-        self.rare: list[str] = []
-
-    def number(self, word: str) -> int:
-        got = self.numbers.get(word)
-        if got is None:
-            self.rare.append(word)
-            return -len(self.rare)
-        return got
-
-    def __missing__(self, unit: str) -> tuple[int, ...] | None:
-        """The numbers of the words in a blank and the stretch; None if white space stands at an end of the stretch."""
-        if unit.isalpha():
-            out = (self.number(" " + unit),)
-        elif unit[-1:] in _POINTS and unit[:-1].isalpha():
-            out = (self.number(" " + unit[:-1]), self.number(unit[-1]))
-        elif not unit or unit[0].isspace() or unit[-1].isspace():
-            return None
-        else:
-            out = tuple(map(self.number, self.find(" " + unit)))
-        if self.left > 0 and min(out) > 0 and len(unit) <= LONGEST:
-            self[unit] = out
-            self.left -= 250 + len(unit) + 8 * len(out)
-        return out
-
-    def cut(self, text: str) -> np.ndarray:
-        """The numbers of a text's words; ``rare`` grows by the rare ones, in order."""
-        before = len(self.rare)
-        first, *rest = text.split(" ")
-        if first and not first[-1].isspace():
-            head = tuple(map(self.number, self.find(first)))
-            units = [*map(self.__getitem__, rest)]
-            if None not in units:
-                return np.fromiter(chain(head, chain.from_iterable(units)), np.int64)
-            del self.rare[before:]
-        words = self.find(text)
-        return np.fromiter(map(self.number, words), np.int64, len(words))
+    @staticmethod
+    def _rows(packs: list[bytes], ahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat, sizes = unpacked_rows(packs)
+        sizes = np.append(np.zeros(ahead, np.int64), sizes)
+        return flat, sizes, np.cumsum(sizes) - sizes
 
 
-class Frequent:
-    """The frequent words with their ids, as every worker holds them; number 0 is left for the others."""
+def spread_out(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The parts of ``flat`` that begin at ``starts`` and have ``sizes``, end to end."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
 
-    def __init__(self, packed: bytes):
-        rows = pa.ipc.open_stream(packed).read_all()
-        self.numbers = {w: k for k, w in enumerate(rows.column("word").to_pylist(), 1)}
-        self.flat, sizes = unpacked_rows(rows.column("ids").to_pylist())
-        self.sizes = np.append(0, sizes)
-        self.starts = np.append(0, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(1, np.int64)
+class Cutter:
+    """Cuts texts into words and names each by its number, rare ones by negative numbers that count a call's rare words.
+
+    Between two characters that are no white space a single blank always opens a word, so what stands between such blanks
+    can be cut by itself.  Texts with other white space beside a blank, or at an end, are cut as a whole.
+    """
 
+    def __init__(self, packed: tuple[bytes, bytes], pattern: str):
+        import regex
 
-def _words(packed: bytes, pattern: str) -> Words:
-    return Words(Frequent(packed).numbers, pattern)
+        self.find = regex.compile(pattern).findall
+        self.frequent = Frequent(packed)
+        self.numbers = {w: k for k, w in enumerate(self.frequent.words.to_pylist(), 1)}
+
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(numbers of the words of all texts, how many each text has, the rare words in order)."""
+        f, get, find = self.frequent, self.numbers.get, self.find
+        odd = pc.match_substring_regex(texts, pattern=_ODD)
+        split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        units, first = split.flatten(), split.offsets.to_numpy()[:-1] - split.offsets.to_numpy()[0]
+        found = pc.index_in(units, value_set=f.units)
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        known[first] = False  # no blank before it
+        at = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(~known)
+        rare: list[str] = []
+        own: list[int] = []
+        sizes_of_missing = np.empty(len(missing), np.int64)
+        opens = np.zeros(len(known), bool)
+        opens[first] = True
+        whole = iter(zip(odd.to_pylist(), texts.to_pylist(), strict=True))
+        for k, (unit, begins) in enumerate(zip(units.take(pa.array(missing)).to_pylist(), opens[missing].tolist(), strict=True)):
+            if begins:
+                is_odd, text = next(whole)
+                words = find(text if is_odd else unit)
+            elif unit.isalpha():  # a word that is frequent has its stretch in the table
+                rare.append(" " + unit)
+                own.append(-len(rare))
+                sizes_of_missing[k] = 1
+                continue
+            elif unit[-1:] in _POINTS and unit[:-1].isalpha():
+                words = (" " + unit[:-1], unit[-1])
+            else:
+                words = find(" " + unit)
+            for w in words:
+                number = get(w)
+                if number is None:
+                    rare.append(w)
+                    number = -len(rare)
+                own.append(number)
+            sizes_of_missing[k] = len(words)
+        sizes, starts = f.unit_sizes[at] if len(f.unit_sizes) else np.zeros(len(at), np.int64), f.unit_starts[at] if len(f.unit_starts) else np.zeros(len(at), np.int64)
+        sizes[missing], starts[missing] = sizes_of_missing, len(f.unit_words) + np.cumsum(sizes_of_missing) - sizes_of_missing
+        numbers = spread_out(np.concatenate([f.unit_words, np.array(own, np.int64)]), starts, sizes)
+        upto = np.append(0, np.cumsum(sizes))
+        return numbers, np.diff(upto[np.append(first, len(sizes))]), rare
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about GATHERED bytes of text, nulls of the column as empty texts."""
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        k = whole.schema.get_field_index(column)
+        return whole.set_column(k, column, pc.fill_null(whole.column(k), "")).combine_chunks().to_batches()[0]
+
+    held_batches, size = [], 0
+    for b in slices(batches, column, holding=True):
+        held_batches.append(b)
+        size += pc.sum(pc.binary_length(b.column(column))).as_py() or 0
+        if size >= GATHERED:
+            yield joined(held_batches)
+            held_batches, size = [], 0
+    if held_batches:
+        yield joined(held_batches)
 
 
 def encode_distinct(words: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -200,11 +240,19 @@ def unpacked_rows(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return unpack_numbers(data), np.diff(last[np.append(0, np.cumsum([len(r) for r in rows], dtype=np.int64))])
 
 
-def frequent_words(docs: DataFrame, text: str, vocabulary: str, pattern: str, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> bytes:
-    """Up to ``most`` words that occur repeatedly in a sample of about ``rows`` rows, the most frequent first, with ids.
+def _stream(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def frequent_words(docs: DataFrame, text: str, vocabulary: str, pattern: str, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> tuple[bytes, bytes]:
+    """The words, with ids and the most frequent first, of up to ``most`` stretches between blanks that occur repeatedly
+    in a sample of about ``rows`` rows; and these stretches with the numbers of their words.
 
-    Only which words are spared the shuffle hangs on the sample, no result.  The list is bounded (``most`` words of up to
-    LONGEST characters), so the driver may hold it and hand it to the workers.
+    Only which words are spared the shuffle hangs on the sample, no result.  The lists are bounded (``most`` stretches of up
+    to LONGEST characters), so the driver may hold them and hand them to the workers.
     """
     n = docs.count()
     chosen = docs.select(docs[text].cast("string").alias("_text"), F.monotonically_increasing_id().alias("_row"))
@@ -212,29 +260,30 @@ def frequent_words(docs: DataFrame, text: str, vocabulary: str, pattern: str, ro
         chosen = chosen.where(F.pmod(F.xxhash64(F.lit(11), "_row"), F.lit(1 << 31)) < int(rows / n * (1 << 31)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find, seen = regex.compile(pattern).findall, Counter()
+        seen = Counter()
 
         def rows_of() -> pa.RecordBatch:
-            # Words between blanks alone: what white space stands elsewhere does not matter to what is frequent.
-            words: dict[str, int] = defaultdict(int)
-            for unit, n in seen.items():
-                for w in find(" " + unit):
-                    words[w] += n
+            kept = {u: k for u, k in seen.items() if u and len(u) <= LONGEST and not (u[0].isspace() or u[-1].isspace())}
             seen.clear()
-            return pa.record_batch([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
+            return pa.record_batch([pa.array(kept.keys(), pa.string()), pa.array(kept.values(), pa.int64())], names=["unit", "n"])
 
         for b in slices(batches, "_text"):
             for t in b.column(0).to_pylist():
-                seen.update(t.split(" ") if t else ())
+                seen.update(t.split(" ")[1:] if t else ())
             if len(seen) > COUNTED:
                 yield rows_of()
         yield rows_of()
 
-    counts = bounded_batches(chosen.select("_text")).mapInArrow(count, schema("word string, n bigint")).groupBy("word").agg(F.sum("n").alias("n"))
-    counts = settle(counts.where(F.col("n") > 1).where(F.length("word") <= LONGEST))
-    # How many words there are by (coarse) frequency tells from which one on they fit.
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find = regex.compile(pattern).findall
+        for b in slices(batches, "unit"):
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([find(" " + u) for u in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["unit", "n", "words"])
+
+    counts = bounded_batches(chosen.select("_text")).mapInArrow(count, schema("unit string, n bigint")).groupBy("unit").agg(F.sum("n").alias("n"))
+    counts = settle(counts.where(F.col("n") > 1))
+    # How many stretches there are by (coarse) frequency tells from which one on they fit.
     level = F.floor(F.log2("n") * 16)
     left, least = most, None
     for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
@@ -242,49 +291,59 @@ def frequent_words(docs: DataFrame, text: str, vocabulary: str, pattern: str, ro
             break
         left, least = left - r["count"], r["level"]
     chosen = counts.where(level >= least) if least is not None else counts.limit(0)
-    found = encode_distinct(chosen, vocabulary).join(chosen, "word").toArrow()
-    found = found.take(pc.sort_indices(found, [("n", "descending"), ("word", "ascending")])).select(["word", "ids"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, found.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(found)
-    return sink.getvalue().to_pybytes()
-
-
-def _rare_words(source: DataFrame, packed: bytes, pattern: str) -> DataFrame:
+    units = settle(chosen.select("unit", "n").mapInArrow(words_of, schema("unit string, n bigint, words array<string>")))
+    words = settle(units.select(F.explode("words").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")))
+    found = encode_distinct(words, vocabulary).join(words, "word").toArrow().combine_chunks()
+    found = found.take(pc.sort_indices(found, [("n", "descending"), ("word", "ascending")])).select(["word", "ids"]).combine_chunks()
+    own = units.select("unit", "words").toArrow().combine_chunks()
+    release(counts, units, words)
+    lists = own.column("words").combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.string()))
+    names = found.column("word").combine_chunks() if found.num_rows else pa.array([], pa.string())
+    numbers = pc.index_in(lists.flatten(), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    packs = packed_rows(numbers, pc.list_value_length(lists).to_numpy(zero_copy_only=False).tolist())
+    # Each word after a blank is a stretch of its own, too, so that a stretch of letters that is not listed is a rare word.
+    alone = {w[1:]: k for k, w in enumerate(names.to_pylist(), 1) if w[0] == " " and len(w) > 1}
+    listed = own.column("unit").to_pylist()
+    for u in alone.keys() - set(listed):
+        listed.append(u)
+        packs += packed_rows(np.array([alone[u]]), [1])
+    return _stream(found), _stream(pa.table({"unit": pa.array(listed, pa.string()), "words": pa.array(packs, pa.binary())}))
+
+
+def _rare_words(source: DataFrame, packed: tuple[bytes, bytes], pattern: str) -> DataFrame:
     """(word, row, mark, at): every occurrence of a word that is not frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held(_words, packed, pattern)
-        for b in slices(batches, "_text", holding=True):
-            words.rare, at = [], []
-            for t in b.column(3).to_pylist():
-                at.append(np.flatnonzero(words.cut(t) < 0) if t else np.zeros(0, np.int64))
-            row = pa.array(np.repeat(np.arange(len(at)), [len(x) for x in at]))
-            yield pa.record_batch([pa.array(words.rare, pa.string()), b.column(0).take(row), b.column(1).take(row), pa.array(np.concatenate(at).astype(np.int32))], names=["word", "row", "mark", "at"])
-            words.rare = []
+        cutter = held(Cutter, packed, pattern)
+        for b in gathered(batches, "_text"):
+            numbers, sizes, rare = cutter.cut(b.column(3))
+            at = np.flatnonzero(numbers < 0)
+            begins = np.cumsum(sizes) - sizes
+            row = np.searchsorted(begins + sizes, at, side="right")
+            for k in range(0, len(at), 50_000):
+                part = pa.array(row[k : k + 50_000])
+                yield pa.record_batch([pa.array(rare[k : k + 50_000], pa.string()), b.column(0).take(part), b.column(1).take(part), pa.array((at[k : k + 50_000] - begins[row[k : k + 50_000]]).astype(np.int32))], names=["word", "row", "mark", "at"])
 
     return source.mapInArrow(run, schema("word string, row bigint, mark int, at int"))
 
 
-def _numbered_texts(source: DataFrame, packed: bytes, pattern: str) -> DataFrame:
+def _numbered_texts(source: DataFrame, packed: tuple[bytes, bytes], pattern: str) -> DataFrame:
     """(row, mark, at, _key, n, data): every text as the packed numbers of its n words, 0 where a rare one stands."""
     kind = source.schema[2].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held(_words, packed, pattern)
-        for b in slices(batches, "_text", holding=True):
-            words.rare = []
-            found = [np.maximum(words.cut(t), 0) if t else np.zeros(0, np.int64) for t in b.column(3).to_pylist()]
-            words.rare = []
-            sizes = np.array([len(x) for x in found])
-            packs = packed_rows(np.concatenate(found), sizes)
+        cutter = held(Cutter, packed, pattern)
+        for b in gathered(batches, "_text"):
+            numbers, sizes, _ = cutter.cut(b.column(3))
+            packs = packed_rows(np.maximum(numbers, 0), sizes)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(np.full(len(sizes), -1, np.int32)), b.column(2), pa.array(sizes, pa.int64()), pa.array(packs, pa.binary())], names=["row", "mark", "at", "_key", "n", "data"])
 
     return source.mapInArrow(run, schema(f"row bigint, mark int, at int, _key {kind}, n bigint, data binary"))
 
 
-def _reassembled(rows: pa.Table, frequent: Frequent) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(keys, ids of all texts end to end, their ends) of whole texts, each followed by its rare words by position."""
+def _reassembled(rows: pa.Table) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of whole texts, each followed by its rare words by position: keys, the words of all texts end to end (numbers of
+    frequent ones, -1, -2, ... for the rare ones in order), how many each text has, and the rare words' ids and their numbers."""
     at = rows.column("at").to_numpy()
     opens = np.flatnonzero(at < 0)
     n = rows.column("n").combine_chunks().drop_null().to_numpy()
@@ -306,27 +365,28 @@ def _reassembled(rows: pa.Table, frequent: Frequent) -> Iterator[tuple[pa.Array,
         places = np.repeat(base, np.diff(np.append(np.flatnonzero(texts), len(own))) - 1) + own[~texts]
         if len(places) != len(holes) or (places != holes).any():
             raise RuntimeError("rare words do not fit their text: the input was not read twice in the same order")
-        rare, rare_sizes = unpacked_rows(data.filter(pa.array(~texts)).to_pylist())
-        length, start = frequent.sizes[numbers], frequent.starts[numbers]
-        length[holes], start[holes] = rare_sizes, len(frequent.flat) + np.cumsum(rare_sizes) - rare_sizes
-        flat = np.concatenate([frequent.flat, rare]) if len(holes) else frequent.flat
-        ends = np.cumsum(length)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)]
-        yield part.column("_key").filter(pa.array(texts)).combine_chunks(), ids, np.append(0, ends)[np.cumsum(sizes)]
+        numbers[holes] = -1 - np.arange(len(holes))
+        yield part.column("_key").filter(pa.array(texts)).combine_chunks(), numbers, sizes, *unpacked_rows(data.filter(pa.array(~texts)).to_pylist())
 
 
 class Table:
-    """Texts of ids by lookup of all of them at once: what stands for each id, one after the other."""
+    """Values by number, looked up many at a time: what stands for each, one after the other."""
 
-    def __init__(self, values: list[bytes]):
-        self.values = pa.array(values, pa.large_binary())
+    def __init__(self, values: list[bytes] | pa.Array):
+        self.values = values if isinstance(values, pa.Array) else pa.array(values, pa.large_binary())
 
-    def joined(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[memoryview]:
+    def by_word(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """For each word of ``sizes`` ids its values in one."""
         found = self.values.take(pa.array(ids))
-        offsets = np.frombuffer(found.buffers()[1], np.int64)[: len(ids) + 1]
-        data = memoryview(found.buffers()[2] or b"")
-        bounds = offsets[np.append(0, ends)].tolist()
-        for a, b in zip(bounds, bounds[1:], strict=False):
+        offsets = np.frombuffer(found.buffers()[1], np.int64)[: len(ids) + 1][np.append(0, np.cumsum(sizes))]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), found.buffers()[2] or pa.py_buffer(b"")])
+
+    def joined(self, numbers: np.ndarray, sizes: np.ndarray) -> Iterator[memoryview]:
+        """For each text of ``sizes`` numbers its values in one."""
+        whole = self.by_word(numbers, sizes)
+        offsets = np.frombuffer(whole.buffers()[1], np.int64)[: len(sizes) + 1].tolist()
+        data = memoryview(whole.buffers()[2])
+        for a, b in zip(offsets, offsets[1:], strict=False):
             yield data[a:b]
 
 
@@ -334,21 +394,37 @@ def _token_table(path: str) -> Table:
     return Table([t or b"" for t in Ranks(path).token])
 
 
-class _Finish:
-    """What a worker needs to put texts together: the frequent words, the bytes of every id and its decimal form."""
+class Finish:
+    """What a worker needs to put texts together: of every id its bytes and its decimal form, and both of every frequent word."""
 
-    def __init__(self, packed: bytes, path: str):
-        self.frequent = Frequent(packed)
-        self.frequent.numbers = {}
+    def __init__(self, packed: tuple[bytes, bytes], path: str):
+        self.frequent = f = Frequent(packed)
         tokens = Ranks(path).token
-        self.tokens = Table([t or b"" for t in tokens])
-        self.decimal = Table([b"%d " % k for k in range(len(tokens))])
+        self.tokens, self.decimal = Table([t or b"" for t in tokens]), Table([b"%d " % k for k in range(len(tokens))])
+        self.word_bytes, self.word_decimal = (t.by_word(f.flat, f.sizes) for t in (self.tokens, self.decimal))
+
+    def _at(self, numbers: np.ndarray) -> np.ndarray:
+        """Places in a table of the frequent words and then the rare ones."""
+        return np.where(numbers < 0, len(self.frequent.sizes) - 1 - numbers, numbers)
+
+    def ids(self, numbers: np.ndarray, sizes: np.ndarray, rare: np.ndarray, rare_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts end to end, how many each text has)."""
+        f, at = self.frequent, self._at(numbers)
+        length = np.append(f.sizes, rare_sizes)
+        start = np.append(f.starts, len(f.flat) + np.cumsum(rare_sizes) - rare_sizes)
+        return spread_out(np.concatenate([f.flat, rare]), start[at], length[at]), self.counts(numbers, sizes, rare_sizes)
+
+    def counts(self, numbers: np.ndarray, sizes: np.ndarray, rare_sizes: np.ndarray) -> np.ndarray:
+        upto = np.append(0, np.cumsum(np.append(self.frequent.sizes, rare_sizes)[self._at(numbers)]))
+        return np.diff(upto[np.append(0, np.cumsum(sizes))])
+
+    def joined(self, words: pa.Array, of_ids: Table, numbers: np.ndarray, sizes: np.ndarray, rare: np.ndarray, rare_sizes: np.ndarray) -> Iterator[memoryview]:
+        """Each text's words as they stand in ``words``, the rare ones by their ids."""
+        return Table(pa.concat_arrays([words, of_ids.by_word(rare, rare_sizes)])).joined(self._at(numbers), sizes)
 
 
 def _encoded(docs: DataFrame, key: str, text: str, vocabulary: str, finish: Callable, ddl: str, sample: int, most: int) -> DataFrame:
     """The rows that ``finish`` makes of (worker's tables, keys, ids, ends)."""
-    from quillon.llm.common import whole_groups
-
     Ranks(vocabulary_path(vocabulary))
     pattern = word_pattern()
     docs = bounded_batches(docs)
@@ -366,10 +442,10 @@ def _encoded(docs: DataFrame, key: str, text: str, vocabulary: str, finish: Call
     both = _numbered_texts(source, packed, pattern).unionByName(back)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = held(_Finish, packed, vocabulary_path(vocabulary))
+        tables = held(Finish, packed, vocabulary_path(vocabulary))
         for rows, _ in whole_groups(batches, ("row", "mark")):
-            for keys, ids, ends in _reassembled(rows, tables.frequent):
-                yield finish(tables, keys, ids, ends)
+            for keys, *words in _reassembled(rows):
+                yield finish(tables, keys, *words)
 
     dealt = both.repartition("row").sortWithinPartitions("row", "mark", "at")
     return dealt.mapInArrow(run, schema(ddl.format(kind=kind))).withColumnRenamed("_key", key)
@@ -381,14 +457,14 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "
     Special strings are ordinary text.  A null text counts as empty; empty texts have no tokens; a null key stays null;
     repeated keys and texts give repeated rows, an empty table none; further columns are ignored, whatever their names.
     ``docs`` is read three times (a sample, rare words, texts) and must give its rows in the same order each time, as a
-    table read from files does; else an error is raised, never a wrong row given.  Memory: SLICE_BYTES of text or one
+    table read from files does; else an error is raised, never a wrong row given.  Memory: GATHERED bytes of text or one
     longer text, STEP_WORDS words or one longer text, and the frequent words.
     """
 
-    def finish(tables, keys, ids, ends):
-        n = np.diff(np.append(0, ends))
-        decoded = [bytes(x) for x in tables.tokens.joined(ids, ends)]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
+    def finish(tables, keys, *words):
+        ids, n = tables.ids(*words)
+        decoded = [bytes(x) for x in tables.tokens.joined(ids, n)]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
         return pa.record_batch([keys, pa.array(n, pa.int64()), lists, pa.array(decoded, pa.binary())], names=["_key", "n_tokens", "ids", "decoded"])
 
     return _encoded(docs, key, text, vocabulary, finish, "_key {kind}, n_tokens bigint, ids array<int>, decoded binary", sample, most)
@@ -400,10 +476,11 @@ def encode_digests(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "do
     Odd rows as in ``encode_documents``; texts without tokens have the digests of empty strings.
     """
 
-    def finish(tables, keys, ids, ends):
-        n = np.diff(np.append(0, ends))
-        digests = [hashlib.sha256(x[:-1] if len(x) else x).hexdigest() for x in tables.decimal.joined(ids, ends)]
-        decoded = [hashlib.sha256(x).hexdigest() for x in tables.tokens.joined(ids, ends)]
+    def finish(tables, keys, numbers, sizes, rare, rare_sizes):
+        n = tables.counts(numbers, sizes, rare_sizes)
+        words = (numbers, sizes, rare, rare_sizes)
+        digests = [hashlib.sha256(x[:-1] if len(x) else x).hexdigest() for x in tables.joined(tables.word_decimal, tables.decimal, *words)]
+        decoded = [hashlib.sha256(x).hexdigest() for x in tables.joined(tables.word_bytes, tables.tokens, *words)]
         return pa.record_batch([keys, pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["_key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _encoded(docs, key, text, vocabulary, finish, "_key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", SAMPLE_ROWS, FREQUENT)
@@ -426,7 +503,7 @@ def decode_ids(rows: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids")
             if own.null_count or len(flat) and (flat.min() < 0 or flat.max() > most):
                 raise ValueError("ids that the vocabulary does not have")
             sizes = pc.fill_null(pc.list_value_length(given), 0).to_numpy(zero_copy_only=False)
-            texts = [None if v is None else bytes(x) for v, x in zip(given.is_valid().to_pylist(), tokens.joined(flat.astype(np.int64), np.cumsum(sizes)), strict=True)]
+            texts = [None if v is None else bytes(x) for v, x in zip(given.is_valid().to_pylist(), tokens.joined(flat.astype(np.int64), sizes), strict=True)]
             yield pa.record_batch([*b.columns, pa.array([None if not v else t for v, t in zip(given.is_valid().to_pylist(), texts, strict=True)], pa.binary())], names=[*b.schema.names, "decoded"])
 
     out = schema("decoded binary")

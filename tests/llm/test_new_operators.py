@@ -53,18 +53,46 @@ def library():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def packed(words, units):
+    """The tables of frequent words and stretches, as ``frequent_words`` gives them."""
+    import pyarrow as pa
+
+    ranks = B.Ranks(B.vocabulary_path())
+    one = pa.table({"word": pa.array(words, pa.string()), "ids": pa.array([B.packed_rows(np.array(i), [len(i)])[0] for i in (ranks.encode(w.encode()) for w in words)], pa.binary())})
+    two = pa.table({"unit": pa.array([*units], pa.string()), "words": pa.array([B.packed_rows(np.array(n), [len(n)])[0] for n in units.values()], pa.binary())})
+    return B._stream(one), B._stream(two)
+
+
 def test_words_and_merges_equal_library(library):
+    import pyarrow as pa
+
+    words = [" b", " ab", ","]
     ranks, rng = B.Ranks(B.vocabulary_path()), random.Random(5)
-    known = {" b": 1, " ab": 2, ",": 3}
-    names = {v: k for k, v in known.items()}
-    words = B.Words(known, B.word_pattern())
-    texts = [t for t in ODD if t] + ["".join(rng.choice("ab'stredvml  \n\t  é1２½٣.,!😀日\x1c\x85 İΣ") for _ in range(rng.randrange(40))) for _ in range(4000)]
-    for t in texts + ["a" * 3000, "xyz" * 900, "\n" * 700]:
-        words.rare = []
-        got = [i for x in words.cut(t).tolist() for i in ranks.encode((names[x] if x > 0 else words.rare[-1 - x]).encode())]
-        assert got == library.encode_ordinary(t), t
-    full = B.Words(known, B.word_pattern(), most=0)
-    assert full.cut("b ab b").tolist() == [-1, 2, 1] and not len(full)
+    texts = [t or "" for t in ODD] + ["".join(rng.choice("ab'stredvml  \n\t  é1２½٣.,!😀日\x1c\x85\x0b\xa0 İΣ") for _ in range(rng.randrange(40))) for _ in range(6000)]
+    texts += [" ".join(rng.choice(["b", "ab", "b,", "ab.", "x", "'s", "1a", "é", "\x0bq", "b\n\nb", "b\xa0c"]) for _ in range(rng.randrange(9))) for _ in range(3000)] + ["a" * 3000, "xyz" * 900, "\n" * 700]
+    for units in ({"b": [1], "ab": [2], "b,": [1, 3], "ab,": [2, 3]}, {"b": [1], "ab": [2]}):
+        numbers, sizes, rare = B.Cutter(packed(words, units), B.word_pattern()).cut(pa.array(texts))
+        at = 0
+        for t, n in zip(texts, sizes.tolist(), strict=True):
+            own = [words[x - 1] if x > 0 else rare[-1 - x] for x in numbers[at : at + n].tolist()]
+            assert [i for w in own for i in ranks.encode(w.encode())] == library.encode_ordinary(t), t
+            at += n
+        assert at == len(numbers) and [-1 - x for x in numbers.tolist() if x < 0] == [*range(len(rare))] and not set(rare) & set(words)
+    numbers, sizes, rare = B.Cutter(packed([], {}), B.word_pattern()).cut(pa.array(["b ab"]))
+    assert numbers.tolist() == [-1, -2] and rare == ["b", " ab"] and sizes.tolist() == [2]
+
+
+def test_every_character_is_cut_as_the_library_does(library):
+    import pyarrow as pa
+
+    cutter, ranks = B.Cutter(packed([], {}), B.word_pattern()), B.Ranks(B.vocabulary_path())
+    chars = [chr(c) for c in [*range(0x3100), *range(0x3100, 0x110000, 61)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{ch}1 {ch}{ch} b {ch}c\n{ch}" for ch in chars]
+    numbers, sizes, rare = cutter.cut(pa.array(texts))
+    at = 0
+    for t, n in zip(texts, sizes.tolist(), strict=True):
+        assert [i for x in numbers[at : at + n].tolist() for i in ranks.encode(rare[-1 - x].encode())] == library.encode_ordinary(t), repr(t)
+        at += n
 
 
 @pytest.mark.parametrize(("sample", "most"), [(B.SAMPLE_ROWS, B.FREQUENT), (60, 40), (1, 1)])
@@ -92,13 +120,12 @@ def test_byte_bpe_digests_and_decoding(spark, library):
 def test_byte_bpe_notices_another_order():
     import pyarrow as pa
 
-    frequent = B.Frequent.__new__(B.Frequent)
-    frequent.flat, frequent.sizes, frequent.starts = np.array([5]), np.array([0, 1]), np.array([0, 0])
     rows = lambda at, n, data: pa.table({"at": pa.array(at, pa.int32()), "n": pa.array(n, pa.int64()), "_key": pa.array([1] * len(at)), "data": pa.array(data, pa.binary())})
-    assert [x[1].tolist() for x in B._reassembled(rows([-1, 1], [3, None], [b"\x01\x00\x01", b"\x07\x08"]), frequent)] == [[5, 7, 8, 5]]
+    got = [[x.tolist() for x in parts] for _, *parts in B._reassembled(rows([-1, 1], [3, None], [b"\x01\x00\x01", b"\x07\x08"]))]
+    assert got == [[[1, -1, 1], [3], [7, 8], [2]]]
     for wrong in (rows([-1, 2], [3, None], [b"\x01\x00\x01", b"\x07"]), rows([-1], [3], [b"\x01\x00\x01"]), rows([1], [None], [b"\x07"])):
         with pytest.raises(RuntimeError):
-            list(B._reassembled(wrong, frequent))
+            list(B._reassembled(wrong))
 
 
 # -- ranked search -----------------------------------------------------------------------------------------------------
