@@ -21,27 +21,24 @@ def extract(a) -> None:
 
 
 def reason(a) -> None:
-    """Entails, explains and asks; an inconsistent ontology gives its clashes and nothing else (FLT-15)."""
-    from quillon.operators import explain as X
-    from quillon.operators import questions as Q
-    from quillon.operators import reasoning as R
-    from quillon.operators import tags as T
+    """Entails, explains and asks, each file as an ontology of its own; inconsistent ones give their clashes and nothing else (FLT-15)."""
+    from quillon.plans import reasoner
     from quillon.plans.lineage import settle
-    from quillon.sources.rdf import graph_of, read_rdf
-    from quillon.sources.text import write_questions
+    from quillon.sources.rdf import read_rdf
+    from quillon.sources.text import explanation_json, write_explanations, write_questions
 
     spark = local_session("reason")
-    g = graph_of(read_rdf(spark, a.input, a.recursive))
-    m = R.materialize(g, existentials=a.existentials, equality=not a.no_equality)
-    found = settle(R.clashes(m, m.types, m.relations, m.same))
-    if not found.isEmpty():
-        found.write.mode("overwrite").json(f"{a.output}/clashes")
-        print(f"inconsistent ontology: {a.input}; see {a.output}/clashes")
+    r = reasoner.reason(read_rdf(spark, a.input, a.recursive), a.existentials, not a.no_equality)
+    if not r.clashes.isEmpty():
+        r.clashes.write.mode("overwrite").json(f"{a.output}/clashes")
+        for row in r.clashes.groupBy("graph_id").count().orderBy("graph_id").limit(20).collect():
+            print(f"inconsistent ontology: {row['graph_id']}; see {a.output}/clashes")
+    if r.facts.isEmpty():
         return
-    f = X.Facts(g, g.types, g.relations, settle(R.named_types(g, m.types).select("s", "c")), settle(R.named_relations(m.relations.select("s", "p", "o"))))
-    paths = settle(T.with_tags(X.deduplicate(X.explain_all(f))))
-    paths.write.mode("overwrite").parquet(f"{a.output}/explanations")
-    write_questions(Q.ask(Q.inferences(f)).unionByName(Q.select_(Q.inferences(f))), f"{a.output}/questions", "overwrite")
+    r.paths.write.mode("overwrite").parquet(f"{a.output}/explanations")
+    questions = settle(reasoner.question_rows(r, a.label))
+    write_questions(questions, f"{a.output}/questions", "overwrite")
+    write_explanations(explanation_json(reasoner.explanation_rows(r, questions)), f"{a.output}/explanations_json")
 
 
 def sample(a) -> None:
@@ -108,7 +105,7 @@ def main(argv: list[str] | None = None) -> None:
     sub = p.add_subparsers(required=True)
     flag = {"action": "store_true"}
     for name, f, extra in (
-        ("extract", extract, [("--hops", {"type": int, "default": 2}), ("--with-schema", flag)]), ("reason", reason, [("--existentials", flag), ("--no-equality", flag)]),
+        ("extract", extract, [("--hops", {"type": int, "default": 2}), ("--with-schema", flag)]), ("reason", reason, [("--existentials", flag), ("--no-equality", flag), ("--label", {"default": "1hop"})]),
         ("sample", sample, [("--test-size", {"type": float, "default": 0.95}), ("--seed", {"type": int, "default": 42})]), ("repair", repair, [("--validate", flag)]),
         ("evaluate", evaluate, []), ("verbalize", verbalize, [("--name", {"default": "ontology"}), ("--lines", flag), ("--metadata", {})]), ("abstract", abstract, []),
     ):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,33 +138,77 @@ def _free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Up to so many names every task holds them as a trie; more meet the texts' word runs in a join.
+TRIE_NAMES = 1 << 17
+
+
+def trie_of(names: Iterable[tuple[list[str], str]]) -> dict:
+    """A trie over tokens; what stands for a name is at the key None of its last node."""
+    root: dict = {}
+    for tokens, new in names:
+        node = root
+        for t in tokens:
+            node = node.setdefault(t, {})
+        node[None] = new
+    return root
+
+
+def walked(tokens: list[str], trie: dict) -> str:
+    """The tokens with names replaced: from each place the longest name, then on behind it.
+
+    A place looks no further than the longest name that begins as the text does, so work grows with the text.
+    """
+    out, i, n = [], 0, len(tokens)
+    while i < n:
+        node, k, new, end = trie, i, None, i + 1
+        while k < n and (node := node.get(tokens[k])) is not None:
+            k += 1
+            if None in node:
+                new, end = node[None], k
+        out.append(tokens[i] if new is None else new)
+        i = end
+    return "".join(out)
+
+
 def rewrite(df: DataFrame, text: str, m: DataFrame) -> DataFrame:
     """ABS-9 .. ABS-11: names in the text by their abstract names; a null text is empty.
 
     A name stands where its words and the characters between them stand whole; of names that begin at one place the
-    longest counts.  Names are looked up by a join of the distinct word runs, not by one alternation of all names, and go
-    back into their places within the row; so neither the number of names nor the length of a text bounds it.
+    longest counts.  Texts are walked along a trie of the names: of all names up to TRIE_NAMES, else of those that a join of
+    the text's distinct word runs finds.  So neither the number of names nor the length of a text bounds it.
     """
-    most = m.agg(F.max(F.size(F.regexp_extract_all("original", F.lit(_TOKENS), F.lit(0))))).first()[0] or 1
-    row, tok, found_map = _free(df, "_row", "_tok", "_map")
-    rows = df.withColumn(text, F.coalesce(text, F.lit(""))).withColumn(row, F.xxhash64(*df.columns))
-    parts = rows.withColumn(tok, F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)))
-    run = lambda i, k: F.array_join(F.slice(F.col(tok), i + 1, k), "")  # noqa: E731  k tokens from the i-th, from 0
-    sizes = F.array(*[F.lit(k) for k in range(most, 0, -1)])
+    tokens_of = lambda c: F.regexp_extract_all(c, F.lit(_TOKENS), F.lit(0))
+    names = m.select("original", "abstract_name", tokens_of(F.col("original")).alias("tokens")).where("size(tokens) > 0")
+    tok, row, found = _free(df, "_tok", "_row", "_found")
+    parts = df.withColumn(tok, tokens_of(F.coalesce(text, F.lit(""))))
+    if names.count() <= TRIE_NAMES:
+        held = names.select("tokens", "abstract_name").toArrow()  # bounded by TRIE_NAMES
+        shared = df.sparkSession.sparkContext.broadcast(list(zip(held.column(0).to_pylist(), held.column(1).to_pylist(), strict=True)))
+        return _rewritten(parts, df, text, tok, None, shared)
+    sizes = sorted(r[0] for r in names.select(F.size("tokens")).distinct().collect())  # numbers of words in a name
+    parts = parts.withColumn(row, F.xxhash64(*parts.columns))
     places = F.sequence(F.lit(0), F.size(tok) - 1)
-    runs = F.when(F.size(tok) > 0, F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(sizes, lambda k: run(i, k))))))
-    words = parts.select(row, F.explode(runs).alias("original")).distinct().join(m.select("original", "abstract_name"), "original")
-    found = words.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("original", "abstract_name"))).alias(found_map))
-    out = parts.join(found, row, "left")
-    start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("said"))
-
-    def step(acc: Column, i: Column) -> Column:
-        hit = F.get(F.filter(sizes, lambda k: F.map_contains_key(F.col(found_map), run(i, k)) & (F.size(F.slice(F.col(tok), i + 1, k)) == k)), F.lit(0))
-        said = F.coalesce(F.try_element_at(F.col(found_map), run(i, F.coalesce(hit, F.lit(1)))), run(i, F.lit(1)))
-        return F.when(acc["skip"] > 0, F.struct((acc["skip"] - 1).alias("skip"), acc["said"].alias("said"))).otherwise(F.struct((F.coalesce(hit, F.lit(1)) - 1).alias("skip"), F.concat(acc["said"], F.array(said)).alias("said")))
-
-    new = F.when(F.col(found_map).isNull(), F.col(text)).otherwise(F.array_join(F.aggregate(places, start, step)["said"], ""))
-    return out.withColumn(text, new).select(*df.columns)
+    run = lambda i, k: F.array_join(F.slice(F.col(tok), i + 1, k), "")  # noqa: E731  k tokens from the i-th, from 0
+    runs = F.when(F.size(tok) > 0, F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.array(*[F.lit(k) for k in sizes]), lambda k: run(i, k))))))
+    words = parts.select(row, F.explode(runs).alias("original")).distinct().join(names, "original")
+    own = words.groupBy(row).agg(F.collect_list(F.struct("tokens", "abstract_name")).alias(found))
+    return _rewritten(parts.join(own, row, "left").drop(row), df, text, tok, found, None)
+
+
+def _rewritten(parts: DataFrame, df: DataFrame, text: str, tok: str, found: str | None, shared) -> DataFrame:
+    names, kept = parts.columns, df.columns
+    at = kept.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = None if shared is None else trie_of(shared.value)
+        for b in batches:
+            tokens = b.column(names.index(tok)).to_pylist()
+            own = [every] * len(tokens) if found is None else [trie_of((x["tokens"], x["abstract_name"]) for x in f or ()) for f in b.column(names.index(found)).to_pylist()]
+            columns = [b.column(names.index(c)) for c in kept]
+            columns[at] = pa.array([walked(t or [], trie) for t, trie in zip(tokens, own, strict=True)], pa.string())
+            yield pa.record_batch(columns, names=kept)
+
+    return parts.mapInArrow(run, df.schema)
 
 
 def rewrite_turtle(files: DataFrame, text: str, m: DataFrame, mode: str, name: str) -> DataFrame:

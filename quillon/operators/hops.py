@@ -37,6 +37,44 @@ def hop(g: Graph, k: int, start: Column | None = None) -> DataFrame:
     return near.join(one.select(F.col("x").alias("y"), "axiom"), "y").select("x", "axiom").distinct()
 
 
+def hop2_blocks(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """JN-2 without its product: (x, y) for the individuals y of the axioms of x, and (y, axiom) for the axioms of y.
+
+    The two-hop module of x is the union of the blocks of its y; a block is written once, however many modules share it,
+    so a hub of n individuals costs n rows and not their square.
+    """
+    two = axioms(g).where("size(individuals) > 1").distinct()
+    ends = two.select(F.explode("individuals").alias("x"), "individuals")
+    near = ends.select("x", F.explode("individuals").alias("y")).unionByName(mentions(g).select("x", F.col("x").alias("y"))).distinct()
+    return near, mentions(g).withColumnRenamed("x", "y")
+
+
+def hop2_counts(g: Graph) -> DataFrame:
+    """(x, n_axioms): the number of axioms of each two-hop module, from degrees alone.
+
+    The degrees of x's neighbours (and its own) add up to each axiom once for every individual it has among them.  An
+    axiom has two at most, so those between two of them are taken off once: the axioms of x itself that have two, and those
+    between two neighbours, which are the triangles at x, found from each edge over its end of lower degree.
+    """
+    one = mentions(g)
+    degree = one.groupBy("x").agg(F.count("*").alias("n"))
+    two = settle(axioms(g).where("size(individuals) > 1").distinct().select("axiom", F.array_min("individuals").alias("a"), F.array_max("individuals").alias("b")))
+    edge = settle(two.groupBy("a", "b").agg(F.count("*").alias("m")))
+    both = edge.unionByName(edge.select(F.col("b").alias("a"), F.col("a").alias("b"), "m"))
+    of = degree.withColumnRenamed("x", "b").withColumnRenamed("n", "d")
+    summed = both.join(of, "b").groupBy(F.col("a").alias("x")).agg((F.sum("d") - F.sum("m")).alias("n"))
+    # Triangles: both other ends of an edge's lower end are sought, so a hub is met from its neighbours.
+    rank = settle(both.join(of, "b").select(F.col("b").alias("v"), F.col("d")).distinct())
+    low = edge.join(rank.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(rank.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
+    first = F.struct(F.col("da").alias("d"), F.col("a").alias("v")) < F.struct(F.col("db").alias("d"), F.col("b").alias("v"))
+    out = settle(low.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"), "m"))
+    pair = out.alias("p").join(out.alias("q"), (F.col("p.u") == F.col("q.u")) & (F.col("p.v") < F.col("q.v"))).select(F.col("p.u").alias("u"), F.col("p.v").alias("a"), F.col("q.v").alias("b"), F.col("p.m").alias("ua"), F.col("q.m").alias("ub"))
+    closed = pair.join(edge, ["a", "b"])
+    inner = closed.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m")), F.struct(F.col("b").alias("x"), F.col("ua").alias("m")), F.struct(F.col("a").alias("x"), F.col("ub").alias("m")))).alias("t")).groupBy("t.x").agg(F.sum("t.m").alias("k"))
+    rows = degree.join(summed.withColumnRenamed("n", "more"), "x", "left").join(inner, "x", "left")
+    return rows.select("x", (F.col("n") + F.coalesce("more", F.lit(0)) - F.coalesce("k", F.lit(0))).alias("n_axioms"))
+
+
 def neighbours(g: Graph) -> DataFrame:
     """JN-4: (s, o) in both directions, of relations and of asserted equalities."""
     e = g.relations.select("s", "o")

@@ -53,20 +53,27 @@ def inferences(f) -> DataFrame:
     return t.select(F.split("s", "/")[0].alias("root"), "s", "p", "o")
 
 
-def ask(inf: DataFrame) -> DataFrame:
-    """One BIN row for each inference (PRJ-6, PRJ-8)."""
+def ask(inf: DataFrame, label: str = "1hop", *more: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One BIN row for each inference (PRJ-6, PRJ-8); ``more`` and ``keep`` are columns that stay."""
     return inf.select(
-        task_id(F.col("root"), F.col("s"), F.col("p"), F.lit("BIN")).alias("task_id"), F.col("root").alias("root_entity"), task_type(F.col("p")).alias("task_type"), F.lit("BIN").alias("answer_type"),
-        F.concat(F.lit("ASK WHERE { "), _iri(F.col("s")), F.lit(" "), _predicate(F.col("p")), F.lit(" "), _iri(F.col("o")), F.lit(" }")).alias("sparql_query"), F.col("p").alias("predicate"), F.lit("TRUE").alias("answer"),
+        task_id(F.col("root"), F.col("s"), F.col("p"), F.lit("BIN"), label).alias("task_id"), F.col("root").alias("root_entity"), task_type(F.col("p")).alias("task_type"), F.lit("BIN").alias("answer_type"),
+        F.concat(F.lit("ASK WHERE { "), _iri(F.col("s")), F.lit(" "), _predicate(F.col("p")), F.lit(" "), _iri(F.col("o")), F.lit(" }")).alias("sparql_query"), F.col("p").alias("predicate"), F.lit("TRUE").alias("answer"), *more, *keep,
     )
 
 
-def select_(inf: DataFrame) -> DataFrame:
-    """One MC row for each (root, s, p) with several objects, its answers sorted (AGG-3)."""
+def select_query(s: Column, p: Column) -> Column:
+    """The query for all objects of a subject and property."""
+    return F.concat(F.lit("SELECT ?x WHERE { "), _iri(s), F.lit(" "), _predicate(p), F.lit(" ?x }"))
+
+
+def select_(inf: DataFrame, label: str = "1hop", more: DataFrame | None = None) -> DataFrame:
+    """One MC row for each (root, s, p) with several objects, its answers sorted (AGG-3); ``more`` adds its columns by (root, s, p)
+    and leaves out what it does not have."""
     many = inf.groupBy("root", "s", "p").agg(F.array_sort(F.collect_set("o")).alias("os")).where("size(os) > 1")
+    many = many if more is None else many.join(more, ["root", "s", "p"])
     return many.select(
-        task_id(F.col("root"), F.col("s"), F.col("p"), F.lit("MC")).alias("task_id"), F.col("root").alias("root_entity"), task_type(F.col("p")).alias("task_type"), F.lit("MC").alias("answer_type"),
-        F.concat(F.lit("SELECT ?x WHERE { "), _iri(F.col("s")), F.lit(" "), _predicate(F.col("p")), F.lit(" ?x }")).alias("sparql_query"), F.col("p").alias("predicate"), F.array_join("os", "; ").alias("answer"),
+        task_id(F.col("root"), F.col("s"), F.col("p"), F.lit("MC"), label).alias("task_id"), F.col("root").alias("root_entity"), task_type(F.col("p")).alias("task_type"), F.lit("MC").alias("answer_type"),
+        select_query(F.col("s"), F.col("p")).alias("sparql_query"), F.col("p").alias("predicate"), F.array_join("os", "; ").alias("answer"), *([] if more is None else [c for c in more.columns if c not in ("root", "s", "p")]),
     )
 
 

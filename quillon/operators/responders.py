@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -79,23 +81,56 @@ def responder_for(text: str, clients: dict[str, Responder]) -> Responder:
     return clients[provider]
 
 
-def run_questions(questions: DataFrame, models: list[str], ask: Responder = offline, done: DataFrame | None = None, workers: int = 8) -> DataFrame:
+class Pace:
+    """Lets calls begin no faster than ``rate`` a second, whichever thread makes them; None does not hold any."""
+
+    def __init__(self, rate: float | None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.gap, self.clock, self.sleep = (1 / rate if rate else 0.0), clock, sleep
+        self.lock, self.next = threading.Lock(), 0.0
+
+    def wait(self) -> None:
+        if not self.gap:
+            return
+        with self.lock:
+            now = self.clock()
+            at = max(now, self.next)
+            self.next = at + self.gap
+        if at > now:
+            self.sleep(at - now)
+
+
+def run_questions(
+    questions: DataFrame, models: list[str], ask: Responder = offline, done: DataFrame | None = None, workers: int = 8, calls: int = 4, rate: float | None = None, tries: int = 3, wait: float = 2.0
+) -> DataFrame:
     """Rows (task_id, model, response, seconds) for questions (task_id, prompt) not yet in ``done``.
 
-    The model list is a parameter, so its product with the questions is bounded by it; ``workers`` partitions bound how many calls run
-    at once.
+    The model list is a parameter, so its product with the questions is bounded by it.  ``workers`` partitions keep ``calls``
+    calls in flight each; together they begin at most ``rate`` calls a second, as each keeps to its part of it.  A call is
+    tried ``tries`` times (``patient``); what fails for good is a row with an error text, so no task fails for it.
     """
     tasks = questions.select("task_id", "prompt", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
     if done is not None:
         tasks = tasks.join(done.select("task_id", "model"), ["task_id", "model"], "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for task, prompt, model in zip(b["task_id"], b["prompt"], b["model"], strict=True):
-                began = time.time()
-                rows.append((task, model, ask(model, prompt), time.time() - began))
-            yield pd.DataFrame(rows, columns=["task_id", "model", "response", "seconds"])
+        pace = Pace(rate / workers if rate else None)
+
+        def paced(model: str, prompt: str) -> str:
+            pace.wait()
+            return ask(model, prompt)
+
+        one = patient(paced, tries, wait)
+
+        def timed(model: str, prompt: str) -> tuple[str, float]:
+            began = time.time()
+            return one(model, prompt), time.time() - began
+
+        with ThreadPoolExecutor(calls) as pool:
+            for b in batches:
+                for k in range(0, len(b), 64 * calls):  # answers leave in order, some at a time
+                    part = b.iloc[k : k + 64 * calls]
+                    got = list(pool.map(timed, part["model"], part["prompt"]))
+                    yield pd.DataFrame({"task_id": part["task_id"].to_numpy(), "model": part["model"].to_numpy(), "response": [r for r, _ in got], "seconds": [s for _, s in got]})
 
     kind = questions.schema["task_id"].dataType.simpleString()
     return tasks.select("task_id", "prompt", "model").repartition(workers, "task_id", "model").mapInPandas(run, f"task_id {kind}, model string, response string, seconds double")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType
 
 from quillon.plans.skew import running
@@ -83,15 +87,34 @@ def bootstrap_ci(df: DataFrame, group: str, key: str, value: str, samples: int =
     """STAT-6: percentile interval of the mean, seeded, by the Poisson bootstrap.
 
     Sample b weighs a row by Poisson(1) of the number (h1 + b h2) mod a prime, h1 and h2 from the md5 of seed and key; so
-    rows draw alone, and only sums of each group and sample leave a task.  Null values are no rows.
+    rows draw alone.  A task adds its rows into one array of sums a group, and only these arrays leave it.  Null values are no rows.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     half = lambda k: F.pmod(F.conv(F.substring(digest, k, 8), 16, 10).cast("bigint"), F.lit(_PRIME))
-    rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"), half(1).alias("h1"), half(9).alias("h2"))
-    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("u", F.pmod(F.col("h1") + F.col("b") * F.col("h2"), F.lit(_PRIME)) / float(_PRIME))
-    weight = sum((F.col("u") >= x).cast("int") for x in _POISSON)
-    means = drawn.withColumn("k", weight).groupBy(group, "b").agg(F.sum(F.col("k") * F.col("v")).alias("s"), F.sum("k").alias("n")).where("n > 0")
-    return means.groupBy(group).agg(F.round(F.percentile(F.col("s") / F.col("n"), 0.025), 6).alias("low"), F.round(F.percentile(F.col("s") / F.col("n"), 0.975), 6).alias("high"))
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), half(1).alias("h1"), half(9).alias("h2"))
+    kind = rows.schema["g"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns, held = np.arange(1, samples + 1), {}
+        for b in batches:
+            v, h1, h2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("v", "h1", "h2"))
+            codes = b.column("g").dictionary_encode()
+            at = codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
+            for c, name in enumerate([*codes.dictionary.to_pylist(), None]):
+                own = np.flatnonzero(at == c)
+                for k in range(0, len(own), 512):
+                    some = own[k : k + 512]
+                    u = ((h1[some, None] + turns * h2[some, None]) % _PRIME) / float(_PRIME)
+                    weight = np.searchsorted(_POISSON, u, side="right")
+                    s, n = held.setdefault(name, (np.zeros(samples), np.zeros(samples, np.int64)))
+                    s += v[some] @ weight
+                    n += weight.sum(0)
+        if held:
+            yield pa.record_batch([pa.array([*held], to_arrow_type(kind)), pa.array([s for s, _ in held.values()], pa.list_(pa.float64())), pa.array([n for _, n in held.values()], pa.list_(pa.int64()))], names=["g", "s", "n"])
+
+    sums = rows.mapInArrow(run, f"g {kind.simpleString()}, s array<double>, n array<bigint>")
+    means = sums.select("g", F.posexplode(F.arrays_zip("s", "n")).alias("b", "x")).groupBy("g", "b").agg(F.sum("x.s").alias("s"), F.sum("x.n").alias("n")).where("n > 0")
+    return means.groupBy(F.col("g").alias(group)).agg(F.round(F.percentile(F.col("s") / F.col("n"), 0.025), 6).alias("low"), F.round(F.percentile(F.col("s") / F.col("n"), 0.975), 6).alias("high"))
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, pairs: list[tuple[str, str]] | None = None, least: int = 30) -> DataFrame:

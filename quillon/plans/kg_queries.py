@@ -79,7 +79,7 @@ _HOP2 = """, ax(id, i) AS (SELECT p || '|' || s || '|' || o, s FROM asserted_rel
 
 @query("hop2_abox", kg_sql("SELECT x, count(*) AS n_axioms FROM (SELECT DISTINCT n.x, d.id FROM (SELECT DISTINCT a.i AS x, b.i AS y FROM ax a JOIN ax b ON a.id = b.id) n JOIN ax d ON n.y = d.i) GROUP BY x").replace("\nSELECT x, count", _HOP2 + "\nSELECT x, count", 1))
 def hop2_abox(spark, d):
-    return H.hop(core_graph(spark, d), 2).groupBy("x").agg(F.count("*").alias("n_axioms"))
+    return H.hop2_counts(core_graph(spark, d))
 
 
 @query("hop3_bfs", kg_sql("SELECT x, count(*) AS n_reached FROM (SELECT DISTINCT 'region/' || r_regionkey AS x, 'region/' || r_regionkey AS y FROM region UNION SELECT 'region/' || n_regionkey, 'nation/' || n_nationkey FROM nation UNION SELECT 'region/' || n_regionkey, 'customer/' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT 'region/' || n_regionkey, 'supplier/' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT 'region/' || n_regionkey, 'order/' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) GROUP BY x"))

@@ -168,3 +168,89 @@ def test_axioms_of_files(spark, tmp_path):
     assert {a for _, a, *_ in by("different")} == set("xyz") and {(a, at) for i, a, _, at, _ in by("disjoint") if not i.startswith("union")} == {("F", 0), ("G", 1), ("H", 2)}
     assert {(a, b, n) for _, a, b, _, n in by("max")} == {("p", "B", 1)} and {(a, b) for _, a, b, *_ in by("some")} == {("p", "B")} and by("transitive") == {(None, "p", None, None, None)}
     assert len(by("not")) == 2 and ("_:or of E" in {b for _, a, b, *_ in by("equivalent") if a == "E"})
+
+
+def test_two_hop_counts_equal_modules(spark):
+    rng = random.Random(12)
+    for n, m in ((1, 0), (4, 9), (9, 30), (14, 25)):
+        types = sorted({(f"i{rng.randrange(n)}", rng.choice("AB")) for _ in range(n)})
+        relations = sorted({(f"i{rng.randrange(n)}", rng.choice("pq"), f"i{rng.randrange(n)}") for _ in range(m)})
+        g = Graph(spark.createDataFrame(types, "s string, c string"), spark.createDataFrame(relations, "s string, p string, o string"), Schema())
+        want = {r["x"]: r["count"] for r in H.hop(g, 2).groupBy("x").count().collect()}
+        assert dict(rows(H.hop2_counts(g))) == want
+        near, blocks = H.hop2_blocks(g)
+        assert rows(near.join(blocks, "y").select("x", "axiom").distinct()) == rows(H.hop(g, 2).select("x", "axiom"))
+
+
+def test_rewriting_takes_time_in_proportion(spark, monkeypatch):
+    import time
+
+    from quillon.operators import abstraction as B
+
+    names = [("Foo", "C1"), ("Foo bar", "C2"), ("a-b", "P1"), ("bar", "C3"), ("Foo bar baz", "C4")]
+    m = spark.createDataFrame(names, "original string, abstract_name string")
+    said = "Foo bar, Food a-b bar Foo bar ba Foo bar baz.\n"
+    want = "C2, Food P1 C3 C2 ba C4.\n"
+    df = spark.createDataFrame([(said, 1), (None, 2), ("", 3), (said * 25_000, 4)], "t string, n int")  # the last is over 1 MB
+    for most in (B.TRIE_NAMES, 0):
+        monkeypatch.setattr(B, "TRIE_NAMES", most)
+        few = df if most else df.where("n < 4")
+        began = time.time()
+        got = {r["n"]: r["t"] for r in B.rewrite(few, "t", m).collect()}
+        assert time.time() - began < 90 and got[1] == want and got[2] == got[3] == "" and got.get(4, want * 25_000) == want * 25_000
+
+
+def test_calls_in_flight_are_bounded_and_paced(spark):
+    from quillon.operators import responders as A
+
+    clock = [0.0]
+    pace = A.Pace(4.0, lambda: clock[0], lambda s: clock.__setitem__(0, clock[0] + s))
+    for _ in range(9):
+        pace.wait()
+    assert clock[0] == 2.0
+    q = spark.createDataFrame([(f"t{k}", f"prompt {k}") for k in range(40)], "task_id string, prompt string")
+
+    def moody(model: str, prompt: str) -> str:
+        import time
+
+        time.sleep(0.05)
+        if prompt.endswith("7"):
+            raise A.PermanentError("no")
+        return A.offline(model, prompt)
+
+    got = {(r["task_id"], r["model"]): r["response"] for r in A.run_questions(q, ["a", "b"], moody, workers=2, calls=5, wait=0.0).collect()}
+    assert len(got) == 80 and all((v == "[ERROR] no") == k[0].endswith("7") for k, v in got.items())
+    assert all(v == A.offline(m, f"prompt {t[1:]}") for (t, m), v in got.items() if not t.endswith("7"))
+
+
+def test_commands_feed_each_other(spark, tmp_path, monkeypatch):
+    """reason on a folder with an inconsistent file, sample on its questions, its explanations read again."""
+    import json
+
+    from quillon import cli
+    from quillon.sources import text as S
+
+    monkeypatch.setattr(cli, "local_session", lambda name: spark)
+    (tmp_path / "in").mkdir()
+    schema = "a:Man rdfs:subClassOf a:Person . a:Father rdfs:subClassOf a:Man . a:p rdfs:subPropertyOf a:q ; rdfs:domain a:Father ; owl:inverseOf a:c . a:q a owl:TransitiveProperty . "
+    people = " ".join(f"a:i{k} a a:Father ; a:p a:i{k + 1} ." for k in range(8))
+    folder(tmp_path / "in", one=schema + people, two=schema + "a:i1 a a:Father ; a:p a:j .", bad=schema + "a:Man owl:disjointWith a:Father . a:z a a:Father .")
+    at = lambda name: str(tmp_path / name)
+    cli.main(["reason", at("in"), at("r")])
+    assert {r["graph_id"] for r in spark.read.json(at("r/clashes")).collect()} == {"bad"}
+    q = S.read_questions(spark, at("r/questions")).collect()
+    by = {r["SPARQL Query"]: r for r in q}
+    assert len(by) == len(q) and {r["Root Entity"] for r in q} == {"one", "two"}  # each query once, for its first file
+    one = by["ASK WHERE { <i1> rdf:type <Person> }"]
+    assert one["Root Entity"] == "one" and one["Size of ontology TBox"] == 6 and one["Size of ontology ABox"] == 9 and one["Task ID"] == "1hop-one_i1-i1-rdf:type-BIN" and 0 < one["Min Tag Length"] <= one["Max Tag Length"]
+    assert by["SELECT ?x WHERE { <i6> <q> ?x }"]["Answer"] == "i7; i8" and by["ASK WHERE { <i1> <p> <j> }"]["Root Entity"] == "two"
+    told = json.loads("\n".join(p.read_text() for p in sorted((tmp_path / "r" / "explanations_json").glob("part-*"))))
+    e = told["i1|rdf:type|Person"]
+    assert e["size"]["min"] <= e["size"]["max"] and e["explanationCount"] == len(e["explanations"]) and all(x[-1].startswith("TAG:") for x in e["explanations"])
+    assert ["i1 rdf:type Father", "Father rdfs:subClassOf Man", "Man rdfs:subClassOf Person", "TAG:DHH"] in e["explanations"] and "1hop-one_i1-i1-rdf:type-BIN" in e["taskIds"]
+    assert not any("//" in json.dumps(x) for x in told.values()) and not any(k.startswith("z|") for k in told)
+    cli.main(["sample", at("r/questions"), at("s"), "--test-size", "0.3"])
+    kept = S.read_questions(spark, at("s")).collect()
+    assert 0 < len(kept) < len(q) and {r["SPARQL Query"] for r in kept} <= set(by) and kept[0]["Task Type"] in ("Membership", "Property Assertion")
+    # One question by hand: every fact that a file entails and explains is asked once.
+    assert {k for k in told} >= {f"i{k}|rdf:type|Person" for k in range(8)} | {"i1|q|i3", "i2|c|i1", "i1|p|j"}
