@@ -372,7 +372,7 @@ _TAGGED = " UNION ALL ".join(f"SELECT s, p, o, justification, {tag} AS tag FROM
 
 
 def tagged(spark, d) -> DataFrame:
-    return T.with_tags(X.explain_all(facts(spark, d), [*_TAGS])).withColumn("justification", F.array_join("justifications", "; "))
+    return T.with_shared_tags(X.explain_all(facts(spark, d), [*_TAGS])).withColumn("justification", F.array_join("justifications", "; "))
 
 
 @query("tag_axioms", f"SELECT s, p, o, justification, tag FROM ({_TAGGED})")

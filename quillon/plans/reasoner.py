@@ -66,7 +66,7 @@ def reason(triples: DataFrame, existentials: bool = False, equality: bool = True
     sized = M.graph_sizes(every).where("kind IN ('individuals', 'classes', 'properties')")
     abox = F.col("kind") == "individuals"
     sizes = sized.groupBy("graph_id").agg(F.sum(F.when(~abox, F.col("n"))).cast("int").alias("tbox"), F.sum(F.when(abox, F.col("n"))).cast("int").alias("abox"))
-    return Reasoned(clashes, settle(facts), settle(T.with_tags(paths)), settle(sizes))
+    return Reasoned(clashes, settle(facts), T.with_shared_tags(paths), settle(sizes))
 
 
 def question_rows(r: Reasoned, label: str = "1hop") -> DataFrame:

@@ -156,6 +156,29 @@ def test_tags(spark, axioms, said, want):
     assert T.with_tags(df).first()["tag"] == want
 
 
+def test_shared_tags_equal_own_tags(spark, monkeypatch):
+    """Tags by shape and tags row by row, with names that hold words of the rules, end in a or in digits, or repeat."""
+    import random
+
+    rng = random.Random(3)
+    names = ["x1", "x2", "customer/17", "inverse7", "min2", "data", "a", "9", "subclassof1", "ada 1", "domain(3", "Range"]
+    rows = []
+    for _ in range(400):
+        ax, said = [], []
+        for kind, args, text in rng.sample([("PropertyAssertion", 3, "{1} {0} {2}"), ("ClassAssertion", 2, "{1} rdf:type {0}"), ("SubClassOf", 2, "{0} SubClassOf {1}"), ("Domain", 2, "domain({0}) = {1}"), ("Expression", 2, "some {0}.{1} restriction satisfied by {0}"), ("InverseProperties", 2, "{0} owl:inverseOf {1}"), ("Expression", 1, "min {0} max {0}")], rng.randrange(4)):
+            who = [rng.choice(names) for _ in range(args)]
+            ax += [(kind, who)] * rng.choice([1, 1, 2]) if rng.random() < 0.8 else []
+            said += [text.format(*who)] if rng.random() < 0.8 else []
+        rows.append((len(rows), ax, said))
+    df = spark.createDataFrame(rows, "k int, axioms array<struct<kind:string,args:array<string>>>, justifications array<string>")
+    want = {r["k"]: r["tag"] for r in T.with_tags(df).collect()}
+    shared = T.with_shared_tags(df)
+    assert {r["k"]: r["tag"] for r in shared.collect()} == want and shared.columns == ["k", "axioms", "justifications", "tag"]
+    assert df.select(T.shape(F.col("axioms"), F.col("justifications"))).distinct().count() < 390
+    monkeypatch.setattr(T, "SHAPES", 0)
+    assert {r["k"]: r["tag"] for r in T.with_shared_tags(df).collect()} == want
+
+
 def test_dedup_is_stable(spark):
     g = graph(spark, [("a", "A")], [("a", "p", "b"), ("a", "p", "c")], domain=[("p", "A")])
     f = X.Facts(g, g.types, g.relations, g.types, g.relations)
