@@ -119,12 +119,12 @@ class Frequent:
     def __init__(self, packed: tuple[bytes, bytes]):
         words, units = (pa.ipc.open_stream(x).read_all().combine_chunks() for x in packed)
         self.words = words.column("word").combine_chunks()
-        self.flat, self.sizes, self.starts = self._rows(words.column("ids").to_pylist(), 1)
+        self.flat, self.sizes, self.starts = self._rows(words.column("ids"), 1)
         self.units = units.column("unit").combine_chunks()
-        self.unit_words, self.unit_sizes, self.unit_starts = self._rows(units.column("words").to_pylist(), 0)
+        self.unit_words, self.unit_sizes, self.unit_starts = self._rows(units.column("words"), 0)
 
     @staticmethod
-    def _rows(packs: list[bytes], ahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _rows(packs: pa.Array, ahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flat, sizes = unpacked_rows(packs)
         sizes = np.append(np.zeros(ahead, np.int64), sizes)
         return flat, sizes, np.cumsum(sizes) - sizes
@@ -148,11 +148,10 @@ class Cutter:
 
         self.find = regex.compile(pattern).findall
         self.frequent = Frequent(packed)
-        self.numbers = {w: k for k, w in enumerate(self.frequent.words.to_pylist(), 1)}
 
     def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(numbers of the words of all texts, how many each text has, the rare words in order)."""
-        f, get, find = self.frequent, self.numbers.get, self.find
+        f, find = self.frequent, self.find
         odd = pc.match_substring_regex(texts, pattern=_ODD)
         split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         units, first = split.flatten(), split.offsets.to_numpy()[:-1] - split.offsets.to_numpy()[0]
@@ -161,35 +160,30 @@ class Cutter:
         known[first] = False  # no blank before it
         at = pc.fill_null(found, 0).to_numpy().astype(np.int64)
         missing = np.flatnonzero(~known)
-        rare: list[str] = []
-        own: list[int] = []
+        words: list[str] = []
         sizes_of_missing = np.empty(len(missing), np.int64)
         opens = np.zeros(len(known), bool)
         opens[first] = True
         whole = iter(zip(odd.to_pylist(), texts.to_pylist(), strict=True))
         for k, (unit, begins) in enumerate(zip(units.take(pa.array(missing)).to_pylist(), opens[missing].tolist(), strict=True)):
+            before = len(words)
             if begins:
                 is_odd, text = next(whole)
-                words = find(text if is_odd else unit)
-            elif unit.isalpha():  # a word that is frequent has its stretch in the table
-                rare.append(" " + unit)
-                own.append(-len(rare))
-                sizes_of_missing[k] = 1
-                continue
+                words += find(text if is_odd else unit)
+            elif unit.isalpha():
+                words.append(" " + unit)
             elif unit[-1:] in _POINTS and unit[:-1].isalpha():
-                words = (" " + unit[:-1], unit[-1])
+                words += (" " + unit[:-1], unit[-1])
             else:
-                words = find(" " + unit)
-            for w in words:
-                number = get(w)
-                if number is None:
-                    rare.append(w)
-                    number = -len(rare)
-                own.append(number)
-            sizes_of_missing[k] = len(words)
+                words += find(" " + unit)
+            sizes_of_missing[k] = len(words) - before
+        number = pc.fill_null(pc.index_in(pa.array(words, pa.string()), value_set=f.words), -1).to_numpy().astype(np.int64) + 1
+        none = np.flatnonzero(number == 0)
+        number[none] = -1 - np.arange(len(none))
+        rare = [words[k] for k in none.tolist()]
         sizes, starts = f.unit_sizes[at] if len(f.unit_sizes) else np.zeros(len(at), np.int64), f.unit_starts[at] if len(f.unit_starts) else np.zeros(len(at), np.int64)
         sizes[missing], starts[missing] = sizes_of_missing, len(f.unit_words) + np.cumsum(sizes_of_missing) - sizes_of_missing
-        numbers = spread_out(np.concatenate([f.unit_words, np.array(own, np.int64)]), starts, sizes)
+        numbers = spread_out(np.concatenate([f.unit_words, number]), starts, sizes)
         upto = np.append(0, np.cumsum(sizes))
         return numbers, np.diff(upto[np.append(first, len(sizes))]), rare
 
@@ -220,24 +214,26 @@ def encode_distinct(words: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
         ranks = held(Ranks, vocabulary_path(vocabulary))
         for b in slices(batches, "word", holding=True):
             ids = [ranks.encode(w.encode()) for w in b.column(0).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(packed_rows(np.fromiter(chain.from_iterable(ids), np.int64), [*map(len, ids)]), pa.binary())], names=["word", "ids"])
+            yield pa.record_batch([b.column(0), packed_rows(np.fromiter(chain.from_iterable(ids), np.int64), [*map(len, ids)])], names=["word", "ids"])
 
     return bounded_batches(words.select("word")).mapInArrow(run, schema("word string, ids binary"))
 
 
-def packed_rows(values: np.ndarray, sizes: list[int]) -> list[bytes]:
-    """The packed numbers of each of the rows that stand end to end in ``values``."""
+def packed_rows(values: np.ndarray, sizes) -> pa.Array:
+    """The packed numbers of each of the rows that stand end to end in ``values``, as binary."""
     raw, ends = pack_numbers(values)
-    bounds = np.append(0, ends)[np.append(0, np.cumsum(sizes, dtype=np.int64))].tolist()
-    data = raw.tobytes()
-    return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    bounds = np.append(0, ends)[np.append(0, np.cumsum(sizes, dtype=np.int64))].astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).cast(pa.binary())
 
 
-def unpacked_rows(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(the numbers of all rows end to end, how many each row has)."""
-    data = b"".join(rows)
+def unpacked_rows(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of all rows end to end, how many each row has) of packed numbers."""
+    rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+    rows = rows.cast(pa.large_binary())
+    offsets = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    data = (rows.buffers()[2] or pa.py_buffer(b"")).to_pybytes()[offsets[0] : offsets[-1]]
     last = np.append(0, np.cumsum(np.frombuffer(data, np.uint8) < 128))
-    return unpack_numbers(data), np.diff(last[np.append(0, np.cumsum([len(r) for r in rows], dtype=np.int64))])
+    return unpack_numbers(data), np.diff(last[offsets - offsets[0]])
 
 
 def _stream(rows: pa.Table) -> bytes:
@@ -247,9 +243,19 @@ def _stream(rows: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _most(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of greatest n, up to ``most`` of them: how many there are by (coarse) n tells from which one on they fit."""
+    level, left, least = F.floor(F.log2("n") * 16), most, None
+    for r in sorted(rows.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["level"]
+    return rows.where(level >= least) if least is not None else rows.limit(0)
+
+
 def frequent_words(docs: DataFrame, text: str, vocabulary: str, pattern: str, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> tuple[bytes, bytes]:
-    """The words, with ids and the most frequent first, of up to ``most`` stretches between blanks that occur repeatedly
-    in a sample of about ``rows`` rows; and these stretches with the numbers of their words.
+    """Up to ``most`` words that occur repeatedly in a sample of about ``rows`` rows, with ids and the most frequent first,
+    and up to ``most`` stretches between blanks that do so, with the numbers of their words.
 
     Only which words are spared the shuffle hangs on the sample, no result.  The lists are bounded (``most`` stretches of up
     to LONGEST characters), so the driver may hold them and hand them to the workers.
@@ -281,33 +287,27 @@ def frequent_words(docs: DataFrame, text: str, vocabulary: str, pattern: str, ro
         for b in slices(batches, "unit"):
             yield pa.record_batch([b.column(0), b.column(1), pa.array([find(" " + u) for u in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["unit", "n", "words"])
 
-    counts = bounded_batches(chosen.select("_text")).mapInArrow(count, schema("unit string, n bigint")).groupBy("unit").agg(F.sum("n").alias("n"))
-    counts = settle(counts.where(F.col("n") > 1))
-    # How many stretches there are by (coarse) frequency tells from which one on they fit.
-    level = F.floor(F.log2("n") * 16)
-    left, least = most, None
-    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
-        if r["count"] > left:
-            break
-        left, least = left - r["count"], r["level"]
-    chosen = counts.where(level >= least) if least is not None else counts.limit(0)
-    units = settle(chosen.select("unit", "n").mapInArrow(words_of, schema("unit string, n bigint, words array<string>")))
-    words = settle(units.select(F.explode("words").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")))
+    units = bounded_batches(chosen.select("_text")).mapInArrow(count, schema("unit string, n bigint")).groupBy("unit").agg(F.sum("n").alias("n"))
+    units = settle(units.mapInArrow(words_of, schema("unit string, n bigint, words array<string>")))
+    words = settle(units.select(F.explode("words").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    words, units = _most(words, most), _most(units.where("n > 1"), most)
     found = encode_distinct(words, vocabulary).join(words, "word").toArrow().combine_chunks()
     found = found.take(pc.sort_indices(found, [("n", "descending"), ("word", "ascending")])).select(["word", "ids"]).combine_chunks()
     own = units.select("unit", "words").toArrow().combine_chunks()
-    release(counts, units, words)
     lists = own.column("words").combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.string()))
     names = found.column("word").combine_chunks() if found.num_rows else pa.array([], pa.string())
-    numbers = pc.index_in(lists.flatten(), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    packs = packed_rows(numbers, pc.list_value_length(lists).to_numpy(zero_copy_only=False).tolist())
-    # Each word after a blank is a stretch of its own, too, so that a stretch of letters that is not listed is a rare word.
-    alone = {w[1:]: k for k, w in enumerate(names.to_pylist(), 1) if w[0] == " " and len(w) > 1}
-    listed = own.column("unit").to_pylist()
-    for u in alone.keys() - set(listed):
-        listed.append(u)
-        packs += packed_rows(np.array([alone[u]]), [1])
-    return _stream(found), _stream(pa.table({"unit": pa.array(listed, pa.string()), "words": pa.array(packs, pa.binary())}))
+    numbers = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    packs = packed_rows(numbers, sizes.tolist())
+    # Stretches with a word that is not listed are cut by the pattern.
+    whole = np.diff(np.append(0, np.cumsum(numbers > 0))[np.append(0, np.cumsum(sizes))]) == sizes
+    listed, packs = (x.filter(pa.array(whole)) for x in (own.column("unit").combine_chunks() if own.num_rows else pa.array([], pa.string()), packs))
+    # Each word after a blank is a stretch of its own, too.
+    alone = pc.and_(pc.starts_with(names, " "), pc.greater(pc.utf8_length(names), 1))
+    stretch = pc.utf8_slice_codeunits(names, 1)
+    alone = np.flatnonzero(pc.and_(alone, pc.invert(pc.is_in(stretch, value_set=listed))).to_numpy(zero_copy_only=False))
+    units = pa.concat_arrays([listed, stretch.take(pa.array(alone))])
+    return _stream(found), _stream(pa.table({"unit": units, "words": pa.concat_arrays([packs, packed_rows(alone + 1, np.ones(len(alone), np.int64))])}))
 
 
 def _rare_words(source: DataFrame, packed: tuple[bytes, bytes], pattern: str) -> DataFrame:
@@ -335,8 +335,7 @@ def _numbered_texts(source: DataFrame, packed: tuple[bytes, bytes], pattern: str
         cutter = held(Cutter, packed, pattern)
         for b in gathered(batches, "_text"):
             numbers, sizes, _ = cutter.cut(b.column(3))
-            packs = packed_rows(np.maximum(numbers, 0), sizes)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.full(len(sizes), -1, np.int32)), b.column(2), pa.array(sizes, pa.int64()), pa.array(packs, pa.binary())], names=["row", "mark", "at", "_key", "n", "data"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.full(len(sizes), -1, np.int32)), b.column(2), pa.array(sizes, pa.int64()), packed_rows(np.maximum(numbers, 0), sizes)], names=["row", "mark", "at", "_key", "n", "data"])
 
     return source.mapInArrow(run, schema(f"row bigint, mark int, at int, _key {kind}, n bigint, data binary"))
 
@@ -360,13 +359,13 @@ def _reassembled(rows: pa.Table) -> Iterator[tuple[pa.Array, np.ndarray, np.ndar
         texts, sizes = own < 0, n[a:b]
         base = np.cumsum(sizes) - sizes
         data = part.column("data")
-        numbers = unpack_numbers(b"".join(data.filter(pa.array(texts)).to_pylist()))
+        numbers, _ = unpacked_rows(data.filter(pa.array(texts)))
         holes = np.flatnonzero(numbers == 0)
         places = np.repeat(base, np.diff(np.append(np.flatnonzero(texts), len(own))) - 1) + own[~texts]
         if len(places) != len(holes) or (places != holes).any():
             raise RuntimeError("rare words do not fit their text: the input was not read twice in the same order")
         numbers[holes] = -1 - np.arange(len(holes))
-        yield part.column("_key").filter(pa.array(texts)).combine_chunks(), numbers, sizes, *unpacked_rows(data.filter(pa.array(~texts)).to_pylist())
+        yield part.column("_key").filter(pa.array(texts)).combine_chunks(), numbers, sizes, *unpacked_rows(data.filter(pa.array(~texts)))
 
 
 class Table:

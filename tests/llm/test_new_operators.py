@@ -58,8 +58,8 @@ def packed(words, units):
     import pyarrow as pa
 
     ranks = B.Ranks(B.vocabulary_path())
-    one = pa.table({"word": pa.array(words, pa.string()), "ids": pa.array([B.packed_rows(np.array(i), [len(i)])[0] for i in (ranks.encode(w.encode()) for w in words)], pa.binary())})
-    two = pa.table({"unit": pa.array([*units], pa.string()), "words": pa.array([B.packed_rows(np.array(n), [len(n)])[0] for n in units.values()], pa.binary())})
+    one = pa.table({"word": pa.array(words, pa.string()), "ids": B.packed_rows(np.array([i for w in words for i in ranks.encode(w.encode())], np.int64), [len(ranks.encode(w.encode())) for w in words])})
+    two = pa.table({"unit": pa.array([*units], pa.string()), "words": B.packed_rows(np.array([x for n in units.values() for x in n], np.int64), [*map(len, units.values())])})
     return B._stream(one), B._stream(two)
 
 
