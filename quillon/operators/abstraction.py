@@ -83,6 +83,7 @@ def declared_in(files: DataFrame, text: str, mode: str, name: str) -> DataFrame:
     return files.select(F.explode(F.concat(*rows)).alias("r")).select("r.term", "r.category").distinct()
 
 
+# Fixed values in the next function: the patterns by which a name's place in a text tells its category.
 def structural(files: DataFrame, text: str, name: str) -> DataFrame:
     """ABS-4, the tests of place for prefix mode: (term, category), the first test that a term passes anywhere.
 

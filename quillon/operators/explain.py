@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 from quillon.operators.model import Graph
 
 TYPE = "rdf:type"
+# Fixed values throughout this module: strategy names, kinds of paths and axioms, and the wordings of justifications, which
+# results must share to be compared.
 
 
 @dataclass

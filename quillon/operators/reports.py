@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+# Fixed values throughout this module: the keys of reports, which results must share.
+
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager

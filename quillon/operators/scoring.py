@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+# Fixed values throughout this module: the keys of reports, which results must share.
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window

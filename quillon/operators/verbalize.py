@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillon.functions import names as N
 from quillon.operators.model import Schema
 
+# Fixed values throughout this module: the parts of sentences and the keys of documents, which results must share.
 #: Incoming statements beyond this many subjects are left out of a description.
 MOST_INCOMING = 5
 BOUNDS = {"min": "at least", "max": "at most", "exact": "exactly"}
