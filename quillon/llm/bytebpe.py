@@ -290,10 +290,12 @@ def frequent_words(docs: DataFrame, text: str, vocabulary: str, pattern: str, ro
     units = bounded_batches(chosen.select("_text")).mapInArrow(count, schema("unit string, n bigint")).groupBy("unit").agg(F.sum("n").alias("n"))
     units = settle(units.mapInArrow(words_of, schema("unit string, n bigint, words array<string>")))
     words = settle(units.select(F.explode("words").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    counted = (words, units)
     words, units = _most(words, most), _most(units.where("n > 1"), most)
     found = encode_distinct(words, vocabulary).join(words, "word").toArrow().combine_chunks()
     found = found.take(pc.sort_indices(found, [("n", "descending"), ("word", "ascending")])).select(["word", "ids"]).combine_chunks()
     own = units.select("unit", "words").toArrow().combine_chunks()
+    release(*counted)
     lists = own.column("words").combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.string()))
     names = found.column("word").combine_chunks() if found.num_rows else pa.array([], pa.string())
     numbers = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
