@@ -191,7 +191,7 @@ class Graphs(Graph):
 
     def table(self, name: str) -> DataFrame:
         """A table of the schemas by its name, made once."""
-        return self._kept(name, lambda: TABLES[name][1](self))
+        return self._kept(name, lambda: TABLES[name][1](self).distinct())
 
     def has(self, *names: str) -> bool:
         return any(self.kinds() & ({n} if n in CHARACTERISTICS else set(TABLES[n][0])) for n in names)
@@ -210,6 +210,18 @@ class Graphs(Graph):
         active = self._kept("active", lambda: self.table("steps").select("p").unionByName(self.kind("chain").select(F.col("a").alias("p"))).unionByName(self.kind("transitive").select(F.col("a").alias("p"))).distinct())
         return tuple(relations.join(active, "p", how).select(*relations.columns) for how in ("left_semi", "left_anti"))
 
+    def derived_properties(self) -> DataFrame:
+        """(p): properties of facts that chains, transitive axioms and the steps after these derive."""
+        made = lambda: self.table("chains").select(F.col("target").alias("p")).unionByName(self.kind("transitive").select(F.col("a").alias("p"))).distinct()
+        return self._kept("derived properties", lambda: made().unionByName(made().join(self.table("steps"), "p").select(F.col("q").alias("p"))).distinct())
+
+    def derived_classes(self) -> DataFrame:
+        """(c): classes that class expressions derive, and all above them."""
+        of = {"or": "x", "and": "x", "some": "x", "all": "f", "self": "x", "value": "x"}
+        rows = [self.table(t).select(F.col(k).alias("c")) for t, k in of.items()] + [self.table("and").select("c")]
+        made = reduce(DataFrame.unionByName, rows)
+        return self._kept("derived classes", lambda: made.unionByName(made.join(self.table("class_closed"), "c").select(F.col("d").alias("c"))).distinct())
+
     def used(self, relations: DataFrame) -> DataFrame:
         props = self._kept("used", lambda: self.axioms.where(F.col("kind").isin("some", "all", "self", "value", "min", "max", "exact")).select(F.col("a").alias("p")).distinct())
         return relations.join(props, "p", "left_semi").select(*relations.columns)
