@@ -18,17 +18,18 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_batches, held, hot_keys, pack_numbers, release, salted_join, schema, settle, slices, table, unpack_numbers, whole_groups
+from quillon.llm.common import bounded_batches, byte_view, give_back, held, hot_keys, pack_numbers, passing_shuffles, release, salted_join, schema, settle, slices, table, unpack_numbers, whole_groups
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Rows of the sample in which frequent words are sought, stretches between blanks that may count as frequent, and their
 #: longest in characters.
 SAMPLE_ROWS, FREQUENT, LONGEST = 1 << 17, 1 << 20, 64
 #: Bytes of text that are cut at a time; distinct stretches that a task counts before it hands them on.
-GATHERED, COUNTED = 8 << 20, 1 << 18
+GATHERED, COUNTED = 4 << 20, 1 << 18
 #: Words put together at a time when texts are reassembled.
 STEP_WORDS = 1 << 20
 #: Words of more bytes are merged by a heap.
@@ -110,24 +111,81 @@ class Ranks:
 _POINTS = frozenset(".,;:!?)\"")
 
 
-class Frequent:
-    """The frequent words with their ids and the frequent stretches with their words, as every worker holds them.
+def after_blank(unit: str, find: Callable[[str], list[str]]) -> list[str]:
+    """The words of a stretch that stands after a blank; plain ones need no pattern."""
+    if unit.isalpha():
+        return [" " + unit]
+    if unit[-1:] in _POINTS and unit[:-1].isalpha():
+        return [" " + unit[:-1], unit[-1]]
+    return find(" " + unit)
 
-    Words are numbered from 1; number 0 is left for the others.
-    """
 
-    def __init__(self, packed: tuple[bytes, bytes]):
-        words, units = (pa.ipc.open_stream(x).read_all().combine_chunks() for x in packed)
-        self.words = words.column("word").combine_chunks()
-        self.flat, self.sizes, self.starts = self._rows(words.column("ids"), 1)
-        self.units = units.column("unit").combine_chunks()
-        self.unit_words, self.unit_sizes, self.unit_starts = self._rows(units.column("words"), 0)
+#: Odd factors of the hashes, and masks of the lowest bytes of a number by how many of them count.
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 
-    @staticmethod
-    def _rows(packs: pa.Array, ahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat, sizes = unpacked_rows(packs)
-        sizes = np.append(np.zeros(ahead, np.int64), sizes)
-        return flat, sizes, np.cumsum(sizes) - sizes
+class Lookup:
+    """Places of words in a list, found many at a time by hashes; the texts decide.
+
+    A word that finds no free slot in any table, or shares its hash with another, is not found: this costs time and changes no result.
+    """
+
+    def __init__(self, values: pa.Array):
+        self.values = values
+        self.longest = pc.max(pc.binary_length(values)).as_py() or 0
+        self.hashes = self._hashes(values)
+        self.shift = np.uint64(64 - max(4, (2 * len(values)).bit_length()))
+        self.tables, left = [], np.arange(len(values), dtype=np.int32)
+        for factor in _FACTORS:
+            table = np.full(1 << 64 - int(self.shift), -1, np.int32)
+            slots = (self.hashes[left] * factor) >> self.shift
+            table[slots] = left
+            left = left[table[slots] != left]
+            self.tables.append(table)
+            if not len(left):
+                break
+
+    def _hashes(self, values: pa.Array) -> np.ndarray:
+        raw, offsets = byte_view(values)
+        raw = np.append(raw, np.zeros(8, np.uint8))
+        eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+        starts, sizes = offsets[:-1], np.diff(offsets)
+        found, rows = sizes.astype(np.uint64) * _FACTORS[0], np.flatnonzero(sizes)
+        for at in range(0, self.longest, 8):
+            left = sizes[rows] - at
+            mixed = (found[rows] ^ (eight[starts[rows] + at] & _LOWEST[np.minimum(left, 8)])) * _FACTORS[1]
+            found[rows] = mixed ^ (mixed >> np.uint64(31))
+            rows = rows[left > 8]
+        return found
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """For each word its place in the list, -1 where it has none."""
+        found = np.full(len(words), -1, np.int32)
+        if not len(self.values) or not len(words):
+            return found
+        own, left = self._hashes(words), np.arange(len(words))
+        for factor, table in zip(_FACTORS, self.tables, strict=False):
+            at = table[(own[left] * factor) >> self.shift]
+            same = (at >= 0) & (self.hashes[at] == own[left])
+            found[left[same]] = at[same]
+            left = left[~same]
+        likely = np.flatnonzero(found >= 0)
+        same = pc.equal(self.values.take(pa.array(found[likely])), words.take(pa.array(likely))).to_numpy(zero_copy_only=False)
+        found[likely[~same]] = -1
+        return found
+
+
+def _cutter(shared: Broadcast, pattern: str) -> Cutter:
+    return Cutter(shared.value, pattern)
+
+
+def _finish(shared: Broadcast, path: str) -> Finish:
+    return Finish(shared.value, path)
+
+
+def _listed(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(packed).read_all().combine_chunks()
 
 
 def spread_out(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -137,7 +195,7 @@ def spread_out(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
 
 
 class Cutter:
-    """Cuts texts into words and names each by its number, rare ones by negative numbers that count a call's rare words.
+    """Cuts texts into words and names each by its number from 1, rare ones by negative numbers that count a call's rare words.
 
     Between two characters that are no white space a single blank always opens a word, so what stands between such blanks
     can be cut by itself.  Texts with other white space beside a blank, or at an end, are cut as a whole.
@@ -147,43 +205,41 @@ class Cutter:
         import regex
 
         self.find = regex.compile(pattern).findall
-        self.frequent = Frequent(packed)
+        self.words = Lookup(_listed(packed[0]).column("word").combine_chunks())
+        units = _listed(packed[1])
+        self.units = Lookup(units.column("unit").combine_chunks())
+        flat, sizes = unpacked_rows(units.column("words"))
+        self.unit_words, self.unit_sizes, self.unit_starts = (x.astype(np.int32) for x in (flat, sizes, np.cumsum(sizes) - sizes))
 
     def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(numbers of the words of all texts, how many each text has, the rare words in order)."""
-        f, find = self.frequent, self.find
+        find = self.find
         odd = pc.match_substring_regex(texts, pattern=_ODD)
         split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         units, first = split.flatten(), split.offsets.to_numpy()[:-1] - split.offsets.to_numpy()[0]
-        found = pc.index_in(units, value_set=f.units)
-        known = found.is_valid().to_numpy(zero_copy_only=False)
-        known[first] = False  # no blank before it
-        at = pc.fill_null(found, 0).to_numpy().astype(np.int64)
-        missing = np.flatnonzero(~known)
+        at = self.units.find(units)
+        at[first] = -1  # no blank before it
+        missing = np.flatnonzero(at < 0)
         words: list[str] = []
-        sizes_of_missing = np.empty(len(missing), np.int64)
-        opens = np.zeros(len(known), bool)
+        ends = []
+        opens = np.zeros(len(at), bool)
         opens[first] = True
         whole = iter(zip(odd.to_pylist(), texts.to_pylist(), strict=True))
-        for k, (unit, begins) in enumerate(zip(units.take(pa.array(missing)).to_pylist(), opens[missing].tolist(), strict=True)):
-            before = len(words)
+        for unit, begins in zip(units.take(pa.array(missing)).to_numpy(zero_copy_only=False).tolist(), opens[missing].tolist(), strict=True):
             if begins:
                 is_odd, text = next(whole)
                 words += find(text if is_odd else unit)
-            elif unit.isalpha():
-                words.append(" " + unit)
-            elif unit[-1:] in _POINTS and unit[:-1].isalpha():
-                words += (" " + unit[:-1], unit[-1])
             else:
-                words += find(" " + unit)
-            sizes_of_missing[k] = len(words) - before
-        number = pc.fill_null(pc.index_in(pa.array(words, pa.string()), value_set=f.words), -1).to_numpy().astype(np.int64) + 1
+                words += after_blank(unit, find)
+            ends.append(len(words))
+        number = self.words.find(pa.array(words, pa.string())) + 1
         none = np.flatnonzero(number == 0)
-        number[none] = -1 - np.arange(len(none))
+        number[none] = -1 - np.arange(len(none), dtype=np.int32)
         rare = [words[k] for k in none.tolist()]
-        sizes, starts = f.unit_sizes[at] if len(f.unit_sizes) else np.zeros(len(at), np.int64), f.unit_starts[at] if len(f.unit_starts) else np.zeros(len(at), np.int64)
-        sizes[missing], starts[missing] = sizes_of_missing, len(f.unit_words) + np.cumsum(sizes_of_missing) - sizes_of_missing
-        numbers = spread_out(np.concatenate([f.unit_words, number]), starts, sizes)
+        sizes, starts = (x[at] if len(x) else np.zeros(len(at), np.int32) for x in (self.unit_sizes, self.unit_starts))
+        sizes[missing] = np.diff(np.array([0, *ends]))
+        starts[missing] = len(self.unit_words) + np.array([0, *ends[:-1]])
+        numbers = spread_out(np.concatenate([self.unit_words, number]), starts, sizes)
         upto = np.append(0, np.cumsum(sizes))
         return numbers, np.diff(upto[np.append(first, len(sizes))]), rare
 
@@ -285,7 +341,7 @@ def frequent_words(docs: DataFrame, text: str, vocabulary: str, pattern: str, ro
 
         find = regex.compile(pattern).findall
         for b in slices(batches, "unit"):
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([find(" " + u) for u in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["unit", "n", "words"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([after_blank(u, find) for u in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["unit", "n", "words"])
 
     units = bounded_batches(chosen.select("_text")).mapInArrow(count, schema("unit string, n bigint")).groupBy("unit").agg(F.sum("n").alias("n"))
     units = settle(units.mapInArrow(words_of, schema("unit string, n bigint, words array<string>")))
@@ -294,11 +350,14 @@ def frequent_words(docs: DataFrame, text: str, vocabulary: str, pattern: str, ro
     words, units = _most(words, most), _most(units.where("n > 1"), most)
     found = encode_distinct(words, vocabulary).join(words, "word").toArrow().combine_chunks()
     found = found.take(pc.sort_indices(found, [("n", "descending"), ("word", "ascending")])).select(["word", "ids"]).combine_chunks()
+    names = found.column("word").combine_chunks() if found.num_rows else pa.array([], pa.string())
+    first = _stream(found)
+    del found
+    give_back()
     own = units.select("unit", "words").toArrow().combine_chunks()
     release(*counted)
     lists = own.column("words").combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.string()))
-    names = found.column("word").combine_chunks() if found.num_rows else pa.array([], pa.string())
-    numbers = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    numbers = Lookup(names).find(lists.flatten()).astype(np.int64) + 1
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     packs = packed_rows(numbers, sizes.tolist())
     # Stretches with a word that is not listed are cut by the pattern.
@@ -308,15 +367,19 @@ def frequent_words(docs: DataFrame, text: str, vocabulary: str, pattern: str, ro
     alone = pc.and_(pc.starts_with(names, " "), pc.greater(pc.utf8_length(names), 1))
     stretch = pc.utf8_slice_codeunits(names, 1)
     alone = np.flatnonzero(pc.and_(alone, pc.invert(pc.is_in(stretch, value_set=listed))).to_numpy(zero_copy_only=False))
+    del own, lists
     units = pa.concat_arrays([listed, stretch.take(pa.array(alone))])
-    return _stream(found), _stream(pa.table({"unit": units, "words": pa.concat_arrays([packs, packed_rows(alone + 1, np.ones(len(alone), np.int64))])}))
+    second = _stream(pa.table({"unit": units, "words": pa.concat_arrays([packs, packed_rows(alone + 1, np.ones(len(alone), np.int64))])}))
+    del units, listed, packs, stretch, names
+    give_back()
+    return first, second
 
 
-def _rare_words(source: DataFrame, packed: tuple[bytes, bytes], pattern: str) -> DataFrame:
+def _rare_words(source: DataFrame, shared: Broadcast, pattern: str) -> DataFrame:
     """(word, row, mark, at): every occurrence of a word that is not frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = held(Cutter, packed, pattern)
+        cutter = held(_cutter, shared, pattern)
         for b in gathered(batches, "_text"):
             numbers, sizes, rare = cutter.cut(b.column(3))
             at = np.flatnonzero(numbers < 0)
@@ -329,12 +392,12 @@ def _rare_words(source: DataFrame, packed: tuple[bytes, bytes], pattern: str) ->
     return source.mapInArrow(run, schema("word string, row bigint, mark int, at int"))
 
 
-def _numbered_texts(source: DataFrame, packed: tuple[bytes, bytes], pattern: str) -> DataFrame:
+def _numbered_texts(source: DataFrame, shared: Broadcast, pattern: str) -> DataFrame:
     """(row, mark, at, _key, n, data): every text as the packed numbers of its n words, 0 where a rare one stands."""
     kind = source.schema[2].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = held(Cutter, packed, pattern)
+        cutter = held(_cutter, shared, pattern)
         for b in gathered(batches, "_text"):
             numbers, sizes, _ = cutter.cut(b.column(3))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(np.full(len(sizes), -1, np.int32)), b.column(2), pa.array(sizes, pa.int64()), packed_rows(np.maximum(numbers, 0), sizes)], names=["row", "mark", "at", "_key", "n", "data"])
@@ -399,24 +462,27 @@ class Finish:
     """What a worker needs to put texts together: of every id its bytes and its decimal form, and both of every frequent word."""
 
     def __init__(self, packed: tuple[bytes, bytes], path: str):
-        self.frequent = f = Frequent(packed)
+        flat, sizes = unpacked_rows(_listed(packed[0]).column("ids"))
+        #: The ids of all words end to end; number 0 is left for the rare ones.
+        self.flat, self.sizes = flat.astype(np.int32), np.append(0, sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         tokens = Ranks(path).token
         self.tokens, self.decimal = Table([t or b"" for t in tokens]), Table([b"%d " % k for k in range(len(tokens))])
-        self.word_bytes, self.word_decimal = (t.by_word(f.flat, f.sizes) for t in (self.tokens, self.decimal))
+        self.word_bytes, self.word_decimal = (t.by_word(self.flat, self.sizes) for t in (self.tokens, self.decimal))
 
     def _at(self, numbers: np.ndarray) -> np.ndarray:
         """Places in a table of the frequent words and then the rare ones."""
-        return np.where(numbers < 0, len(self.frequent.sizes) - 1 - numbers, numbers)
+        return np.where(numbers < 0, len(self.sizes) - 1 - numbers, numbers)
 
     def ids(self, numbers: np.ndarray, sizes: np.ndarray, rare: np.ndarray, rare_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts end to end, how many each text has)."""
-        f, at = self.frequent, self._at(numbers)
-        length = np.append(f.sizes, rare_sizes)
-        start = np.append(f.starts, len(f.flat) + np.cumsum(rare_sizes) - rare_sizes)
-        return spread_out(np.concatenate([f.flat, rare]), start[at], length[at]), self.counts(numbers, sizes, rare_sizes)
+        at = self._at(numbers)
+        length = np.append(self.sizes, rare_sizes)
+        start = np.append(self.starts, len(self.flat) + np.cumsum(rare_sizes) - rare_sizes)
+        return spread_out(np.concatenate([self.flat, rare]), start[at], length[at]), self.counts(numbers, sizes, rare_sizes)
 
     def counts(self, numbers: np.ndarray, sizes: np.ndarray, rare_sizes: np.ndarray) -> np.ndarray:
-        upto = np.append(0, np.cumsum(np.append(self.frequent.sizes, rare_sizes)[self._at(numbers)]))
+        upto = np.append(0, np.cumsum(np.append(self.sizes, rare_sizes)[self._at(numbers)]))
         return np.diff(upto[np.append(0, np.cumsum(sizes))])
 
     def joined(self, words: pa.Array, of_ids: Table, numbers: np.ndarray, sizes: np.ndarray, rare: np.ndarray, rare_sizes: np.ndarray) -> Iterator[memoryview]:
@@ -429,21 +495,24 @@ def _encoded(docs: DataFrame, key: str, text: str, vocabulary: str, finish: Call
     Ranks(vocabulary_path(vocabulary))
     pattern = word_pattern()
     docs = bounded_batches(docs)
-    packed = frequent_words(docs, text, vocabulary, pattern, sample, most)
+    with passing_shuffles(docs.sparkSession):
+        # Shared by all steps, so that the driver and each worker hold them once.
+        shared = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, text, vocabulary, pattern, sample, most))
     value = docs[text].cast("string")
     # Texts are read twice, once for their rare words and once for themselves; ``mark`` and the places of
     # rare words tell whether a row is the same.
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.pmod(F.xxhash64(value), F.lit(1 << 16)).cast("int").alias("mark"), docs[key].alias("_key"), value.alias("_text"))
     kind = source.schema[2].dataType.simpleString()
-    rare = settle(_rare_words(source, packed, pattern))
-    counts = settle(rare.groupBy("word").agg(F.count("*").alias("n")))
+    rare = settle(_rare_words(source, shared, pattern))
+    with passing_shuffles(docs.sparkSession):
+        counts = settle(rare.groupBy("word").agg(F.count("*").alias("n")))
     hot = hot_keys(counts, ["word"], "n", max(1, counts.agg(F.sum("n")).first()[0] or 0))
     words = encode_distinct(counts, vocabulary)
     back = salted_join(rare, words, ["word"], "row", hot).select("row", "mark", "at", F.lit(None).cast(kind).alias("_key"), F.lit(None).cast("bigint").alias("n"), F.col("ids").alias("data"))
-    both = _numbered_texts(source, packed, pattern).unionByName(back)
+    both = _numbered_texts(source, shared, pattern).unionByName(back)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = held(Finish, packed, vocabulary_path(vocabulary))
+        tables = held(_finish, shared, vocabulary_path(vocabulary))
         for rows, _ in whole_groups(batches, ("row", "mark")):
             for keys, *words in _reassembled(rows):
                 yield finish(tables, keys, *words)

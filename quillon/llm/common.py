@@ -6,6 +6,7 @@ Nothing outside this subpackage imports it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,18 @@ def held(make: Callable, *args):
     return _HELD[key]
 
 
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run within the block leave no shuffle files when they end; only for tables that are made and read there."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Rows of an Arrow batch of texts: at Spark's default of 10 000, texts of 100 KB would make batches of a GB.
 BATCH_ROWS = 1024
 

@@ -82,6 +82,23 @@ def test_words_and_merges_equal_library(library):
     assert numbers.tolist() == [-1, -2] and rare == ["b", " ab"] and sizes.tolist() == [2]
 
 
+def test_frequent_words_are_looked_up_without_a_table_for_each_call(library):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcé😀") for _ in range(rng.randrange(40))) for _ in range(5000)})
+    look = B.Lookup(pa.array(words))
+    asked = words[::3] + [w + "x" for w in words] + ["a" * 5000, "\0", ""]
+    rng.shuffle(asked)
+    at = look.find(pa.array(asked)).tolist()
+    assert all(k < 0 or words[k] == w for w, k in zip(asked, at, strict=True))
+    known = [k for w, k in zip(asked, at, strict=True) if w in set(words)]
+    assert sum(k < 0 for k in known) <= len(known) // 50  # those without a free slot travel as rare words
+    look.hashes[:] = 7  # all hashes alike: the texts decide
+    assert all(k < 0 or words[k] == w for w, k in zip(asked, look.find(pa.array(asked)).tolist(), strict=True))
+    assert B.Lookup(pa.array([], pa.string())).find(pa.array(["a"])).tolist() == [-1] and look.find(pa.array([], pa.string())).tolist() == []
+
+
 def test_every_character_is_cut_as_the_library_does(library):
     import pyarrow as pa
 
