@@ -12,6 +12,8 @@ from quillon.plans.lineage import settle
 
 #: More rounds than any hierarchy needs: paths double with each round of ``closure``.
 GUARD = 64
+#: Rows of a table that is sent to all tasks; edges of nodes above no other that a task of ``distances`` takes.
+BROADCAST_ROWS, LOWEST_EDGES = 1 << 16, 1 << 20
 
 
 def closure(edges: DataFrame, swap: bool = False) -> DataFrame:
@@ -73,9 +75,27 @@ def distances(edges: DataFrame) -> DataFrame:
     """(a, b, n, via): for each pair of a hierarchy of any depth the number of edges between them and the node before b.
 
     Of several nodes before b on shortest chains the smallest is taken, so following ``via`` back from b gives a chain
-    without a row holding it.  Rounds: the longest distance.
+    without a row holding it.  Rounds: the longest distance.  They go over the edges between nodes that lie above others; a node
+    that lies above none, as most of a large hierarchy, gets its rows at the end from those of the nodes next to it, and moves once.
     """
     edges = settle(edges.where("a <> b").select("a", "b").distinct())
+    above = settle(edges.select(F.col("b").alias("a")).distinct())
+    # A table that the driver may hold is sent to all tasks.
+    near = F.broadcast(above) if above.count() <= BROADCAST_ROWS else above
+    known = settle(_rounds_of_distances(settle(edges.join(near, "a", "left_semi"))))
+    lowest = edges.join(near, "a", "left_anti")
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, lowest.count() // LOWEST_EDGES + 1)
+    lowest = lowest.repartition(parts, "a")
+    further = known.select(F.col("a").alias("_m"), F.col("b").alias("_b"), "n", "via")
+    further = F.broadcast(further) if known.count() <= BROADCAST_ROWS else further
+    first = lowest.select("a", "b", F.lit(1).cast("bigint").alias("n"), F.col("a").alias("via"))
+    longer = lowest.join(further, F.col("b") == F.col("_m")).select("a", F.col("_b").alias("b"), (F.col("n") + 1).alias("n"), "via")
+    best = first.unionByName(longer).groupBy("a", "b").agg(F.min(F.struct("n", "via")).alias("m")).select("a", "b", "m.n", "m.via")
+    return known.unionByName(best)
+
+
+def _rounds_of_distances(edges: DataFrame) -> DataFrame:
+    """``distances`` of settled edges, round by round."""
     step = edges.select(F.col("a").alias("_m"), F.col("b").alias("_b"))
     front = settle(edges.select("a", "b", F.lit(1).cast("bigint").alias("n"), F.col("a").alias("via")))
     known, k = front, 1

@@ -254,3 +254,24 @@ def test_commands_feed_each_other(spark, tmp_path, monkeypatch):
     assert 0 < len(kept) < len(q) and {r["SPARQL Query"] for r in kept} <= set(by) and kept[0]["Task Type"] in ("Membership", "Property Assertion")
     # One question by hand: every fact that a file entails and explains is asked once.
     assert {k for k in told} >= {f"i{k}|rdf:type|Person" for k in range(8)} | {"i1|q|i3", "i2|c|i1", "i1|p|j"}
+
+
+def test_distances_move_the_lowest_nodes_once(spark, monkeypatch):
+    rng = random.Random(3)
+    up = sorted({(f"m{a}", f"m{b}") for a, b in ((rng.randrange(9), rng.randrange(9)) for _ in range(14)) if a != b})  # with cycles
+    pairs = up + sorted({(f"low{k}", f"m{rng.randrange(9)}") for k in range(12) for _ in range(3)})
+    want = set()
+    for start in {a for a, _ in pairs}:
+        level, seen, n = {start: start}, {start}, 0
+        while level:
+            n += 1
+            nearer = sorted((a, b) for a, b in pairs if a in level and b not in seen)
+            level = {b: min(x for x, y in nearer if y == b) for _, b in nearer}
+            want |= {(start, b, n, via) for b, via in level.items()}
+            seen |= set(level)
+    rounds, gone = C._rounds_of_distances, []
+    monkeypatch.setattr(C, "_rounds_of_distances", lambda e: gone.append(rows(e)) or rounds(e))
+    for most in (1 << 16, 0):
+        monkeypatch.setattr(C, "BROADCAST_ROWS", most)
+        assert rows(C.distances(spark.createDataFrame(pairs, "a string, b string"))) == want
+    assert gone == [{(a, b) for a, b in up if a in {y for _, y in pairs}}] * 2
