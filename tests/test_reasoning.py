@@ -224,3 +224,11 @@ def test_witnesses_look_at_asked_fillers_alone(spark):
     assert sorted(map(tuple, got.collect())) == [("b", "p", "_:b|_s"), ("e", "q", "_:e|_t")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") >= 1  # types of no filler are left out before the join
+
+
+def test_targets_are_checked_before_texts_are_written(spark):
+    f = _facts(spark, [("a", "C"), ("a", "D")], [("a", "p", "b"), ("b", "q", "c"), ("a", "r", "c")], Schema(subclass=[("C", "D")], chains=[(("p", "q"), "r")]))
+    for n in ("EXP-9", "EXP-10", "EXP-35"):
+        paths = X.explain(f, n)
+        plan = paths._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("justifications") < plan.index("LeftSemi") and paths.count() == 1
