@@ -232,3 +232,12 @@ def test_targets_are_checked_before_texts_are_written(spark):
         paths = X.explain(f, n)
         plan = paths._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("justifications") < plan.index("LeftSemi") and paths.count() == 1
+
+
+def test_sizes_of_many_strategies(spark):
+    f = _facts(spark, [("a", "C"), ("a", "C"), ("a", "D"), ("b", "C")], [("a", "p", "b"), ("a", "p", "b"), ("b", "q", "a")], Schema(subclass=[("C", "D")], domain=[("p", "D")], range=[("p", "C")], inverse=[("p", "q")]))
+    names = ["EXP-1", "EXP-3", "EXP-4", "EXP-9", "EXP-28", "EXP-30", "EXP-34"]
+    short = X.sizes_of(f, names)
+    assert rows(short.select("s", "p", "o", "min_size", "max_size", "explanation_count")) == rows(X.sizes(X.explain_all(f, names)))
+    plan = short._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("Aggregate")  # the semi-join is above: it sees a target once
