@@ -234,6 +234,27 @@ def test_targets_are_checked_before_texts_are_written(spark):
         assert plan.index("justifications") < plan.index("LeftSemi") and paths.count() == 1
 
 
+@pytest.mark.parametrize("marked", ["", "\x03"])
+def test_paths_by_shape_equal_paths_with_texts(spark, marked):
+    """Tags and texts by shape are those of whole paths, with names that repeat, hold rule words, end in letters or hold a mark."""
+    from quillon.operators import brief as B
+
+    schema = Schema(subclass=[("C", "D"), ("D", "E1"), ("E1", "_all")], domain=[("p", "D"), ("r", "E1"), ("s", "D")], range=[("p", "C")], inverse=[("p", "q")], symmetric=["s"], transitive=["t"], chains=[(("t", "t"), "r"), (("p", "q"), "r")], equivalent=[("C", "F"), ("G", "_and")], expressions={"_all": Expression("all", prop="p", filler="C"), "_and": Expression("and", ("C", "D"))})
+    who = ["a1", "a2", "inverse7", "ada", "x/12", "min 3", f"b{marked}4"]
+    edges = [(x, p, y) for k, x in enumerate(who) for p in "pqrst" for y in (who[k - 1], who[k - 3], x)]
+    f = _facts(spark, [(x, c) for x in who for c in ("C", "D", "E1", "F", "G")], edges, schema)
+    names = [n for n in (X.CLASS_STRATEGIES | X.RELATION_STRATEGIES)]
+    whole = T.with_tags(X.explain_all(f, names)).select("s", "p", "o", F.array_join("justifications", "; ").alias("justification"), "tag").cache()
+    short = B.tagged(f, names)
+    line = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert line(short.rows().select(*whole.columns)) == line(whole) and (short.shapes is None) == bool(marked)
+    assert line(short.lengths()) == line(T.tag_lengths(whole, "s", "p", "o"))
+    assert line(short.shortest()) == line(T.shortest_tag(whole, ["s", "p", "o"], "justification"))
+    if not marked:  # what is written holds no texts, and names that say nothing share their shapes
+        assert all(t.columns == ["s", "p", "o", "_shape", "_names"] for _, t in short.tables)
+        assert short.shapes.where("_shape rlike 'a1|x/12'").count() == 0
+
+
 def test_sizes_of_many_strategies(spark):
     f = _facts(spark, [("a", "C"), ("a", "C"), ("a", "D"), ("b", "C")], [("a", "p", "b"), ("a", "p", "b"), ("b", "q", "a")], Schema(subclass=[("C", "D")], domain=[("p", "D")], range=[("p", "C")], inverse=[("p", "q")]))
     names = ["EXP-1", "EXP-3", "EXP-4", "EXP-9", "EXP-28", "EXP-30", "EXP-34"]
