@@ -262,3 +262,16 @@ def test_sizes_of_many_strategies(spark):
     assert rows(short.select("s", "p", "o", "min_size", "max_size", "explanation_count")) == rows(X.sizes(X.explain_all(f, names)))
     plan = short._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("LeftSemi") < plan.index("Aggregate")  # the semi-join is above: it sees a target once
+
+
+def test_subjects_are_expanded_last(spark):
+    """Without a broadcast the facts of equal subjects are not shuffled after they have become many."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rel = [("n", "has", x) for x in "abc"] + [(x, "sells", f"{x}{k}") for x in "abc" for k in range(3)]
+        m = R.materialize(graph(spark, [("a", "S")], rel, functional=["has"]), equality=True)
+        plan = m.relations._jdf.queryExecution().sparkPlan().toString()
+        assert plan[plan.index("Join") :].split("[")[1].startswith("s#")
+        assert rows(m.relations) == {("n", "has", x) for x in "abc"} | {(x, "sells", f"{y}{k}") for x in "abc" for y in "abc" for k in range(3)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
